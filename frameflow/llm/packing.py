@@ -61,8 +61,8 @@ def best_cuts(position: np.ndarray, penalty: np.ndarray, window: int) -> np.ndar
 
 
 def candidates(doc_ends: np.ndarray, sentences: np.ndarray, window: int, sentence_penalty: float, inner_penalty: float) -> tuple[np.ndarray, np.ndarray]:
-    """Positions where a window may end and the penalty of each; inner ones fill gaps over an eighth of a window."""
-    total, step = int(doc_ends[-1]), max(1, window // 8)
+    """Positions where a window may end and the penalty of each; inner ones fill gaps over a 64th of a window."""
+    total, step = int(doc_ends[-1]), max(1, window // 64)
     sentences = sentences[(sentences > 0) & (sentences < total)]
     if len(sentences):  # at most one in eight tokens: texts of one-word sentences need no more
         _, first = np.unique(sentences // 8, return_index=True)
@@ -78,7 +78,7 @@ def candidates(doc_ends: np.ndarray, sentences: np.ndarray, window: int, sentenc
     return position, penalty
 
 
-def pack_block(sizes: np.ndarray, sentences: np.ndarray, window: int, sentence_penalty: float = 16, inner_penalty: float = 256) -> dict[str, np.ndarray]:
+def pack_block(sizes: np.ndarray, sentences: np.ndarray, window: int, sentence_penalty: float = 4, inner_penalty: float = 64) -> dict[str, np.ndarray]:
     """Pieces of documents with these token counts (all over 0) laid end to end."""
     ends = np.cumsum(sizes)
     position, penalty = candidates(ends, sentences, window, sentence_penalty, inner_penalty)

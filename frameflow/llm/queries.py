@@ -17,12 +17,30 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"))
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from frameflow.llm.html import extract
+
+    return extract(_table(spark, sf_dir, "pages"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from frameflow.llm.token_counts import token_counts
 
     return token_counts(_table(spark, sf_dir, "documents"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from frameflow.llm.langid import identify
+
+    return identify(_table(spark, sf_dir, "documents"))
+
+
+def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from frameflow.llm.secrets import scan
+
+    return scan(_table(spark, sf_dir, "documents"))
+
+
 def op10_binary_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     from frameflow.llm.dac import round_trip
 

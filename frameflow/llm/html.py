@@ -32,6 +32,8 @@ BLOCKS = set(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
+#: Elements that hold the whole page have a pairwise potential of their own.
+PAGE = {"#root", "html", "body"}
 #: A start tag of the key closes an open element of the values (up to a block that holds it).
 CLOSES = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
@@ -159,7 +161,7 @@ def features(nodes: list[Node]) -> list[list[str]]:
         if x.tag == "#text":
             out.append([f"text={share},{(chars[i] >= 40) + (chars[i] >= 200)}"])
         else:
-            out.append([f"tag={x.tag}", f"links={share}", *(f"name={w}" for w in x.names)])
+            out.append([f"tag={x.tag},{share > 1}", *(f"name={w}" for w in x.names)])
     return out
 
 
@@ -173,22 +175,23 @@ class TreeModel:
     def train(cls, pages: Iterable[tuple[list[Node], list[int]]]) -> "TreeModel":
         """pages: nodes and the 0/1 label of each."""
         seen: dict[str, list[float]] = defaultdict(lambda: [0.5, 0.5])
-        pair, total = np.ones((2, 2)), Counter()
+        pair, total = np.ones((2, 2, 2)), Counter()
         for nodes, labels in pages:
             for x, f, y in zip(nodes, features(nodes), labels):
                 total[y] += 1
                 for name in f:
                     seen[name][y] += 1
                 if x.parent >= 0:
-                    pair[labels[x.parent], y] += 1
+                    pair[int(nodes[x.parent].tag in PAGE), labels[x.parent], y] += 1
         n0, n1 = total[0] + 1.0, total[1] + 1.0
-        weight = {k: max(-4.0, min(4.0, log(b / n1) - log(a / n0))) for k, (a, b) in seen.items()}
-        return cls(weight, pair / pair.sum(1, keepdims=True), n1 / (n0 + n1))
+        weight = {k: max(-6.0, min(4.0, log(b / n1) - log(a / n0))) for k, (a, b) in seen.items()}
+        return cls(weight, pair / pair.sum(2, keepdims=True), n1 / (n0 + n1))
 
     def marginals(self, nodes: list[Node]) -> list[float]:
         """P(content) of each node, exact on the tree: messages to the root, then back."""
         n, get = len(nodes), self.weight.get
-        (p00, p01), (p10, p11) = self.pair.tolist()
+        tables = self.pair.tolist()
+        above = [tables[x.parent >= 0 and nodes[x.parent].tag in PAGE] for x in nodes]
         own = []
         for f in features(nodes):
             s = max(-12.0, min(12.0, sum(get(x, 0.0) for x in f)))
@@ -198,6 +201,7 @@ class TreeModel:
         to0, to1 = [1.0] * n, [1.0] * n  # the message that it sends to its parent
         for i in range(n - 1, 0, -1):  # children come after their parents
             a, b = up0[i], up1[i]
+            (p00, p01), (p10, p11) = above[i]
             m0, m1 = p00 * a + p01 * b, p10 * a + p11 * b
             s = m0 + m1
             to0[i], to1[i] = m0 / s, m1 / s
@@ -211,6 +215,7 @@ class TreeModel:
         for i in range(n):
             if i:
                 p = nodes[i].parent
+                (p00, p01), (p10, p11) = above[i]
                 a, b = full0[p] / max(to0[i], 1e-300), full1[p] / max(to1[i], 1e-300)  # the parent without this child
                 full0[i], full1[i] = up0[i] * (a * p00 + b * p10), up1[i] * (a * p01 + b * p11)
             s = full0[i] + full1[i]

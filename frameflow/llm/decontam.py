@@ -210,3 +210,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, least_score: float = 0.
             found = stored(found, "hits") if blocks > 1 else found
             out = found if out is None else out.union(found)
     return out if out is not None else spark.createDataFrame([], SCHEMA)
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, least_score: float = 0.4) -> DataFrame:
+    """The rows of docs, with all their columns, that hold no copy of a test item."""
+    key = F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")))
+    hits = stored(contamination(docs.select(key.alias("doc_id"), "text"), benchmark, least_score).select(F.col("doc_id").alias("__hit")).distinct(), "hits")
+    return docs.withColumn("__key", key).join(hits, F.col("__key") == F.col("__hit"), "left_anti").drop("__key").select(*docs.columns)

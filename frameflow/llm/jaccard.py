@@ -318,9 +318,11 @@ class Join:
         bound = f"r <> r2 and (n < m or (n = m and x < y)) and {den} * n >= {num} * m and least(rest, rest2) * {num + den} >= {num} * (n + m)"
         return left.join(right, ["key", "size_band"]).where(bound).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
-    def run(self) -> DataFrame:
+    def grouped(self) -> tuple[DataFrame, DataFrame]:
+        """Rows (doc_id, node, n, digest, ...), and classes (digest, rep, rep_node, root) with the root of their component."""
         rows = stored(self.prefixes(), "prefixes")
-        classes = stored(rows.where("n > 0").groupBy("digest").agg(F.min("node").alias("node"), F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "sets")
+        sets = rows.where("n > 0").groupBy("digest").agg(F.min("node").alias("node"), F.min("doc_id").alias("rep"), F.coalesce(F.min_by("node", "doc_id"), F.min("node")).alias("rep_node"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+        classes = stored(sets, "sets")
         self.settle()
         marked, key, c = self.frequent(classes)
         self.settle()
@@ -335,12 +337,31 @@ class Join:
         if not far.isEmpty():
             roots = components(links.union(stored(self.verified(far), "links")))
         self.settle()
-        found = classes.select("digest", "node", "rep").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        return rows, classes.select("digest", "node", "rep", "rep_node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).drop("node")
+
+    def run(self) -> DataFrame:
+        rows, found = self.grouped()
         ids = found.groupBy("root").agg(F.min("rep").alias("component_id"))
         named = found.join(ids, "root").select("digest", "component_id")
         out = rows.select("doc_id", "n", "digest").join(named, "digest", "left")
         return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
+    def keepers(self) -> DataFrame:
+        """The node of one row of each component, that with the least doc_id, and of every row with an empty set."""
+        rows, found = self.grouped()
+        one = found.groupBy("root").agg(F.min_by("rep_node", F.struct(F.col("rep").isNull(), "rep", "digest")).alias("node")).select("node")
+        return one.union(rows.where("n = 0").select("node")).distinct()
+
+
+def one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The rows of docs, with all their columns, that stand for their component: the one with the least doc_id.
+
+    Of repeated rows one stays. A row without doc_id stands for its component only if no other has one.
+    """
+    keep = Join(docs, k, Threshold(num, den)).keepers().withColumnRenamed("node", "__node")
+    keyed = docs.withColumn("__node", F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit(""))))
+    return keyed.join(keep, "__node", "left_semi").dropDuplicates(["__node"]).drop("__node").select(*docs.columns)
+
 
 def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of docs (doc_id, text).

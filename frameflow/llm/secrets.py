@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_literal long"
 KINDS = ("assign", "access", "hex", "literal")
@@ -171,7 +172,10 @@ def redacted(text: str, mark: str = "[SECRET]") -> str:
 
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with secrets in its text replaced by a mark; rows, order and other columns stay as they are."""
+    """docs with secrets in its text replaced by a mark, and n_chars, if it has that, counted anew.
+
+    Rows, order and other columns stay as they are.
+    """
     schema = docs.schema
     place = docs.columns.index(text)
 
@@ -181,4 +185,7 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
             new = pa.array([None if t is None else redacted(t) for t in column.to_pylist()], column.type)
             yield batch.set_column(place, batch.schema.field(place), new)
 
-    return docs.mapInArrow(step, schema)
+    out = docs.mapInArrow(step, schema)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length(text).cast(schema["n_chars"].dataType))
+    return out

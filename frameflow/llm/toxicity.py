@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from frameflow.llm.bytelex import LETTER, WHOLE, Texts, hashes, of_text, parts, pretokens
 
-_BEGINNINGS = (5, 7)
+_BEGINNINGS = (4, 5, 6, 8)
 
 
 def features(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
@@ -40,8 +40,12 @@ class Linear:
         self.keys, self.weight, self.dense, self.bias = keys, weight, dense, bias
 
     @classmethod
-    def train(cls, h: np.ndarray, own: np.ndarray, extra: np.ndarray, y: np.ndarray, most_features: int = 4000, steps: int = 300, ridge: float = 1e-3) -> "Linear":
-        """h, own: feature hashes and row numbers; extra: rows by earlier probabilities; y: 0 or 1."""
+    def train(cls, h: np.ndarray, own: np.ndarray, extra: np.ndarray, y: np.ndarray, most_features: int = 1000, least_gain: float = 40.0, steps: int = 300, ridge: float = 1.0) -> "Linear":
+        """h, own: feature hashes and row numbers; extra: rows by earlier probabilities; y: 0 or 1.
+
+        Features are those whose log-likelihood ratio against independence is at least `least_gain`, which chance
+        gives to fewer than one in a billion, at most `most_features` of them.
+        """
         n = len(y)
         keys, number = np.unique(h, return_inverse=True)
         pairs = np.unique(number.astype(np.int64) * n + own)
@@ -49,9 +53,12 @@ class Linear:
         on = np.bincount(number, y[own], minlength=len(keys))
         off = np.bincount(number, 1 - y[own], minlength=len(keys))
         p, q = max(1.0, y.sum()), max(1.0, n - y.sum())
-        gain = np.abs(np.log((on + 0.5) / (p + 1)) - np.log((off + 0.5) / (q + 1))) * np.sqrt(on + off)
-        gain[on + off < 3] = 0
-        best = np.sort(np.argsort(-gain, kind="stable")[: min(most_features, int((gain > 0).sum()))])
+        both = on + off
+        gain = np.zeros(len(keys))
+        for seen, of in ((on, p), (off, q), (p - on, p), (q - off, q)):
+            rate = both / n if seen is on or seen is off else 1 - both / n
+            gain += 2 * np.where(seen > 0, seen * np.log(np.maximum(seen, 1e-9) / np.maximum(of * rate, 1e-9)), 0.0)
+        best = np.sort(np.argsort(-gain, kind="stable")[: min(most_features, int((gain >= least_gain).sum()))])
         place = np.full(len(keys), -1)
         place[best] = np.arange(len(best))
         col = place[number]

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from frameflow.plans import trajectory_queries  # noqa: F401
+from frameflow.plans.registry import ORACLES, QUERIES
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(ORACLES)

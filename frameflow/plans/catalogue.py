@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from frameflow.plans import trajectory_queries  # noqa: F401
+from frameflow.plans import table_queries, trajectory_queries, vector_queries  # noqa: F401
 from frameflow.plans.registry import ORACLES, QUERIES
 
 

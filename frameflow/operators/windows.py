@@ -30,8 +30,14 @@ def trailing(df: DataFrame, values: Sequence[str], size: int = 12, episode: str
     return df
 
 
+#: Anchor positions in a window of 12.
+ANCHORS_OF_12 = {4: [0, 4, 8, 11], 6: [0, 2, 5, 7, 9, 11]}
+
+
 def anchor_positions(anchors: int, size: int = 12) -> list[int]:
-    """Evenly spaced positions of a window, first and last included, halves to even."""
+    """The fixed positions where there are some, else evenly spaced ones, first and last included, halves to even."""
+    if size == 12 and anchors in ANCHORS_OF_12:
+        return ANCHORS_OF_12[anchors]
     return [round(i * (size - 1) / (anchors - 1)) for i in range(anchors)]
 
 

@@ -44,7 +44,7 @@ def elements(stream, chunk: int = 1 << 20) -> Iterator[object]:
             try:
                 value, end = decoder.raw_decode(text.lstrip())
                 rest = text.lstrip()[end:]
-                if rest or isinstance(value, (dict, list, str)):
+                if isinstance(value, (dict, list, str)) or rest.lstrip()[:1] in {",", "]"}:
                     break
                 more = stream.read(chunk)  # a number may go on
                 if not more:

@@ -20,7 +20,9 @@ from pyspark.sql.types import StructType
 def elements(stream, chunk: int = 1 << 20) -> Iterator[object]:
     """The elements of the array; anything but one array is an error."""
     decoder = json.JSONDecoder()
-    text = stream.read(chunk).lstrip()
+    text = ""
+    while not text and (more := stream.read(chunk)):
+        text = more.lstrip()
     if not text.startswith("["):
         raise ValueError("the top level is no array")
     text = text[1:]

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,12 +27,32 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("a <> b").distinct()
 
 
-def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
+def _union_find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = x = root[up] if up in root else up
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
+            a, b = find(a), find(b)
+            if a != b:
+                root[max(a, b)] = min(a, b)
+    rows = [(x, r) for x in list(root) if (r := find(x)) != x]
+    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(2)], ["node", "root"])
+
+
+def components(edges: DataFrame, most_rounds: int = 40, one_task: int = 1_000_000) -> DataFrame:
     """(node, root) for every node of an edge (a, b, long) to another one; root is the least node of its component.
 
-    Rounds of two stars, each stored, until the edges no longer change. Equal and repeated edges do no harm.
+    Up to `one_task` edges (16 MB) are united by one task of an executor. More take rounds of two stars, each stored,
+    until the edges no longer change. Equal and repeated edges do no harm.
     """
     now = stored(edges.where("a <> b").distinct(), "edges")
+    if now.count() <= one_task:
+        return stored(now.coalesce(1).mapInArrow(_union_find, "node long, root long"), "roots")
     mark = None
     for _ in range(most_rounds):
         new = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()

@@ -8,9 +8,10 @@ is multiplied:
    others. A pair over the threshold shares an n-gram among each one's first n - ceil(t n) + 1 ("prefix"). The order
    decides only how much work there is; any order gives the same pairs.
 3. The columns of the matrix cut down to prefixes are dealt out by n-gram. Within a column, sorted by set size, a
-   class is paired with the classes just before it (a band), if the sizes and the places of the n-gram in both sets
-   still allow the threshold. Columns no longer than the band are thereby done; the rest only serve to find classes
-   that are already connected, and afterwards are multiplied out for pairs across components alone.
+   class is paired with the classes just before it (a band), if their sizes allow the threshold. Counts of common
+   n-grams, accumulated over columns, and the place of the first one discard pairs that cannot reach it. Columns no
+   longer than the band are thereby done; longer ones first serve to find classes that are connected anyway, and
+   afterwards are multiplied out for pairs across components alone.
 4. Remaining pairs are dealt into cells of bounded size, each cell gets the rows of M that it needs, once, and
    multiplies them: overlap counts of whole sets decide.
 
@@ -240,24 +241,41 @@ class Join:
         return fixed.unionByName(self.sets_of(Bits(marked.where("hot").select("node"))).mapInArrow(step, "key long, node long, n long, pos long"))
 
     def band(self, entries: DataFrame) -> DataFrame:
-        """Rows of kind 0, pairs (a, b) that the band of a column lets pass, and of kind 1, entries (key, a, n, pos) of columns longer than the band."""
+        """Rows of kind 0: pairs (a, b) within the band of some columns, with sizes n and m, in how many columns (c) and
+        the most that either set has left from there on (pos). Of kind 1: entries (key, a, n, pos) of columns longer
+        than the band."""
         limit = self.limit
+        names = ["kind", "a", "b", "key", "n", "m", "pos", "c"]
 
-        def pairs(key: np.ndarray, node: np.ndarray, n: np.ndarray, pos: np.ndarray) -> np.ndarray:
+        def pairs(key: np.ndarray, node: np.ndarray, n: np.ndarray, pos: np.ndarray, old: int) -> list[np.ndarray]:
             found = []
             rest = n - pos
             for d in range(1, _BAND + 1):
                 same = np.flatnonzero(key[d:] == key[:-d]) if len(key) > d else np.zeros(0, np.int64)
                 if not len(same):
                     break
+                same = same[same + d >= old]  # earlier ones were told with the batch before
                 i, j = same, same + d
-                ok = (limit.den * n[i] >= limit.num * n[j]) & (np.minimum(rest[i], rest[j]) >= limit.least_overlap(n[i], n[j])) & (node[i] != node[j])
-                found.append(np.stack([np.minimum(node[i[ok]], node[j[ok]]), np.maximum(node[i[ok]], node[j[ok]])], 1))
-            return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+                ok = (limit.den * n[i] >= limit.num * n[j]) & (node[i] != node[j])
+                i, j = i[ok], j[ok]
+                turn = node[i] > node[j]
+                i, j = np.where(turn, j, i), np.where(turn, i, j)
+                found.append(np.stack([node[i], node[j], n[i], n[j], np.minimum(rest[i], rest[j])]))
+            if not found or not sum(f.shape[1] for f in found):
+                return []
+            x = np.concatenate(found, 1)
+            x = x[:, np.lexsort((x[1], x[0]))]
+            first = np.flatnonzero(np.concatenate([[True], (x[0, 1:] != x[0, :-1]) | (x[1, 1:] != x[1, :-1])]))
+            return [*x[:4, first], np.maximum.reduceat(x[4], first), np.diff(np.append(first, x.shape[1]))]
+
+        def rows(columns: dict[str, np.ndarray], kind: int) -> pa.RecordBatch:
+            size = len(next(iter(columns.values())))
+            columns = {"kind": np.full(size, kind)} | columns
+            return pa.RecordBatch.from_arrays([pa.array(columns.get(k, np.zeros(size, np.int64)), pa.int64()) for k in names], names)
 
         def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             tail: list[np.ndarray] | None = None  # the last rows of the batch before, up to a band's length
-            met = 0  # rows of the last key before the tail
+            met = 0  # rows of the tail's first key before it
             for batch in batches:
                 new = [np.asarray(batch.column(c)) for c in ("key", "node", "n", "pos")]
                 if not len(new[0]):
@@ -267,31 +285,46 @@ class Join:
                 first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
                 last = np.append(first[1:], len(key))
                 rank = np.arange(len(key)) - np.repeat(first, last - first) + np.where(np.arange(len(key)) < last[0], met, 0)
-                p = pairs(key, node, n, pos)
-                if len(p):
-                    zero = np.zeros(len(p), np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zero, p[:, 0], p[:, 1], zero, zero, zero)], ["kind", "a", "b", "key", "n", "pos"])
+                p = pairs(key, node, n, pos, old)
+                if p:
+                    yield rows(dict(zip(("a", "b", "n", "m", "pos", "c"), p)), 0)
                 # a column's rows are told when its 17th comes; rows after that one by one
                 turn = np.flatnonzero((rank == _BAND) & (np.arange(len(key)) >= old))
                 extra = np.concatenate([np.flatnonzero((rank > _BAND) & (np.arange(len(key)) >= old)), turn, *[t - np.arange(1, _BAND + 1) for t in turn]]).astype(np.int64)
                 if len(extra):
-                    one = np.ones(len(extra), np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (one, node[extra], np.zeros_like(one), key[extra], n[extra], pos[extra])], ["kind", "a", "b", "key", "n", "pos"])
+                    yield rows({"a": node[extra], "key": key[extra], "n": n[extra], "pos": pos[extra]}, 1)
                 keep = slice(max(0, len(key) - _BAND), None)
                 tail = [x[keep].copy() for x in (key, node, n, pos)]
                 met = int(rank[keep][0])
 
-        return entries.repartition("key").sortWithinPartitions("key", "n", "node").mapInArrow(step, "kind long, a long, b long, key long, n long, pos long")
+        return entries.repartition("key").sortWithinPartitions("key", "n", "node").mapInArrow(step, ", ".join(f"{k} long" for k in names))
+
+    def possible(self, banded: DataFrame) -> DataFrame:
+        """The pairs of the band that may reach the threshold.
+
+        Common n-grams are either in both prefixes or, for the set whose prefix ends first, beyond it; so the overlap
+        is at most those in both prefixes plus the longer rest. Long columns, which the band saw in part, count in
+        full for the set that has fewer of them. Where it has none, the place of the first common n-gram bounds too.
+        """
+        num, den = self.limit.num, self.limit.den
+        pairs = banded.where("kind = 0").groupBy("a", "b").agg(F.max("n").alias("n"), F.max("m").alias("m"), F.sum("c").alias("c"), F.max("pos").alias("rest"))
+        longer = banded.where("kind = 1").groupBy("a").count()
+        with_long = pairs.join(longer.select("a", F.col("count").alias("la")), "a", "left").join(longer.select(F.col("a").alias("b"), F.col("count").alias("lb")), "b", "left")
+        least = f"({num} * (n + m) + {num + den - 1}) div {num + den}"
+        beyond = f"(({num} * greatest(n, m) + {den - 1}) div {den} - 1)"
+        unseen = "least(coalesce(la, 0), coalesce(lb, 0))"
+        return with_long.where(f"c + {unseen} + {beyond} >= {least} and ({unseen} > 0 or rest >= {least})").select("a", "b")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """Links (a, b) among distinct pairs: cells of bounded size multiply the rows of their nodes."""
-        least = pairs.select(F.explode(F.array("a", "b")).alias("node"), "a").groupBy("node").agg(F.min("a").alias("lab"))
+        ends = lambda df, *more: df.select(F.col("a").alias("node"), *more).union(df.select(F.col("b").alias("node"), *more))
+        least = ends(pairs, F.col("a").alias("lab")).groupBy("node").agg(F.min("lab").alias("lab"))
         near = pairs.join(least.withColumnRenamed("node", "a"), "a")
         size = near.groupBy("lab").count().select("lab", F.ceil(F.sqrt(F.col("count") / _CELL_PAIRS)).cast("int").alias("ways"))
         way = lambda c: F.pmod(F.xxhash64(c), F.col("ways"))
         dealt = stored(near.join(size, "lab").select("a", "b", F.xxhash64("lab", way("a"), way("b")).alias("cell")), "cells")
-        wanted = dealt.select("cell", F.explode(F.array("a", "b")).alias("node")).distinct()
-        rows = self.sets_of(Bits(dealt.select(F.explode(F.array("a", "b")).alias("node")).distinct()))
+        wanted = ends(dealt, "cell").distinct()
+        rows = self.sets_of(Bits(ends(dealt).distinct()))
         sent = wanted.join(rows, "node").select(F.col("cell").alias("place"), "node", "grams")
         limit = self.limit
 
@@ -328,7 +361,7 @@ class Join:
         self.settle()
         banded = stored(self.band(self.entries(marked, key, c)), "band")
         self.settle()
-        near = stored(banded.where("kind = 0").select("a", "b").distinct(), "pairs")
+        near = stored(self.possible(banded), "pairs")
         links = stored(self.verified(near), "links")
         self.settle()
         roots = components(links)

@@ -1,0 +1,232 @@
+"""The other operators on small tables: nulls, empty and long texts, ties, repeated rows, extra columns, empty tables."""
+
+import hashlib
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from frameflow.llm import dac, decontam, html, langid, packing, quality, secrets, token_counts, toxicity
+from frameflow.llm.bytelex import Texts
+from frameflow.llm.wordcodec import WordCodec, default_path
+
+LONG = "The quick brown fox jumps. " * 4000
+TEXTS = [None, "", "  \n\t ", "Hello, world!", "Ünïcödé ŁÓDŹ 漢字 \U0001f600 it's don't <|endoftext|>", LONG, "Hello, world!", "a\x1cb\x85c\xa0d"]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i, t, "en", 7, "x") for i, t in enumerate(TEXTS)] + [(None, "no id", None, 1, "y"), (3, "Hello, world!", "en", 7, "x")]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, n_words int, stratum string").repartition(3)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], "doc_id long, text string, lang string")
+
+
+@pytest.fixture(scope="module")
+def plain():
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(default_path())
+    return lambda text: t.encode(text or "", add_special_tokens=False)
+
+
+def test_codec_equals_tokenizer_and_forgets(plain):
+    codec = WordCodec(default_path(), max_words=20)
+    for k in range(30):
+        texts = [t if t is None else t[:300] + f" w{k} x{k}y" for t in TEXTS]
+        ids, n = codec.encode(Texts(pa.array(texts, pa.string())))
+        want = [plain(t).ids for t in texts]
+        assert ids.tolist() == [i for w in want for i in w] and n.tolist() == [len(w) for w in want]
+
+
+def test_packing_covers_every_id_once(docs, empty, plain):
+    rows = packing.pack(docs, window=64).collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r.sequence_id, []).append(r)
+    for pieces in by.values():
+        at = 0
+        for p in sorted(pieces, key=lambda p: p.offset):
+            assert p.offset == at
+            at += p.length
+        assert at <= 64
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    spans = Counter()
+    for r in rows:
+        ids = np.array([*plain(texts[r.doc_id]).ids, 2], "<u4")
+        assert r.doc_tokens == len(ids) and r.ids_crc32 == zlib.crc32(ids[r.start : r.start + r.length].tobytes())
+        spans[r.doc_id] += r.length
+    assert spans[5] == len(plain(LONG).ids) + 1 and spans[3] == 2 * (len(plain("Hello, world!").ids) + 1)
+    assert packing.pack(empty).collect() == []
+
+
+def test_best_cuts_equal_exhaustive_search():
+    r = np.random.default_rng(2)
+    for _ in range(40):
+        pos = np.concatenate([[0], np.cumsum(r.integers(1, 9, 10))])
+        pen = r.integers(0, 20, 11).astype(float)
+        cuts = packing.best_cuts(pos, pen, 16)
+        cost = lambda c: sum(16 - (pos[b] - pos[a]) + pen[b] for a, b in zip(c, c[1:]))
+        best = [0.0] + [np.inf] * 10
+        for j in range(1, 11):
+            best[j] = min(best[i] + 16 - (pos[j] - pos[i]) + pen[j] for i in range(j) if pos[j] - pos[i] <= 16)
+        assert cost(cuts.tolist()) == pytest.approx(best[10]) and (np.diff(pos[cuts]) <= 16).all()
+
+
+def test_token_segments_round_trip_and_random_access(docs, empty, plain):
+    got = sorted(((r.start, r.doc_id, r.n_tokens, r.ids_crc32) for r in dac.round_trip(docs).collect()))
+    at, order = 0, sorted((r.doc_id is not None, r.doc_id or 0, r.text or "", r.doc_id) for r in docs.collect())
+    for (start, doc, n, crc), (_, _, text, want) in zip(got, order):
+        ids = np.array([*plain(text).ids, 1], "<u4")
+        assert (start, doc, n, crc) == (at, want, len(ids), zlib.crc32(ids.tobytes()))
+        at += n
+    assert dac.round_trip(empty).collect() == []
+    ids = np.random.default_rng(1).geometric(0.001, 5000).astype(np.uint32)
+    ids[:3] = [0, 49405, 2**31]
+    s = dac.Segment(dac.write_segment(np.array([4, 9]), np.array([True, False]), np.array([2000, 3000]), ids))
+    assert s.tokens().tolist() == ids.tolist() and [s.token(i) for i in range(0, 5000, 7)] == ids[::7].tolist()
+    assert s.known.tolist() == [True, False]
+
+
+@pytest.mark.parametrize("rule", ["first", "most", "share"])
+def test_token_counts_add_up(docs, empty, plain, rule):
+    rows = token_counts.token_counts(docs, rule).where("doc_id is not null").collect()
+    for doc, text in enumerate(TEXTS):
+        own = [r for r in rows if r.doc_id == doc]
+        assert sum(r.share for r in own) == pytest.approx(len(plain(text).ids) * (2 if doc == 3 else 1))
+        assert max(r.end for r in own) == len(text or "")
+    assert token_counts.token_counts(empty).collect() == []
+
+
+def test_boundary_rules():
+    tb, te, b, e = (np.array(x) for x in ([0, 3], [3, 9], [0, 4], [4, 9]))
+    assert token_counts.attribute(tb, te, b, e, "first")[0].tolist() == [2, 0]
+    assert token_counts.attribute(tb, te, b, e, "most")[0].tolist() == [1, 1]
+    assert token_counts.attribute(tb, te, b, e, "share")[0].tolist() == pytest.approx([1 + 1 / 6, 5 / 6])
+
+
+WORD = re.compile("[^\x20\x09-\x0d]+")
+
+
+def test_quality_counts_equal_brute_force(spark, docs, empty):
+    again = " ".join(f"w{i % 11}" for i in range(60))
+    more = spark.createDataFrame([(100, again, "en"), (101, "a b\na b\n\na b\n#|", "en"), (102, "one two three four five six seven eight " * 2, None)], "doc_id long, text string, lang string")
+    rows = docs.select("doc_id", "text", "lang").union(more)
+    got = {r.doc_id: r for r in quality.features(rows).collect()}
+    for r in rows.collect():
+        w = WORD.findall(r.text or "")
+        grams = [tuple(w[i : i + 8]) for i in range(len(w) - 7)]
+        n, cover, seen, dup = Counter(grams), set(), set(), 0
+        for i, g in enumerate(grams):
+            if n[g] > 1:
+                cover.update(range(i, i + 8))
+        for line in (r.text or "").split("\n"):
+            if WORD.search(line):
+                dup += line in seen
+                seen.add(line)
+        x = got[r.doc_id]
+        assert (x.n_words, x.word_chars, x.n_symbols, x.n_dup_lines, x.n_repeat_words) == (len(w), sum(map(len, w)), len(re.findall("[#*$%&|<>]", r.text or "")), dup, len(cover))
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    assert quality.judge(empty, none).collect() == [] and quality.judge(docs, none).count() == 10
+
+
+def test_binomial_certificate():
+    assert quality.at_most(0, 100, 0.02) == pytest.approx(0.98**100)
+    assert quality.certified(0, 400, 0.02, 0.05) and not quality.certified(0, 100, 0.02, 0.05) and not quality.certified(9, 400, 0.02, 0.05)
+
+
+def test_language_id(spark, docs, empty):
+    words = {"en": "the and with house water morning garden", "fr": "le dans avec maison fenêtre matin jardin"}
+    rows = [(i, " ".join(np.random.default_rng(i).choice(words[k].split(), 40)), k) for i in range(120) for k in [("en", "fr")[i % 2]]]
+    got = {r.doc_id: r for r in langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert all(got[i].lang_pred == k and 0.5 <= got[i].score <= 1 for i, _, k in rows)
+    assert all(got[i].held_out == (zlib.crc32(str(i).encode()) % 4 == 2) for i, _, _ in rows)
+    out = [(r.lang_pred, r.score) for r in langid.predict(docs, (("en", "hello world"),)).where("doc_id in (0, 1, 2)").collect()]
+    assert out == [("und", 0.0)] * 3
+    assert langid.identify(empty).collect() == [] and langid.accepted(empty).collect() == []
+
+
+def test_secrets(docs, empty):
+    key = "AKIA" + "Q" * 14
+    text = f'password: short; api-key=x TOKEN = "abcdefgh12" {key} {"0f" * 20} é secret=é'
+    base, spans = secrets.all_spans(text)
+    assert [text[a:b] for a, b, _ in base] == ['TOKEN = "abcdefgh12', key, "0f" * 20]
+    assert set(base) <= set(spans)
+    code = "base = 'hunter2!Zx9q'\ndb_password = base\nname = 'Bob the builder'\n"
+    assert [code[a:b] for a, b, k in secrets.all_spans(code)[1] if k == 3] == ["hunter2!Zx9q"]
+    assert "hunter2" not in secrets.redacted(code) and "Bob" in secrets.redacted(code)
+    r = secrets.scan(docs).where("doc_id = 0").first()
+    assert (r.n_assign, r.spans, r.base_sha256) == (0, "", hashlib.sha256(b"").hexdigest())
+    assert secrets.scan(empty).collect() == [] and secrets.redact(docs).columns == docs.columns
+
+
+def test_html(spark):
+    model = html.default_model()
+    page = "<body><nav><ul><li><a href=1>Home</a><li><a href=2>News</a></ul></nav><article><h1>A &amp; B</h1><p>First  <b>bold\n</b>text, long enough.<p>Second &eacute; one. It goes on.</article><script>var t='</p>x';</script><div class=ad>Buy it now, today.</div><footer>&copy; me</footer>"
+    assert model.main_text(page) == ["A & B", "First bold text, long enough.", "Second é one. It goes on."]
+    assert model.main_text(None) == model.main_text("") == [] and isinstance(model.main_text("<p <<b></div></x><!-- <td>"), list)
+    got = html.extract(spark.createDataFrame([(1, "u", page, "z"), (None, None, None, None)], "page_id long, url string, html string, text string")).collect()
+    assert sorted(r.n_chars for r in got) == [0, len("\n".join(model.main_text(page)))]
+
+
+def test_marginals_equal_enumeration():
+    nodes = html.parse("<div class=ad><p>x</p></div><article><p>long text, here it is.</p></article>")[:6]
+    model = html.default_model()
+    feats = html.features(nodes)
+    total, on = 0.0, [0.0] * len(nodes)
+    for bits in range(1 << len(nodes)):
+        y = [bits >> i & 1 for i in range(len(nodes))]
+        p = model.prior if y[0] else 1 - model.prior
+        for i, f in enumerate(feats):
+            odds = float(np.exp(np.clip(sum(model.weight.get(x, 0.0) for x in f), -12, 12)))
+            p *= odds / (1 + odds) if y[i] else 1 / (1 + odds)
+            if i:
+                p *= model.pair[int(nodes[nodes[i].parent].tag in html.PAGE), y[nodes[i].parent], y[i]]
+        total += p
+        on = [a + p * b for a, b in zip(on, y)]
+    assert model.marginals(nodes) == pytest.approx([a / total for a in on])
+
+
+def test_decontamination(spark, docs, empty):
+    r = np.random.default_rng(4)
+    vocabulary = ["".join(r.choice(list("abcdefgh"), 5)) for _ in range(800)]
+    items = [" ".join(r.choice(vocabulary, 30)) for _ in range(6)]
+    edited = items[1].split()
+    edited[5], edited[17] = "other", "words"
+    texts = ["start. " + items[0].upper() + " end", " ".join(edited), " ".join(r.choice(vocabulary, 300)), None, ""]
+    d = spark.createDataFrame([(i, t, 0.5) for i, t in enumerate(texts)], "doc_id long, text string, score double")
+    bench = spark.createDataFrame(list(enumerate(items)) + [(90, None), (91, "two words")], "item_id long, text string")
+    for size in (4 << 20, 500):
+        got = {(x.doc_id, x.item_id): x.score for x in decontam.contamination(d, bench, block_bytes=size).collect()}
+        assert set(got) == {(0, 0), (1, 1)} and got[0, 0] == 1.0 and 0.7 < got[1, 1] < 1
+    assert sorted(x.doc_id for x in decontam.clean(d, bench).collect()) == [2, 3, 4]
+    assert decontam.contamination(empty, bench).collect() == [] and decontam.contamination(d, bench.limit(0)).collect() == []
+
+
+def test_alignment_equals_plain_dynamic_programming():
+    r = np.random.default_rng(6)
+    for _ in range(30):
+        a, b = r.integers(0, 4, 14), r.integers(0, 4, 9)
+        h = np.zeros((15, 10), int)
+        for i in range(1, 15):
+            for j in range(1, 10):
+                h[i, j] = max(0, h[i - 1, j - 1] + (2 if a[i - 1] == b[j - 1] else -1), h[i - 1, j] - 1, h[i, j - 1] - 1)
+        assert decontam.align(a[None, :].astype(np.int64), b)[0] == h.max()
+
+
+def test_toxicity(spark, docs, empty):
+    r = np.random.default_rng(8)
+    words = ["".join(r.choice(list("abcdefgh"), 6)) for _ in range(300)]
+    rows = [(i, " ".join(r.choice(words, 40)) + (" vilewords" if i % 4 == 0 else "")) for i in range(400)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(300)], "doc_id long, quality int, toxic int")
+    got = {x.doc_id: x.is_toxic for x in toxicity.classify(d, labels).collect()}
+    assert all(got[i] == (i % 4 == 0) for i in range(400))
+    assert toxicity.classify(docs, labels.limit(0)).count() == 10 and toxicity.classify(empty, labels).collect() == []

@@ -20,7 +20,7 @@ _BEGINNINGS = (4, 5, 6, 8)
 
 
 def features(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of words and of their first bytes, and the text of each, without repeats within a text."""
+    """32-bit hashes of words and of their first bytes, and the text of each."""
     begin, end, kind, low = pretokens(texts)
     keep = (kind == LETTER) | (kind == WHOLE)
     begin, end = begin[keep], end[keep]
@@ -30,7 +30,7 @@ def features(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
         long = end - begin > size
         found.append(hashes(low, begin[long], begin[long] + size, 2) ^ np.uint64(k + 1))
         own.append(owner[long])
-    return np.concatenate(found), np.concatenate(own)
+    return (np.concatenate(found) >> np.uint64(32)).astype(np.uint32), np.concatenate(own)
 
 
 class Linear:
@@ -160,10 +160,10 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], most_
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", *names, "text")
     rows = texts.mapInArrow(step, ", ".join(["doc_id long", *(f"{k} int" for k in names), "h binary"])).collect()
     rows.sort(key=lambda r: (r.doc_id, r.h))
-    h = [np.frombuffer(r.h, np.uint64) for r in rows]
+    h = [np.frombuffer(r.h, np.uint32) for r in rows]
     own = np.repeat(np.arange(len(rows)), [len(x) for x in h])
     y = np.array([[r[k] for k in names] for r in rows], np.int64).reshape(len(rows), len(names))
-    return Chain.train(names, np.concatenate(h) if h else np.zeros(0, np.uint64), own, y)
+    return Chain.train(names, np.concatenate(h) if h else np.zeros(0, np.uint32), own, y)
 
 
 def score(docs: DataFrame, chain: Chain) -> DataFrame:

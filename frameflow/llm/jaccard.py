@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import gc
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +38,7 @@ _BAND = 16
 _FREQUENT = 50
 _MOST_FREQUENT = 200_000
 _CELL_PAIRS = 20_000
+_SKETCH = 1024
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -97,10 +98,19 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(size), pa.array(flat.view(np.int64)))
 
 
+def sketches(sets: list[np.ndarray]) -> pa.Array:
+    """Per set a bitmap, in longs, of which of _SKETCH residues an odd number of its n-grams has.
+
+    Two bitmaps differ in at most as many bits as the sets do in n-grams.
+    """
+    rows = [np.packbits((np.bincount((s % np.uint64(_SKETCH)).astype(np.int64), minlength=_SKETCH) & 1).astype(np.uint8)).view(np.uint64) for s in sets]
+    return _lists(rows)
+
+
 class Bits:
     """A bitmap of fixed most size that surely has all nodes put in, and few others."""
 
-    def __init__(self, nodes: DataFrame, per_node: int = 16, most_bits: int = 1 << 28):
+    def __init__(self, nodes: DataFrame, per_node: int = 64, most_bits: int = 1 << 28):
         n = nodes.count()
         self.size = 1 << max(10, min(most_bits.bit_length() - 1, (per_node * max(1, n)).bit_length()))
         bit = F.pmod(F.xxhash64("node"), F.lit(self.size))
@@ -128,7 +138,7 @@ class Join:
         self.spark._jvm.System.gc()
 
     def prefixes(self) -> DataFrame:
-        """Per row: doc_id, node, n, digest of the set, its prefix in order of length."""
+        """Per row: doc_id, node, n, digest of the set, its prefix in order of length, its sketch."""
         k, limit = self.k, self.limit
 
         def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,25 +148,35 @@ class Join:
                     n = np.array([len(s) for s in sets], np.int64)
                     digest = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
                     cut = [s[: limit.prefix(len(s))] if len(s) else s for s in sets]
-                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), batch.column("node").slice(a, b - a), pa.array(n), pa.array(digest, pa.binary()), _lists(cut)], ["doc_id", "node", "n", "digest", "prefix"])
+                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), batch.column("node").slice(a, b - a), pa.array(n), pa.array(digest, pa.binary()), _lists(cut), sketches(sets)], ["doc_id", "node", "n", "digest", "prefix", "sketch"])
 
-        return self.docs.mapInArrow(step, "doc_id long, node long, n long, digest binary, prefix array<long>")
+        return self.docs.mapInArrow(step, "doc_id long, node long, n long, digest binary, prefix array<long>, sketch array<long>")
 
-    def sets_of(self, nodes: Bits) -> DataFrame:
-        """(node, doc set as bytes) of the rows whose node the bitmap has; other rows never leave their task."""
+    def sets_of(self, nodes: Bits, then: Callable | None = None, schema: str = "node long, grams binary") -> DataFrame:
+        """(node, set as bytes) of the rows whose node the bitmap has; other rows never leave their task.
+
+        With `then`, what it makes of an iterator of (nodes, sets), a megabyte of text at a time, in the same worker.
+        """
         k = self.k
         shared = self.spark.sparkContext.broadcast(nodes.bytes)
 
-        def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def chosen_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[np.ndarray]]]:
             for batch in batches:
                 bit = np.asarray(batch.column("bit"))
                 here = np.flatnonzero(shared.value[bit >> 3] >> (bit & 7).astype(np.uint8) & 1)
                 if len(here):
                     chosen = batch.take(pa.array(here))
                     for a, b, texts in parts(chosen.column("text")):
-                        yield pa.RecordBatch.from_arrays([chosen.column("node").slice(a, b - a), pa.array([s.tobytes() for s in shingle_sets(texts, k)], pa.large_binary())], ["node", "grams"])
+                        yield chosen.column("node").slice(a, b - a), shingle_sets(texts, k)
 
-        return self.docs.select("node", nodes.column().alias("bit"), "text").mapInArrow(step, "node long, grams binary")
+        def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            if then is not None:
+                yield from then(chosen_sets(batches))
+                return
+            for node, sets in chosen_sets(batches):
+                yield pa.RecordBatch.from_arrays([node, pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "grams"])
+
+        return self.docs.select("node", nodes.column().alias("bit"), "text").mapInArrow(step, schema)
 
     def frequent(self, classes: DataFrame) -> tuple[DataFrame, np.ndarray, np.ndarray]:
         """Classes whose prefix has a frequent n-gram, and the frequent n-grams in ascending order with their counts."""
@@ -180,7 +200,7 @@ class Join:
         if not heavy:
             return marked, np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
-        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def count(found: Iterator[tuple[pa.Array, list[np.ndarray]]]) -> Iterator[pa.RecordBatch]:
             """Counts within the task; what it met once won't be frequent for its sake."""
             held, size = [], 0
 
@@ -189,16 +209,16 @@ class Join:
                 key, c = key[c > 1], c[c > 1]
                 return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(c)], ["key", "c"])
 
-            for batch in batches:
-                held += [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column("grams")]
-                size += sum(len(x) for x in held[-len(batch) :])
-                if size > 8_000_000:
+            for _, sets in found:
+                held += sets
+                size += sum(map(len, sets))
+                if size > 3_000_000:
                     yield flush()
                     held, size = [], 0
             if held:
                 yield flush()
 
-        again = self.sets_of(Bits(marked.where("hot").select("node"))).mapInArrow(count, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
+        again = self.sets_of(Bits(marked.where("hot").select("node")), count, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
         more = top(again)
         # a set without frequent n-grams in its prefix keeps that prefix, so none of its n-grams may become frequent now
         spared = marked.where("not hot").select(F.explode("prefix").alias("key"))
@@ -219,13 +239,12 @@ class Join:
         limit = self.limit
         shared = self.spark.sparkContext.broadcast((key, c))
 
-        def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def step(found: Iterator[tuple[pa.Array, list[np.ndarray]]]) -> Iterator[pa.RecordBatch]:
             key, c = shared.value
             seen: set[int] = set()
-            for batch in batches:
+            for nodes, sets in found:
                 out = []
-                for node, raw in zip(batch.column("node").to_pylist(), batch.column("grams")):
-                    s = np.frombuffer(raw.as_buffer(), np.uint64)
+                for node, s in zip(nodes.to_pylist(), sets):
                     if node in seen or not len(s):
                         continue
                     seen.add(node)
@@ -238,7 +257,7 @@ class Join:
                     columns = [np.concatenate([s for _, _, s in out]).view(np.int64), np.repeat([x for x, _, _ in out], size), np.repeat([x for _, x, _ in out], size), np.concatenate([np.arange(x) for x in size])]
                     yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["key", "node", "n", "pos"])
 
-        return fixed.unionByName(self.sets_of(Bits(marked.where("hot").select("node"))).mapInArrow(step, "key long, node long, n long, pos long"))
+        return fixed.unionByName(self.sets_of(Bits(marked.where("hot").select("node")), step, "key long, node long, n long, pos long"))
 
     def band(self, entries: DataFrame) -> DataFrame:
         """Rows of kind 0: pairs (a, b) within the band of some columns, with sizes n and m, in how many columns (c) and
@@ -299,12 +318,17 @@ class Join:
 
         return entries.repartition("key").sortWithinPartitions("key", "n", "node").mapInArrow(step, ", ".join(f"{k} long" for k in names))
 
-    def possible(self, banded: DataFrame) -> DataFrame:
+    def apart(self, x: str, y: str):
+        """How many n-grams two sets differ in, at least, by their sketches."""
+        return F.aggregate(F.zip_with(x, y, lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, k: s + k)
+
+    def possible(self, banded: DataFrame, classes: DataFrame) -> DataFrame:
         """The pairs of the band that may reach the threshold.
 
         Common n-grams are either in both prefixes or, for the set whose prefix ends first, beyond it; so the overlap
         is at most those in both prefixes plus the longer rest. Long columns, which the band saw in part, count in
         full for the set that has fewer of them. Where it has none, the place of the first common n-gram bounds too.
+        Last, sketches bound the difference from below.
         """
         num, den = self.limit.num, self.limit.den
         pairs = banded.where("kind = 0").groupBy("a", "b").agg(F.max("n").alias("n"), F.max("m").alias("m"), F.sum("c").alias("c"), F.max("pos").alias("rest"))
@@ -313,7 +337,9 @@ class Join:
         least = f"({num} * (n + m) + {num + den - 1}) div {num + den}"
         beyond = f"(({num} * greatest(n, m) + {den - 1}) div {den} - 1)"
         unseen = "least(coalesce(la, 0), coalesce(lb, 0))"
-        return with_long.where(f"c + {unseen} + {beyond} >= {least} and ({unseen} > 0 or rest >= {least})").select("a", "b")
+        left = with_long.where(f"c + {unseen} + {beyond} >= {least} and ({unseen} > 0 or rest >= {least})").select("a", "b", F.expr(f"n + m - 2 * ({least})").alias("most"))
+        drawn = classes.select(F.col("node").alias("a"), F.col("sketch").alias("sa")), classes.select(F.col("node").alias("b"), F.col("sketch").alias("sb"))
+        return left.join(drawn[0], "a").join(drawn[1], "b").where(self.apart("sa", "sb") <= F.col("most")).select("a", "b")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """Links (a, b) among distinct pairs: cells of bounded size multiply the rows of their nodes."""
@@ -339,34 +365,36 @@ class Join:
 
         return dealt.groupBy("cell").cogroup(sent.groupBy("place")).applyInArrow(multiply, "a long, b long")
 
-    def across(self, hot: DataFrame, roots: DataFrame) -> DataFrame:
-        """Pairs of long columns across components, within the bounds of sizes and places."""
+    def across(self, hot: DataFrame, roots: DataFrame, classes: DataFrame) -> DataFrame:
+        """Pairs of long columns across components, within the bounds of sizes, places and sketches."""
         num, den = self.limit.num, self.limit.den
-        one = hot.join(roots.select(F.col("node").alias("a"), "root"), "a", "left").select("key", F.col("a").alias("x"), "n", F.expr("n - pos").alias("rest"), F.coalesce("root", "a").alias("r"))
-        other = one.select("key", F.col("x").alias("y"), F.col("n").alias("m"), F.col("rest").alias("rest2"), F.col("r").alias("r2"))
+        drawn = hot.join(classes.select(F.col("node").alias("a"), "sketch"), "a")
+        one = drawn.join(roots.select(F.col("node").alias("a"), "root"), "a", "left").select("key", F.col("a").alias("x"), "n", F.expr("n - pos").alias("rest"), F.coalesce("root", "a").alias("r"), "sketch")
+        other = one.select("key", F.col("x").alias("y"), F.col("n").alias("m"), F.col("rest").alias("rest2"), F.col("r").alias("r2"), F.col("sketch").alias("sketch2"))
         # sizes within the threshold are in the same band of sizes or the next
         level = lambda c: F.floor(F.log(F.col(c).cast("double")) / F.lit(-float(np.log(num / den)) if num < den else 1.0) + F.lit(1e-9))
         left = one.withColumn("size_band", F.explode(F.array(level("n"), level("n") + 1)))
         right = other.withColumn("size_band", level("m"))
         bound = f"r <> r2 and (n < m or (n = m and x < y)) and {den} * n >= {num} * m and least(rest, rest2) * {num + den} >= {num} * (n + m)"
-        return left.join(right, ["key", "size_band"]).where(bound).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        most = F.expr(f"n + m - 2 * (({num} * (n + m) + {num + den - 1}) div {num + den})")
+        return left.join(right, ["key", "size_band"]).where(bound).where(self.apart("sketch", "sketch2") <= most).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
     def grouped(self) -> tuple[DataFrame, DataFrame]:
         """Rows (doc_id, node, n, digest, ...), and classes (digest, rep, rep_node, root) with the root of their component."""
         rows = stored(self.prefixes(), "prefixes")
-        sets = rows.where("n > 0").groupBy("digest").agg(F.min("node").alias("node"), F.min("doc_id").alias("rep"), F.coalesce(F.min_by("node", "doc_id"), F.min("node")).alias("rep_node"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+        sets = rows.where("n > 0").groupBy("digest").agg(F.min("node").alias("node"), F.min("doc_id").alias("rep"), F.coalesce(F.min_by("node", "doc_id"), F.min("node")).alias("rep_node"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch"))
         classes = stored(sets, "sets")
         self.settle()
         marked, key, c = self.frequent(classes)
         self.settle()
         banded = stored(self.band(self.entries(marked, key, c)), "band")
         self.settle()
-        near = stored(self.possible(banded), "pairs")
+        near = stored(self.possible(banded, classes), "pairs")
         links = stored(self.verified(near), "links")
         self.settle()
         roots = components(links)
         hot = banded.where("kind = 1").select("key", "a", "n", "pos")
-        far = stored(self.across(hot, roots).join(near, ["a", "b"], "left_anti"), "pairs")
+        far = stored(self.across(hot, roots, classes).join(near, ["a", "b"], "left_anti"), "pairs")
         if not far.isEmpty():
             roots = components(links.union(stored(self.verified(far), "links")))
         self.settle()

@@ -75,5 +75,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
+#: Word n-grams, overlaps of all pairs that share one, and reachability over links.
+JACCARD_SQL = r"""with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+ s as (select doc_id, case when len(w) >= 3 then list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) when len(w) > 0 then [array_to_string(w, ' ')] else [] end as grams from w),
+ n as (select doc_id, len(grams) as n from s), e as (select doc_id, unnest(grams) as g from s),
+ c as (select a.doc_id as a, b.doc_id as b, count(*) as c from e a join e b on a.g = b.g and a.doc_id < b.doc_id group by all),
+ links as (select a, b from c join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 90 * (x.n + y.n - c)),
+ both_ways as (select a, b from links union all select b, a from links),
+ reach as (select doc_id as d, doc_id as m from n union select l.b, r.m from reach r join both_ways l on l.a = r.d)
+ select doc_id, n as n_shingles, component_id from n join (select d, min(m) as component_id from reach group by d) on d = doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_jaccard_join": JACCARD_SQL}

@@ -1,10 +1,12 @@
-"""Benchmark decontamination: rare n-gram seeds find candidate passages, local alignment judges them.
+"""Benchmark decontamination: rare words find candidate passages, local alignment judges them.
 
 Test items are taken in blocks of bounded size, each against all documents. A first pass counts, over the whole
-corpus, the documents that contain each word n-gram of the block; each item's rarer half are its seeds. A second
-pass finds seeds in documents, groups hits along diagonals, and aligns each stretch around them with the item by
-Smith-Waterman over words. Scores are shares of the item's perfect score, so that edited, shortened or padded
-copies score by how much of the item survives in order.
+corpus, the words of the block. A copy that reaches the least score matches at least T of an item's m words, so of
+any m - T + j of them at least j: each item's rarest ones are its seeds, and j of them within the longest passage
+that can reach the score make a candidate. A second pass finds these and aligns them with the item by
+Smith-Waterman over words. No passage is lost; how frequent words are only decides how many have to be aligned.
+Scores are shares of the item's perfect score, so that edited, shortened or padded copies score by how much of the
+item survives in order.
 """
 
 from __future__ import annotations
@@ -16,13 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from frameflow.llm.bytelex import MARK, Table, Texts, hashes, mixed, of_text, parts, pretokens
+from frameflow.llm.bytelex import MARK, Table, Texts, hashes, of_text, parts, pretokens
 from frameflow.llm.common import stored
 
 SCHEMA = "doc_id long, item_id long, score double, n_seeds long"
-_N = 3
 _LEAST_WORDS = 5
-_STEP = np.uint64(0x9E3779B97F4A7C15)
+_LEAST_POINTS = 6  # of an alignment, as of three words: two common words are no copy of a short item
+_CELLS = 1 << 18  # words that are aligned at once
+_HELD = 32 << 20  # bytes of stretches that wait for alignment
 
 
 def word_hashes(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
@@ -33,22 +36,10 @@ def word_hashes(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
     return hashes(low, begin, end, 2), of_text(texts, begin)
 
 
-def _grams(ids: np.ndarray) -> np.ndarray:
-    """Hashes of n consecutive word numbers; 0 where a word is unknown (-1)."""
-    if len(ids) < _N:
-        return np.zeros(0, np.uint64)
-    out, known = np.zeros(len(ids) - _N + 1, np.uint64), np.ones(len(ids) - _N + 1, bool)
-    for j in range(_N):
-        part = ids[j : len(ids) - _N + 1 + j]
-        known &= part >= 0
-        out = mixed(out * _STEP + part.astype(np.uint64) + np.uint64(1))
-    return np.where(known, np.maximum(out, np.uint64(1)), np.uint64(0))
-
-
 class Items:
-    """A block of test items: words by number, n-grams, and after counting, seeds."""
+    """A block of test items: words by number, the score that counts, and after counting, seeds."""
 
-    def __init__(self, item_ids: list[int], texts: list[str]):
+    def __init__(self, item_ids: list[int], texts: list[str], least_score: float):
         t = Texts(pa.array(texts, pa.string()))
         h, bounds = word_hashes(t)
         self.vocabulary = Table()
@@ -58,78 +49,109 @@ class Items:
         keep = [k for k, (a, b) in enumerate(spans) if b - a >= _LEAST_WORDS]
         self.item_ids = [item_ids[k] for k in keep]
         self.words = [ids[spans[k][0] : spans[k][1]] for k in keep]
-        self.grams = [_grams(w) for w in self.words]
-        self.table = Table()
-        self.table.add(np.unique(np.concatenate(self.grams)) if keep else np.zeros(0, np.uint64))
+        self.size = np.array([len(w) for w in self.words], np.int64)
+        self.points = np.maximum(np.ceil(2 * least_score * self.size - 1e-9).astype(np.int64), _LEAST_POINTS)
+        self.reach = self.size + np.maximum(2 * self.size - self.points, 0)  # words of the longest passage with these points
 
-    def find(self, texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Words of texts by number, bounds, positions of known n-grams and their numbers."""
+    def find(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
+        """Words of texts by number, -1 for those of no item, and bounds."""
         h, bounds = word_hashes(texts)
-        ids = self.vocabulary.find(h)
-        g = _grams(ids)
-        at = np.flatnonzero(g)
-        number = self.table.find(g[at])
-        at, number = at[number >= 0], number[number >= 0]
-        inside = at + _N <= bounds[np.searchsorted(bounds, at, "right")] if len(at) else at.astype(bool)
-        return ids, bounds, at[inside], number[inside]
+        return self.vocabulary.find(h), bounds
 
     def choose(self, frequency: np.ndarray) -> None:
-        """Seeds: of each item the n-grams no more frequent than its median one. Where they stand, by n-gram."""
-        rows = []
-        for k, g in enumerate(self.grams):
-            number = self.table.find(g)
-            f = frequency[number]
-            rows += [(int(number[p]), k, p) for p in np.flatnonzero(f <= np.median(f)).tolist()]
-        rows.sort()
-        self.seed, self.seed_item, self.seed_pos = (np.array([r[i] for r in rows], np.int64) for i in range(3))
+        """Seeds: of each item its rarest words, as many as must have `needed` in any passage with its points."""
+        matches = (self.points + 1) // 2
+        self.needed = np.maximum(matches * 3 // 5, 1)
+        self.dense = self.points - 3 * (matches - self.needed)
+        seeds = np.clip(self.size - matches + self.needed, 1, self.size)
+        self.seeds = [np.unique(w[np.lexsort((w, frequency[w]))[:n]]) for w, n in zip(self.words, seeds.tolist())]
+        word = np.concatenate(self.seeds)
+        order = np.argsort(word, kind="stable")
+        self.seed_item = np.repeat(np.arange(len(self.seeds), dtype=np.uint16 if len(self.seeds) < 1 << 16 else np.int64), [len(x) for x in self.seeds])[order]
+        self.seed_at = np.searchsorted(word[order], np.arange(self.vocabulary.n + 1))
 
 
 def align(docs: np.ndarray, item: np.ndarray) -> np.ndarray:
-    """Best local alignment score of each row of docs (word numbers, -2 beyond the end) with the item: 2, -1, -1."""
-    h = np.zeros((len(docs), docs.shape[1] + 1), np.int32)
-    ramp = np.arange(h.shape[1], dtype=np.int32)
-    best = np.zeros(len(docs), np.int32)
-    for w in item.tolist():
-        new = np.zeros_like(h)
-        new[:, 1:] = np.maximum(h[:, :-1] + np.where(docs == w, 2, -1), h[:, 1:] - 1)
+    """Best local alignment score of each row of docs (word numbers, -2 beyond the end) with the item: 2, -1, -1.
+
+    item is one for all rows, or one row for each with -3 beyond the end.
+    """
+    docs, item = np.ascontiguousarray(docs.T), np.atleast_2d(item)
+    kind = np.int16 if docs.shape[0] + 2 * item.shape[1] < 32_000 else np.int32
+    h = np.zeros((docs.shape[0] + 1, docs.shape[1]), kind)
+    ramp = np.arange(len(h), dtype=kind)[:, None]
+    best, new, step = np.zeros(docs.shape[1], kind), np.zeros_like(h), np.zeros(docs.shape, kind)
+    for j in range(item.shape[1]):
+        np.multiply(docs == item[:, j], kind(3), out=step)
+        step -= 1
+        step += h[:-1]
+        h -= 1
+        np.maximum(step, h[1:], out=new[1:])
         np.maximum(new, 0, out=new)
-        h = np.maximum(new, np.maximum.accumulate(new + ramp, axis=1) - ramp)  # gaps along the document
-        best = np.maximum(best, h.max(1))
+        new[0] = 0
+        new += ramp
+        np.maximum.accumulate(new, axis=0, out=h)  # gaps along the document
+        h -= ramp
+        np.maximum(best, h.max(0), out=best)
     return best
 
 
-def _candidates(items: Items, bounds: np.ndarray, at: np.ndarray, number: np.ndarray) -> list[tuple[int, int, int, int, int]]:
-    """(text, item, begin, end, seeds) of stretches with enough seeds of an item."""
-    lo, hi = np.searchsorted(items.seed, number, "left"), np.searchsorted(items.seed, number, "right")
-    times = hi - lo
-    if not times.sum():
+def _candidates(items: Items, ids: np.ndarray, bounds: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """(text, item, begin, end) of stretches that hold every passage with enough points."""
+    at = np.flatnonzero(ids >= 0)
+    lo = items.seed_at[ids[at]]
+    times = items.seed_at[ids[at] + 1] - lo
+    total = int(times.sum())
+    if not total:
         return []
-    hit = np.repeat(np.arange(len(at)), times)
-    where = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(lo, times)
-    item, offset, pos = items.seed_item[where], items.seed_pos[where], at[hit]
+    item = items.seed_item[np.arange(total) - np.repeat(np.cumsum(times) - times, times) + np.repeat(lo, times)]
+    order = np.argsort(item, kind="stable")
+    item, pos = item[order], np.repeat(at, times)[order]
     text = np.searchsorted(bounds, pos, "right") - 1
-    order = np.lexsort((pos, item, text))
-    text, item, pos, offset = text[order], item[order], pos[order], offset[order]
-    size = np.array([len(w) for w in items.words])
-    new = np.concatenate([[True], (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (pos[1:] - pos[:-1] > size[item[1:]])])
-    first = np.flatnonzero(new)
-    last = np.append(first[1:], len(new))
+    last = np.minimum(np.arange(total) + items.needed[item] - 1, total - 1)
+    enough = (np.arange(total) + items.needed[item] <= total) & (item[last] == item) & (text[last] == text) & (pos[last] - pos < items.reach[item])
+    # a passage of L words with M matches has at most 3 M - L points, so 3 for each seed and -1 for each word reach `dense`
+    rise = 3 * np.arange(total) - pos
+    group = np.cumsum(np.concatenate([[0], (item[1:] != item[:-1]) | (text[1:] != text[:-1])])) * (4 * total + len(ids) + 1)
+    enough &= (rise - np.minimum.accumulate(rise - group) - group + 2 >= items.dense[item])[last]
+    first, last = np.flatnonzero(enough), last[enough]
+    if not len(first):
+        return []
+    item, text = item[first], text[first]
+    begin = np.maximum(bounds[text], pos[last] - items.reach[item] + 1)
+    end = np.minimum(bounds[text + 1], pos[first] + items.reach[item])
+    new = np.flatnonzero(np.concatenate([[True], (item[1:] != item[:-1]) | (text[1:] != text[:-1]) | (begin[1:] > end[:-1])]))
     out = []
-    for a, b in zip(first.tolist(), last.tolist()):
-        m = int(size[item[a]])
-        distinct = len(np.unique(offset[a:b]))
-        if distinct < (2 if m >= 12 else 1):
-            continue
-        begin = max(int(bounds[text[a]]), int((pos[a:b] - offset[a:b]).min()) - m // 4)
-        end = min(int(bounds[text[a] + 1]), int((pos[a:b] - offset[a:b]).max()) + m + m // 4)
-        out.append((int(text[a]), int(item[a]), begin, end, distinct))
+    for t, k, a, b in zip(text[new].tolist(), item[new].tolist(), begin[new].tolist(), end[np.append(new[1:], len(first)) - 1].tolist()):
+        reach = int(items.reach[k])
+        while b - a > 8 * reach:  # parts of long stretches overlap by the longest passage
+            out.append((t, k, a, a + 8 * reach))
+            a += 7 * reach
+        out.append((t, k, a, b))
+    return out
+
+
+def _scores(items: Items, keys: list[tuple[int, bytes]]) -> dict[tuple[int, bytes], int]:
+    """Alignment scores of (item, 32-bit word numbers of a stretch)."""
+    size = items.size.tolist()
+    todo = sorted(set(keys), key=lambda key: (size[key[0]] // 4, len(key[1])))
+    out: dict[tuple[int, bytes], int] = {}
+    while todo:
+        n = max(1, min(256, 4 * _CELLS // max(len(raw) for _, raw in todo[-256:])))
+        group, todo = todo[-n:], todo[:-n]
+        docs = np.full((len(group), max(len(raw) for _, raw in group) // 4), -2, np.int32)
+        words = np.full((len(group), max(size[k] for k, _ in group)), -3, np.int32)
+        for j, (k, raw) in enumerate(group):
+            docs[j, : len(raw) // 4] = np.frombuffer(raw, np.int32)
+            words[j, : size[k]] = items.words[k]
+        out.update(zip(group, align(docs, words).tolist()))
     return out
 
 
 def search(docs: DataFrame, block: list[tuple[int, str]], least_score: float) -> DataFrame:
-    """Hits (doc_id, item_id, score, n_seeds) of one block of items in all documents."""
+    """Hits (doc_id, item_id, score, n_seeds) of one block of items in all documents; n_seeds counts distinct words."""
     spark = docs.sparkSession
-    items = Items([i for i, _ in block], [t for _, t in block])
+    items = Items([i for i, _ in block], [t for _, t in block], least_score)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     if not items.item_ids:
         return spark.createDataFrame([], SCHEMA)
@@ -137,56 +159,45 @@ def search(docs: DataFrame, block: list[tuple[int, str]], least_score: float) ->
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = counted.value
-        total = np.zeros(own.table.n, np.int64)
+        total = np.zeros(own.vocabulary.n, np.int64)
         for batch in batches:
             for _, _, texts in parts(batch.column("text")):
-                _, bounds, at, number = own.find(texts)
-                text = np.searchsorted(bounds, at, "right") - 1
-                pair = np.unique(text * own.table.n + number)
-                total += np.bincount(pair % own.table.n, minlength=own.table.n)
+                ids, _ = own.find(texts)
+                total += np.bincount(ids[ids >= 0], minlength=own.vocabulary.n)
         some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["gram", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["word", "n"])
 
-    frequency = np.zeros(items.table.n, np.int64)
-    for r in rows.mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect():  # as many as the block has n-grams
-        frequency[r.gram] = r.n
+    frequency = np.zeros(items.vocabulary.n, np.int64)
+    for r in rows.mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect():  # as many as the block has words
+        frequency[r.word] = r.n
     items.choose(frequency)
     shared = spark.sparkContext.broadcast(items)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        known: dict[tuple, int] = {}  # copies of a passage are aligned once
+
+        def judged(doc_id: pa.Array, found: list[tuple[int, tuple[int, bytes]]]) -> pa.RecordBatch:
+            points = _scores(own, [key for _, key in found])
+            best: dict[tuple[int, int], tuple[float, int]] = {}
+            for text, key in found:
+                item = key[0]
+                if points[key] >= own.points[item]:
+                    seeds = len(np.intersect1d(np.frombuffer(key[1], np.int32), own.seeds[item]))
+                    best[text, item] = max(best.get((text, item), (0.0, 0)), (points[key] / (2 * len(own.words[item])), seeds))
+            columns = [doc_id.take(pa.array([t for t, _ in best], pa.int64())), pa.array([own.item_ids[i] for _, i in best], pa.int64()), pa.array([s for s, _ in best.values()], pa.float64()), pa.array([n for _, n in best.values()], pa.int64())]
+            return pa.RecordBatch.from_arrays(columns, ["doc_id", "item_id", "score", "n_seeds"])
+
         for batch in batches:
-            for a, b, texts in parts(batch.column("text")):
-                ids, bounds, at, number = own.find(texts)
-                found = _candidates(own, bounds, at, number)
-                if len(known) > 100_000:
-                    known.clear()
-                todo: dict[int, dict[bytes, np.ndarray]] = {}
-                keys = []
-                for text, item, begin, end, seeds in found:
-                    stretch = ids[begin:end]
-                    key = (item, stretch.tobytes())
-                    keys.append(key)
-                    if key not in known:
-                        todo.setdefault(item, {})[key[1]] = stretch
-                for item, stretches in todo.items():
-                    order = sorted(stretches.items(), key=lambda x: len(x[1]))
-                    for k in range(0, len(order), 256):
-                        group = order[k : k + 256]
-                        wide = np.full((len(group), len(group[-1][1])), -2, np.int64)
-                        for j, (_, s) in enumerate(group):
-                            wide[j, : len(s)] = s
-                        known.update({(item, raw): int(x) for (raw, _), x in zip(group, align(wide, own.words[item]))})
-                best: dict[tuple[int, int], tuple[float, int]] = {}
-                for (text, item, _, _, seeds), key in zip(found, keys):
-                    score = known[key] / (2 * len(own.words[item]))
-                    if score >= least_score:
-                        best[text, item] = max(best.get((text, item), (0.0, 0)), (score, seeds))
-                if best:
-                    text = [t for t, _ in best]
-                    columns = [batch.column("doc_id").slice(a, b - a).take(pa.array(text)), pa.array([own.item_ids[i] for _, i in best], pa.int64()), pa.array([s for s, _ in best.values()]), pa.array([n for _, n in best.values()], pa.int64())]
-                    yield pa.RecordBatch.from_arrays(columns, ["doc_id", "item_id", "score", "n_seeds"])
+            found, held = [], 0
+            for a, _, texts in parts(batch.column("text")):
+                ids, bounds = own.find(texts)
+                for text, item, begin, end in _candidates(own, ids, bounds):
+                    found.append((a + text, (item, ids[begin:end].astype(np.int32).tobytes())))
+                    held += 4 * (end - begin)
+                if held > _HELD:
+                    yield judged(batch.column("doc_id"), found)
+                    found, held = [], 0
+            yield judged(batch.column("doc_id"), found)
 
     return rows.mapInArrow(find, SCHEMA)
 
@@ -195,7 +206,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, least_score: float = 0.
     """One row per document and test item that it holds a copy of, exact or edited, with score from 0 to 1.
 
     docs has doc_id and text, benchmark item_id and text; other columns are ignored. Items of fewer than five words
-    tell no copy from chance and are not searched. Null texts hold nothing; repeated rows are reported each; a null
+    tell no copy from chance and are not searched, and an alignment of under six points (three words) is none. Null texts hold nothing; repeated rows are reported each; a null
     id is reported as null. Blocks of items are sent to all tasks, each of `block_bytes` of text or one item.
     """
     spark = docs.sparkSession

@@ -210,6 +210,34 @@ def test_decontamination(spark, docs, empty):
     assert decontam.contamination(empty, bench).collect() == [] and decontam.contamination(d, bench.limit(0)).collect() == []
 
 
+def test_decontamination_equals_brute_force_on_edited_copies(spark):
+    r = np.random.default_rng(14)
+    common, rare = ["of", "the", "in", "and", "to"], ["".join(r.choice(list("abcdefgh"), 5)) for _ in range(600)]
+    draw = lambda n: [str(r.choice(common if r.random() < 0.4 else rare)) for _ in range(n)]
+    items = [draw(int(n)) for n in r.integers(8, 45, 24)]
+    texts = [draw(400) for _ in range(20)]
+    for k, item in enumerate(items):
+        for share in (0.2, 0.25, 0.3, 0.35):
+            copy = [f"new{'xyz'[j % 3]}" if r.random() < share else w for j, w in enumerate(item)]
+            texts.append(draw(int(r.integers(0, 60))) + copy + draw(int(r.integers(0, 60))))
+        texts.append([w if j % 3 else "other" for j, w in enumerate(item)])  # no three words in a row
+        texts.append([x for w in item for x in (w, "between")])  # no two
+        if k % 2:
+            texts += [item, item]
+    number = {w: k for k, w in enumerate(dict.fromkeys(w for t in [*items, *texts] for w in t))}
+    rows = [np.array([[number[w] for w in t]], np.int64) for t in texts]
+    want = {}
+    for i, item in enumerate(items):
+        for d, row in enumerate(rows):
+            points = int(decontam.align(row, np.array([number[w] for w in item]))[0])
+            if points >= 0.8 * len(item):
+                want[d, i] = points / (2 * len(item))
+    docs = spark.createDataFrame([(d, " ".join(t)) for d, t in enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
+    assert len(want) > 120
+    assert {(x.doc_id, x.item_id): x.score for x in decontam.contamination(docs, bench).collect()} == pytest.approx(want)
+
+
 def test_alignment_equals_plain_dynamic_programming():
     r = np.random.default_rng(6)
     for _ in range(30):

@@ -11,6 +11,8 @@ item survives in order.
 
 from __future__ import annotations
 
+import sys
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,22 +20,52 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from frameflow.llm.bytelex import MARK, Table, Texts, hashes, of_text, parts, pretokens
+from frameflow.llm.bytelex import Table, Texts, hashes, parts
 from frameflow.llm.common import stored
 
 SCHEMA = "doc_id long, item_id long, score double, n_seeds long"
-_LEAST_WORDS = 5
+_LEAST_WORDS = 5  # of items whose edited copies count; shorter ones must be found whole
 _LEAST_POINTS = 6  # of an alignment, as of three words: two common words are no copy of a short item
 _CELLS = 1 << 18  # words that are aligned at once
 _HELD = 32 << 20  # bytes of stretches that wait for alignment
 
 
+#: Blocks of scripts that are written without spaces between words: each character is a word.
+_UNSPACED = (
+    (0x0E00, 0x0FFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x1950, 0x19FF), (0x1A20, 0x1AAF), (0x1B00, 0x1B7F), (0x2E80, 0x312F), (0x31A0, 0x31FF),
+    (0x3400, 0x4DBF), (0x4E00, 0xA4CF), (0xA980, 0xA9FF), (0xAA60, 0xAADF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x1AFF0, 0x1B16F), (0x20000, 0x3FFFF),
+)
+_OUTSIDE, _RUN, _SINGLE = range(3)
+_KIND: list[np.ndarray] = []
+
+
+def _kinds() -> np.ndarray:
+    """By code point: outside words, in runs (letters with their combining marks), or a word by itself (digits, unspaced scripts)."""
+    if not _KIND:
+        of = {"L": _RUN, "M": _RUN, "N": _SINGLE}
+        kind = np.fromiter((of.get(unicodedata.category(chr(i))[0], _OUTSIDE) for i in range(sys.maxunicode + 1)), np.uint8, sys.maxunicode + 1)
+        for a, b in _UNSPACED:
+            kind[a : b + 1][kind[a : b + 1] == _RUN] = _SINGLE
+        _KIND.append(kind)
+    return _KIND[0]
+
+
 def word_hashes(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words (runs of letters, digits one by one; case and marks don't count), and bounds by text."""
-    begin, end, kind, low = pretokens(texts)
-    keep = kind != MARK
+    """Hashes of the words, and bounds by text.
+
+    Words are runs of letters; digits and characters of scripts without spaces stand one by one. Case, composition of
+    accents and all between words don't count.
+    """
+    folded = [texts.data[a:b].tobytes().decode("utf-8", "replace").casefold() for a, b in zip(texts.begin.tolist(), texts.end.tolist())]
+    folded = [t if t.isascii() else unicodedata.normalize("NFC", t) for t in folded]
+    data = np.frombuffer("\n".join(["", *folded, ""]).encode("utf-32-le"), np.uint32)
+    kind = _kinds()[data]
+    at = np.flatnonzero((kind[1:] != kind[:-1]) | (kind[1:] == _SINGLE)) + 1
+    begin, end = at[:-1], at[1:]
+    keep = kind[begin] != _OUTSIDE
     begin, end = begin[keep], end[keep]
-    return hashes(low, begin, end, 2), of_text(texts, begin)
+    size = np.array([len(t) + 1 for t in folded], np.int64)
+    return hashes(data, begin, end, 2), np.append(np.searchsorted(begin, np.cumsum(size) - size + 1), len(begin))
 
 
 class Items:
@@ -46,11 +78,12 @@ class Items:
         self.vocabulary.add(np.unique(h))
         ids = self.vocabulary.find(h)
         spans = list(zip(bounds[:-1].tolist(), bounds[1:].tolist()))
-        keep = [k for k, (a, b) in enumerate(spans) if b - a >= _LEAST_WORDS]
+        keep = [k for k, (a, b) in enumerate(spans) if b > a]
         self.item_ids = [item_ids[k] for k in keep]
         self.words = [ids[spans[k][0] : spans[k][1]] for k in keep]
         self.size = np.array([len(w) for w in self.words], np.int64)
         self.points = np.maximum(np.ceil(2 * least_score * self.size - 1e-9).astype(np.int64), _LEAST_POINTS)
+        self.points = np.where(self.size < _LEAST_WORDS, 2 * self.size, self.points)
         self.reach = self.size + np.maximum(2 * self.size - self.points, 0)  # words of the longest passage with these points
 
     def find(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
@@ -206,7 +239,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, least_score: float = 0.
     """One row per document and test item that it holds a copy of, exact or edited, with score from 0 to 1.
 
     docs has doc_id and text, benchmark item_id and text; other columns are ignored. Items of fewer than five words
-    tell no copy from chance and are not searched, and an alignment of under six points (three words) is none. Null texts hold nothing; repeated rows are reported each; a null
+    tell no edited copy from chance: their words must all be found, in a row. Nor is an alignment of under six points
+    (three words) a copy of a longer item. Items without a letter or digit hold nothing to be found. Null texts hold nothing; repeated rows are reported each; a null
     id is reported as null. Blocks of items are sent to all tasks, each of `block_bytes` of text or one item.
     """
     spark = docs.sparkSession

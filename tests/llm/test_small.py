@@ -238,6 +238,15 @@ def test_decontamination_equals_brute_force_on_edited_copies(spark):
     assert {(x.doc_id, x.item_id): x.score for x in decontam.contamination(docs, bench).collect()} == pytest.approx(want)
 
 
+def test_decontamination_in_any_script_and_of_short_items(spark):
+    items = ["下列哪座塔位于北方河流的河口附近", "次のうち正しい答えはどれですか", "ข้อใดต่อไปนี้ถูกต้องที่สุด", "Какая из этих башен стоит у старого моста", "Ποιος είναι ο παλιός πύργος της πόλης", "Don\u2019t touch the café\u2019s old door", "blue zebra", "quokka", "???"]
+    texts = [f"前文。{items[0]}。后文", f"はい、{items[1]}?", f"ก่อน {items[2]} หลัง", "«" + items[3].upper() + "», — да", "(" + items[4].upper() + ")!", "\"DON'T TOUCH THE CAFE\u0301'S OLD DOOR\"", "a Blue, zebra", "one Quokka.", "blue and zebra ???", "北方的河流", "башен много"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(x.doc_id, x.item_id): x.score for x in decontam.contamination(docs, bench).collect()}
+    assert got == {(k, k): 1.0 for k in range(8)}
+
+
 def test_alignment_equals_plain_dynamic_programming():
     r = np.random.default_rng(6)
     for _ in range(30):

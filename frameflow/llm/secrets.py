@@ -2,7 +2,7 @@
 
 The lexer reads assignments of source and configuration syntax (`name = "x"`, `"name": "x"`, `name: x`,
 `export NAME=x`, `name := x`, `name => x`) into name-literal pairs, joins literals added with `+` or set side by
-side, and carries constants through later assignments (`b = a`, `"$A"`, `${A}`). A literal whose value reaches a
+side, over line ends too, and carries constants through later assignments (`b = a`, `"$A"`, `${A}`). A literal whose value reaches a
 name that stands for a credential is scored by that name and by the value's make-up, and reported where it stands.
 """
 
@@ -26,9 +26,20 @@ _HEX = re.compile(r"[0-9a-f]{32,}")
 _HINTS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 _OPERATOR = re.compile(r"(?<![=!<>:+\-*/|&])(?::=|=>|=|:)(?![=:/])")
-_NAME = re.compile(r"""([A-Za-z_$][A-Za-z0-9_.$-]{0,80})["'`]?\]?[ \t]{0,16}\Z""")
-_TERM = re.compile(r"""[ \t]*(?:"((?:[^"\\\n]|\\.){0,4096})"|'((?:[^'\\\n]|\\.){0,4096})'|`([^`]{0,4096})`|\$\{?([A-Za-z_]\w*)\}?|([A-Za-z_][\w.]*)(?=[ \t]*(?:[+;,)}\]]|\Z|\n))|([A-Za-z0-9+/_.=@!#$%^&*~-]+))""")
-_JOIN = re.compile(r"[ \t]*\+[ \t]*|[ \t]+(?=[\"'])")
+_NAME_START = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz_$")
+_NAME_REST = _NAME_START | frozenset("0123456789.-")
+_TERM = re.compile(
+    r"""[ \t]*(?:\"{3}((?s:.*?))\"{3}|'{3}((?s:.*?))'{3}|"([^"\\\n]*+(?:\\(?s:.)[^"\\\n]*+)*+)"|'([^'\\\n]*+(?:\\(?s:.)[^'\\\n]*+)*+)'|`([^`]*+)`"""
+    r"""|\$\{?([A-Za-z_]\w*+)\}?|([A-Za-z_][\w.]*+)(?=[ \t]*(?:[+;,)}\]]|\Z|\n))|([A-Za-z0-9+/_.=@!#$%^&*~-]+))"""
+)
+_OPEN = re.compile(r"[ \t]*\(\s*")
+_JOIN = re.compile(r"[ \t]*\+[ \t]*(?![ \t\r\n])|[ \t]+(?=[\"'])")
+#: Over line ends only what can't start an assignment of its own: a quote, or a name that ends the term.
+_JOIN_LINES = re.compile(r"""\s*\+\s*(?=["'`]|\$\{?[A-Za-z_]|[A-Za-z_][\w.]*+[ \t]*(?:[+;,)}\]]|\Z|\r?\n))|[ \t]*\\\r?\n\s*(?=["'])""")
+_JOIN_INSIDE = re.compile(r"\s+(?=[\"'])")
+_KEYED = re.compile(r"[ \t]*(?::|=)")
+_PEM = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----")
+_PEM_BODY = re.compile(r"[A-Za-z0-9+/=]{16,}")
 _INNER = re.compile(r"\$\{?([A-Za-z_]\w*)\}?")
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 #: What names of credentials contain, with weights.
@@ -38,7 +49,7 @@ SENSITIVE = {
     "encryption": 0.6, "license": 0.4, "webhook": 0.5, "dsn": 0.6, "key": 0.4, "access": 0.4, "api": 0.4, "client": 0.2, "salt": 0.5,
 }
 #: Words that mark a stand-in for a secret.
-STAND_IN = re.compile(r"example|sample|changeme|placeholder|dummy|redacted|your[_-]|xxxx|\*\*\*\*|<[^>]*>|\$\{|test123|^(?:true|false|null|none|undefined|todo)$", re.I)
+STAND_IN = re.compile(r"example|sample|changeme|placeholder|dummy|redacted|your[_-]|xxxx|\*\*\*\*|<[^<>]*>|\$\{|test123|^(?:true|false|null|none|undefined|todo)$", re.I)
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -61,7 +72,10 @@ def sensitivity(name: str) -> float:
 
 def strength(value: str) -> float:
     """0 to 1: how little a value looks like a word or a stand-in."""
-    if not 8 <= len(value) <= 4096 or STAND_IN.search(value) or len(value.split()) > 2:
+    pem = _PEM.search(value)
+    if pem and any(len(set(m[0])) >= 8 for m in _PEM_BODY.finditer(value, pem.end())):
+        return 1.0
+    if len(value) < 8 or STAND_IN.search(value) or len(value.split()) > 2:
         return 0.0
     counts = Counter(value)
     bits = -sum(c / len(value) * math.log2(c / len(value)) for c in counts.values())
@@ -70,49 +84,77 @@ def strength(value: str) -> float:
 
 
 class Literal:
-    """A value with the places of the literals it is made of."""
-
-    def __init__(self, value: str, spans: tuple[tuple[int, int], ...], quoted: bool):
-        self.value, self.spans, self.quoted = value, spans, quoted
+    """What is assigned: places of literals, and other literals that it is made of."""
+
+    def __init__(self, parts: list[tuple[int, int] | Literal], quoted: bool):
+        self.parts, self.quoted = parts, quoted
+
+    def spans(self) -> list[tuple[int, int]]:
+        """Places in order, each once, however often constants repeat them."""
+        out: dict[tuple[int, int], None] = {}
+        seen, stack = set(), [self]
+        while stack:
+            x = stack.pop()
+            if isinstance(x, tuple):
+                out[x] = None
+            elif id(x) not in seen:
+                seen.add(id(x))
+                stack += reversed(x.parts)
+        return list(out)
+
+
+def _name_before(text: str, at: int) -> str:
+    """The name that ends before an operator, with quotes and brackets closed; empty if there is none."""
+    while at and text[at - 1] in " \t":
+        at -= 1
+    at -= at > 0 and text[at - 1] == "]"
+    at -= at > 0 and text[at - 1] in "\"'`"
+    begin = at
+    while begin and text[begin - 1] in _NAME_REST:
+        begin -= 1
+    while begin < at and text[begin] not in _NAME_START:
+        begin += 1
+    return text[begin:at]
 
 
 def assignments(text: str) -> Iterator[tuple[str, Literal]]:
     """Name-literal pairs in order; constants assigned earlier in the text stand for their values."""
     known: dict[str, Literal] = {}
     for m in _OPERATOR.finditer(text):
-        line = text[max(text.rfind("\n", max(0, m.start() - 120), m.start()) + 1, m.start() - 120) : m.start()]
-        name = _NAME.search(line)
+        name = _name_before(text, m.start())
         if not name:
             continue
-        value, spans, quoted, at, terms = "", [], False, m.end(), 0
-        while terms < 64 and (t := _TERM.match(text, at)):
-            terms += 1
+        parts: list[tuple[int, int] | Literal] = []
+        opened = _OPEN.match(text, m.end())
+        quoted, at, over = False, opened.end() if opened else m.end(), False
+        while t := _TERM.match(text, at):
             which = t.lastindex
             body = t.group(which)
-            if which <= 3:
+            if over and _KEYED.match(text, t.end()):  # the name of an assignment on a line of its own
+                break
+            if which <= 5:
                 quoted = True
                 inner = _INNER.fullmatch(body)
                 if inner and inner[1] in known:
-                    value, spans = value + known[inner[1]].value, spans + list(known[inner[1]].spans)
-                else:
-                    value += body
-                    spans.append((t.start(which), t.end(which)))
-            elif which in (4, 5) and body in known:
-                value, spans, quoted = value + known[body].value, spans + list(known[body].spans), quoted or known[body].quoted
-            elif which == 4:
-                pass  # a reference to something outside
-            else:
-                value += body
-                spans.append((t.start(which), t.end(which)))
+                    parts.append(known[inner[1]])
+                elif body:
+                    parts.append(t.span(which))
+            elif which <= 7 and body in known:
+                parts.append(known[body])
+                quoted = quoted or known[body].quoted
+            elif which != 6:  # else a reference to something outside
+                parts.append(t.span(which))
             at = t.end()
-            j = _JOIN.match(text, at)
+            j, over = _JOIN.match(text, at), False
+            if not j:
+                j, over = _JOIN_LINES.match(text, at) or (opened and _JOIN_INSIDE.match(text, at)), True
             if not j:
                 break
             at = j.end()
-        if value:
-            found = Literal(value, tuple(dict.fromkeys(spans))[:64], quoted)
-            known[name[1].rsplit(".", 1)[-1]] = known[name[1]] = found
-            yield name[1], found
+        if parts:
+            found = Literal(parts, quoted)
+            known[name.rsplit(".", 1)[-1]] = known[name] = found
+            yield name, found
 
 
 def literal_spans(text: str, threshold: float = 0.6) -> list[tuple[int, int, int]]:
@@ -122,8 +164,12 @@ def literal_spans(text: str, threshold: float = 0.6) -> list[tuple[int, int, int
         return []
     for name, found in assignments(text):
         s = sensitivity(name)
-        if s >= 0.6 and min(1.0, s) * strength(found.value) >= threshold and (found.quoted or re.search("[0-9]", found.value)):
-            out |= dict.fromkeys(x for x in found.spans if x[1] > x[0])
+        if s < 0.6:
+            continue
+        spans = found.spans()
+        value = "".join(text[a:b] for a, b in spans)
+        if min(1.0, s) * strength(value) >= threshold and (found.quoted or re.search("[0-9]", value)):
+            out |= dict.fromkeys(spans)
     return [(a, b, 3) for a, b in out]
 
 

@@ -1,7 +1,7 @@
 """The corpus pipeline: stages from raw documents to packed training sequences.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept. All but the last return the
-columns of documents: language ID drops documents in no language, the n-gram join keeps one document of each group
+columns of documents: language ID drops documents without a letter, the n-gram join keeps one document of each group
 of near duplicates (five words, similarity 0.8), decontamination drops documents with copies of test items, secret
 scans put a mark in place of secrets, and packing returns the pieces of token sequences.
 """

@@ -153,6 +153,12 @@ def test_language_id(spark, docs, empty):
     assert langid.identify(empty).collect() == [] and langid.accepted(empty).collect() == []
 
 
+def test_language_stage_keeps_texts_without_labels(spark):
+    texts = ["hello world", "漢字", "ª", "12 !?", "", None, "\n\n1. É"]
+    rows = spark.createDataFrame([(i, t, None) for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    assert sorted(r.doc_id for r in langid.accepted(rows).collect()) == [0, 1, 2, 6]
+
+
 def test_secrets(docs, empty):
     key = "AKIA" + "Q" * 14
     text = f'password: short; api-key=x TOKEN = "abcdefgh12" {key} {"0f" * 20} é secret=é'

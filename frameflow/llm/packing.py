@@ -64,9 +64,6 @@ def candidates(doc_ends: np.ndarray, sentences: np.ndarray, window: int, sentenc
     """Positions where a window may end and the penalty of each; inner ones fill gaps over a 64th of a window."""
     total, step = int(doc_ends[-1]), max(1, window // 64)
     sentences = sentences[(sentences > 0) & (sentences < total)]
-    if len(sentences):  # at most one in eight tokens: texts of one-word sentences need no more
-        _, first = np.unique(sentences // 8, return_index=True)
-        sentences = sentences[first]
     marks = np.unique(np.concatenate([[0], doc_ends, sentences]))
     gap = np.diff(marks)
     wide = np.flatnonzero(gap > step)

@@ -80,6 +80,11 @@ def test_best_cuts_equal_exhaustive_search():
         assert cost(cuts.tolist()) == pytest.approx(best[10]) and (np.diff(pos[cuts]) <= 16).all()
 
 
+def test_every_sentence_end_is_a_candidate():
+    position, penalty = packing.candidates(np.array([40]), np.arange(3, 40, 3), 16, 4, 64)
+    assert [p for p, x in zip(position.tolist(), penalty.tolist()) if x == 4] == list(range(3, 40, 3))
+
+
 def test_token_segments_round_trip_and_random_access(docs, empty, plain):
     got = sorted(((r.start, r.doc_id, r.n_tokens, r.ids_crc32) for r in dac.round_trip(docs).collect()))
     at, order = 0, sorted((r.doc_id is not None, r.doc_id or 0, r.text or "", r.doc_id) for r in docs.collect())

@@ -144,8 +144,9 @@ def sample(docs: DataFrame, docs_per_lang: int = 64, chars_per_doc: int = 1200,
     """The bounded labelled sample that the model learns from: (lang, text) in order of lang.
 
     Of each language, the `docs_per_lang` labelled documents with the least hash of doc_id that aren't held out,
-    whole up to `chars_per_doc` characters each and `chars_per_lang` together. Lines that several of all these
-    documents have (licences, notices) teach nothing about a language and are left out.
+    whole up to `chars_per_doc` characters each and `chars_per_lang` together. Lines that documents of
+    several languages have (licences, notices) teach nothing about a language and are left out; of those that several
+    documents of one language have, the first copy counts.
     """
     labelled = docs.selectExpr("cast(doc_id as long) doc_id", "cast(lang as string) lang", "text").where("lang is not null and doc_id is not null and text is not null").where(~held_out())
     least = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
@@ -153,10 +154,16 @@ def sample(docs: DataFrame, docs_per_lang: int = 64, chars_per_doc: int = 1200,
     spark = docs.sparkSession
     chosen = spark.createDataFrame([(r.doc_id,) for r in ids.collect()], "doc_id long")  # at most docs_per_lang a language
     rows = labelled.join(F.broadcast(chosen), "doc_id", "left_semi").select("lang", F.xxhash64("doc_id").alias("h"), F.substring("text", 1, chars_per_doc).alias("t")).collect()
-    shared = Counter(line for r in rows for line in set(r.t.split("\n")))
+    langs: dict[str, set[str]] = {}
+    for r in rows:
+        for line in r.t.split("\n"):
+            langs.setdefault(line, set()).add(r.lang)
     by: dict[str, list[str]] = {}
+    had: set[str] = set()
     for lang, _, t in sorted(rows, key=lambda r: (r.lang, r.h, r.t)):
-        by.setdefault(lang, []).append(" ".join(line for line in t.split("\n") if shared[line] < 2))
+        lines = [line for line in t.split("\n") if len(langs[line]) < 2 and line not in had]
+        had.update(lines)
+        by.setdefault(lang, []).append(" ".join(lines))
     return tuple((lang, " ".join(ts)[:chars_per_lang]) for lang, ts in sorted(by.items()))
 
 

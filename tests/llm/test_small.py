@@ -158,6 +158,12 @@ def test_language_id(spark, docs, empty):
     assert langid.identify(empty).collect() == [] and langid.accepted(empty).collect() == []
 
 
+def test_language_of_copies_is_learnt(spark):
+    rows = [(i, "notice\nun deux trois quatre", "fr") for i in range(40)] + [(100 + i, f"notice\nthe house number {'abcdefghij'[i % 10] * 3}", "en") for i in range(40)]
+    got = dict(langid.sample(spark.createDataFrame(rows, "doc_id long, text string, lang string")))
+    assert got["fr"].split() == "un deux trois quatre".split() and "the house" in got["en"] and "notice" not in got["en"]
+
+
 def test_language_stage_keeps_texts_without_labels(spark):
     texts = ["hello world", "漢字", "ª", "12 !?", "", None, "\n\n1. É"]
     rows = spark.createDataFrame([(i, t, None) for i, t in enumerate(texts)], "doc_id long, text string, lang string")

@@ -132,7 +132,7 @@ def parse(html: str | None) -> list[Node]:
                     elif name.lower() == "hidden":
                         names.append("hidden")
                     else:
-                        names += [x.lower() for x in _NAMES.findall(value)[:16]]
+                        names += [x.lower() for x in _NAMES.findall(value)]
             nodes[stack[-1]].kids.append(len(nodes))
             nodes.append(Node(tag, stack[-1], tuple(dict.fromkeys(names))))
             stack.append(len(nodes) - 1)

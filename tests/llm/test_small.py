@@ -215,6 +215,11 @@ def test_html(spark):
     assert sorted(r.n_chars for r in got) == [0, len("\n".join(model.main_text(page)))]
 
 
+def test_html_names_after_many_others():
+    nodes = html.parse("<body><div class='" + " ".join(f"col-{k}" for k in range(20)) + " sidebar'><p>x</p></div></body>")
+    assert any("sidebar" in n.names for n in nodes)
+
+
 def test_marginals_equal_enumeration():
     nodes = html.parse("<div class=ad><p>x</p></div><article><p>long text, here it is.</p></article>")[:6]
     model = html.default_model()

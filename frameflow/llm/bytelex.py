@@ -55,7 +55,7 @@ class Texts:
         return len(self.begin)
 
 
-def parts(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int, Texts]]:
+def spans(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Consecutive rows of about `limit` bytes of text; a longer text comes alone."""
     n = len(column)
     if not n:
@@ -65,10 +65,16 @@ def parts(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int, Te
     at = 0
     while at < n:
         to = max(at + 1, int(np.searchsorted(ends, ends[at] + limit, "right")) - 1)
-        yield at, to, Texts(column.slice(at, to - at))
+        yield at, to
         at = to
 
 
+def parts(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int, Texts]]:
+    """The texts of such rows."""
+    for at, to in spans(column, limit):
+        yield at, to, Texts(column.slice(at, to - at))
+
+
 def hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray, kind: int) -> np.ndarray:
     """A 64-bit hash of each range of bytes; ranges are in order and don't overlap. Never 0."""
     if not len(begin):

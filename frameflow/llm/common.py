@@ -2,58 +2,115 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 #: White space that separates words everywhere in this package: space and U+0009 to U+000D.
 SPACE = "\x20\x09-\x0d"
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_LEAN: list[bool] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one only where it is unset."""
+    """The folder that driver and executors share (spark.checkpoint.dir).
+
+    Where it is unset, a temporary one stands in if all run in this one process; on a cluster that is an error.
+    """
     got = spark.conf.get("spark.checkpoint.dir", None)
     if got:
         return got.rstrip("/")
     own = getattr(spark, "_frameflow_dir", None)
     if own is None:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         own = tempfile.mkdtemp(prefix="frameflow-")
         spark._frameflow_dir = own
     return own
 
 
+def _file_system(spark: SparkSession, path: str):
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return jpath.getFileSystem(spark._jsc.hadoopConfiguration()), jpath
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, removed when the session's JVM ends."""
+    """A new path in the shared folder, removed when the session's JVM ends, if not before."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = jpath.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs, jpath = _file_system(spark, path)
     fs.deleteOnExit(jpath)
     return path
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Queries that are run inside leave no shuffle files behind once they have ended."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+
+
 def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it again: cuts lineage and survives lost executors."""
+    """Writes df as a table in the shared folder and reads it again: cuts lineage and survives lost executors.
+
+    The shuffle files of the write go with its end; the table stays until discard() or the session's end.
+    """
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with shuffles_removed(spark):
+        df.write.options(**options).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._frameflow_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of stored() that nothing reads any more."""
+    for df in tables:
+        fs, jpath = _file_system(df.sparkSession, df._frameflow_path)
+        fs.delete(jpath, True)
+
+
+def lean() -> None:
+    """Lets a Python worker give memory back: blocks of a megabyte or more return to the system when they are freed."""
+    if _LEAN:
+        return
+    _LEAN.append(True)
+    pa.set_memory_pool(pa.system_memory_pool())
+    if sys.platform == "linux":
+        try:
+            libc = ctypes.CDLL(None)
+            libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD, which otherwise grows with what is freed
+            libc.mallopt(-1, 8 << 20)  # M_TRIM_THRESHOLD
+        except (OSError, AttributeError):
+            pass
+
+
+def limit_batches(spark: SparkSession, most: int = 4 << 20) -> None:
+    """Sets the session's Arrow batches to `most` bytes, if they may be larger: rows here hold texts of any length."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key))
+    if now <= 0 or now > most:
+        spark.conf.set(key, str(most))
 
 
-def map_rows(df: DataFrame, step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(step, schema)
+def mapped(df: DataFrame, step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType | str) -> DataFrame:
+    """df.mapInArrow(step, schema) in batches of bounded size and workers that give memory back."""
+    limit_batches(df.sparkSession)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
+        yield from step(batches)
 
-def slices(texts: list, limit: int) -> Iterator[tuple[int, int]]:
-    """Consecutive ranges of texts of about `limit` characters; a longer text has a range of its own."""
-    at = total = 0
-    for i, t in enumerate(texts):
-        n = len(t) if t else 0
-        if total and total + n > limit:
-            yield at, i
-            at, total = i, 0
-        total += n
-    if at < len(texts):
-        yield at, len(texts)
+    return df.mapInArrow(run, schema)

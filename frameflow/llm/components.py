@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from frameflow.llm.common import stored
+from frameflow.llm.common import discard, mapped, stored
 
 
 def _both(edges: DataFrame) -> DataFrame:
@@ -27,37 +28,42 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("a <> b").distinct()
 
 
-def _union_find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    root: dict[int, int] = {}
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Roots of a whole graph in one task: ends of edges hook onto the lesser root, paths are cut short, until all agree."""
+    parts = [(np.asarray(batch.column("a")), np.asarray(batch.column("b"))) for batch in batches]
+    ends = np.concatenate([np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.int64) for k in range(2)])
+    nodes, place = np.unique(ends, return_inverse=True)
+    u, v = place[: len(place) // 2], place[len(place) // 2 :]
+    root = np.arange(len(nodes))
+    while len(u):
+        x, y = root[u], root[v]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (up := root[root]).tobytes() != root.tobytes():
+            root = up
+        apart = root[u] != root[v]
+        u, v = u[apart], v[apart]
+    below = np.flatnonzero(root != np.arange(len(nodes)))
+    yield pa.RecordBatch.from_arrays([pa.array(nodes[below]), pa.array(nodes[root[below]])], ["node", "root"])
 
-    def find(x: int) -> int:
-        while (up := root.setdefault(x, x)) != x:
-            root[x] = x = root[up] if up in root else up
-        return x
 
-    for batch in batches:
-        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
-            a, b = find(a), find(b)
-            if a != b:
-                root[max(a, b)] = min(a, b)
-    rows = [(x, r) for x in list(root) if (r := find(x)) != x]
-    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(2)], ["node", "root"])
-
-
-def components(edges: DataFrame, most_rounds: int = 40, one_task: int = 1_000_000) -> DataFrame:
+def components(edges: DataFrame, one_task: int = 1_000_000) -> DataFrame:
     """(node, root) for every node of an edge (a, b, long) to another one; root is the least node of its component.
 
     Up to `one_task` edges (16 MB) are united by one task of an executor. More take rounds of two stars, each stored,
-    until the edges no longer change. Equal and repeated edges do no harm.
+    until the edges no longer change; the roots are the same. Equal and repeated edges do no harm.
     """
     now = stored(edges.where("a <> b").distinct(), "edges")
     if now.count() <= one_task:
-        return stored(now.coalesce(1).mapInArrow(_union_find, "node long, root long"), "roots")
+        out = stored(now.coalesce(1).transform(mapped, _united, "node long, root long"), "roots")
+        discard(now)
+        return out
     mark = None
-    for _ in range(most_rounds):
+    while True:
         new = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if new == mark or new[0] == 0:
             return now.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("root"))
         mark = new
-        now = stored(_star(_star(now, True), False), "edges")
-    raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+        large = stored(_star(now, True), "edges")
+        small = stored(_star(large, False), "edges")
+        discard(now, large)
+        now = small

@@ -12,32 +12,36 @@ is multiplied:
    n-grams, accumulated over columns, and the place of the first one discard pairs that cannot reach it. Columns no
    longer than the band are thereby done; longer ones first serve to find classes that are connected anyway, and
    afterwards are multiplied out for pairs across components alone.
-4. Remaining pairs are dealt into cells of bounded size, each cell gets the rows of M that it needs, once, and
-   multiplies them: overlap counts of whole sets decide.
+4. Remaining pairs are dealt into cells of bounded pairs and bytes, each cell gets the rows of M that it needs, once,
+   and multiplies them: overlap counts of whole sets decide.
 
 Links are never listed for all pairs of a group, nothing is collected but bounded lists of frequent n-grams and
-bitmaps of fixed size, and every intermediate result that is used again is a table in the shared folder.
+bitmaps of bounded size, and every intermediate result that is used again is a table in the shared folder.
+
+Classes are named by a 64-bit hash of one row's id and text. Two of N classes with one name would be taken for one
+in the links (N * N / 2^65 are expected, under three in 10^10); rows that stay or go are told apart by 128 bits.
 """
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from frameflow.llm.bytelex import Texts, hashes, lower_ascii, mixed, of_text, parts, words
-from frameflow.llm.common import stored
+from frameflow.llm.bytelex import Texts, hashes, lower_ascii, mixed, of_text, parts, spans, words
+from frameflow.llm.common import discard, lean, mapped, stored
 from frameflow.llm.components import components
 
 _BAND = 16
 _FREQUENT = 50
 _MOST_FREQUENT = 200_000
-_CELL_PAIRS = 20_000
+_CELL_PAIRS = 4_000
+_CELL_BYTES = 8 << 20
+_SALT_ROWS = 2_000
 _SKETCH = 1024
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -107,20 +111,34 @@ def sketches(sets: list[np.ndarray]) -> pa.Array:
     return _lists(rows)
 
 
-class Bits:
-    """A bitmap of fixed most size that surely has all nodes put in, and few others."""
+class Wanted:
+    """Nodes whose rows are asked for: a bitmap that surely has them all and few others, which tasks filter by.
+
+    Nodes that would need more than `most_bits` are left to a join instead.
+    """
+
+    def __init__(self, nodes: DataFrame, per_node: int = 16, most_bits: int = 1 << 26):
+        self.nodes = nodes
+        self.size = 1 << max(10, (per_node * max(1, nodes.count())).bit_length())
+        self.words: np.ndarray | None = None
+        if self.size <= most_bits:
+            bit = F.pmod(F.xxhash64("node"), F.lit(self.size))
+            rows = nodes.select(bit.alias("bit")).groupBy(F.expr("bit div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("bits"))
+            got = rows.toArrow()  # at most most_bits / 64 rows
+            self.words = np.zeros(self.size // 64, np.uint64)
+            self.words[np.asarray(got.column("word"))] = np.asarray(got.column("bits")).view(np.uint64)
+
+    def of(self, docs: DataFrame) -> DataFrame:
+        """(node, bit, text) of the rows that are to be looked at; bit is -1 if all of them are wanted."""
+        if self.words is None:
+            return docs.join(self.nodes.select("node").distinct(), "node", "left_semi").select("node", F.lit(-1).cast("long").alias("bit"), "text")
+        return docs.select("node", F.pmod(F.xxhash64("node"), F.lit(self.size)).cast("long").alias("bit"), "text")
 
-    def __init__(self, nodes: DataFrame, per_node: int = 64, most_bits: int = 1 << 28):
-        n = nodes.count()
-        self.size = 1 << max(10, min(most_bits.bit_length() - 1, (per_node * max(1, n)).bit_length()))
-        bit = F.pmod(F.xxhash64("node"), F.lit(self.size))
-        rows = nodes.select(bit.alias("bit")).groupBy(F.floor(F.col("bit") / 8).alias("byte")).agg(F.bit_or(F.expr("shiftleft(1, cast(bit % 8 as int))")).alias("bits"))
-        got = rows.toArrow()  # at most most_bits / 8 rows
-        self.bytes = np.zeros(self.size // 8, np.uint8)
-        self.bytes[np.asarray(got.column("byte"))] = np.asarray(got.column("bits")).astype(np.uint8)
 
-    def column(self):
-        return F.pmod(F.xxhash64("node"), F.lit(self.size))
+def row_key(doc_id: str, text: str) -> tuple[Column, Column]:
+    """128 bits that name a row, by its id and text."""
+    parts = F.col(doc_id).cast("long"), F.coalesce(F.col(text), F.lit(""))
+    return F.xxhash64(*parts), F.xxhash64(F.lit(0x5DEECE66D), *parts[::-1])
 
 
 class Join:
@@ -130,15 +148,11 @@ class Join:
         self.k, self.limit = k, threshold or Threshold()
         self.spark = docs.sparkSession
         # a row's key: a hash of id and text; equal rows share it
-        self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("node", F.xxhash64("doc_id", "text"))
-
-    def settle(self) -> None:
-        """Lets Spark drop shuffle files of finished steps."""
-        gc.collect()
-        self.spark._jvm.System.gc()
+        node, twin = row_key("doc_id", "text")
+        self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("node", node).withColumn("twin", twin)
 
     def prefixes(self) -> DataFrame:
-        """Per row: doc_id, node, n, digest of the set, its prefix in order of length, its sketch."""
+        """Per row: doc_id, node and twin (its key), n, digest of the set, its prefix in order of length, its sketch."""
         k, limit = self.k, self.limit
 
         def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,26 +162,30 @@ class Join:
                     n = np.array([len(s) for s in sets], np.int64)
                     digest = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
                     cut = [s[: limit.prefix(len(s))] if len(s) else s for s in sets]
-                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), batch.column("node").slice(a, b - a), pa.array(n), pa.array(digest, pa.binary()), _lists(cut), sketches(sets)], ["doc_id", "node", "n", "digest", "prefix", "sketch"])
+                    key = [batch.column(c).slice(a, b - a) for c in ("doc_id", "node", "twin")]
+                    yield pa.RecordBatch.from_arrays([*key, pa.array(n), pa.array(digest, pa.binary()), _lists(cut), sketches(sets)], ["doc_id", "node", "twin", "n", "digest", "prefix", "sketch"])
 
-        return self.docs.mapInArrow(step, "doc_id long, node long, n long, digest binary, prefix array<long>, sketch array<long>")
+        return self.docs.transform(mapped, step, "doc_id long, node long, twin long, n long, digest binary, prefix array<long>, sketch array<long>")
 
-    def sets_of(self, nodes: Bits, then: Callable | None = None, schema: str = "node long, grams binary") -> DataFrame:
-        """(node, set as bytes) of the rows whose node the bitmap has; other rows never leave their task.
+    def sets_of(self, wanted: Wanted, then: Callable | None = None, schema: str = "node long, grams binary") -> DataFrame:
+        """(node, set as bytes) of the wanted rows, and maybe some more; a bitmap's other rows never leave their task.
 
         With `then`, what it makes of an iterator of (nodes, sets), a megabyte of text at a time, in the same worker.
         """
         k = self.k
-        shared = self.spark.sparkContext.broadcast(nodes.bytes)
+        shared = self.spark.sparkContext.broadcast(wanted.words)
 
         def chosen_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[np.ndarray]]]:
+            words = shared.value
             for batch in batches:
-                bit = np.asarray(batch.column("bit"))
-                here = np.flatnonzero(shared.value[bit >> 3] >> (bit & 7).astype(np.uint8) & 1)
-                if len(here):
-                    chosen = batch.take(pa.array(here))
-                    for a, b, texts in parts(chosen.column("text")):
-                        yield chosen.column("node").slice(a, b - a), shingle_sets(texts, k)
+                for a, b in spans(batch.column("text")):
+                    piece = batch.slice(a, b - a)
+                    if words is not None:
+                        bit = np.asarray(piece.column("bit")).astype(np.uint64)
+                        here = words[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63)) & np.uint64(1)
+                        piece = piece.filter(pa.array(here.astype(bool)))
+                    if len(piece):
+                        yield piece.column("node"), shingle_sets(Texts(piece.column("text")), k)
 
         def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if then is not None:
@@ -176,10 +194,10 @@ class Join:
             for node, sets in chosen_sets(batches):
                 yield pa.RecordBatch.from_arrays([node, pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "grams"])
 
-        return self.docs.select("node", nodes.column().alias("bit"), "text").mapInArrow(step, schema)
+        return wanted.of(self.docs).transform(mapped, step, schema)
 
-    def frequent(self, classes: DataFrame) -> tuple[DataFrame, np.ndarray, np.ndarray]:
-        """Classes whose prefix has a frequent n-gram, and the frequent n-grams in ascending order with their counts."""
+    def frequent(self, classes: DataFrame) -> tuple[DataFrame, Wanted | None, np.ndarray, np.ndarray]:
+        """Classes marked if their prefix has a frequent n-gram, those by node, and the frequent n-grams in ascending order with their counts."""
         spark = self.spark
         top = lambda df: df.where(f"c > {_FREQUENT}").orderBy(F.desc("c"), "key").limit(_MOST_FREQUENT)
         keys = classes.select(F.explode("prefix").alias("key"))
@@ -196,9 +214,10 @@ class Join:
                 hot = hit[ends[1:]] > hit[ends[:-1]]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hot)], [*batch.schema.names, "hot"])
 
-        marked = stored(classes.select("node", "n", "prefix").mapInArrow(mark, "node long, n long, prefix array<long>, hot boolean"), "classes")
+        marked = stored(classes.select("node", "n", "prefix").transform(mapped, mark, "node long, n long, prefix array<long>, hot boolean"), "classes")
         if not heavy:
-            return marked, np.zeros(0, np.uint64), np.zeros(0, np.int64)
+            return marked, None, np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        hot = Wanted(marked.where("hot").select("node"))
 
         def count(found: Iterator[tuple[pa.Array, list[np.ndarray]]]) -> Iterator[pa.RecordBatch]:
             """Counts within the task; what it met once won't be frequent for its sake."""
@@ -212,13 +231,13 @@ class Join:
             for _, sets in found:
                 held += sets
                 size += sum(map(len, sets))
-                if size > 3_000_000:
+                if size > 1_000_000:
                     yield flush()
                     held, size = [], 0
             if held:
                 yield flush()
 
-        again = self.sets_of(Bits(marked.where("hot").select("node")), count, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
+        again = self.sets_of(hot, count, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
         more = top(again)
         # a set without frequent n-grams in its prefix keeps that prefix, so none of its n-grams may become frequent now
         spared = marked.where("not hot").select(F.explode("prefix").alias("key"))
@@ -227,14 +246,15 @@ class Join:
         for r in second.collect():
             if r.key not in taken or r.key in heavy:
                 heavy[r.key] = max(r.c, heavy.get(r.key, 0))
+        discard(second)
         key = np.array(list(heavy), np.int64).view(np.uint64)
         order = np.argsort(key)
-        return marked, key[order], np.array(list(heavy.values()), np.int64)[order]
+        return marked, hot, key[order], np.array(list(heavy.values()), np.int64)[order]
 
-    def entries(self, marked: DataFrame, key: np.ndarray, c: np.ndarray) -> DataFrame:
+    def entries(self, marked: DataFrame, hot: Wanted | None, key: np.ndarray, c: np.ndarray) -> DataFrame:
         """(key, node, n, pos): the prefixes in the global order; pos is the n-gram's place in its set."""
         fixed = marked.where("not hot").select(F.posexplode("prefix").alias("pos", "key"), "node", "n").select("key", "node", "n", F.col("pos").cast("long").alias("pos"))
-        if not len(key):
+        if hot is None:
             return fixed
         limit = self.limit
         shared = self.spark.sparkContext.broadcast((key, c))
@@ -257,7 +277,7 @@ class Join:
                     columns = [np.concatenate([s for _, _, s in out]).view(np.int64), np.repeat([x for x, _, _ in out], size), np.repeat([x for _, x, _ in out], size), np.concatenate([np.arange(x) for x in size])]
                     yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["key", "node", "n", "pos"])
 
-        return fixed.unionByName(self.sets_of(Bits(marked.where("hot").select("node")), step, "key long, node long, n long, pos long"))
+        return fixed.unionByName(self.sets_of(hot, step, "key long, node long, n long, pos long"))
 
     def band(self, entries: DataFrame) -> DataFrame:
         """Rows of kind 0: pairs (a, b) within the band of some columns, with sizes n and m, in how many columns (c) and
@@ -316,7 +336,7 @@ class Join:
                 tail = [x[keep].copy() for x in (key, node, n, pos)]
                 met = int(rank[keep][0])
 
-        return entries.repartition("key").sortWithinPartitions("key", "n", "node").mapInArrow(step, ", ".join(f"{k} long" for k in names))
+        return entries.repartition("key").sortWithinPartitions("key", "n", "node").transform(mapped, step, ", ".join(f"{k} long" for k in names))
 
     def apart(self, x: str, y: str):
         """How many n-grams two sets differ in, at least, by their sketches."""
@@ -337,24 +357,32 @@ class Join:
         least = f"({num} * (n + m) + {num + den - 1}) div {num + den}"
         beyond = f"(({num} * greatest(n, m) + {den - 1}) div {den} - 1)"
         unseen = "least(coalesce(la, 0), coalesce(lb, 0))"
-        left = with_long.where(f"c + {unseen} + {beyond} >= {least} and ({unseen} > 0 or rest >= {least})").select("a", "b", F.expr(f"n + m - 2 * ({least})").alias("most"))
+        left = with_long.where(f"c + {unseen} + {beyond} >= {least} and ({unseen} > 0 or rest >= {least})").select("a", "b", "n", "m", F.expr(f"n + m - 2 * ({least})").alias("most"))
         drawn = classes.select(F.col("node").alias("a"), F.col("sketch").alias("sa")), classes.select(F.col("node").alias("b"), F.col("sketch").alias("sb"))
-        return left.join(drawn[0], "a").join(drawn[1], "b").where(self.apart("sa", "sb") <= F.col("most")).select("a", "b")
+        return left.join(drawn[0], "a").join(drawn[1], "b").where(self.apart("sa", "sb") <= F.col("most")).select("a", "b", "n", "m")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
-        """Links (a, b) among distinct pairs: cells of bounded size multiply the rows of their nodes."""
+        """Links (a, b) among distinct pairs (a, b, n, m): cells of bounded size multiply the rows of their nodes.
+
+        Pairs are grouped by a common neighbour. A group is cut into ways times ways cells, so that none has more than
+        about _CELL_PAIRS pairs, nor sets of more than about _CELL_BYTES, but for a single pair of larger ones.
+        """
         ends = lambda df, *more: df.select(F.col("a").alias("node"), *more).union(df.select(F.col("b").alias("node"), *more))
         least = ends(pairs, F.col("a").alias("lab")).groupBy("node").agg(F.min("lab").alias("lab"))
-        near = pairs.join(least.withColumnRenamed("node", "a"), "a")
-        size = near.groupBy("lab").count().select("lab", F.ceil(F.sqrt(F.col("count") / _CELL_PAIRS)).cast("int").alias("ways"))
+        near = stored(pairs.join(least.withColumnRenamed("node", "a"), "a"), "near")
+        sized = near.select("lab", F.col("a").alias("node"), "n").union(near.select("lab", F.col("b").alias("node"), F.col("m").alias("n"))).distinct()
+        size = near.groupBy("lab").count().join(sized.groupBy("lab").agg(F.sum("n").alias("grams")), "lab")
+        ways = F.ceil(F.greatest(F.sqrt(F.col("count") / _CELL_PAIRS), F.col("grams") * (16 / _CELL_BYTES))).cast("int")
         way = lambda c: F.pmod(F.xxhash64(c), F.col("ways"))
-        dealt = stored(near.join(size, "lab").select("a", "b", F.xxhash64("lab", way("a"), way("b")).alias("cell")), "cells")
+        dealt = stored(near.join(size.select("lab", ways.alias("ways")), "lab").select("a", "b", F.xxhash64("lab", way("a"), way("b")).alias("cell")), "cells")
+        discard(near)
         wanted = ends(dealt, "cell").distinct()
-        rows = self.sets_of(Bits(ends(dealt).distinct()))
+        rows = self.sets_of(Wanted(ends(dealt).distinct()))
         sent = wanted.join(rows, "node").select(F.col("cell").alias("place"), "node", "grams")
         limit = self.limit
 
         def multiply(left: pa.Table, right: pa.Table) -> pa.Table:
+            lean()
             sets = {node: np.frombuffer(raw.as_buffer(), np.uint64) for node, raw in zip(right.column("node").to_pylist(), right.column("grams"))}
             kept = []
             for a, b in zip(left.column("a").to_pylist(), left.column("b").to_pylist()):
@@ -363,42 +391,58 @@ class Join:
                     kept.append((a, b))
             return pa.table([pa.array([k[i] for k in kept], pa.int64()) for i in range(2)], ["a", "b"])
 
-        return dealt.groupBy("cell").cogroup(sent.groupBy("place")).applyInArrow(multiply, "a long, b long")
+        links = stored(dealt.groupBy("cell").cogroup(sent.groupBy("place")).applyInArrow(multiply, "a long, b long"), "links")
+        discard(dealt)
+        return links
 
     def across(self, hot: DataFrame, roots: DataFrame, classes: DataFrame) -> DataFrame:
-        """Pairs of long columns across components, within the bounds of sizes, places and sketches."""
+        """Pairs (a, b, n, m) of long columns across components, within the bounds of sizes, places and sketches.
+
+        A column's largest component meets only the column's other classes, not itself; sizes meet within bands; and
+        a band of more than _SALT_ROWS rows is dealt out to as many tasks as it takes.
+        """
         num, den = self.limit.num, self.limit.den
-        drawn = hot.join(classes.select(F.col("node").alias("a"), "sketch"), "a")
-        one = drawn.join(roots.select(F.col("node").alias("a"), "root"), "a", "left").select("key", F.col("a").alias("x"), "n", F.expr("n - pos").alias("rest"), F.coalesce("root", "a").alias("r"), "sketch")
-        other = one.select("key", F.col("x").alias("y"), F.col("n").alias("m"), F.col("rest").alias("rest2"), F.col("r").alias("r2"), F.col("sketch").alias("sketch2"))
-        # sizes within the threshold are in the same band of sizes or the next
-        level = lambda c: F.floor(F.log(F.col(c).cast("double")) / F.lit(-float(np.log(num / den)) if num < den else 1.0) + F.lit(1e-9))
-        left = one.withColumn("size_band", F.explode(F.array(level("n"), level("n") + 1)))
-        right = other.withColumn("size_band", level("m"))
-        bound = f"r <> r2 and (n < m or (n = m and x < y)) and {den} * n >= {num} * m and least(rest, rest2) * {num + den} >= {num} * (n + m)"
+        named = hot.join(roots.select(F.col("node").alias("a"), "root"), "a", "left").select("key", F.col("a").alias("x"), "n", F.expr("n - pos").alias("rest"), F.coalesce("root", "a").alias("r"))
+        main = named.groupBy("key", "r").count().groupBy("key").agg(F.max_by("r", F.struct("count", "r")).alias("main"), F.count(F.lit(1)).alias("components")).where("components > 1")
+        drawn = named.join(main.select("key", "main"), "key").join(classes.select(F.col("node").alias("x"), "sketch"), "x")
+        # sizes within the threshold are in the same band of sizes or a neighbouring one
+        level = F.floor(F.log(F.col("n").cast("double")) / F.lit(-float(np.log(num / den)) if num < den else 1.0) + F.lit(1e-9))
+        drawn = stored(drawn.withColumn("size_band", level), "columns")
+        salts = drawn.groupBy("key", "size_band").agg(F.ceil(F.count(F.lit(1)) / _SALT_ROWS).cast("int").alias("salts"))
+        right = drawn.join(salts, ["key", "size_band"]).select("key", "size_band", F.pmod(F.xxhash64("x"), F.col("salts")).cast("int").alias("salt"), F.col("x").alias("y"), F.col("n").alias("m"), F.col("rest").alias("rest2"), F.col("r").alias("r2"), F.col("sketch").alias("sketch2"))
+        left = drawn.where("r <> main").withColumn("size_band", F.explode(F.array(*(F.col("size_band") + d for d in (-1, 0, 1)))))
+        left = left.join(salts, ["key", "size_band"]).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+        bound = f"r <> r2 and {den} * least(n, m) >= {num} * greatest(n, m) and least(rest, rest2) * {num + den} >= {num} * (n + m)"
         most = F.expr(f"n + m - 2 * (({num} * (n + m) + {num + den - 1}) div {num + den})")
-        return left.join(right, ["key", "size_band"]).where(bound).where(self.apart("sketch", "sketch2") <= most).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        size = lambda first: F.when(F.col("x") < F.col("y"), F.col("n" if first else "m")).otherwise(F.col("m" if first else "n"))
+        met = left.join(right, ["key", "size_band", "salt"]).where(bound).where(self.apart("sketch", "sketch2") <= most)
+        found = stored(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), size(True).alias("n"), size(False).alias("m")).distinct(), "far")
+        discard(drawn)
+        return found
 
     def grouped(self) -> tuple[DataFrame, DataFrame]:
-        """Rows (doc_id, node, n, digest, ...), and classes (digest, rep, rep_node, root) with the root of their component."""
+        """Rows (doc_id, node, twin, n, digest, ...), and classes (digest, rep, keep, root): the least doc_id, the key of
+        its row, and the root of the component."""
         rows = stored(self.prefixes(), "prefixes")
-        sets = rows.where("n > 0").groupBy("digest").agg(F.min("node").alias("node"), F.min("doc_id").alias("rep"), F.coalesce(F.min_by("node", "doc_id"), F.min("node")).alias("rep_node"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch"))
+        first = F.struct(F.col("doc_id").isNull(), "doc_id", "node", "twin")
+        sets = rows.where("n > 0").groupBy("digest").agg(F.min("node").alias("node"), F.min("doc_id").alias("rep"), F.min_by(F.struct("node", "twin"), first).alias("keep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch"))
         classes = stored(sets, "sets")
-        self.settle()
-        marked, key, c = self.frequent(classes)
-        self.settle()
-        banded = stored(self.band(self.entries(marked, key, c)), "band")
-        self.settle()
+        marked, hot, key, c = self.frequent(classes)
+        banded = stored(self.band(self.entries(marked, hot, key, c)), "band")
+        discard(marked)
         near = stored(self.possible(banded, classes), "pairs")
-        links = stored(self.verified(near), "links")
-        self.settle()
+        links = self.verified(near)
         roots = components(links)
-        hot = banded.where("kind = 1").select("key", "a", "n", "pos")
-        far = stored(self.across(hot, roots, classes).join(near, ["a", "b"], "left_anti"), "pairs")
+        long = banded.where("kind = 1").select("key", "a", "n", "pos")
+        met = self.across(long, roots, classes)
+        far = stored(met.join(near, ["a", "b"], "left_anti").select("a", "b", "n", "m"), "pairs")
+        discard(banded, near, met)
         if not far.isEmpty():
-            roots = components(links.union(stored(self.verified(far), "links")))
-        self.settle()
-        return rows, classes.select("digest", "node", "rep", "rep_node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).drop("node")
+            more = self.verified(far)
+            roots = components(links.union(more))
+            discard(more)
+        discard(links, far)
+        return rows, classes.select("digest", "node", "rep", "keep").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).drop("node")
 
     def run(self) -> DataFrame:
         rows, found = self.grouped()
@@ -408,10 +452,10 @@ class Join:
         return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
     def keepers(self) -> DataFrame:
-        """The node of one row of each component, that with the least doc_id, and of every row with an empty set."""
+        """The key (node, twin) of one row of each component, that with the least doc_id, and of every row with an empty set."""
         rows, found = self.grouped()
-        one = found.groupBy("root").agg(F.min_by("rep_node", F.struct(F.col("rep").isNull(), "rep", "digest")).alias("node")).select("node")
-        return one.union(rows.where("n = 0").select("node")).distinct()
+        one = found.groupBy("root").agg(F.min_by("keep", F.struct(F.col("rep").isNull(), "rep", "digest")).alias("keep")).select("keep.node", "keep.twin")
+        return one.union(rows.where("n = 0").select("node", "twin")).distinct()
 
 
 def one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -419,9 +463,10 @@ def one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> D
 
     Of repeated rows one stays. A row without doc_id stands for its component only if no other has one.
     """
-    keep = Join(docs, k, Threshold(num, den)).keepers().withColumnRenamed("node", "__node")
-    keyed = docs.withColumn("__node", F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit(""))))
-    return keyed.join(keep, "__node", "left_semi").dropDuplicates(["__node"]).drop("__node").select(*docs.columns)
+    keep = Join(docs, k, Threshold(num, den)).keepers().select(F.col("node").alias("__node"), F.col("twin").alias("__twin"))
+    node, twin = row_key("doc_id", "text")
+    keyed = docs.withColumn("__node", node).withColumn("__twin", twin)
+    return keyed.join(keep, ["__node", "__twin"], "left_semi").dropDuplicates(["__node", "__twin"]).select(*docs.columns)
 
 
 def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFrame:

@@ -4,29 +4,38 @@ For each language a suffix automaton of a bounded labelled sample accepts exactl
 text is cut greedily into the longest phrases the automaton accepts; few, long phrases mean low cross-entropy. The
 language with the fewest phrases per symbol wins, equal ones by name.
 
-Symbols are lower-case letters; a run of anything else is one separator. Letters beyond the most frequent ones of
-the sample share symbols by code point, and letters the sample lacks end a phrase each. Parsing restarts every
-`BLOCK` symbols, wherever it is in the text, so that all blocks of a batch advance together in one vectorised walk.
+Symbols are lower-case letters and marks; a run of anything else is one separator. A symbol that the sample lacks is
+a phrase by itself.
+
+All blocks of a batch of texts advance together in one vectorised walk, each as if a phrase began with it. The parse
+that comes over from the block before is then followed into the block until both begin a phrase at one place; from
+there on they are one, so that the sums are those of a single parse of the whole text. Texts with a block in which
+the two never meet (long periods) are parsed once more from end to end.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import sys
+import unicodedata
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from frameflow.llm.common import slices
+from frameflow.llm.common import mapped
 
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
 BLOCK = 512
-_OWN, _SHARED = 200, 16  # letters with a symbol of their own; symbols that all others share
-_RESTART = np.int32(1 << 30)
+#: Texts of fewer symbols say too little to be told from noise.
+LEAST_SYMBOLS = 64
+_START = np.int32(1 << 30)  # in a transition: a phrase begins with this symbol
+_PLACE = np.int32((1 << 30) - 1)
 _MODELS: dict[tuple, "CrossParser"] = {}
-_LETTER: list[np.ndarray] = []
+_KIND: list[np.ndarray] = []
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -34,10 +43,12 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))
 
 
-def _letters() -> np.ndarray:
-    if not _LETTER:
-        _LETTER.append(np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000))
-    return _LETTER[0]
+def _kinds() -> np.ndarray:
+    """By code point: 0 outside, 1 a mark, 2 a letter."""
+    if not _KIND:
+        of = {"L": 2, "M": 1}
+        _KIND.append(np.fromiter((of.get(unicodedata.category(chr(i))[0], 0) for i in range(sys.maxunicode + 1)), np.uint8, sys.maxunicode + 1))
+    return _KIND[0]
 
 
 def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
@@ -70,131 +81,239 @@ def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
     return nxt
 
 
-class CrossParser:
-    """Automata of all languages in one table; phrases of many texts at once."""
-
-    def __init__(self, samples: tuple[tuple[str, str], ...]):
-        self.langs = [k for k, _ in samples]
-        letter = _letters()
-        counts = Counter(c for _, t in samples for c in t.lower() if c.isalpha())
-        own = [c for c, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:_OWN]]
-        self.symbol = np.where(letter, 1 + len(own) + np.arange(len(letter)) % _SHARED, 0).astype(np.uint8)
-        for k, c in enumerate(own):
-            self.symbol[ord(c)] = 1 + k
-        width = 1 + len(own) + _SHARED
-        self.root, tables, base = [], [], 0
-        for _, text in samples:
-            trans = suffix_automaton(self.symbols(text).tolist())
-            table = np.full((len(trans), width), -1, np.int32)
-            for s, row in enumerate(trans):
-                table[s, list(row)] = list(row.values())
-            again = np.where(table[0] >= 0, table[0], 0)  # a phrase ends before this symbol, and the next begins with it
-            table = np.where(table >= 0, table, again | _RESTART)
-            flag = table & _RESTART
-            tables.append((((table & ~_RESTART) * width + base) | flag).reshape(-1))
-            self.root.append(base)
-            base += len(trans) * width
-        self.table = np.concatenate(tables) if tables else np.zeros(0, np.int32)
-        if base >= _RESTART:
-            raise ValueError("samples are too large for one table")
+@dataclass(frozen=True)
+class Sample:
+    """What is learnt of a language: a text, and the phrase rate that its texts keep under."""
 
-    @classmethod
-    def of(cls, samples: tuple[tuple[str, str], ...]) -> "CrossParser":
-        if samples not in _MODELS:
-            _MODELS.clear()
-            _MODELS[samples] = cls(samples)
-        return _MODELS[samples]
+    lang: str
+    text: str
+    most_rate: float = 1.0
+
+
+class Automaton:
+    """One language's automaton as a table: row (state) plus symbol gives the next row, with _START if a phrase begins.
+
+    Own symbols are 0 for the separator, 1 for letters that the sample lacks, and from 2 on its letters.
+    """
+
+    def __init__(self, symbols: np.ndarray, alphabet: int):
+        """symbols: of the model's alphabet, 0 the separator, 1 unknown, from 2 on letters; alphabet: how many."""
+        mine = np.unique(symbols[symbols > 1])
+        self.own = np.full(alphabet, 1, np.int32)
+        self.own[0] = 0
+        self.own[mine] = 2 + np.arange(len(mine))
+        width = 2 + len(mine)
+        trans = suffix_automaton(self.own[symbols].tolist())
+        if len(trans) * width > int(_PLACE):
+            raise ValueError("a language's sample is too large for one table")
+        table = np.full((len(trans), width), -1, np.int32)
+        for s, row in enumerate(trans):
+            table[s, list(row)] = list(row.values())
+        first = np.where(table[0] >= 0, table[0], 0) * width | _START  # a letter that the sample lacks ends where it begins
+        self.table = np.where(table >= 0, table * width, first)
+        self.table[0] = first
+        self.table = self.table.reshape(-1)
 
-    def symbols(self, text: str) -> np.ndarray:
-        s = self.symbol[np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)]
-        if len(s):
-            s = s[(s != 0) | np.concatenate([[True], s[:-1] != 0])]
-        return s
+    def parse(self, symbols: np.ndarray) -> int:
+        """Phrases of one text (own symbols), step by step."""
+        table, at, n = memoryview(self.table), 0, 0
+        for c in symbols.tolist():
+            got = table[at + c]
+            n += got >> 30
+            at = got & 0x3FFFFFFF
+        return n
 
-    def phrases(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Phrases by text and language, and whether the text has a letter."""
-        each = [self.symbols(t) if t else np.zeros(0, np.uint8) for t in texts]
-        size = np.array([len(s) for s in each], np.int64)
+    def phrases(self, symbols: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Phrases of each text; symbols: of the model's alphabet, of all texts end to end."""
+        flat = np.append(self.own[symbols], np.int32(0))
         blocks = -(-size // BLOCK)
-        owner = np.repeat(np.arange(len(each)), blocks)
+        owner = np.repeat(np.arange(len(size)), blocks)
         run = np.arange(len(owner)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
         length = np.minimum(BLOCK, size[owner] - run * BLOCK)
         order = np.argsort(-length, kind="stable")
-        flat = np.concatenate([*each, np.zeros(BLOCK, np.uint8)])
-        begin = (np.cumsum(size) - size)[owner] + run * BLOCK
-        begin, owner, length = begin[order], owner[order], length[order]
+        lane = np.empty(len(order), np.int64)
+        lane[order] = np.arange(len(order))
+        at, own, length, block = (begin[owner] + run * BLOCK)[order], owner[order], length[order], order
+        if not len(order):
+            return np.zeros(len(size), np.int64)
         live = np.searchsorted(-length, -np.arange(BLOCK), "left")  # lanes longer than t
-        roots = np.array(self.root, np.int32)[:, None]
-        state = np.repeat(roots, len(owner), 1)
-        count = np.zeros(state.shape, np.int32)
-        for t in range(int(length[0]) if len(length) else 0):
+        state = np.zeros(len(order), np.int32)
+        starts = np.zeros((int(length[0]), len(order)), bool)
+        for t in range(int(length[0])):
             k = int(live[t])
-            got = self.table[state[:, :k] + flat[begin[:k] + t]]
-            count[:, :k] += got >> 30
-            state[:, :k] = got & ~_RESTART
-        count += state != roots
-        out = np.zeros((len(each), len(self.langs)))
-        for k in range(len(self.langs)):
-            out[:, k] = np.bincount(owner, count[k], minlength=len(each))
-        letters = np.array([bool((s > 0).any()) for s in each], bool)
-        return out / np.maximum(size, 1)[:, None], letters
-
-
-def sample(docs: DataFrame, docs_per_lang: int = 64, chars_per_doc: int = 1200, chars_per_lang: int = 12_000) -> tuple[tuple[str, str], ...]:
-    """The bounded labelled sample that the model learns from: (lang, text) in order of lang.
-
-    Of each language, the `docs_per_lang` labelled documents with the least hash of doc_id that aren't held out,
-    whole up to `chars_per_doc` characters each and `chars_per_lang` together. Lines that documents of
-    several languages have (licences, notices) teach nothing about a language and are left out; of those that several
-    documents of one language have, the first copy counts.
+            got = self.table.take(state[:k] + flat.take(at[:k] + t))
+            np.greater_equal(got, _START, out=starts[t, :k])
+            np.bitwise_and(got, _PLACE, out=state[:k])
+        count = starts.sum(0, dtype=np.int64)
+        total = np.bincount(own, count, minlength=len(size)).astype(np.int64)
+        # the parse that comes over from the block before, until it meets the block's own
+        here = np.flatnonzero(np.append(owner[1:] == owner[:-1], False)[block])
+        state, to = state[here], lane[block[here] + 1]
+        more, less = np.zeros(len(here), np.int64), np.zeros(len(here), np.int64)
+        gain = np.zeros(len(size), np.int64)
+        for t in range(BLOCK):
+            if not len(to):
+                break
+            over = length[to] <= t
+            if over.any():  # the text ends first
+                np.add.at(gain, own[to[over]], more[over] - less[over])
+                state, to, more, less = (x[~over] for x in (state, to, more, less))
+            got = self.table.take(state + flat.take(at[to] + t))
+            new, old = got >= _START, starts[t, to] if t < len(starts) else np.zeros(len(to), bool)
+            met = new & old
+            if met.any():
+                np.add.at(gain, own[to[met]], more[met] - less[met])
+            state, to, more, less = (x[~met] for x in (got & _PLACE, to, more + new, less + old))
+        total += gain
+        for k in np.unique(own[to[length[to] == BLOCK]]).tolist():
+            total[k] = self.parse(flat[begin[k] : begin[k] + size[k]])
+        ends = to[length[to] < BLOCK]
+        assert not len(ends), "a block's walk ends with the block"
+        return total
+
+
+class CrossParser:
+    """The automata of all languages over one alphabet."""
+
+    def __init__(self, samples: tuple[Sample, ...]):
+        self.langs = [s.lang for s in samples]
+        self.most_rate = np.array([s.most_rate for s in samples])
+        self.index = np.minimum(_kinds(), 1).astype(np.int32)
+        texts = [np.frombuffer(s.text.lower().encode("utf-32-le", "surrogatepass"), np.uint32) for s in samples]
+        letters = np.unique(np.concatenate(texts)) if texts else np.zeros(0, np.uint32)
+        letters = letters[self.index[letters] > 0]
+        self.index[letters] = 2 + np.arange(len(letters))
+        self.automata = [Automaton(self.symbols([s.text])[0], 2 + len(letters)) for s in samples]
+
+    @classmethod
+    def of(cls, samples: tuple[Sample, ...]) -> "CrossParser":
+        if samples not in _MODELS:
+            _MODELS.clear()
+            _MODELS[samples] = cls(samples)
+        return _MODELS[samples]
+
+    def symbols(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The symbols of all texts end to end, each text's number of them, and whether it has a letter."""
+        low = [t.lower() if t else "" for t in texts]
+        chars = np.frombuffer("\n".join([*low, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+        size = np.array([len(t) for t in low], np.int64)
+        end = np.cumsum(size + 1) - 1  # of each text: the place of the line feed after it
+        kind = _kinds()[chars]
+        s = self.index[chars]
+        keep = s != 0
+        keep[1:] |= s[:-1] != 0
+        if len(size):
+            keep[0] = True
+            keep[np.minimum(end[:-1] + 1, len(keep) - 1)] = True  # a text's first
+            keep[end] = False
+        letters = np.concatenate([[0], np.cumsum(kind == 2)])
+        kept = np.concatenate([[0], np.cumsum(keep)])
+        return s[keep], kept[end] - kept[end - size], letters[end] > letters[end - size]
+
+    def phrases(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Phrases by text and language, symbols by text, and whether the text has a letter."""
+        flat, size, letters = self.symbols(texts)
+        begin = np.cumsum(size) - size
+        out = np.zeros((len(texts), len(self.langs)), np.int64)
+        for k, a in enumerate(self.automata):
+            out[:, k] = a.phrases(flat, begin, size)
+        return out, size, letters
+
+
+def sample(docs: DataFrame, docs_per_lang: int = 64, chars_per_lang: int = 12_000, slack: float = 2.0) -> tuple[Sample, ...]:
+    """The bounded labelled sample that the model learns from, in order of lang.
+
+    Of each language `docs_per_lang` labelled rows that aren't held out: those with the least hash of doc_id among
+    texts of at most `chars_per_lang` characters; of a language without such, its shortest ones. Texts are learnt
+    whole, in this order, as many as come to `chars_per_lang` together, one at least. Lines that rows of several
+    languages have (licences, notices) teach nothing about a language and are left out; of those that several rows
+    of one language have, the first copy counts.
+
+    The rows that aren't learnt tell how a language's texts parse: its most_rate is `slack` times the highest phrase
+    rate of the middle nine tenths of them, and 1 (no bound) if there are fewer than ten.
     """
     labelled = docs.selectExpr("cast(doc_id as long) doc_id", "cast(lang as string) lang", "text").where("lang is not null and doc_id is not null and text is not null").where(~held_out())
-    least = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = labelled.select("doc_id", "lang").withColumn("rank", F.row_number().over(least)).where(f"rank <= {int(docs_per_lang)}").select("doc_id").distinct()
-    spark = docs.sparkSession
-    chosen = spark.createDataFrame([(r.doc_id,) for r in ids.collect()], "doc_id long")  # at most docs_per_lang a language
-    rows = labelled.join(F.broadcast(chosen), "doc_id", "left_semi").select("lang", F.xxhash64("doc_id").alias("h"), F.substring("text", 1, chars_per_doc).alias("t")).collect()
+    n = F.length("text")
+    least = Window.partitionBy("lang").orderBy(F.when(n <= chars_per_lang, F.lit(0)).otherwise(n), F.xxhash64("doc_id"), "doc_id", "text")
+    chosen = labelled.withColumn("rank", F.row_number().over(least)).where(f"rank <= {int(docs_per_lang)}")
+    rows = chosen.select("lang", "rank", "text").collect()  # at most docs_per_lang a language, of chars_per_lang each
     langs: dict[str, set[str]] = {}
     for r in rows:
-        for line in r.t.split("\n"):
+        for line in r.text.split("\n"):
             langs.setdefault(line, set()).add(r.lang)
-    by: dict[str, list[str]] = {}
+    taught: dict[str, list[str]] = {}
+    rest: dict[str, list[str]] = {}
     had: set[str] = set()
-    for lang, _, t in sorted(rows, key=lambda r: (r.lang, r.h, r.t)):
-        lines = [line for line in t.split("\n") if len(langs[line]) < 2 and line not in had]
-        had.update(lines)
-        by.setdefault(lang, []).append(" ".join(lines))
-    return tuple((lang, " ".join(ts)[:chars_per_lang]) for lang, ts in sorted(by.items()))
+    for r in sorted(rows, key=lambda r: (r.lang, r["rank"])):
+        own = taught.setdefault(r.lang, [])
+        lines = [line for line in r.text.split("\n") if len(langs[line]) < 2 and line not in had]
+        text = " ".join(lines)
+        if own and sum(map(len, own)) + len(text) > chars_per_lang:
+            rest.setdefault(r.lang, []).append(text)
+        elif text:
+            had.update(lines)
+            own.append(text)
+    found = tuple(Sample(lang, " ".join(ts)) for lang, ts in sorted(taught.items()))
+    model = CrossParser.of(found)
+    out = []
+    for k, s in enumerate(found):
+        held = rest.get(s.lang, [])
+        phrases, size, _ = model.phrases(held)
+        rate = np.sort((phrases[:, k] / np.maximum(size, 1))[size >= LEAST_SYMBOLS])
+        out.append(Sample(s.lang, s.text, float(min(1.0, slack * rate[int(0.95 * len(rate))])) if len(rate) >= 10 else 1.0))
+    return tuple(out)
+
+
+def _judge(model: CrossParser, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each text the best language's number, the score, whether it has a letter, and whether it parses as that language."""
+    n, k = len(texts), len(model.langs)
+    if not k:
+        _, _, letters = model.symbols(texts)
+        return np.zeros(n, np.int64), np.zeros(n), letters, letters
+    phrases, size, letters = model.phrases(texts)
+    rate = phrases / np.maximum(size, 1)[:, None]
+    best = np.argmin(rate, 1)
+    if k > 1:
+        two = np.partition(rate, 1, 1)[:, :2]
+        with np.errstate(invalid="ignore", divide="ignore"):
+            score = two[:, 1] / (two[:, 0] + two[:, 1])
+    else:
+        score = np.ones(n)
+    fits = letters & ((size < LEAST_SYMBOLS) | (rate[np.arange(n), best] <= model.most_rate[best]))
+    return best, np.where(letters, score, 0.0), letters, fits
 
 
-def predict(docs: DataFrame, samples: tuple[tuple[str, str], ...]) -> DataFrame:
+def predict(docs: DataFrame, samples: tuple[Sample, ...]) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) for every row of docs.
 
     Only the text counts. `und` with score 0 where text is null or has no letter, or nothing was learnt. The score
-    is the runner-up's phrase rate over the sum of both best: 0.5 for a tie, towards 1 for a clear winner; 1 with
-    one language. Null ids, repeated rows and other columns do no harm.
+    is the runner-up's phrase rate over the sum of both best: 0.5 for a tie (the language first by name wins),
+    towards 1 for a clear winner; 1 with one language. Null ids, repeated rows and other columns do no harm.
     """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(samples)
+    shared = docs.sparkSession.sparkContext.broadcast(samples)
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = CrossParser.of(shared.value)
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for a, b in slices(texts, 2_000_000):
-                if model.langs:
-                    rate, letters = model.phrases(texts[a:b])
-                    best = np.argmin(rate, 1)
-                    two = np.partition(rate, 1, 1)[:, :2] if len(model.langs) > 1 else np.concatenate([rate, np.inf + rate], 1)
-                    with np.errstate(invalid="ignore", divide="ignore"):
-                        score = np.where(np.isinf(two[:, 1]), 1.0, two[:, 1] / (two[:, 0] + two[:, 1]))
-                else:
-                    letters, best, score = np.zeros(b - a, bool), np.zeros(b - a, int), np.zeros(b - a)
-                names = [model.langs[k] if ok else "und" for k, ok in zip(best.tolist(), letters.tolist())]
-                columns = [batch.column("doc_id").slice(a, b - a), batch.column("held_out").slice(a, b - a), pa.array(names, pa.string()), pa.array(np.where(letters, score, 0.0))]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "lang_pred", "score"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.col("text")).mapInArrow(step, SCHEMA)
+        for batch, texts in _texts(batches, 2):
+            best, score, letters, _ = _judge(model, texts)
+            names = [model.langs[k] if ok and model.langs else "und" for k, ok in zip(best.tolist(), letters.tolist())]
+            score = score if model.langs else np.zeros(len(texts))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array(score)], ["doc_id", "held_out", "lang_pred", "score"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.col("text")).transform(mapped, step, SCHEMA)
+
+
+def _texts(batches: Iterator[pa.RecordBatch], place: int, limit: int = 2_000_000) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
+    """Batches cut so that the texts in column `place` come to about `limit` characters, and these texts."""
+    for batch in batches:
+        column = batch.column(place)
+        size = np.asarray(pa.compute.fill_null(pa.compute.binary_length(column), 0)).astype(np.int64)
+        total, at = np.cumsum(size), 0
+        while at < len(size):
+            to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + limit, "right")))
+            part = batch.slice(at, to - at)
+            yield part, part.column(place).to_pylist()
+            at = to
 
 
 def identify(docs: DataFrame) -> DataFrame:
@@ -202,6 +321,19 @@ def identify(docs: DataFrame) -> DataFrame:
     return predict(docs, sample(docs))
 
 
-def accepted(docs: DataFrame) -> DataFrame:
-    """The rows of docs, with all their columns, whose text has a letter: those that identify() doesn't call `und`."""
-    return docs.where(F.col("text").rlike(r"\p{L}"))
+def accepted(docs: DataFrame, slack: float = 2.0) -> DataFrame:
+    """The rows of docs, with all their columns, whose text is in a language that the labelled documents teach.
+
+    A text goes if it is null or without a letter, or if even its best language needs more phrases per symbol than
+    `slack` times what that language's labelled texts need (see sample()); texts of under 64 symbols need a letter
+    only. Where nothing is labelled, no language can be told from another, and all texts with a letter stay.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(sample(docs, slack=slack))
+    place = docs.columns.index("text")
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = CrossParser.of(shared.value)
+        for batch, texts in _texts(batches, place):
+            yield batch.filter(pa.array(_judge(model, texts)[3]))
+
+    return docs.transform(mapped, step, docs.schema)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from frameflow.llm.bytelex import Table, Texts, hashes, parts
-from frameflow.llm.common import stored
+from frameflow.llm.common import discard, mapped, stored
 
 SCHEMA = "doc_id long, item_id long, score double, n_seeds long"
 _LEAST_WORDS = 5  # of items whose edited copies count; shorter ones must be found whole
@@ -181,17 +181,16 @@ def _scores(items: Items, keys: list[tuple[int, bytes]]) -> dict[tuple[int, byte
     return out
 
 
-def search(docs: DataFrame, block: list[tuple[int, str]], least_score: float) -> DataFrame:
-    """Hits (doc_id, item_id, score, n_seeds) of one block of items in all documents; n_seeds counts distinct words."""
+def counted(docs: DataFrame, block: list[tuple[int, str]], least_score: float) -> Items | None:
+    """The items of a block with seeds by how often docs (text) have their words; None if there is nothing to find."""
     spark = docs.sparkSession
     items = Items([i for i, _ in block], [t for _, t in block], least_score)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     if not items.item_ids:
-        return spark.createDataFrame([], SCHEMA)
-    counted = spark.sparkContext.broadcast(items)
+        return None
+    shared = spark.sparkContext.broadcast(items)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = counted.value
+        own = shared.value
         total = np.zeros(own.vocabulary.n, np.int64)
         for batch in batches:
             for _, _, texts in parts(batch.column("text")):
@@ -201,38 +200,77 @@ def search(docs: DataFrame, block: list[tuple[int, str]], least_score: float) ->
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["word", "n"])
 
     frequency = np.zeros(items.vocabulary.n, np.int64)
-    for r in rows.mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect():  # as many as the block has words
+    for r in docs.select("text").transform(mapped, count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect():  # as many as the block has words
         frequency[r.word] = r.n
     items.choose(frequency)
-    shared = spark.sparkContext.broadcast(items)
+    return items
+
+
+def copies(own: Items, column: pa.Array) -> Iterator[dict[tuple[int, int], tuple[float, int]]]:
+    """(score, seeds) by (text, item), some megabytes of a column of texts at a time; seeds are distinct words."""
+    found: list[tuple[int, tuple[int, bytes]]] = []
+    held = 0
+
+    def judged() -> dict[tuple[int, int], tuple[float, int]]:
+        points = _scores(own, [key for _, key in found])
+        best: dict[tuple[int, int], tuple[float, int]] = {}
+        for text, key in found:
+            item = key[0]
+            if points[key] >= own.points[item]:
+                seeds = len(np.intersect1d(np.frombuffer(key[1], np.int32), own.seeds[item]))
+                best[text, item] = max(best.get((text, item), (0.0, 0)), (points[key] / (2 * len(own.words[item])), seeds))
+        return best
+
+    for a, _, texts in parts(column):
+        ids, bounds = own.find(texts)
+        for text, item, begin, end in _candidates(own, ids, bounds):
+            found.append((a + text, (item, ids[begin:end].astype(np.int32).tobytes())))
+            held += 4 * (end - begin)
+        if held > _HELD:
+            yield judged()
+            found, held = [], 0
+    yield judged()
+
+
+def search(docs: DataFrame, items: Items) -> DataFrame:
+    """Hits (doc_id, item_id, score, n_seeds) of a block's items in all documents."""
+    shared = docs.sparkSession.sparkContext.broadcast(items)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
+        for batch in batches:
+            for best in copies(own, batch.column("text")):
+                columns = [batch.column("doc_id").take(pa.array([t for t, _ in best], pa.int64())), pa.array([own.item_ids[i] for _, i in best], pa.int64()), pa.array([s for s, _ in best.values()], pa.float64()), pa.array([n for _, n in best.values()], pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "item_id", "score", "n_seeds"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").transform(mapped, find, SCHEMA)
+
 
-        def judged(doc_id: pa.Array, found: list[tuple[int, tuple[int, bytes]]]) -> pa.RecordBatch:
-            points = _scores(own, [key for _, key in found])
-            best: dict[tuple[int, int], tuple[float, int]] = {}
-            for text, key in found:
-                item = key[0]
-                if points[key] >= own.points[item]:
-                    seeds = len(np.intersect1d(np.frombuffer(key[1], np.int32), own.seeds[item]))
-                    best[text, item] = max(best.get((text, item), (0.0, 0)), (points[key] / (2 * len(own.words[item])), seeds))
-            columns = [doc_id.take(pa.array([t for t, _ in best], pa.int64())), pa.array([own.item_ids[i] for _, i in best], pa.int64()), pa.array([s for s, _ in best.values()], pa.float64()), pa.array([n for _, n in best.values()], pa.int64())]
-            return pa.RecordBatch.from_arrays(columns, ["doc_id", "item_id", "score", "n_seeds"])
+def without(docs: DataFrame, items: Items) -> DataFrame:
+    """The rows of docs, with all their columns, whose text has no copy of a block's items."""
+    shared = docs.sparkSession.sparkContext.broadcast(items)
+    place = docs.columns.index("text")
 
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
         for batch in batches:
-            found, held = [], 0
-            for a, _, texts in parts(batch.column("text")):
-                ids, bounds = own.find(texts)
-                for text, item, begin, end in _candidates(own, ids, bounds):
-                    found.append((a + text, (item, ids[begin:end].astype(np.int32).tobytes())))
-                    held += 4 * (end - begin)
-                if held > _HELD:
-                    yield judged(batch.column("doc_id"), found)
-                    found, held = [], 0
-            yield judged(batch.column("doc_id"), found)
+            stays = np.ones(len(batch), bool)
+            for best in copies(own, batch.column(place)):
+                stays[[t for t, _ in best]] = False
+            yield batch.filter(pa.array(stays))
 
-    return rows.mapInArrow(find, SCHEMA)
+    return docs.transform(mapped, step, docs.schema)
+
+
+def blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[int, str]]]:
+    """The distinct items (item_id, text) in blocks of about `block_bytes` of text or one item."""
+    items = benchmark.selectExpr("cast(item_id as long) item_id", "text").where("text is not null").distinct()
+    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(1, -(-total // max(1, block_bytes // 2)))
+    for k in range(n):
+        block = [(r.item_id, r.text) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).orderBy("item_id", "text").collect()]
+        if block:
+            yield block
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, least_score: float = 0.4, block_bytes: int = 4 << 20) -> DataFrame:
@@ -240,25 +278,33 @@ def contamination(docs: DataFrame, benchmark: DataFrame, least_score: float = 0.
 
     docs has doc_id and text, benchmark item_id and text; other columns are ignored. Items of fewer than five words
     tell no edited copy from chance: their words must all be found, in a row. Nor is an alignment of under six points
-    (three words) a copy of a longer item. Items without a letter or digit hold nothing to be found. Null texts hold nothing; repeated rows are reported each; a null
-    id is reported as null. Blocks of items are sent to all tasks, each of `block_bytes` of text or one item.
+    (three words) a copy of a longer item. Items without a letter or digit hold nothing to be found. Null texts hold
+    nothing; repeated rows are reported each; a null id is reported as null. Blocks of items are sent to all tasks,
+    each of `block_bytes` of text or one item.
     """
-    spark = docs.sparkSession
-    items = benchmark.selectExpr("cast(item_id as long) item_id", "text").where("text is not null").distinct()
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-total // max(1, block_bytes // 2)))
     out = None
-    for k in range(blocks):
-        block = [(r.item_id, r.text) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()]
-        if block:
-            found = search(docs, block, least_score)
-            found = stored(found, "hits") if blocks > 1 else found
+    for block in blocks(benchmark, block_bytes):
+        items = counted(docs, block, least_score)
+        if items is not None:
+            found = search(docs, items)
             out = found if out is None else out.union(found)
-    return out if out is not None else spark.createDataFrame([], SCHEMA)
+    return out if out is not None else docs.sparkSession.createDataFrame([], SCHEMA)
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, least_score: float = 0.4) -> DataFrame:
-    """The rows of docs, with all their columns, that hold no copy of a test item."""
-    key = F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")))
-    hits = stored(contamination(docs.select(key.alias("doc_id"), "text"), benchmark, least_score).select(F.col("doc_id").alias("__hit")).distinct(), "hits")
-    return docs.withColumn("__key", key).join(hits, F.col("__key") == F.col("__hit"), "left_anti").drop("__key").select(*docs.columns)
+def clean(docs: DataFrame, benchmark: DataFrame, least_score: float = 0.4, block_bytes: int = 4 << 20) -> DataFrame:
+    """The rows of docs, with all their columns, that hold no copy of a test item, by the rules of contamination().
+
+    One block of items after another strikes rows out of what the one before left.
+    """
+    left, before = docs, None
+    for block in blocks(benchmark, block_bytes):
+        items = counted(left, block, least_score)
+        if items is None:
+            continue
+        if left is not docs:
+            left = stored(left, "clean")
+            if before is not None:
+                discard(before)
+            before = left
+        left = without(left, items)
+    return left

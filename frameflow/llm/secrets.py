@@ -11,14 +11,20 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from frameflow.llm.bytelex import spans as pieces
+from frameflow.llm.common import mapped
+
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_literal long"
+LEAST_SENSITIVITY = 0.6  # of a name whose values are judged
 KINDS = ("assign", "access", "hex", "literal")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
@@ -118,39 +124,61 @@ def _name_before(text: str, at: int) -> str:
 
 
 def assignments(text: str) -> Iterator[tuple[str, Literal]]:
-    """Name-literal pairs in order; constants assigned earlier in the text stand for their values."""
+    """Name-literal pairs in order; constants assigned earlier in the text stand for their values.
+
+    Operators inside a value of several terms take one term each. Inside an unquoted value they take what is left of
+    it, but for those of a sensitive name, where the whole is the value already. So each character is read a bounded
+    number of times.
+    """
     known: dict[str, Literal] = {}
+    chain_end, bare_end, settled = 0, 0, False
     for m in _OPERATOR.finditer(text):
+        inside = m.end() < bare_end
+        if inside and settled:
+            continue
         name = _name_before(text, m.start())
         if not name:
             continue
         parts: list[tuple[int, int] | Literal] = []
-        opened = _OPEN.match(text, m.end())
-        quoted, at, over = False, opened.end() if opened else m.end(), False
-        while t := _TERM.match(text, at):
-            which = t.lastindex
-            body = t.group(which)
-            if over and _KEYED.match(text, t.end()):  # the name of an assignment on a line of its own
-                break
-            if which <= 5:
-                quoted = True
-                inner = _INNER.fullmatch(body)
-                if inner and inner[1] in known:
-                    parts.append(known[inner[1]])
-                elif body:
+        quoted = False
+        if inside:
+            parts.append((m.end(), bare_end))
+            settled = sensitivity(name) >= LEAST_SENSITIVITY
+        else:
+            alone = m.end() < chain_end
+            opened = None if alone else _OPEN.match(text, m.end())
+            at, over, terms = opened.end() if opened else m.end(), False, 0
+            while t := _TERM.match(text, at):
+                which = t.lastindex
+                body = t.group(which)
+                if over and _KEYED.match(text, t.end()):  # the name of an assignment on a line of its own
+                    break
+                terms += 1
+                if which <= 5:
+                    quoted = True
+                    inner = _INNER.fullmatch(body)
+                    if inner and inner[1] in known:
+                        parts.append(known[inner[1]])
+                    elif body:
+                        parts.append(t.span(which))
+                elif which <= 7 and body in known:
+                    parts.append(known[body])
+                    quoted = quoted or known[body].quoted
+                elif which != 6:  # else a reference to something outside
                     parts.append(t.span(which))
-            elif which <= 7 and body in known:
-                parts.append(known[body])
-                quoted = quoted or known[body].quoted
-            elif which != 6:  # else a reference to something outside
-                parts.append(t.span(which))
-            at = t.end()
-            j, over = _JOIN.match(text, at), False
-            if not j:
-                j, over = _JOIN_LINES.match(text, at) or (opened and _JOIN_INSIDE.match(text, at)), True
-            if not j:
-                break
-            at = j.end()
+                    if which == 8 and t.end() > bare_end:
+                        bare_end, settled = t.end(), sensitivity(name) >= LEAST_SENSITIVITY
+                at = t.end()
+                if alone:
+                    break
+                j, over = _JOIN.match(text, at), False
+                if not j:
+                    j, over = _JOIN_LINES.match(text, at) or (opened and _JOIN_INSIDE.match(text, at)), True
+                if not j:
+                    break
+                at = j.end()
+            if terms > 1:
+                chain_end = max(chain_end, at)
         if parts:
             found = Literal(parts, quoted)
             known[name.rsplit(".", 1)[-1]] = known[name] = found
@@ -158,14 +186,25 @@ def assignments(text: str) -> Iterator[tuple[str, Literal]]:
 
 
 def literal_spans(text: str, threshold: float = 0.6) -> list[tuple[int, int, int]]:
-    """Places of literals whose value reaches a sensitive name with a score of at least `threshold`."""
+    """Places of literals whose value reaches a sensitive name with a score of at least `threshold`.
+
+    Of a value that is built up in steps (`token = token + "x"`) the last one counts, which holds all of it.
+    """
     out: dict[tuple[int, int], None] = {}
     if "=" not in text and ":" not in text:
         return []
+    values: list[tuple[float, Literal] | None] = []
+    last: dict[str, int] = {}
     for name, found in assignments(text):
         s = sensitivity(name)
-        if s < 0.6:
+        if s < LEAST_SENSITIVITY:
             continue
+        before = last.get(name)
+        if before is not None and any(p is values[before][1] for p in found.parts):
+            values[before] = None
+        last[name] = len(values)
+        values.append((s, found))
+    for s, found in filter(None, values):
         spans = found.spans()
         value = "".join(text[a:b] for a, b in spans)
         if min(1.0, s) * strength(value) >= threshold and (found.quoted or re.search("[0-9]", value)):
@@ -176,7 +215,10 @@ def literal_spans(text: str, threshold: float = 0.6) -> list[tuple[int, int, int
 def all_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """Base spans, and base spans with those of the lexer that no base span covers."""
     base = base_spans(text)
-    more = [x for x in literal_spans(text) if not any(a <= x[0] and x[1] <= b for a, b, _ in base)]
+    starts = [a for a, _, _ in base]
+    furthest = list(accumulate((b for _, b, _ in base), max))
+    covered = lambda a, b: (k := bisect_right(starts, a)) and furthest[k - 1] >= b
+    more = [x for x in literal_spans(text) if not covered(x[0], x[1])]
     return base, sorted([*base, *more], key=lambda x: (x[0], x[2]))
 
 
@@ -192,7 +234,7 @@ def scan(docs: DataFrame) -> DataFrame:
     """
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (x.slice(a, b - a) for x in batches for a, b in pieces(x.column("text"))):
             rows = []
             for text in batch.column("text").to_pylist():
                 base, spans = all_spans(text or "")
@@ -202,7 +244,7 @@ def scan(docs: DataFrame) -> DataFrame:
             types = [pa.int64()] * 3 + [pa.string()] * 2 + [pa.int64()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(columns, types))], [x.split()[0] for x in SCHEMA.split(", ")])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(step, SCHEMA)
+    return docs.selectExpr("cast(doc_id as long) doc_id", "text").transform(mapped, step, SCHEMA)
 
 
 def redacted(text: str, mark: str = "[SECRET]") -> str:
@@ -226,12 +268,12 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     place = docs.columns.index(text)
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (x.slice(a, b - a) for x in batches for a, b in pieces(x.column(place))):
             column = batch.column(place)
             new = pa.array([None if t is None else redacted(t) for t in column.to_pylist()], column.type)
             yield batch.set_column(place, batch.schema.field(place), new)
 
-    out = docs.mapInArrow(step, schema)
+    out = docs.transform(mapped, step, schema)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length(text).cast(schema["n_chars"].dataType))
     return out

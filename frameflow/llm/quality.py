@@ -1,10 +1,14 @@
 """Quality rules whose cutoffs carry a guarantee on wrongly rejected documents.
 
 Counts per document come from built-in functions only. A family of nested rule sets, from lenient to strict, takes
-its cutoffs from quantiles of one half of the good labelled documents. On the other half, each set's rejections of
-good documents in each stratum are tested with the exact binomial distribution: a set is certified for a stratum if
-the Clopper-Pearson upper bound of its false rejection rate is at most `risk`, at confidence 1 - `error` shared
-equally (Bonferroni) by all strata and sets. The strictest certified set holds; a stratum without one rejects nothing.
+its cutoffs from quantiles of one half of the good labelled documents. On the other half, the sets' rejections of
+good documents are tested with the exact binomial distribution: a set is certified for a stratum if the
+Clopper-Pearson upper bound of its false rejection rate is at most `risk`.
+
+Multiple testing: within a stratum the sets are tested in their order, from lenient to strict, until one fails (a
+fixed sequence, which needs no correction); `error` is shared equally by the strata (Bonferroni). Strata with too few
+labels for any certificate are tested as one, and the guarantee is then for these together. The strictest certified
+set holds; a stratum without labels or certificate rejects nothing but what fails the base rules.
 """
 
 from __future__ import annotations
@@ -17,9 +21,8 @@ from pyspark.sql import functions as F
 from frameflow.llm.common import stored
 
 _WINDOW = 8
-#: Share of good documents that each set's cutoff of a rule lets pass, from lenient to strict.
-LEVELS = (0.9999, 0.9995, 0.999, 0.998, 0.996, 0.993, 0.99, 0.985, 0.98)
-MAX_STRATA = 256
+#: Per rule set, from lenient to strict: the quantile of good documents that gives its cutoffs, and their factor.
+LEVELS = ((1.0, 2.0), (1.0, 1.5), (1.0, 1.2), (1.0, 1.0), (0.9995, 1.0), (0.999, 1.0), (0.998, 1.0), (0.996, 1.0), (0.993, 1.0), (0.99, 1.0), (0.985, 1.0), (0.98, 1.0))
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper")
 
 
@@ -75,7 +78,7 @@ def rules() -> dict[str, Column]:
     """What the rules measure; more is worse."""
     words, chars = F.greatest("n_words", F.lit(1)), F.greatest("word_chars", F.lit(1))
     return {
-        "short_words": -(F.col("word_chars") / words),
+        "short_words": words / chars,
         "long_words": F.col("word_chars") / words,
         "symbols": F.col("n_symbols") / chars,
         "capitals": F.col("n_upper") / chars,
@@ -84,63 +87,74 @@ def rules() -> dict[str, Column]:
     }
 
 
-def at_most(k: int, n: int, p: float) -> float:
-    """P(X <= k) of a binomial with n trials of probability p."""
-    if k >= n:
-        return 1.0
-    log_p, log_q = math.log(p), math.log1p(-p)
-    return min(1.0, sum(math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * log_p + (n - i) * log_q) for i in range(k + 1)))
+def log_at_most(k: Column, n: Column, p: float) -> Column:
+    """Logarithm of P(X <= k) of a binomial with n trials of probability p, k below n; terms are summed one by one."""
+    first = n * math.log1p(-p)
+    odds = math.log(p) - math.log1p(-p)
 
+    def add(s: Column, i: Column) -> Column:
+        term = s["term"] + F.log((n - i + 1) / i) + odds
+        top, low = F.greatest(s["total"], term), F.least(s["total"], term)
+        return F.struct(term.alias("term"), (top + F.log1p(F.exp(low - top))).alias("total"))
 
-def certified(rejected: int, n: int, risk: float, error: float) -> bool:
-    """True if the Clopper-Pearson upper bound at confidence 1 - error, given these rejections, is at most risk."""
-    return n > 0 and rejected <= n * risk and at_most(rejected, n, risk) <= error
-
+    steps = F.when(k > 0, F.sequence(F.lit(1).cast("long"), k.cast("long"))).otherwise(F.array().cast("array<long>"))
+    return F.aggregate(steps, F.struct(first.alias("term"), first.alias("total")), add, lambda s: s["total"])
 
-class Cutoffs:
-    """Cutoffs of each rule by level, and the number of levels a document may exceed in each stratum before it goes."""
 
-    def __init__(self, values: dict[str, list[float]], allowed: dict[str, int]):
-        self.values, self.allowed = values, allowed
+def certified(rejected: Column, n: Column, risk: float, error: Column | float) -> Column:
+    """True if the Clopper-Pearson upper bound at confidence 1 - error, given these rejections, is at most risk."""
+    few = rejected <= n * risk  # with more, the bound lies over the risk at any confidence of use
+    return (n > 0) & few & (log_at_most(F.when(few, rejected).otherwise(F.lit(0)), n, risk) <= F.log(F.lit(error)))
 
-    def exceeded(self) -> Column:
-        """How many levels reject the document by some rule."""
-        each = [sum(((rule > F.lit(c)).cast("int") for c in self.values[name]), F.lit(0)) for name, rule in rules().items() if self.values.get(name)]
-        return F.greatest(*each) if len(each) > 1 else each[0] if each else F.lit(0)
 
+def exceeded(cutoffs: dict[str, list[float]]) -> Column:
+    """How many rule sets reject the document by some rule."""
+    each = [sum(((rule > F.lit(c)).cast("int") for c in cutoffs[name]), F.lit(0)) for name, rule in rules().items() if cutoffs.get(name)]
+    return F.greatest(*each) if len(each) > 1 else each[0] if each else F.lit(0)
 
-def fit(measured: DataFrame, labels: DataFrame, risk: float = 0.02, error: float = 0.05) -> Cutoffs:
-    """Cutoffs from rows of features() and labels (doc_id, quality: 1 good, 0 not; null or absent: unlabelled).
 
-    Several labels of a document count as the least. Halves go by the hash of doc_id. The most frequent MAX_STRATA
-    strata are certified; others, and all without labels, reject nothing.
+def cutoffs(good: DataFrame) -> dict[str, list[float]]:
+    """Per rule the cutoffs of all sets, from rows of features(); none without rows."""
+    names = rules()
+    shares = sorted({share for share, _ in LEVELS})
+    row = good.agg(*(F.percentile_approx(c, shares, 20000).alias(k) for k, c in names.items())).first()
+    return {k: [dict(zip(shares, row[k]))[share] * factor for share, factor in LEVELS] for k in names if row[k] is not None}
+
+
+def allowances(tested: DataFrame, risk: float, error: float) -> DataFrame:
+    """(stratum, allowed) from good documents (stratum, over: how many sets reject it): with more than `allowed` sets
+    against it a document goes; null if nothing is certified."""
+    sets = len(LEVELS)
+    counts = tested.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *(F.sum((F.col("over") >= sets - g).cast("long")).alias(f"r{g}") for g in range(sets)))
+    counts = stored(counts, "strata")
+    strata = max(1, counts.count())
+    least = math.ceil(math.log(error / strata) / math.log1p(-risk))
+    pooled = counts.withColumn("pooled", F.col("n") < least).withColumn("unit", F.when(F.col("n") < least, F.lit("")).otherwise(F.col("stratum")))
+    units = pooled.groupBy("pooled", "unit").agg(F.sum("n").alias("n"), *(F.sum(f"r{g}").alias(f"r{g}") for g in range(sets)))
+    lead, so_far = F.lit(0), F.lit(True)
+    for g in range(sets):
+        so_far = so_far & F.col(f"c{g}")
+        lead = lead + so_far.cast("int")
+    tests = units.select("pooled", "unit", *(certified(F.col(f"r{g}"), F.col("n"), risk, error / max(1, units.count())).alias(f"c{g}") for g in range(sets)))
+    verdicts = tests.select("pooled", "unit", F.when(lead > 0, sets - lead).alias("allowed"))
+    return pooled.select("stratum", "pooled", "unit").join(verdicts, ["pooled", "unit"]).select("stratum", "allowed")
+
+
+def fit(measured: DataFrame, labels: DataFrame, risk: float = 0.02, error: float = 0.05) -> tuple[dict[str, list[float]], DataFrame]:
+    """Cutoffs, and allowances by stratum, from rows of features() and labels (doc_id, quality: 1 good, 0 not; null or
+    absent: unlabelled).
+
+    Several labels of a document count as the least. Halves go by the hash of doc_id.
     """
     good = labels.selectExpr("cast(doc_id as long) doc_id", "quality").where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality = 1").select("doc_id")
     held = measured.where(~base_failed()).join(good, "doc_id", "left_semi").withColumn("half", F.crc32(F.col("doc_id").cast("string")) % 2)
-    names = rules()
-    row = held.where("half = 0").agg(*(F.percentile_approx(c, list(LEVELS), 20000).alias(k) for k, c in names.items())).first()
-    found = Cutoffs({k: list(row[k]) for k in names if row[k] is not None}, {})
-    if not found.values:
-        return found
-    by: dict[str, dict[int, int]] = {}
-    top = held.where("half = 1").groupBy("stratum").count().orderBy(F.desc("count"), "stratum").limit(MAX_STRATA)
-    counts = held.where("half = 1").groupBy("stratum", found.exceeded().alias("over")).count().join(F.broadcast(top.select("stratum")), "stratum", "left_semi")
-    for r in counts.collect():  # at most MAX_STRATA times the levels
-        by.setdefault(r.stratum, {})[r.over] = r["count"]
-    share = error / max(1, len(by) * len(LEVELS))
-    for stratum, n in by.items():
-        total = sum(n.values())
-        strict = [g for g in range(len(LEVELS)) if certified(sum(c for over, c in n.items() if over >= len(LEVELS) - g), total, risk, share)]
-        if strict:
-            found.allowed[stratum] = len(LEVELS) - 1 - max(strict)
-    return found
-
-
-def apply(measured: DataFrame, cutoffs: Cutoffs) -> DataFrame:
-    """Rows of features() with base_failed, levels exceeded and kept."""
-    spark = measured.sparkSession
-    limits = spark.createDataFrame(sorted(cutoffs.allowed.items()), "stratum string, allowed int")  # at most MAX_STRATA rows
-    judged = measured.join(F.broadcast(limits), "stratum", "left").select("*", base_failed().alias("base_failed"), cutoffs.exceeded().cast("long").alias("n_exceeded"))
+    found = cutoffs(held.where("half = 0"))
+    return found, stored(allowances(held.where("half = 1").select("stratum", exceeded(found).alias("over")), risk, error), "allowances")
+
+
+def apply(measured: DataFrame, found: dict[str, list[float]], allowed: DataFrame) -> DataFrame:
+    """Rows of features() with base_failed, sets exceeded and kept."""
+    judged = measured.join(allowed, "stratum", "left").select("*", base_failed().alias("base_failed"), exceeded(found).cast("long").alias("n_exceeded"))
     kept = ~F.col("base_failed") & (F.col("allowed").isNull() | (F.col("n_exceeded") <= F.col("allowed")))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "stratum", "n_exceeded")
 
@@ -152,4 +166,4 @@ def judge(docs: DataFrame, labels: DataFrame, risk: float = 0.02, error: float =
     reject. Other columns are ignored.
     """
     measured = stored(features(docs), "quality")
-    return apply(measured, fit(measured, labels, risk, error))
+    return apply(measured, *fit(measured, labels, risk, error))

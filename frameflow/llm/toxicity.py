@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from frameflow.llm.bytelex import LETTER, WHOLE, Texts, hashes, of_text, parts, pretokens
+from frameflow.llm.common import mapped
 
 _BEGINNINGS = (4, 5, 6, 8)
 
@@ -88,21 +89,22 @@ class Linear:
 class Chain:
     """A fitted chain: categories, their models and the probabilities from which they hold."""
 
-    def __init__(self, categories: tuple[str, ...], models: list[Linear | None], limits: list[float]):
+    def __init__(self, categories: tuple[str, ...], models: list[Linear | float], limits: list[float]):
         self.categories, self.models, self.limits = categories, models, limits
 
     @classmethod
     def train(cls, categories: tuple[str, ...], h: np.ndarray, own: np.ndarray, labels: np.ndarray, folds: int = 3) -> "Chain":
-        """labels: rows by categories. A category with one class only has no model and probability 0 or 1."""
+        """labels: rows by categories. A category with one class only has no model; its probability is 0 or 1 throughout,
+        and 0 without rows. Fewer rows than folds teach no model either: the share of positives is the probability."""
         n = len(labels)
         fold = np.arange(n) % folds
         extra, models, limits = np.zeros((n, 0)), [], []
         for k in range(len(categories)):
             y = labels[:, k].astype(float)
             if n < folds or y.min() == y.max():
-                models.append(None)
+                models.append(float(y.mean()) if n else 0.0)
                 limits.append(0.5)
-                extra = np.concatenate([extra, np.full((n, 1), 0.0)], 1)
+                extra = np.concatenate([extra, np.full((n, 1), models[-1])], 1)
                 continue
             out = np.zeros(n)
             for f in range(folds):
@@ -128,18 +130,20 @@ class Chain:
     def predict(self, h: np.ndarray, own: np.ndarray, n: int) -> np.ndarray:
         extra = np.zeros((n, 0))
         for m in self.models:
-            p = m.predict(h, own, extra) if m is not None else np.zeros(n)
+            p = m.predict(h, own, extra) if isinstance(m, Linear) else np.full(n, m)
             extra = np.concatenate([extra, p[:, None]], 1)
         return extra
 
 
-def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], most_per_class: int = 3000) -> Chain:
-    """A chain from the labelled documents with the least hashes of doc_id, `most_per_class` of each class of the last category at most.
+def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], most_per_class: int = 3000, most_bytes: int = 1 << 16) -> Chain:
+    """A chain from a bounded sample: the labelled documents with the least hashes of doc_id, `most_per_class` of each
+    class of the last category at most, whose texts have at most `most_bytes` bytes.
 
-    categories: in the order of the chain, 0/1 columns of labels; rows with a null in one are unlabelled.
+    categories: in the order of the chain, 0/1 columns of labels; rows with a null in one are unlabelled. Of several
+    labels of a document the greatest counts, category by category; of several rows with its id, the least text.
     """
     names = tuple(categories)
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), *(c.cast("int").alias(k) for k, c in categories.items())).dropna().dropDuplicates(["doc_id"])
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), *(c.cast("int").alias(k) for k, c in categories.items())).dropna().groupBy("doc_id").agg(*(F.max(k).alias(k) for k in names))
     some = None
     for y in (0, 1):
         part = known.where(F.col(names[-1]) == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_per_class)
@@ -157,8 +161,9 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], most_
                 lists = [np.unique(h[x:y]).tobytes() for x, y in zip(bounds[:-1], bounds[1:])]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a) for c in ("doc_id", *names)), pa.array(lists, pa.binary())], ["doc_id", *names, "h"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", *names, "text")
-    rows = texts.mapInArrow(step, ", ".join(["doc_id long", *(f"{k} int" for k in names), "h binary"])).collect()
+    short = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).where(F.coalesce(F.octet_length("text"), F.lit(0)) <= most_bytes)
+    texts = short.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", *names).agg(F.min("text").alias("text"))
+    rows = texts.transform(mapped, step, ", ".join(["doc_id long", *(f"{k} int" for k in names), "h binary"])).collect()
     rows.sort(key=lambda r: (r.doc_id, r.h))
     h = [np.frombuffer(r.h, np.uint32) for r in rows]
     own = np.repeat(np.arange(len(rows)), [len(x) for x in h])
@@ -181,7 +186,7 @@ def score(docs: DataFrame, chain: Chain) -> DataFrame:
                 columns = [pa.array(p[:, k]) for k in range(p.shape[1])] + [pa.array(p[:, k] >= own_chain.limits[k]) for k in range(p.shape[1])]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), *columns], ["doc_id", *names])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(step, schema)
+    return docs.selectExpr("cast(doc_id as long) doc_id", "text").transform(mapped, step, schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from frameflow.llm.bytelex import parts
-from frameflow.llm.common import fresh_path
+from frameflow.llm.common import fresh_path, mapped
 from frameflow.llm.wordcodec import WordCodec, default_path
 
 MAGIC = b"DAC1"
@@ -142,8 +142,9 @@ class Segment:
 def write_tokens(docs: DataFrame, path: str, end_id: int = 1, segment_tokens: int = 1 << 20, tokenizer: str | None = None) -> None:
     """Encodes every text of docs (doc_id, text; null text: empty), adds end_id, and writes segments under path.
 
-    Documents are in ascending doc_id order over the parts, nulls first, equal ids by text. Other columns are
-    ignored; an empty table writes no segment.
+    Documents are in ascending doc_id order over the parts, nulls first, equal ids by a hash of their texts; equal rows
+    may lie in several parts, so that no id is too much for one task. Other columns are ignored; an empty table writes
+    no segment.
     """
     file = tokenizer or default_path()
 
@@ -172,8 +173,9 @@ def write_tokens(docs: DataFrame, path: str, end_id: int = 1, segment_tokens: in
         if held:
             yield flush()
 
-    ordered = docs.selectExpr("cast(doc_id as long) doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(step, SEGMENT_SCHEMA).write.option("compression", "none").parquet(path)
+    keyed = docs.selectExpr("cast(doc_id as long) doc_id", "text", "xxhash64(text) digest", "monotonically_increasing_id() row")
+    ordered = keyed.repartitionByRange("doc_id", "digest", "row").sortWithinPartitions("doc_id", "digest", "row").select("doc_id", "text")
+    ordered.transform(mapped, step, SEGMENT_SCHEMA).write.option("compression", "none").parquet(path)
 
 
 def read_tokens(spark, path: str) -> DataFrame:
@@ -194,7 +196,7 @@ def read_tokens(spark, path: str) -> DataFrame:
     # one row for each part: as many as there were tasks
     totals = segments.groupBy("part").agg(F.sum("n_tokens").alias("total"))
     before = totals.select("part", F.coalesce(F.sum("total").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    rows = segments.select("part", "base", "payload").mapInArrow(step, RESULT_SCHEMA)
+    rows = segments.select("part", "base", "payload").transform(mapped, step, RESULT_SCHEMA)
     return rows.join(before, "part").select("doc_id", (F.col("start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 
 

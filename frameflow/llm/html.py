@@ -23,14 +23,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from frameflow.llm.common import mapped
+
 SCHEMA = "page_id long, url string, text string, n_chars long, n_blocks long"
 
 #: Fixed values of the HTML standard: elements without an end tag, with raw text, and laid out as blocks.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style textarea title noscript template iframe noembed noframes xmp svg math select".split())
+RAW = set("script style textarea title template iframe noembed noframes xmp svg select annotation annotation-xml".split())
 BLOCKS = set(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
-    "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
+    "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav noscript ol p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
 #: Elements that hold the whole page have a pairwise potential of their own.
 PAGE = {"#root", "html", "body"}
@@ -42,7 +44,7 @@ CLOSES = {
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}} | {t: {"table"} for t in ("tr", "td", "th", "tbody", "tfoot")}
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"""(class|id|role|hidden|style|itemprop|aria-label)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
-_SPACE = re.compile(r"[\s​﻿]+")
+_SPACE = re.compile(r"\s+")
 _NAMES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 
@@ -342,4 +344,4 @@ def extract(pages: DataFrame, model: TreeModel | None = None) -> DataFrame:
             columns = [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array([len(b) for b in found], pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "text", "n_chars", "n_blocks"])
 
-    return pages.selectExpr("cast(page_id as long) page_id", "cast(url as string) url", "cast(html as string) html").mapInArrow(step, SCHEMA)
+    return pages.selectExpr("cast(page_id as long) page_id", "cast(url as string) url", "cast(html as string) html").transform(mapped, step, SCHEMA)

@@ -7,17 +7,26 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Names of four anchors.
+#: Names of the first anchors; further ones are anchor_4, anchor_5 and so on.
 ANCHORS = ("start", "one_third", "two_third", "end")
 #: Patterns of a point in a model's answer, on lower-cased text, in order of priority.
 POINT_PATTERNS = (
-    r'x\s*=\s*"?\s*(\d+\.?\d*)"?\s+y\s*=\s*"?\s*(\d+\.?\d*)',
-    r"\(\s*(\d+\.?\d*)\s*,\s*(\d+\.?\d*)\s*\)",
-    r"\[\s*(\d+\.?\d*)\s*,\s*(\d+\.?\d*)\s*\]",
-    r"x\s*:\s*(\d+\.?\d*)\s*,?\s*y\s*:\s*(\d+\.?\d*)",
-    r"(\d+\.?\d*)\s*,\s*(\d+\.?\d*)",
-    r"(\d+\.?\d*)\s+(\d+\.?\d*)",
+    r'<point\s+x="([0-9]+(?:\.[0-9]+)?)"\s+y="([0-9]+(?:\.[0-9]+)?)"',
+    r"gripper\s+coordinates?\s*[:\s]*\(?\s*(\d+(?:\.\d+)?)\s*,\s*(\d+(?:\.\d+)?)\s*\)?",
+    r"coordinates?\s*[:\s]*\(?\s*(\d+(?:\.\d+)?)\s*,\s*(\d+(?:\.\d+)?)\s*\)?",
+    r"\(?\s*(\d+(?:\.\d+)?)\s*,\s*(\d+(?:\.\d+)?)\s*\)?",
+    r"x\s*[:\s]*(\d+(?:\.\d+)?).*?y\s*[:\s]*(\d+(?:\.\d+)?)",
+    r"(\d+(?:\.\d+)?)\s*,\s*(\d+(?:\.\d+)?)",
 )
+#: What asks a model for a trace, by style, and for latent tokens.
+TRACE_PROMPTS = {
+    "plain": "Predict the gripper trace as {n} anchor points (start, intermediate, end) in [[x,y]] format with coords 0-1000.",
+    "qwen_point_2d": 'Predict the gripper trace as a JSON list of {n} anchor points, each formatted as {{"point_2d": [x, y], "label": "anchor_N"}}, with coords 0-1000.',
+    "cot_bbox": "To identify the gripper trace, locate {n} anchor points in [[x,y]] format with coords 0-1000.",
+}
+LATENT_PROMPT = "Predict {n} latent action tokens"
+#: Sizes that are written with these units, in GB.
+GB_UNITS = {"": 1 / 1024**3, "B": 1 / 1024**3, "kB": 1 / 1024**2, "M": 1 / 1024, "MB": 1 / 1024, "G": 1.0, "GB": 1.0, "T": 1024.0, "TB": 1024.0}
 
 
 def thousandths(v: Column) -> Column:
@@ -26,25 +35,37 @@ def thousandths(v: Column) -> Column:
 
 
 def trace_to_text(points: Column, style: str = "plain") -> Column:
-    """An array of (x, y) structs in 0..1 as text: `[[x, y], ...]`, named boxes, or named 2-D points."""
+    """An array of (x, y) structs in 0..1 as text: `[[x, y], ...]` (styles plain and cot_bbox), or labelled 2-D points."""
     pair = lambda p: F.concat(F.lit("["), thousandths(p["x"]).cast("string"), F.lit(", "), thousandths(p["y"]).cast("string"), F.lit("]"))
-    if style == "plain":
+    if style in ("plain", "cot_bbox"):
         return F.concat(F.lit("["), F.array_join(F.transform(points, pair), ", "), F.lit("]"))
-    names = F.when(F.size(points) == 4, F.array(*map(F.lit, ANCHORS))).otherwise(F.transform(F.sequence(F.lit(1), F.size(points)), lambda i: F.concat(F.lit("anchor_"), i.cast("string"))))
-    if style == "cot_bbox":
-        return F.array_join(F.zip_with(names, points, lambda n, p: F.concat(n, F.lit(": "), pair(p))), ", ")
     if style == "qwen_point_2d":
-        one = lambda n, p: F.concat(F.lit('{"point_2d": '), pair(p), F.lit(', "label": "'), n, F.lit('"}'))
-        return F.concat(F.lit("["), F.array_join(F.zip_with(names, points, one), ", "), F.lit("]"))
+        label = lambda i: F.coalesce(F.get(F.array(*map(F.lit, ANCHORS)), i), F.concat(F.lit("anchor_"), i.cast("string")))
+        one = lambda p, i: F.concat(F.lit('{"point_2d": '), pair(p), F.lit(', "label": "'), label(i), F.lit('"}'))
+        return F.concat(F.lit("["), F.array_join(F.transform(points, one), ", "), F.lit("]"))
     raise ValueError(f"unknown style {style!r}")
 
 
-def text_to_trace(text: Column, anchors: int = 4) -> Column:
-    """The first `anchors` number pairs in brackets, in 0..1 and clipped; short ones repeat the last, none are zeros."""
-    found = F.regexp_extract_all(text, F.lit(r"\[\s*(-?\d+\.?\d*)\s*,\s*-?\d+\.?\d*\s*\]"), 1)
-    other = F.regexp_extract_all(text, F.lit(r"\[\s*-?\d+\.?\d*\s*,\s*(-?\d+\.?\d*)\s*\]"), 1)
-    unit = lambda s: F.greatest(F.lit(0.0), F.least(F.lit(1.0), s.cast("double") / 1000.0))
-    pairs = F.slice(F.zip_with(found, other, lambda a, b: F.struct(unit(a).alias("x"), unit(b).alias("y"))), 1, anchors)
+def text_to_trace(text: Column, anchors: int = 4, style: str = "plain") -> Column:
+    """`anchors` points in 0..1, clipped, from a model's answer.
+
+    A well-formed list of the style is read as such, numbers cut to integers. From anything else all pairs of
+    integers in brackets are taken. Surplus points are dropped, too few repeat the last, none are zeros.
+    """
+    if style in ("plain", "cot_bbox"):
+        shape, schema = r"^\s*\[\s*(?:\[[^\[\]]*\]\s*,?\s*)*\]\s*$", "array<array<double>>"
+        read = F.from_json(text, schema)
+    elif style == "qwen_point_2d":
+        shape, schema = r"^\s*\[\s*(?:\{[^{}]*\}\s*,?\s*)*\]\s*$", "array<struct<point_2d:array<double>>>"
+        read = F.filter(F.transform(F.from_json(text, schema), lambda p: p["point_2d"]), lambda p: p.isNotNull())
+    else:
+        raise ValueError(f"unknown style {style!r}")
+    whole = text.rlike(shape) & (F.size(read) > 0) & F.forall(read, lambda p: (F.size(p) >= 2) & F.get(p, F.lit(0)).isNotNull() & F.get(p, F.lit(1)).isNotNull())
+    unit = lambda v: F.greatest(F.lit(0.0), F.least(F.lit(1.0), v.cast("long") / 1000.0))
+    point = lambda x, y: F.struct(unit(x).alias("x"), unit(y).alias("y"))
+    found, other = (F.regexp_extract_all(text, F.lit(r"\[\s*(-?\d+)\s*,\s*(-?\d+)\s*\]"), F.lit(k)) for k in (1, 2))
+    listed = F.transform(read, lambda p: point(F.get(p, F.lit(0)), F.get(p, F.lit(1))))
+    pairs = F.slice(F.when(F.coalesce(whole, F.lit(False)), listed).otherwise(F.zip_with(found, other, point)), 1, anchors)
     last = F.when(F.size(pairs) > 0, F.element_at(pairs, -1)).otherwise(F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y")))
     return F.concat(pairs, F.array_repeat(last, F.lit(anchors) - F.size(pairs)))
 
@@ -69,17 +90,48 @@ def latent_codes(text: Column, most: int | None = None) -> Column:
     return F.slice(found, 1, most) if most is not None else found
 
 
-def semantic_target(mode: str, trace: Column, latent: Column, order: Sequence[str] = ("trace", "latent")) -> Column:
-    """The text that a model is to produce: `trace`, `latent`, `both` in this order, or `none`."""
-    parts = {"trace": F.concat(F.lit("Trace: "), trace), "latent": F.concat(F.lit("Latent: "), latent)}
-    chosen = {"trace": ["trace"], "latent": ["latent"], "both": list(order), "none": []}[mode]
-    return F.array_join(F.array(*(parts[k] for k in chosen)), "\n") if chosen else F.lit("")
+def _modes(mode: str, order: str) -> tuple[str, ...]:
+    """What a mode is made of, in order; `latent_trace`, as mode or order, puts latent tokens first."""
+    mode, order = mode.lower(), order.lower()
+    if mode in ("trace_only", "latent_only"):
+        return (mode.removesuffix("_only"),)
+    if mode in ("trace_latent", "latent_trace"):
+        return ("latent", "trace") if "latent_trace" in (mode, order) else ("trace", "latent")
+    raise ValueError(f"unknown mode {mode!r}")
 
 
-def prompt(task: Column, style: str, anchors: int = 4) -> Column:
-    """The question that goes with a style of trace text."""
-    ask = {"plain": "Predict %d trace points", "cot_bbox": "Name %d trace anchors with their places", "qwen_point_2d": "Give %d labelled 2D points of the trace as JSON"}[style]
-    return F.concat(F.lit(ask % anchors + " for the task: "), task)
+def semantic_target(mode: str, trace: Column | None, latent: Column | None, order: str = "trace_latent") -> Column:
+    """The text that a model is to produce: trace text, latent tokens, or both end to end."""
+    given = {"trace": trace, "latent": latent}
+    parts = [given[k] for k in _modes(mode, order)]
+    if any(p is None for p in parts):
+        raise ValueError(f"mode {mode!r} needs {' and '.join(_modes(mode, order))}")
+    return F.concat(*parts)
+
+
+def trace_prompt(style: str, anchors: int = 4) -> str:
+    """What asks for a trace in a style."""
+    if style.lower() not in TRACE_PROMPTS:
+        raise ValueError(f"unknown style {style!r}")
+    return TRACE_PROMPTS[style.lower()].format(n=anchors)
+
+
+def semantic_prompt(mode: str, style: str, anchors: int = 4, latent: int = 4, order: str = "trace_latent") -> str:
+    """What asks for the text of semantic_target()."""
+    parts = _modes(mode, order)
+    ask = LATENT_PROMPT.format(n=latent)
+    if parts == ("trace",):
+        return trace_prompt(style, anchors)
+    if parts == ("latent",):
+        return ask + "."
+    if parts[0] == "latent":
+        return f"{ask}, then {trace_prompt(style, anchors)}"
+    return f"{trace_prompt(style, anchors)} Then {ask[0].lower()}{ask[1:]}."
+
+
+def prompt(task: Column, suffix: str) -> Column:
+    """An instruction with what is asked."""
+    return F.concat(task, F.lit(". " + suffix))
 
 
 def json_object(text: Column) -> Column:
@@ -98,15 +150,20 @@ def rate(name: Column) -> Column:
 
 
 def gigabytes(size: Column) -> Column:
-    """A size such as `1.5 MB` in GB of 1024-based units; null if it isn't one."""
-    n = F.nullif(F.regexp_extract(size, r"([\d.]+)\s*([KMGT]?)B?", 1), F.lit("")).cast("double")
-    unit = F.regexp_extract(size, r"([\d.]+)\s*([KMGT]?)B?", 2)
-    factor = F.when(unit == "T", 1024.0).when(unit == "G", 1.0).when(unit == "M", 1 / 1024).when(unit == "K", 1 / 1024**2).otherwise(1 / 1024**3)
-    return n * factor
+    """A size such as `1.5MB` or `3G/10G` (what is before the slash counts) in GB of 1024-based units.
+
+    0 if it doesn't begin with a number; null if that is no number or the unit unknown.
+    """
+    first = F.trim(F.element_at(F.split(size, "/"), 1))
+    shape = r"^([0-9.]+)([kMGT]?B?)"
+    unit = F.regexp_extract(first, shape, 2)
+    factor = F.element_at(F.create_map(*(F.lit(x) for pair in GB_UNITS.items() for x in pair)), unit)
+    return F.when(first.rlike(shape), F.regexp_extract(first, shape, 1).try_cast("double") * factor).otherwise(F.when(size.isNotNull(), F.lit(0.0)))
 
 
 def slug(tag: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(tag), r"[^a-z0-9]+", "-"), F.lit("-"))
+    """A tag in lower case with hyphens for underscores, slashes and blanks, one for each."""
+    return F.translate(F.lower(F.regexp_replace(tag, r"^\s+|\s+$", "")), "_/ ", "---")
 
 
 def column_name(path: Column) -> Column:
@@ -131,3 +188,13 @@ def role(name: Column) -> Column:
 
 def config_key(*parts: Column) -> Column:
     return F.substring(F.md5(F.concat_ws("|", *parts)), 1, 12)
+
+
+def first_key(text: Column, *keys: str) -> Column:
+    """The value of the first of these keys that a JSON object has."""
+    return F.coalesce(*(F.get_json_object(text, f"$.{k}") for k in keys))
+
+
+def prefixed(key: str, kind: str) -> str:
+    """A feature's key with its kind (action, state) in front, once."""
+    return key if key.startswith(f"{kind}.") else f"{kind}.{key}"

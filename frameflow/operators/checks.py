@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from frameflow.operators.sampling import positions
+
 
 def contiguity(df: DataFrame, episode: str = "episode", step: str = "step") -> DataFrame:
     """Per episode: n, bounds, and whether its steps are 0..n-1 by the closed forms of their sum and sum of squares."""
@@ -22,10 +24,8 @@ def bundle(df: DataFrame, x: str, y: str, keyframe: Column, episode: str = "epis
 
 
 def upper_median(df: DataFrame, value: str) -> DataFrame:
-    """The element at n div 2 of the sorted values, which have one row per episode."""
-    w = Window.orderBy(value)
-    numbered = df.withColumn("__r", F.row_number().over(w)).withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))))
-    return numbered.where("__r = __n div 2 + 1").select(F.col(value).alias("upper_median"))
+    """The element at n div 2 of the sorted values."""
+    return positions(df.select(value), value, to="__i").where(F.col("__i") == df.count() // 2).select(F.col(value).alias("upper_median"))
 
 
 def missing_ids(df: DataFrame, key: str, total: int) -> DataFrame:

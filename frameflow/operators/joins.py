@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from frameflow.operators.sampling import positions, running
+
 from frameflow.operators.windows import along
 
 
@@ -60,9 +62,8 @@ def range_join(df: DataFrame, key: str, ranges: DataFrame, width: int) -> DataFr
 
 
 def prefix_ranges(lengths: DataFrame, order: str, length: str) -> DataFrame:
-    """Adds start and end of each row in the running total of lengths. One row per shard meets in the running sum."""
-    end = F.sum(length).over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    return lengths.withColumn("end", end).withColumn("start", F.col("end") - F.col(length))
+    """Adds start and end of each row in the running total of lengths."""
+    return running(lengths, F.col(length), order, to="start").withColumn("end", F.col("start") + F.col(length))
 
 
 def attach(df: DataFrame, other: DataFrame, on: Sequence[str]) -> DataFrame:
@@ -73,8 +74,8 @@ def attach(df: DataFrame, other: DataFrame, on: Sequence[str]) -> DataFrame:
 
 
 def compact_ids(df: DataFrame, *keys: str, to: str = "new_id") -> DataFrame:
-    """Distinct keys with numbers 0, 1, ... in their order. One row per key meets in the numbering."""
-    return df.select(*keys).distinct().withColumn(to, (F.row_number().over(Window.orderBy(*keys)) - 1).cast("long"))
+    """Distinct keys with numbers 0, 1, ... in their order."""
+    return positions(df.select(*keys).distinct(), *keys, to=to)
 
 
 def first_failure(checks: Sequence[tuple[str, Column]], fine: str = "ok") -> Column:

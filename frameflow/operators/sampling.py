@@ -19,22 +19,39 @@ def hash_number(n: Column | int, *parts: Column) -> Column:
 
 
 def by_rate(df: DataFrame, rate: float, *keys: str) -> DataFrame:
-    """floor(rows * rate) rows, those with the least hashes of their keys."""
-    n = int(df.count() * rate)
-    return df.withColumn("__h", F.sha2(F.concat_ws(":", *(F.col(k).cast("string") for k in keys)), 256)).orderBy("__h", *keys).limit(n).drop("__h")
+    """floor(rows * rate) rows, those with the least hashes of their keys, equal ones by the keys.
 
-
-def weighted(draws: DataFrame, unit: str, weights: DataFrame, name: str, weight: str) -> DataFrame:
+    A histogram of the hashes' first four digits tells which kept rows need no comparison; only those of the one digit
+    group in which the cut falls are sorted.
+    """
+    hashed = df.withColumn("__h", F.sha2(F.concat_ws(":", *(F.col(k).cast("string") for k in keys)), 256)).withColumn("__p", F.substring("__h", 1, 4))
+    counts = sorted((r["__p"], r["count"]) for r in hashed.groupBy("__p").count().collect())  # at most 65,536 rows
+    left = int(sum(n for _, n in counts) * rate)
+    for prefix, n in counts:
+        if n > left:
+            break
+        left -= n
+    else:
+        return df
+    cut = hashed.where(F.col("__p") == prefix).orderBy("__h", *keys).limit(left)
+    return hashed.where(F.col("__p") < prefix).unionByName(cut).drop("__h", "__p")
+
+
+def weighted(draws: DataFrame, unit: str, weights: DataFrame, name: str, weight: str, slots: int = 4096) -> DataFrame:
     """For each draw the name whose stretch of the cumulative weights its unit number falls into.
 
-    weights has one row per dataset of a mixture and is joined by range in a broadcast of that size.
+    weights has one row per dataset of a mixture, 10,000 at most. Stretches are joined by the slots of the unit line
+    that they touch.
     """
     w = Window.orderBy(name).rowsBetween(Window.unboundedPreceding, 0)
     total = F.sum(weight).over(Window.partitionBy(F.lit(0)))
     ranges = weights.select(name, (F.sum(weight).over(w) / total).alias("hi"), ((F.sum(weight).over(w) - F.col(weight)) / total).alias("lo"))
     if ranges.limit(10_001).count() > 10_000:
         raise ValueError("a mixture has at most 10,000 datasets")
-    return draws.join(F.broadcast(ranges), (F.col(unit) >= F.col("lo")) & (F.col(unit) < F.col("hi"))).drop("lo", "hi")
+    slot = lambda c: F.floor(c * slots).cast("int")
+    spread = ranges.withColumn("__slot", F.explode(F.sequence(slot(F.col("lo")), slot(F.col("hi")))))
+    met = draws.withColumn("__slot", slot(F.col(unit))).join(F.broadcast(spread), "__slot")
+    return met.where((F.col(unit) >= F.col("lo")) & (F.col(unit) < F.col("hi"))).drop("lo", "hi", "__slot")
 
 
 def strided(df: DataFrame, stride: int, cap: int | None = None, group: str = "episode", step: str = "step", order: tuple[str, ...] = ("episode", "step")) -> DataFrame:
@@ -45,13 +62,59 @@ def strided(df: DataFrame, stride: int, cap: int | None = None, group: str = "ep
     return out
 
 
+def range_buckets(df: DataFrame, *order: str, most: int = 256, per_bucket: int = 64) -> Column:
+    """A column that numbers ranges of a global order, from bounds that are fixed here, as literals.
+
+    Bounds are quantiles of the rows with the least hashes of the order's columns, `most` times `per_bucket` at most.
+    Nulls come first.
+    """
+    keys = df.select(*order)
+    sample = keys.orderBy(F.xxhash64(*order), *order).limit(most * per_bucket).orderBy(*order).collect()
+    bounds = list(dict.fromkeys(tuple(sample[k]) for k in range(per_bucket, len(sample), per_bucket)))
+    kinds = [keys.schema[c].dataType for c in order]
+    here = F.struct(*(F.col(c).alias(c) for c in order))
+
+    def find(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        bound = F.struct(*(F.lit(v).cast(t).alias(c) for c, v, t in zip(order, bounds[mid], kinds)))
+        return F.when(here < bound, find(lo, mid)).otherwise(find(mid + 1, hi))
+
+    return find(0, len(bounds))
+
+
+def running(df: DataFrame, amount: Column, *order: str, to: str) -> DataFrame:
+    """Adds the sum of `amount` over all rows before this one in a global order, without one task for all rows.
+
+    Each range of the order is summed once; what comes before a range is a literal, what comes before a row in it a
+    window. Rows that are equal in the order come in any order, each once.
+    """
+    spread = df.withColumn("__b", range_buckets(df, *order)).withColumn("__a", amount)
+    sums = {r["__b"]: r["__s"] for r in spread.groupBy("__b").agg(F.sum("__a").alias("__s")).collect()}  # a row per range
+    before, total = [], 0
+    for k in range(max(sums, default=-1) + 1):
+        before.append(total)
+        total += sums.get(k) or 0
+    w = Window.partitionBy("__b").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    own = F.coalesce(F.sum("__a").over(w), F.lit(0))
+    start = F.element_at(F.array(*map(F.lit, before or [0])), F.col("__b") + 1)
+    return spread.withColumn(to, start + own).drop("__b", "__a")
+
+
 def positions(df: DataFrame, *order: str, to: str = "pos") -> DataFrame:
-    """Numbers rows 0, 1, ... in a global order without one task for all rows: counts per range, then within ranges."""
-    spread = df.repartitionByRange(*order).withColumn("__p", F.spark_partition_id())
-    n = spread.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
-    before = n.select(F.col("__p"), F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    own = F.row_number().over(Window.partitionBy("__p").orderBy(*order)) - 1
-    return spread.withColumn("__i", own).join(before, "__p").withColumn(to, (F.col("__before") + F.col("__i")).cast("long")).drop("__p", "__i", "__before")
+    """Numbers rows 0, 1, ... in a global order without one task for all rows."""
+    return running(df, F.lit(1).cast("long"), *order, to=to).withColumn(to, F.col(to).cast("long"))
+
+
+def nodes(df: DataFrame, k: int, *order: str, to: str = "node") -> DataFrame:
+    """Deals rows in a global order to k nodes in stretches of one length, the first ones longer by a row if need be."""
+    n = df.count()
+    least, more = divmod(n, k)
+    head = more * (least + 1)
+    pos = F.col("__n")
+    node = F.when(pos < head, F.expr(f"__n div {least + 1}")).otherwise(more + F.expr(f"(__n - {head}) div {max(1, least)}"))
+    return positions(df, *order, to="__n").withColumn(to, node.cast("long")).drop("__n")
 
 
 def held_out(df: DataFrame, stride: int, *order: str) -> DataFrame:

@@ -49,20 +49,36 @@ def frame_policy(u: Column, size: int, policy: str, in_frame: Column) -> Column:
     raise ValueError(f"unknown policy {policy!r}")
 
 
+def coordinate_source(known: Column, in_frame: Column, finite: Column, policy: Column) -> Column:
+    """Where a projected coordinate comes from, by the first of five labels that holds.
+
+    known: there is a coordinate after the policy; finite: the projection gave a finite pixel.
+    """
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    return (
+        F.when(~yes(known), "projection_invalid")
+        .when(yes(in_frame), "projection_in_frame")
+        .when((policy == "clip") & yes(finite), "projection_clipped")
+        .when((policy == "keep_raw") & yes(finite), "projection_raw_out_of_frame")
+        .otherwise("projection_valid_other")
+    )
+
+
 def track_summary(tracks: DataFrame, group: str, track: str, frame: str, x: str = "x", y: str = "y", visible: str = "visibility") -> DataFrame:
-    """Per track: path length, span, greatest jump and mean visibility."""
+    """Per track: path length, greatest and mean step, mean visibility and span."""
     w = Window.partitionBy(group, track).orderBy(frame)
-    jump = F.sqrt(F.pow(F.col(x) - F.lag(x).over(w), F.lit(2)) + F.pow(F.col(y) - F.lag(y).over(w), F.lit(2)))
-    g = tracks.withColumn("__j", jump).groupBy(group, track).agg(
-        F.coalesce(F.sum("__j"), F.lit(0.0)).alias("path"), F.coalesce(F.max("__j"), F.lit(0.0)).alias("jump"), F.avg(visible).alias("seen"),
+    step = F.sqrt(F.pow(F.col(x) - F.lag(x).over(w), F.lit(2)) + F.pow(F.col(y) - F.lag(y).over(w), F.lit(2)))
+    g = tracks.withColumn("__j", step).groupBy(group, track).agg(
+        F.coalesce(F.sum("__j"), F.lit(0.0)).alias("path"), F.coalesce(F.max("__j"), F.lit(0.0)).alias("jump"), F.coalesce(F.avg("__j"), F.lit(0.0)).alias("mean_step"), F.avg(visible).alias("seen"),
         F.min_by(F.struct(x, y), frame).alias("__a"), F.max_by(F.struct(x, y), frame).alias("__b"),
     )
     return g.withColumn("span", F.sqrt(F.pow(F.col("__b")[x] - F.col("__a")[x], F.lit(2)) + F.pow(F.col("__b")[y] - F.col("__a")[y], F.lit(2)))).drop("__a", "__b")
 
 
-def tracks_kept(summary: DataFrame, group: str, least_path: float, most_jump: float, least_seen: float) -> DataFrame:
-    """Adds kept: long enough in path and span, no wild jump, visible enough. All are kept of two or fewer, or if none would be."""
-    good = (F.col("path") >= least_path) & (F.col("span") >= least_path) & (F.col("jump") <= most_jump) & (F.col("seen") >= least_seen)
+def tracks_kept(summary: DataFrame, group: str, least_path: float = 5.0, most_jump: float = 50.0, most_step: float = 10.0, least_seen: float = 0.2) -> DataFrame:
+    """Adds kept: visible enough, steps below both bounds, and not short in path and span alike. All are kept of two or
+    fewer, or if none would be."""
+    good = (F.col("seen") >= least_seen) & (F.col("jump") < most_jump) & (F.col("mean_step") < most_step) & ~((F.col("span") < least_path) & (F.col("path") < least_path))
     w = Window.partitionBy(group)
     return summary.withColumn("__g", good).withColumn("kept", (F.count(F.lit(1)).over(w) <= 2) | (F.sum(F.col("__g").cast("int")).over(w) == 0) | F.col("__g")).drop("__g")
 
@@ -73,22 +89,32 @@ def longest(summary: DataFrame, group: str, track: str, k: int) -> DataFrame:
     return summary.where("kept").withColumn("rank", F.row_number().over(w).cast("long")).where(f"rank <= {int(k)}")
 
 
-def fused(tracks: DataFrame, group: str, frame: str, weights: tuple[float, float, float, float] = (0.4, 0.3, 0.1, 0.2), x: str = "x", y: str = "y", visible: str = "visibility") -> DataFrame:
-    """Per frame the weighted mean of four estimates: by visibility (plain mean if nothing is visible), median, mean, and
-    by consistency, where a track weighs 1 / (1 + its own standard deviations in x and y)."""
-    w = Window.partitionBy(group, "__track") if "__track" in tracks.columns else None
-    if w is None:
-        raise ValueError("tracks need a __track column")
-    t = tracks.withColumn("__c", 1.0 / (1.0 + F.stddev_pop(x).over(w) + F.stddev_pop(y).over(w)))
-    total = sum(weights)
+def fused(tracks: DataFrame, group: str, frame: str, x: str = "x", y: str = "y", visible: str = "visibility", smoothing: int = 5) -> DataFrame:
+    """Per frame one point of all tracks, then a centred moving average over frames (none if there are fewer frames).
 
-    def estimate(v: str) -> list[Column]:
+    The point is the weighted mean of the mean by visibility (plain if nothing is visible), the median, and the plain
+    mean, with weight 1 each, and the plain mean once more, with the frame's consistency 1 / (1 + sx + sy) as weight,
+    where sx and sy are the standard deviations over the frame's tracks.
+    """
+    trust = 1.0 / (1.0 + F.stddev_pop(x) + F.stddev_pop(y))
+
+    def point(v: str) -> Column:
         by_sight = F.when(F.sum(visible) > 1e-6, F.sum(F.col(v) * F.col(visible)) / F.sum(visible)).otherwise(F.avg(v))
-        by_trust = F.sum(F.col(v) * F.col("__c")) / F.sum("__c")
-        parts = (by_sight, F.percentile(v, F.lit(0.5)), F.avg(v), by_trust)
-        return sum((F.lit(k / total) * p for k, p in zip(weights[1:], parts[1:])), F.lit(weights[0] / total) * parts[0])
+        return (by_sight + F.percentile(v, F.lit(0.5)) + F.avg(v) + trust * F.avg(v)) / (3.0 + trust)
+
+    out = tracks.groupBy(group, frame).agg(point(x).alias("fused_x"), point(y).alias("fused_y"))
+    if smoothing > 1:
+        w = Window.partitionBy(group).orderBy(frame).rowsBetween(-(smoothing // 2), smoothing // 2)
+        enough = F.count(F.lit(1)).over(Window.partitionBy(group)) >= smoothing
+        out = out.select(group, frame, *(F.when(enough, F.avg(c).over(w)).otherwise(F.col(c)).alias(c) for c in ("fused_x", "fused_y")))
+    return out
+
 
-    return t.groupBy(group, frame).agg(estimate(x).alias("fused_x"), estimate(y).alias("fused_y"))
+def fuse(tracks: DataFrame, group: str, track: str, frame: str, most_tracks: int | None = None, smoothing: int = 5, **bounds: float) -> DataFrame:
+    """fused() of the tracks that tracks_kept() keeps, of these the `most_tracks` longest."""
+    kept = tracks_kept(track_summary(tracks, group, track, frame), group, **bounds)
+    kept = longest(kept, group, track, most_tracks) if most_tracks else kept.where("kept")
+    return fused(tracks.join(kept.select(group, track), [group, track], "left_semi"), group, frame, smoothing=smoothing)
 
 
 def box_iou(a: tuple[Column, Column, Column, Column], b: tuple[Column, Column, Column, Column]) -> Column:

@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from frameflow.operators.sampling import running
+
 
 def along(episode: str = "episode", step: str = "step") -> WindowSpec:
     return Window.partitionBy(episode).orderBy(step)
@@ -106,9 +108,8 @@ def number(df: DataFrame, episode: str = "episode", step: str = "step") -> DataF
 
 
 def offsets(df: DataFrame, episode: str = "episode") -> DataFrame:
-    """(episode, n, start): rows of each episode and of all before it. One row per episode meets in the running sum."""
-    n = df.groupBy(episode).agg(F.count(F.lit(1)).alias("n"))
-    return n.withColumn("start", F.coalesce(F.sum("n").over(Window.orderBy(episode).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    """(episode, n, start): rows of each episode and of all before it."""
+    return running(df.groupBy(episode).agg(F.count(F.lit(1)).alias("n")), F.col("n"), episode, to="start")
 
 
 def clamp(index: Column, length: Column) -> Column:
@@ -186,20 +187,25 @@ def replayed(df: DataFrame, chunk_: str, size: int, episode: str = "episode", st
 
 
 def ensemble(df: DataFrame, chunk_: str, horizon: int, alpha: float, episode: str = "episode", step: str = "step", to: str = "ensemble") -> DataFrame:
-    """Average of what the last `horizon` chunks predict for now, weighted by exp(alpha * cosine with the newest).
+    """Average of the vectors that the last `horizon` chunks predict for now, weighted by exp(alpha * cosine with the newest).
 
-    For scalar predictions the cosine is 1 where signs agree, -1 where not, and about 0 if one is 0.
+    A chunk is an array of vectors, for its own step and those after it.
     """
     w = along(episode, step)
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    scaled = lambda a, c: F.transform(a, lambda x: x * c)
     now = F.element_at(chunk_, 1)
-    num = den = None
+    total = den = None
     for k in range(horizon):
         past = F.element_at(chunk_ if k == 0 else F.lag(chunk_, k).over(w), k + 1)
-        cosine = past * now / (F.abs(past) * F.abs(now) + F.lit(1e-7))
+        cosine = dot(past, now) / (F.sqrt(dot(past, past)) * F.sqrt(dot(now, now)) + F.lit(1e-7))
         weight = F.coalesce(F.exp(F.lit(alpha) * cosine), F.lit(0.0))
-        num = weight * F.coalesce(past, F.lit(0.0)) if num is None else num + weight * F.coalesce(past, F.lit(0.0))
-        den = weight if den is None else den + weight
-    return df.withColumn(to, num / den)
+        df = df.withColumn(f"__w{k}", weight).withColumn(f"__p{k}", past)
+        den = F.col(f"__w{k}") if den is None else den + F.col(f"__w{k}")
+        part = scaled(F.coalesce(f"__p{k}", now), F.col(f"__w{k}"))
+        total = part if total is None else F.zip_with(total, part, lambda x, y: x + y)
+    df = df.withColumn("__den", den)
+    return df.withColumn(to, scaled(total, 1 / F.col("__den"))).drop("__den", *(f"__{c}{k}" for c in "wp" for k in range(horizon)))
 
 
 def keyframes_selected(df: DataFrame, episode: str = "episode", step: str = "step") -> DataFrame:

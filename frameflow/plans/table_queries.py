@@ -40,9 +40,10 @@ def label_last_wins(v):
     return joins.first_of(d, ["episode", "pair"], F.desc("step")).select("episode", "pair", "label")
 
 
-@query("select range as doc_id from range(1000) where range not in (select doc_id from labels)")
+@query("select range as doc_id from range((select max(doc_id) + 1 from documents)) where range not in (select doc_id from labels)")
 def missing_ids_labels(v):
-    return missing_ids(v.t("labels"), "doc_id", 1000)
+    total = v.t("documents").agg(F.max("doc_id")).first()[0] + 1
+    return missing_ids(v.t("labels"), "doc_id", total)
 
 
 @query("select doc_id from documents where doc_id not in (select doc_id from labels)")
@@ -185,17 +186,20 @@ def grand_total(v):
 
 
 _SUM = TRACK + """, j as (select *, sqrt((x - lag(x) over w) ** 2 + (y - lag(y) over w) ** 2) as jump from track window w as (partition by tag, track order by frame)),
- su as (select tag, track, coalesce(sum(jump), 0) as path, coalesce(max(jump), 0) as jump, avg(visibility) as seen, sqrt((arg_max(x, frame) - arg_min(x, frame)) ** 2 + (arg_max(y, frame) - arg_min(y, frame)) ** 2) as span from j group by tag, track),
- good as (select *, path >= 10 and span >= 10 and jump <= 95 and seen >= 0.1 as g from su), kept as (select *, count(*) over (partition by tag) <= 2 or sum(g::int) over (partition by tag) = 0 or g as kept from good)"""
+ su as (select tag, track, coalesce(sum(jump), 0) as path, coalesce(max(jump), 0) as jump, coalesce(avg(jump), 0) as mean_step, avg(visibility) as seen, sqrt((arg_max(x, frame) - arg_min(x, frame)) ** 2 + (arg_max(y, frame) - arg_min(y, frame)) ** 2) as span from j group by tag, track),
+ good as (select *, seen >= 0.096 and jump < 55 and mean_step < 23.5 and not (path < 70 and span < 70) as g from su), kept as (select *, count(*) over (partition by tag) <= 2 or sum(g::int) over (partition by tag) = 0 or g as kept from good)"""
+
+
+_BOUNDS = {"least_path": 70.0, "most_jump": 55.0, "most_step": 23.5, "least_seen": 0.096}
 
 
 def _summary(v):
-    return T.tracks_kept(T.track_summary(v.tracks(), "tag", "track", "frame"), "tag", 10.0, 95.0, 0.1)
+    return T.tracks_kept(T.track_summary(v.tracks(), "tag", "track", "frame"), "tag", **_BOUNDS)
 
 
-@query(f"with {_SUM} select tag, track, path, span, jump, seen, kept from kept")
+@query(f"with {_SUM} select tag, track, path, span, jump, mean_step, seen, kept from kept")
 def track_filter(v):
-    return _summary(v).select("tag", "track", "path", "span", "jump", "seen", "kept")
+    return _summary(v).select("tag", "track", "path", "span", "jump", "mean_step", "seen", "kept")
 
 
 @query(f"with {_SUM}, r as (select tag, track, row_number() over (partition by tag order by round(path, 9) desc, track) as rank from kept where kept) select * from r where rank <= 3")
@@ -203,13 +207,15 @@ def topk_tracks(v):
     return T.longest(_summary(v).withColumn("path", F.round("path", 9)), "tag", "track", 3).select("tag", "track", "rank")
 
 
-def _est(c: str) -> str:
-    return f"0.4 * (case when sum(visibility) > 1e-6 then sum({c} * visibility) / sum(visibility) else avg({c}) end) + 0.3 * quantile_cont({c}, 0.5) + 0.1 * avg({c}) + 0.2 * sum({c} * c) / sum(c)"
+_FUSED = f"""{_SUM}, used as (select t.* from track t join (select tag, track, row_number() over (partition by tag order by path desc, track) as r from kept where kept) k using (tag, track) where r <= 20),
+ c as (select tag, frame, case when sum(visibility) > 1e-6 then sum(x * visibility) / sum(visibility) else avg(x) end as vx, case when sum(visibility) > 1e-6 then sum(y * visibility) / sum(visibility) else avg(y) end as vy,
+ quantile_cont(x, 0.5) as mx, quantile_cont(y, 0.5) as my, avg(x) as ax, avg(y) as ay, 1.0 / (1.0 + stddev_pop(x) + stddev_pop(y)) as c from used group by tag, frame),
+ p as (select tag, frame, (1 * vx + 1 * mx + 1 * ax + c * ax) / (1 + 1 + 1 + c) as px, (1 * vy + 1 * my + 1 * ay + c * ay) / (1 + 1 + 1 + c) as py, count(*) over (partition by tag) as n from c)"""
 
 
-@query(f"with {TRACK}, t as (select *, 1.0 / (1.0 + stddev_pop(x) over p + stddev_pop(y) over p) as c from track window p as (partition by tag, track)) select tag, frame, {_est('x')} as fused_x, {_est('y')} as fused_y from t group by tag, frame")
+@query(f"with {_FUSED} select tag, frame, case when n < 5 then px else avg(px) over w end as fused_x, case when n < 5 then py else avg(py) over w end as fused_y from p window w as (partition by tag order by frame rows between 2 preceding and 2 following)")
 def track_fusion(v):
-    return T.fused(v.tracks(), "tag", "frame")
+    return T.fuse(v.tracks(), "tag", "track", "frame", most_tracks=20, **_BOUNDS)
 
 
 _CAM = [[0.8, 0.1, 0.0, 0.5], [0.0, 0.9, 0.1, -0.2], [0.1, 0.0, 0.7, 2.0]]
@@ -245,12 +251,12 @@ def coord_to_pixel(v):
     return v.traj().select("event_id", T.to_pixel(F.col("x"), 256).alias("px"), T.to_pixel(F.col("x"), 1).alias("one"))
 
 
-@query("with q as (select i as q, i * 0.37::double as ts from range(50) r(i)), f as (select k as frame, k / 5.0::double as at_ from range(100) r(k)) select q, arg_min(frame, struct_pack(d := round(abs(at_ - ts), 9), f := frame)) as frame from q, f group by q")
+@query("with q as (select vec_id as q, (vec_id % 50) * 0.37::double as ts from embeddings), f as (select k as frame, k / 5.0::double as at_ from range(100) r(k)) select q, arg_min(frame, struct_pack(d := round(abs(at_ - ts), 9), f := frame)) as frame from q, f group by q")
 def nearest_frame(v):
     # frames are evenly spaced, so only the neighbours of ts * fps can be nearest
-    at = F.col("id") * 0.37
+    at = (F.col("vec_id") % 50) * 0.37
     near = F.transform(F.sequence(F.floor(at * 5), F.floor(at * 5) + 1), lambda k: F.struct(F.round(F.abs(k / 5.0 - at), 9).alias("d"), k.alias("frame")))
-    return v.spark.range(50).select(F.col("id").alias("q"), F.array_min(near)["frame"].alias("frame"))
+    return v.t("embeddings").select(F.col("vec_id").alias("q"), F.array_min(near)["frame"].alias("frame"))
 
 
 @query("with d as (select vec_id, 1.0 + vec_id % 40 as dur from embeddings), k as (select vec_id, greatest(4, least(16, cast(round_even(dur / 2.0, 0) as int))) as want, cast(dur * 5 as bigint) as frames from d) select distinct vec_id, cast(floor(i * (frames - 1) / (want - 1)::double) as bigint) as frame from k, range(16) r(i) where i < want")
@@ -259,10 +265,11 @@ def frame_budget(v):
     return d.select("vec_id", F.explode(P.frame_budget(F.col("dur"), (F.col("dur") * 5).cast("long"), 2.0, 4, 16)).alias("frame"))
 
 
-@query("""with recursive """ + TRAJ + """, s as (select episode, step, x / 100 as g from traj), a as (select episode, step, g, 0 as sticky, 0 as left_, g as ref from s where step = 0
- union all select s.episode, s.step, s.g, case when a.left_ > 0 then a.sticky when abs(s.g - a.ref) > 0.5 then (case when s.g > a.ref then 1 else -1 end) else 0 end,
- case when a.left_ > 0 then a.left_ - 1 when abs(s.g - a.ref) > 0.5 then 2 else 0 end, case when a.left_ = 0 and abs(s.g - a.ref) > 0.5 then s.g else a.ref end from a join s on s.episode = a.episode and s.step = a.step + 1)
- select episode, step, cast(sticky as bigint) as sticky from a""")
+@query("""with recursive """ + TRAJ + """, s as (select episode, step, x / 100 as g from traj), a as (select episode, step, g as ref, false as held, 0::double as hold, 0 as told, 0::double as sticky from s where step = 0
+ union all select episode, step, ref, held and told < 3, hold, case when held and told < 3 then told else 0 end, case when held then hold else ref0 - g end from (
+  select s.episode, s.step, s.g, a.ref as ref0, a.held or abs(a.ref - s.g) > 0.5 as held, case when a.held then a.hold else a.ref - s.g end as hold,
+  case when a.held or abs(a.ref - s.g) > 0.5 then a.told + 1 else a.told end as told, case when not a.held and abs(a.ref - s.g) > 0.5 then s.g else a.ref end as ref from a join s on s.episode = a.episode and s.step = a.step + 1))
+ select episode, step, sticky from a""")
 def sticky_gripper(v):
     from frameflow.streaming.control import sticky
 
@@ -288,16 +295,22 @@ def role_map(v):
     return c.withColumn("r", r).where("not (r = 1 and role <> 'human')").select("conv_id", "turn", X.role(F.col("role")).alias("role"))
 
 
-@query("with " + TRAJ + " select event_id, case when event_id % 5 = 0 then null else floor(y)::double end as px, case when event_id % 5 = 0 then null else floor(x)::double end as py from traj")
+_SAID = """case event_id % 6 when 0 then 'no point here, 43 58' when 1 then '<point x="' || cast(floor(y) as int) || '" y="' || cast(floor(x) as int) || '" alt="grip">' when 2 then 'Gripper coordinates: ' || cast(floor(y) as int) || ', ' || cast(floor(x) as int) || ' near (1, 2)'
+ when 3 then '(999, 1) or X: ' || cast(floor(y) as int) || '.5, then Y: ' || cast(floor(x) as int) when 4 then 'first (7, 8); the coordinate (' || cast(floor(y) as int) || ' , ' || cast(floor(x) as int) || ')' else '[' || cast(floor(y) as int) || ', ' || cast(floor(x) as int) || ']' end"""
+_FOUND = ", ".join(f"case when regexp_extract(said, '{p}', 1) <> '' and cast(regexp_extract(said, '{p}', 1) as double) between 0 and 100 and cast(regexp_extract(said, '{p}', 2) as double) between 0 and 100 then [cast(regexp_extract(said, '{p}', 1) as double), cast(regexp_extract(said, '{p}', 2) as double)] end" for p in X.POINT_PATTERNS)
+
+
+@query("with " + TRAJ + f", t as (select event_id, lower({_SAID}) as said from traj) select event_id, coalesce({_FOUND})[1] as px, coalesce({_FOUND})[2] as py from t")
 def parse_point(v):
     a, b = F.floor("y").cast("string"), F.floor("x").cast("string")
-    k = F.col("event_id") % 5
+    k = F.col("event_id") % 6
     text = (
-        F.when(k == 0, F.lit("no point here"))
-        .when(k == 1, F.concat(F.lit('<point x="'), a, F.lit('" y="'), b, F.lit('">')))
-        .when(k == 2, F.concat(F.lit("The point is ("), a, F.lit(", "), b, F.lit(")")))
-        .when(k == 3, F.concat(F.lit("[999, 1] or X: "), a, F.lit(", Y: "), b))
-        .otherwise(F.concat(a, F.lit(" "), b))
+        F.when(k == 0, F.lit("no point here, 43 58"))
+        .when(k == 1, F.concat(F.lit('<point x="'), a, F.lit('" y="'), b, F.lit('" alt="grip">')))
+        .when(k == 2, F.concat(F.lit("Gripper coordinates: "), a, F.lit(", "), b, F.lit(" near (1, 2)")))
+        .when(k == 3, F.concat(F.lit("(999, 1) or X: "), a, F.lit(".5, then Y: "), b))
+        .when(k == 4, F.concat(F.lit("first (7, 8); the coordinate ("), a, F.lit(" , "), b, F.lit(")")))
+        .otherwise(F.concat(F.lit("["), a, F.lit(", "), b, F.lit("]")))
     )
     p = X.parse_point(text)
     return v.traj().select("event_id", p["x"].alias("px"), p["y"].alias("py"))
@@ -322,9 +335,9 @@ def text_to_trace(v):
     return t.select("event_id", F.col("p")[0]["x"].alias("x0"), F.col("p")[1]["x"].alias("x1"), F.col("p")[3]["x"].alias("x3"), F.col("p")[3]["y"].alias("y3"), F.size("p").cast("long").alias("size"))
 
 
-@query("with " + TRAJ + " select event_id, 'Predict 4 trace points for the task: ' || task as prompt from traj")
+@query("with " + TRAJ + " select event_id, task || '. Predict the gripper trace as 4 anchor points (start, intermediate, end) in [[x,y]] format with coords 0-1000.' as prompt, task || '. Predict 8 latent action tokens, then To identify the gripper trace, locate 6 anchor points in [[x,y]] format with coords 0-1000.' as both_parts from traj")
 def prompt_text(v):
-    return v.traj().select("event_id", X.prompt(F.col("task"), "plain").alias("prompt"))
+    return v.traj().select("event_id", X.prompt(F.col("task"), X.trace_prompt("plain")).alias("prompt"), X.prompt(F.col("task"), X.semantic_prompt("trace_latent", "cot_bbox", 6, 8, "latent_trace")).alias("both_parts"))
 
 
 @query("with " + TRAJ + " select event_id, '<LAM_' || step || '><LAM_' || (step + 1) || '>' as tokens, step + 1 as second from traj")
@@ -333,10 +346,40 @@ def lam_tokens(v):
     return t.select("event_id", "tokens", X.latent_codes(F.col("tokens"), 4)[1].alias("second"))
 
 
-@query("with " + TRAJ + " select event_id, 'Latent: <LAM_' || step || '>' || chr(10) || 'Trace: ' || task as target from traj")
+@query("with " + TRAJ + " select event_id, '<LAM_' || step || '>[[' || cast(round_even(y * 10, 0) as int) || ', 250]]' as target, '[[' || cast(round_even(y * 10, 0) as int) || ', 250]]<LAM_' || step || '>' as trace_first, '<LAM_' || step || '>' as latent_only from traj")
 def semantic_target(v):
     latent = X.latent_tokens(F.array("step"))
-    return v.traj().select("event_id", X.semantic_target("both", F.col("task"), latent, ("latent", "trace")).alias("target"))
+    trace = X.trace_to_text(F.array(F.struct((F.col("y") / 100).alias("x"), F.lit(0.25).alias("y"))), "cot_bbox")
+    say = lambda mode, order="trace_latent": X.semantic_target(mode, trace, latent, order)
+    return v.traj().select("event_id", say("trace_latent", "latent_trace").alias("target"), say("trace_latent").alias("trace_first"), say("latent_only").alias("latent_only"))
+
+
+_ANSWERS = """case event_id % 4 when 0 then '[[' || cast(y as int) || '.7, 900], [-5, 2000]]' when 1 then 'Sure: [' || cast(y as int) || ', 900] and [0.5, 3], then [7,8]' when 2 then '[{"point_2d": [' || cast(y as int) || ', 900], "label": "start"}, {"label": "end"}]' else 'nothing' end"""
+
+
+@query("with " + TRAJ + """ select event_id, '[{"point_2d": [' || cast(round_even(y * 10, 0) as int) || ', 500], "label": "start"}, {"point_2d": [0, 0], "label": "one_third"}, {"point_2d": [0, 0], "label": "two_third"}, {"point_2d": [0, 0], "label": "end"}, {"point_2d": [0, 1000], "label": "anchor_4"}]' as text from traj""")
+def trace_labels(v):
+    s = lambda a, b: F.struct(a.alias("x"), F.lit(b).alias("y"))
+    points = F.array(s(F.col("y") / 100, 0.5), *[s(F.lit(0.0), 0.0)] * 3, s(F.lit(-0.5), 1.0))
+    return v.traj().select("event_id", X.trace_to_text(points, "qwen_point_2d").alias("text"))
+
+
+@query("with " + TRAJ + f""", t as (select event_id, y, {_ANSWERS} as answer from traj) select event_id, answer,
+ case when event_id % 4 = 3 then 0 else cast(y as int) / 1000.0::double end as x0, case when event_id % 4 = 3 then 0 else 0.9::double end as y0,
+ case event_id % 4 when 0 then 0 when 1 then 0.007::double when 2 then cast(y as int) / 1000.0::double else 0 end as x1,
+ case event_id % 4 when 0 then 1 when 1 then 0.008::double when 2 then 0.9::double else 0 end as y1 from t""")
+def trace_answers(v):
+    y = F.col("y").cast("int").cast("string")
+    k = F.col("event_id") % 4
+    answer = (
+        F.when(k == 0, F.concat(F.lit("[["), y, F.lit(".7, 900], [-5, 2000]]")))
+        .when(k == 1, F.concat(F.lit("Sure: ["), y, F.lit(", 900] and [0.5, 3], then [7,8]")))
+        .when(k == 2, F.concat(F.lit('[{"point_2d": ['), y, F.lit(', 900], "label": "start"}, {"label": "end"}]')))
+        .otherwise("nothing")
+    )
+    read = F.when(k == 2, X.text_to_trace(F.col("answer"), 2, "qwen_point_2d")).otherwise(X.text_to_trace(F.col("answer"), 2))
+    t = v.traj().select("event_id", answer.alias("answer")).withColumn("p", read)
+    return t.select("event_id", "answer", *(F.col("p")[i][c].alias(f"{c}{i}") for i in (0, 1) for c in ("x", "y")))
 
 
 @query("select event_id, props as obj, cast(json_extract_string(props, '$.k') as bigint) as k from events")
@@ -352,15 +395,16 @@ def suite_parse(v):
     return v.t("embeddings").select(F.col("label").alias("label_")).distinct().select("label_", X.suite(name).alias("suite"))
 
 
-@query("select p_partkey, case p_partkey % 4 when 0 then p_size::double when 1 then p_size / 1024.0::double when 2 then p_size * 1024.0::double else p_size / 1048576.0::double end as gb from part")
+@query("""select p_partkey, case p_partkey % 6 when 0 then p_size::double when 1 then p_size / 1024.0::double when 2 then p_size * 1024.0::double when 3 then p_size / 1048576.0::double
+ when 4 then p_size / 1073741824.0::double else 0 end as gb from part""")
 def size_parse(v):
-    unit = F.element_at(F.array(*map(F.lit, ("GB", "MB", "T", "K"))), (F.col("p_partkey") % 4 + 1).cast("int"))
-    return v.t("part").select("p_partkey", X.gigabytes(F.concat(F.col("p_size").cast("string"), F.lit(" "), unit)).alias("gb"))
+    unit = F.get(F.array(*map(F.lit, ("GB", "MB/9G", "T", "kB", " MB"))), (F.col("p_partkey") % 6).cast("int"))
+    return v.t("part").select("p_partkey", X.gigabytes(F.coalesce(F.concat(F.lit(" "), F.col("p_size").cast("string"), unit), F.lit("size 5GB"))).alias("gb"))
 
 
-@query("select p_partkey, trim(regexp_replace(lower(p_name || ' / ' || p_brand), '[^a-z0-9]+', '-', 'g'), '-') as slug from part")
+@query("select p_partkey, replace(replace(replace(lower(p_name || ' / ' || p_brand || '_(x)'), '_', '-'), '/', '-'), ' ', '-') as slug from part")
 def slugify(v):
-    return v.t("part").select("p_partkey", X.slug(F.concat("p_name", F.lit(" / "), "p_brand")).alias("slug"))
+    return v.t("part").select("p_partkey", X.slug(F.concat(F.lit("  "), "p_name", F.lit(" / "), "p_brand", F.lit("_(x) "))).alias("slug"))
 
 
 @query("select event_id, case event_type when 'click' then 'delta' when 'view' then 'rel' else 'abs' end as mode from events")

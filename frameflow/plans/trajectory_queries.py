@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from frameflow.functions.text import first_key
 from frameflow.operators import windows as W
 from frameflow.operators.checks import bundle, contiguity, gate, missing_ids, upper_median
 from frameflow.operators.joins import attach, first_of, lookup
 from frameflow.operators.sampling import spread_positions
-from frameflow.operators.traces import valid
+from frameflow.operators.traces import coordinate_source, valid
 from frameflow.plans.registry import query
 from frameflow.plans.views import GAPS, QA, TRAJ
 
@@ -119,9 +120,10 @@ def path_stats(v):
     return W.path_stats(v.traj())
 
 
-@query("with " + TRAJ + f", c as (select episode, step, event_id, coalesce(lead(x, step % 4 - step % 4) over w, 0) as x0 from traj window w as (" + _W + ")) select a.event_id, b.x as replay from traj a join traj b on a.episode = b.episode and b.step = a.step")
+@query("with " + TRAJ + " select a.event_id, b.x + 10 * (a.step % 4) as replay from traj a join traj b on a.episode = b.episode and b.step = a.step - a.step % 4")
 def chunk_replay(v):
-    return W.replayed(W.chunk(v.traj(), "x", 4), "chunk", 4).select("event_id", "replay")
+    predicted = v.traj().withColumn("chunk", F.array(*(F.col("x") + 10 * k for k in range(4))))
+    return W.replayed(predicted, "chunk", 4).select("event_id", "replay")
 
 
 @query("with " + TRAJ + " select event_id, (x - min(x) over w) / (max(x) over w - min(x) over w + 1e-6) as probe from traj window w as (" + _W + " rows between unbounded preceding and current row)")
@@ -150,7 +152,7 @@ _KEYED = GAPS + ", keyed as (select event_id, episode, step, case when is_keyfra
 
 @query("with " + _KEYED + _FILL.format(c="x", t="keyed") + " select event_id, " + _VALUE.format(c="x", d="") + " as x from f")
 def keyframe_interp(v):
-    d = v.gaps().withColumn("x", F.when("is_keyframe", F.col("x")) if False else F.when(F.col("is_keyframe"), F.col("x")))
+    d = v.gaps().withColumn("x", F.when(F.col("is_keyframe"), F.col("x")))
     return W.interpolate(d, ["x"]).select("event_id", "x")
 
 
@@ -185,12 +187,12 @@ def coord_validate(v):
     return v.gaps().select("event_id", valid(F.col("x"), F.col("y"), 10.0, 90.0).alias("valid"))
 
 
-@query("with " + GAPS + " select case when x is null then 'null' when is_keyframe then 'keyframe' when x < 20 or x > 80 then 'border' else 'plain' end as source, count(*) as n from gaps group by 1")
+@query("with " + GAPS + """, s as (select *, ['mask', 'clip', 'keep_raw'][episode % 3 + 1] as policy from gaps)
+ select policy, case when x is null then 'projection_invalid' when x between 20 and 80 then 'projection_in_frame' when policy = 'clip' and y < 90 then 'projection_clipped' when policy = 'keep_raw' and y < 90 then 'projection_raw_out_of_frame' else 'projection_valid_other' end as source, count(*) as n from s group by all""")
 def source_counts(v):
-    from frameflow.operators.joins import first_failure
-
-    c = first_failure([("null", F.col("x").isNull()), ("keyframe", F.col("is_keyframe")), ("border", (F.col("x") < 20) | (F.col("x") > 80))], "plain")
-    return v.gaps().groupBy(c.alias("source")).agg(F.count(F.lit(1)).alias("n"))
+    policy = F.get(F.array(*map(F.lit, ("mask", "clip", "keep_raw"))), (F.col("episode") % 3).cast("int"))
+    c = coordinate_source(F.col("x").isNotNull(), F.col("x").between(20, 80), F.col("y") < 90, F.col("policy"))
+    return v.gaps().withColumn("policy", policy).groupBy("policy", c.alias("source")).agg(F.count(F.lit(1)).alias("n"))
 
 
 _TASKS = "tasks as (select task, row_number() over (order by task) - 1 as task_index from (select distinct event_type as task from events))"
@@ -231,9 +233,10 @@ def instruction_fallback(v):
     return v.traj().select("event_id", F.coalesce(given, F.concat(F.lit("ds episode "), F.col("episode").cast("string"))).alias("instruction"))
 
 
-@query("select event_id, coalesce(json_extract_string(props, '$.action'), json_extract_string(props, '$.k')) as action from events")
+@query("select event_id, case when event_id % 3 = 0 then event_type else json_extract_string(props, '$.k') end as action from events")
 def key_fallback(v):
-    return v.t("events").select("event_id", F.coalesce(F.get_json_object("props", "$.action"), F.get_json_object("props", "$.k")).alias("action"))
+    named = F.when(F.col("event_id") % 3 == 0, F.to_json(F.struct(F.col("event_type").alias("action"), F.lit(0).alias("k")))).otherwise(F.col("props"))
+    return v.t("events").select("event_id", named.alias("props")).select("event_id", first_key("props", "action", "k").alias("action"))
 
 
 @query("with " + QA + " select episode, count(*) as n, min(step) as first, max(step) as last, min(step) = 0 and max(step) = count(*) - 1 and count(distinct step) = count(*) as contiguous from qa group by episode".replace(" as first", ' as "first"').replace(" as last", ' as "last"'))
@@ -288,20 +291,15 @@ def code_perplexity(v):
     return perplexity(v.traj(), "y", "episode")
 
 
-def _ens(h: int) -> str:
-    out = []
-    for k in range(h):
-        chunk = f"coalesce(lead(x, {k}) over w, {_LAST})"
-        out.append(f"case when step >= {k} then x end as p{k}")
-    return ", ".join(out)
+_ENS = ", ".join(f"coalesce(exp(0.1 * ((a{k} * a0 + b{k} * b0) / (sqrt(a{k} * a{k} + b{k} * b{k}) * sqrt(a0 * a0 + b0 * b0) + 1e-7))), 0) as w{k}" for k in range(3))
 
 
-@query("with " + TRAJ + ", p as (select event_id, x, x * 0.9 + y * 0.1 as q, step, lag(x * 0.9 + y * 0.1, 1) over w as q1, lag(x * 0.9 + y * 0.1, 2) over w as q2 from traj window w as (" + _W + """)),
- e as (select event_id, q, q1, q2, exp(0.1 * (q * q / (abs(q) * abs(q) + 1e-7))) as w0, coalesce(exp(0.1 * (q1 * q / (abs(q1) * abs(q) + 1e-7))), 0) as w1, coalesce(exp(0.1 * (q2 * q / (abs(q2) * abs(q) + 1e-7))), 0) as w2 from p)
- select event_id, (w0 * q + w1 * coalesce(q1, 0) + w2 * coalesce(q2, 0)) / (w0 + w1 + w2) as ensemble from e""")
+@query("with " + TRAJ + """, p as (select event_id, x * 0.9 + y * 0.1 as a0, y - 50 as b0, lag(x * 0.9 + y * 0.1, 1) over w + 1 as a1, lag(y - 50, 1) over w - 1 as b1, lag(x * 0.9 + y * 0.1, 2) over w + 2 as a2, lag(y - 50, 2) over w - 2 as b2 from traj window w as (""" + _W + f""")),
+ e as (select *, {_ENS} from p) select event_id, (w0 * a0 + w1 * coalesce(a1, 0) + w2 * coalesce(a2, 0)) / (w0 + w1 + w2) as first_dim, (w0 * b0 + w1 * coalesce(b1, 0) + w2 * coalesce(b2, 0)) / (w0 + w1 + w2) as second_dim from e""")
 def adaptive_ensemble(v):
-    d = v.traj().withColumn("q", F.col("x") * 0.9 + F.col("y") * 0.1).withColumn("c", F.array_repeat("q", 3))
-    return W.ensemble(d, "c", 3, 0.1).select("event_id", "ensemble")
+    q, y = F.col("x") * 0.9 + F.col("y") * 0.1, F.col("y") - 50
+    d = v.traj().withColumn("c", F.array(*(F.array(q + k, y - k) for k in range(3))))
+    return W.ensemble(d, "c", 3, 0.1).select("event_id", F.col("ensemble")[0].alias("first_dim"), F.col("ensemble")[1].alias("second_dim"))
 
 
 @query("with " + TRAJ + " select event_id, x, y from traj where x between 0 and 100 or x < 0 or x > 100")
@@ -315,6 +313,7 @@ def trace_merge(v):
     return first_of(t, ["episode", "half"], F.asc("event_id")).select("episode", "step", "event_id")
 
 
-@query("with " + QA + " select range as episode from range(200) where range not in (select episode from qa)")
+@query("with " + QA + ", odd as (select episode from qa where episode % 3 > 0) select range as episode from range((select max(user_id) + 1 from events)) where range not in (select episode from odd)")
 def missing_episode_ids(v):
-    return missing_ids(v.qa(), "episode", 200)
+    total = v.t("events").agg(F.max("user_id")).first()[0] + 1
+    return missing_ids(v.qa().where("episode % 3 > 0"), "episode", total)

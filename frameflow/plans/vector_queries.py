@@ -251,8 +251,7 @@ def union_splits(v):
 
 @query("select episode, cast(ntile(4) over (order by episode) - 1 as bigint) as node from (select distinct user_id as episode from events)")
 def node_partition(v):
-    d = v.t("events").select(F.col("user_id").alias("episode")).distinct()
-    return d.select("episode", (F.ntile(4).over(Window.orderBy("episode")) - 1).cast("long").alias("node"))
+    return P.nodes(v.t("events").select(F.col("user_id").alias("episode")).distinct(), 4, "episode")
 
 
 @query("select episode, (row_number() over (order by episode) - 1) % 8 as shard from (select distinct user_id as episode from events)")

@@ -10,32 +10,31 @@ from pyspark.sql import DataFrame
 
 
 class Sticky:
-    """A gripper that, once it moves by more than a threshold from its reference, holds the direction for some steps.
+    """A gripper signal that, once it leaves its reference by more than a threshold, is held for some steps.
 
-    The first value sets the reference; afterwards only a trigger moves it.
+    Each step gives reference minus value. The first value is the reference; what triggers a hold becomes the new one.
     """
 
-    def __init__(self, threshold: float = 0.5, repeats: int = 3, state: tuple[float | None, int, int] = (None, 0, 0)):
+    def __init__(self, threshold: float = 0.5, repeats: int = 3, state: tuple[float | None, float | None, int] = (None, None, 0)):
         self.threshold, self.repeats = threshold, repeats
-        self.reference, self.direction, self.left = state
+        self.reference, self.held, self.told = state
 
-    def step(self, value: float) -> int:
+    def step(self, value: float) -> float:
         if self.reference is None:
             self.reference = value
-            return 0
-        if self.left > 0:
-            self.left -= 1
-            return self.direction
-        move = value - self.reference
-        if abs(move) > self.threshold:
-            self.reference, self.direction, self.left = value, 1 if move > 0 else -1, self.repeats - 1
-            return self.direction
-        self.direction = 0
-        return 0
+        move = self.reference - value
+        if self.held is None and abs(move) > self.threshold:
+            self.held, self.reference = move, value
+        if self.held is not None:
+            move = self.held
+            self.told += 1
+            if self.told == self.repeats:
+                self.held, self.told = None, 0
+        return move
 
     @property
-    def state(self) -> tuple[float | None, int, int]:
-        return self.reference, self.direction, self.left
+    def state(self) -> tuple[float | None, float | None, int]:
+        return self.reference, self.held, self.told
 
 
 def sticky(df: DataFrame, value: str, threshold: float = 0.5, repeats: int = 3, episode: str = "episode", step: str = "step") -> DataFrame:
@@ -44,25 +43,33 @@ def sticky(df: DataFrame, value: str, threshold: float = 0.5, repeats: int = 3,
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by(step)
         machine = Sticky(threshold, repeats)
-        out = [machine.step(x) for x in t.column(value).to_pylist()]
-        return pa.table([t.column(episode), t.column(step), pa.array(out, pa.int64())], [episode, step, "sticky"])
+        out = [machine.step(float(x)) for x in t.column(value).to_pylist()]
+        return pa.table([t.column(episode), t.column(step), pa.array(out, pa.float64())], [episode, step, "sticky"])
 
     kinds = dict(df.dtypes)
-    return df.select(episode, step, value).groupBy(episode).applyInArrow(run, f"{episode} {kinds[episode]}, {step} {kinds[step]}, sticky long")
+    return df.select(episode, step, value).groupBy(episode).applyInArrow(run, f"{episode} {kinds[episode]}, {step} {kinds[step]}, sticky double")
 
 
-def sticky_stream(df: DataFrame, value: str, threshold: float = 0.5, repeats: int = 3, episode: str = "episode", step: str = "step") -> DataFrame:
-    """The automaton over a stream of (episode, step, value); state is kept per episode. Steps have to arrive in order
-    of micro-batches; within one they are sorted."""
+def sticky_stream(df: DataFrame, value: str, threshold: float = 0.5, repeats: int = 3, episode: str = "episode", step: str = "step", idle_seconds: int | None = None) -> DataFrame:
+    """The automaton over a stream of (episode, step, value); state is kept per episode, and dropped once an episode has
+    been idle for `idle_seconds`, if that is given. Steps have to arrive in order of micro-batches; within one they are
+    sorted."""
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         rows = pd.concat(list(parts)).sort_values(step)
-        before = state.get if state.exists else (float("nan"), 0, 0)
-        machine = Sticky(threshold, repeats, (None if pd.isna(before[0]) else before[0], int(before[1]), int(before[2])))
+        machine = Sticky(threshold, repeats)
+        if state.exists:
+            reference, held, told = state.get
+            machine = Sticky(threshold, repeats, (reference, held if told else None, int(told)))
         out = [machine.step(float(x)) for x in rows[value]]
-        reference, direction, left = machine.state
-        state.update((float("nan") if reference is None else reference, direction, left))
+        reference, held, told = machine.state
+        state.update((float(reference), float(held or 0.0), told))
+        if idle_seconds:
+            state.setTimeoutDuration(1000 * idle_seconds)
         yield pd.DataFrame({episode: [key[0]] * len(out), step: rows[step].to_numpy(), "sticky": out})
 
-    return df.groupBy(episode).applyInPandasWithState(run, f"{episode} long, {step} long, sticky long", "reference double, direction long, remaining long", "append", GroupStateTimeout.NoTimeout)
+    return df.groupBy(episode).applyInPandasWithState(run, f"{episode} long, {step} long, sticky double", "reference double, held double, told long", "append", GroupStateTimeout.ProcessingTimeTimeout if idle_seconds else GroupStateTimeout.NoTimeout)

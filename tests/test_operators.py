@@ -103,5 +103,62 @@ def test_trace_text_styles(spark):
     pts = F.array(*(F.struct(F.lit(a).alias("x"), F.lit(b).alias("y")) for a, b in ((0.544, 0.372), (0.615, 0.42), (0.728, 0.512), (0.823, 0.612))))
     say = lambda s: spark.range(1).select(X.trace_to_text(pts, s).alias("t")).first().t
     assert say("plain") == "[[544, 372], [615, 420], [728, 512], [823, 612]]"
-    assert say("cot_bbox").startswith("start: [544, 372], one_third: [615, 420]")
-    assert say("qwen_point_2d").startswith('[{"point_2d": [544, 372], "label": "start"}')
+    assert say("cot_bbox") == say("plain")
+    assert say("qwen_point_2d").startswith('[{"point_2d": [544, 372], "label": "start"}, {"point_2d": [615, 420], "label": "one_third"}')
+
+
+def test_positions_of_millions_of_rows(spark):
+    from frameflow.operators import sampling
+
+    df = spark.range(3_000_000).selectExpr("pmod(hash(id), 100000) episode", "cast(pmod(hash(id, 7), 1000) as string) step", "id", "repeat('x', 20) one", "uuid() two")
+    got = sampling.positions(df, "episode", "step").agg(F.count("*").alias("n"), F.countDistinct("pos").alias("d"), F.min("pos").alias("a"), F.max("pos").alias("b"), F.countDistinct("id").alias("ids")).first()
+    assert tuple(got) == (3_000_000, 3_000_000, 0, 2_999_999, 3_000_000)
+    out = sampling.positions(df, "episode", "step").select("pos", "episode", "step").orderBy("pos").limit(1000).collect()
+    assert [(r.episode, r.step) for r in out] == sorted((r.episode, r.step) for r in out)
+
+
+def test_positions_and_nodes_of_small_tables(spark):
+    from frameflow.operators import sampling
+
+    df = spark.createDataFrame([(k,) for k in (5, None, 3, 3, 9)], "k int")
+    assert sorted((r.pos, r.k) for r in sampling.positions(df, "k").collect()) == [(0, None), (1, 3), (2, 3), (3, 5), (4, 9)]
+    assert sampling.positions(df.limit(0), "k").collect() == []
+    ten = spark.range(10)
+    assert [r.node for r in sampling.nodes(ten, 4, "id").orderBy("id").collect()] == [0, 0, 0, 1, 1, 1, 2, 2, 3, 3]
+    assert [r.node for r in sampling.nodes(spark.range(2), 4, "id").orderBy("id").collect()] == [0, 1]
+
+
+def test_answers_of_a_point(spark):
+    said = {
+        '<point x="43.0" y="58.0" alt="robot gripper">robot gripper</point>': (43.0, 58.0),
+        "gripper coordinates: 43, 58 and then (1, 2)": (43.0, 58.0),
+        "Coordinates: (12.5, 7)": (12.5, 7.0),
+        "x: 10, y: 20": (10.0, 20.0),
+        "43 58": None,
+        "(200, 5) or x 10 y 20": (10.0, 20.0),
+        "": None,
+    }
+    df = spark.createDataFrame([(t,) for t in said], "t string").select("t", X.parse_point(F.col("t")).alias("p"))
+    assert {r.t: r.p and tuple(r.p) for r in df.collect()} == said
+
+
+def test_sizes_and_slugs(spark):
+    sizes = {"1.5GB": 1.5, "3M/10G": 3 / 1024, "5 MB": 5 / 1024**3, "7kB": 7 / 1024**2, "2T": 2048.0, "none": 0.0, "4k": None, "1.2.3M": None}
+    df = spark.createDataFrame([(t,) for t in sizes], "t string").select("t", X.gigabytes(F.col("t")).alias("g"))
+    assert {r.t: r.g for r in df.collect()} == pytest.approx({k: v for k, v in sizes.items()}, nan_ok=True)
+    assert spark.range(1).select(X.slug(F.lit(" My_Set/v1 (x)  a "))).first()[0] == "my-set-v1-(x)--a"
+
+
+def test_prompts():
+    assert X.trace_prompt("plain", 4) == "Predict the gripper trace as 4 anchor points (start, intermediate, end) in [[x,y]] format with coords 0-1000."
+    assert X.semantic_prompt("latent_only", "plain", 4, 8) == "Predict 8 latent action tokens."
+    assert X.semantic_prompt("trace_latent", "cot_bbox", 4, 8).endswith("0-1000. Then predict 8 latent action tokens.")
+    with pytest.raises(ValueError):
+        X.semantic_prompt("none", "plain")
+
+
+def test_sticky_holds_the_move():
+    from frameflow.streaming.control import Sticky
+
+    machine = Sticky(0.5, 3)
+    assert [machine.step(v) for v in (0.0, 0.25, 0.75, 0.5, 0.0, 0.5, 0.0, 0.0)] == [0.0, -0.25, -0.75, -0.75, -0.75, 0.25, 0.75, 0.75]

@@ -84,3 +84,25 @@ def first_failure(checks: Sequence[tuple[str, Column]], fine: str = "ok") -> Col
     for name, bad in reversed(list(checks)):
         out = F.when(bad, F.lit(name)).otherwise(out)
     return out
+
+
+def serials(calibration: Column) -> Column:
+    """The serials of a map from serial to extrinsics: keys of digits only whose value has six numbers."""
+    good = F.map_filter(calibration, lambda k, v: k.rlike("^[0-9]+$") & v.isNotNull() & (F.size(v) == 6))
+    return F.array_sort(F.map_keys(good))
+
+
+def serial_of(cameras: Column, *names: str) -> Column:
+    """A camera's serial: that of the first of these names that has one, else the only serial of digits there is."""
+    named = F.coalesce(*(F.nullif(F.element_at(cameras, F.lit(n)), F.lit("")) for n in names))
+    digits = F.filter(F.map_values(cameras), lambda s: F.trim(s).rlike("^[0-9]+$"))
+    return F.coalesce(named, F.when(F.size(digits) == 1, F.get(digits, F.lit(0))))
+
+
+def state_for_action(action: str, states: Sequence[str], given: dict[str, str] | None = None) -> str | None:
+    """The state key that an action key goes with: the one given for it, else that of the same base name."""
+    if given and action in given:
+        return given[action]
+    base = action.removeprefix("action.")
+    found = f"state.{base}"
+    return found if action.startswith("action.") and found in states else None

@@ -134,3 +134,43 @@ def frame_budget(duration: Column, frames: Column, interval: float, least: int,
     want = F.greatest(F.lit(least), F.least(F.lit(most), F.rint(duration / F.lit(interval)).cast("int")))
     spots = F.transform(F.sequence(F.lit(0), want - 1), lambda i: F.when(want > 1, F.floor(i * (frames - 1) / F.greatest(want - 1, F.lit(1)))).otherwise(0).cast("long"))
     return F.array_distinct(spots)
+
+
+def sequential(steps: DataFrame, epoch: int, seed: int, dataset: str, *keys: str, shuffle: bool = True, to: str = "place") -> DataFrame:
+    """Adds each step's place in its dataset's order for an epoch: shuffled anew by epoch and seed, or as it is."""
+    order = [F.sha2(F.concat_ws(":", F.lit(str(epoch)), F.lit(str(seed)), *(F.col(k).cast("string") for k in (dataset, *keys))), 256)] if shuffle else []
+    ranked = steps.withColumn("__h", order[0] if order else F.lit(""))
+    w = Window.partitionBy(dataset).orderBy("__h", *keys)
+    return ranked.withColumn(to, (F.row_number().over(w) - 1).cast("long")).drop("__h")
+
+
+def stratified(lengths: DataFrame, key: str, length: str, k: int, seed: int, share: float = 0.7) -> DataFrame:
+    """k keys: `share` of them evenly spaced over their order, the others drawn from the shortest tenth, the middle and
+    the longest tenth, and what overlaps cost made up for by further draws. All if there are no more than k."""
+    n = lengths.count()
+    if n <= k:
+        return lengths.select(key)
+    even = int(k * share)
+    spots = sorted({int(i * (n - 1) / max(1, even - 1)) for i in range(even)})
+    each, tenth, twentieth = max(1, (k - even) // 3), n // 10, n // 20
+    draw = F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")), 256)
+    placed = positions(positions(lengths.select(key, length), key, to="__i"), length, key, to="__l").withColumn("__h", draw)
+    bucket = F.when(F.col("__l") < tenth, 0).when((F.col("__l") >= n // 2 - twentieth) & (F.col("__l") < n // 2 + twentieth), 1).when(F.col("__l") >= n - tenth, 2)
+    ranked = placed.withColumn("__b", bucket).withColumn("__r", F.when(F.col("__b").isNotNull(), F.row_number().over(Window.partitionBy("__b", F.when(F.col("__b").isNull(), F.col("__i"))).orderBy("__h"))))
+    first = F.when(F.col("__i").isin(spots) | (F.coalesce("__r", F.lit(each + 1)) <= each), 0).otherwise(1)
+    return ranked.withColumn("__f", first).orderBy("__f", F.when(F.col("__f") == 1, F.col("__h")), key).limit(k).select(key)
+
+
+def epoch_length(sets: DataFrame, length: str, weight: str) -> int:
+    """Steps of an epoch of a mixture: the greatest length over weight of its primary datasets, cut to an integer.
+
+    Primary are those of weight 1, or if there are none of the greatest weight. Without a primary one of a positive
+    length and weight the greatest such length counts, and without any of these there are 0.
+    """
+    most = F.max(weight).over(Window.partitionBy(F.lit(0)))
+    any_one = F.max((F.col(weight) == 1).cast("int")).over(Window.partitionBy(F.lit(0))) == 1
+    primary = F.when(any_one, F.col(weight) == 1).otherwise(F.col(weight) == most)
+    fine = (F.col(length) > 0) & (F.col(weight) > 0) & ~F.isnan(F.col(weight).cast("double")) & ~F.isnan(F.col(length).cast("double"))
+    marked = sets.withColumn("__p", primary).where(fine)
+    row = marked.agg(F.max(F.when(F.col("__p"), F.col(length) / F.col(weight))).alias("a"), F.max(length).alias("b")).first()
+    return int(row.a if row.a is not None else row.b or 0)

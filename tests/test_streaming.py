@@ -30,7 +30,7 @@ def stream(spark, tmp_path, cuts=(10, 20, 30)):
 def test_sticky_stream_equals_batch(spark, tmp_path):
     want = sorted(tuple(r) for r in sticky(frames(spark), "g").collect())
     got = sorted(tuple(r) for r in drained(sticky_stream(stream(spark, tmp_path), "g"), "sticky_out"))
-    assert got == want and {r[2] for r in got} == {-1, 0, 1}
+    assert got == want and min(r[2] for r in got) < -0.5 and max(r[2] for r in got) > 0.5
 
 
 def test_trailing_stream_equals_batch(spark, tmp_path):

@@ -26,6 +26,21 @@ def vector_stats(df: DataFrame, vector: str, *keys: str, low: float = 0.01, high
     )
 
 
+def as_arrays(stats: DataFrame, *names: str, most: int = 65_536) -> dict[str, Column]:
+    """Literal arrays over dimensions of some statistics, one row per dimension, for use beside a vector."""
+    rows = stats.select("dim", *names).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a vector has at most {most} dimensions")
+    rows.sort(key=lambda r: r.dim)
+    return {n: F.array(*(F.lit(r[n]) for r in rows)) for n in names}
+
+
+def beside(df: DataFrame, vector: str, stats: dict[str, Column], *keys: str) -> DataFrame:
+    """(keys, dim, v, and the statistics of the dimension): no join, each vector meets the arrays of as_arrays()."""
+    zipped = F.arrays_zip(F.col(vector).alias("v"), *(c.alias(n) for n, c in stats.items()))
+    return df.select(*keys, F.posexplode(zipped).alias("dim", "__p")).select(*keys, "dim", "__p.*")
+
+
 def sums(df: DataFrame, vector: str, *keys: str) -> DataFrame:
     """Mergeable partials: n, total, squares, min, max."""
     return long_form(df, vector, *keys).groupBy(*keys, "dim").agg(F.count("v").alias("n"), F.sum("v").alias("total"), F.sum(F.col("v") * F.col("v")).alias("squares"), F.min("v").alias("min"), F.max("v").alias("max"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 from typing import Protocol
 
@@ -65,19 +66,38 @@ class Dropout:
 
 
 class Noise:
-    """In training, one Gaussian shift per row, kept between the vector's own least and greatest values."""
+    """In training, one Gaussian shift per row, kept between the vector's own least and greatest values.
 
-    def __init__(self, column: str, std: float, seed: int = 0):
-        self.column, self.std, self.seed = column, std, seed
+    The shift comes from hashes of the row's keys and the seed (Box-Muller), so that partitioning doesn't change it.
+    """
+
+    def __init__(self, column: str, std: float, keys: Sequence[str], seed: int = 0):
+        self.column, self.std, self.keys, self.seed = column, std, keys, seed
 
     def apply(self, df: DataFrame, train: bool = True) -> DataFrame:
         if not train or self.std <= 0:
             return df
         c = self.column
-        noisy = df.withColumn("__n", F.randn(self.seed) * self.std)
+        draw = lambda k: hash_unit(F.lit(self.seed), F.lit(k), *(F.col(x) for x in self.keys))
+        normal = F.sqrt(-2 * F.log(1 - draw(0))) * F.cos(2 * math.pi * draw(1))
+        noisy = df.withColumn("__n", normal * self.std)
         return noisy.withColumn(c, F.transform(c, lambda x: F.least(F.greatest(x + F.col("__n"), F.array_min(c)), F.array_max(c)))).drop("__n")
 
 
+class Cast:
+    """Casts a vector's elements on the way in, and back to what they were on the way out."""
+
+    def __init__(self, column: str, kind: str):
+        self.column, self.kind, self.before = column, kind, None
+
+    def apply(self, df: DataFrame, train: bool = True) -> DataFrame:
+        self.before = df.schema[self.column].dataType.simpleString()
+        return df.withColumn(self.column, F.col(self.column).cast(f"array<{self.kind}>"))
+
+    def unapply(self, df: DataFrame) -> DataFrame:
+        return df.withColumn(self.column, F.col(self.column).cast(self.before)) if self.before else df
+
+
 class Compose:
     """Transforms in order; unapply() goes backwards over those that can be undone. Errors name the step."""
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from frameflow.operators import joins
 from frameflow.operators import sampling as P
 from frameflow.operators import stats as S
 from frameflow.operators.joins import first_of
@@ -56,9 +57,14 @@ def leaf_pad(v):
     return v.vectors().select("vec_id", n.cast("long").alias("want"), total.alias("total"), F.size(padded).cast("long").alias("size"))
 
 
+def _beside(v):
+    """Vectors by dimension with the statistics of all vectors."""
+    st = S.as_arrays(S.vector_stats(v.vectors(), "v"), "mean", "std", "min", "max", "q_low", "q_high")
+    return S.beside(v.vectors(), "v", st, "vec_id")
+
+
 def _normal(v, mode, low, high):
-    st = S.vector_stats(v.vectors(), "v").drop("n")
-    j = S.long_form(v.vectors(), "v", "vec_id").join(st, "dim")
+    j = _beside(v)
     return j.select("vec_id", F.col("dim").cast("long").alias("dim"), S.normalise(F.col("v"), mode, F.col(low), F.col(high)).alias("z"))
 
 
@@ -89,32 +95,28 @@ def norm_binary(v):
 
 @query(f"with {VEC}, {_GLOBAL} select vec_id, dim, v as back from vec")
 def norm_roundtrip(v):
-    st = S.vector_stats(v.vectors(), "v").drop("n")
-    j = S.long_form(v.vectors(), "v", "vec_id").join(st, "dim")
+    j = _beside(v)
     z = S.normalise(F.col("v"), "min_max", F.col("min"), F.col("max"))
     return j.select("vec_id", F.col("dim").cast("long").alias("dim"), S.denormalise(z, "min_max", F.col("min"), F.col("max")).alias("back"))
 
 
 @query(f"with {VEC}, {_GLOBAL} select vec_id, dim, case when dim % 7 <> 6 and q_low <> q_high then greatest(-1, least(1, 2 * (v - q_low) / (q_high - q_low) - 1)) else (v > 0.5)::int::double end as z from vec join st using (dim)")
 def norm_masked(v):
-    st = S.vector_stats(v.vectors(), "v").drop("n")
-    j = S.long_form(v.vectors(), "v", "vec_id").join(st, "dim")
+    j = _beside(v)
     return j.select("vec_id", F.col("dim").cast("long").alias("dim"), S.masked_normalise(F.col("v"), F.col("q_low"), F.col("q_high"), F.col("dim") % 7 != 6).alias("z"))
 
 
 @query(f"""with {VEC}, {_GLOBAL}, c as (select *, greatest(-1, least(1, v * 3)) as c from vec join st using (dim)), g as (select *, case when dim = 6 then (c >= 0.5)::int::double else c end as g from c)
  select vec_id, dim, case when dim <> 6 then (g + 1) / 2 * (q_high - q_low) + q_low else g end as a from g""")
 def unnorm_policy(v):
-    st = S.vector_stats(v.vectors(), "v").drop("n")
-    j = S.long_form(v.vectors(), "v", "vec_id").join(st, "dim")
+    j = _beside(v)
     a = S.policy_denormalise(F.col("v") * 3, F.col("dim"), F.col("q_low"), F.col("q_high"), F.col("dim") != 6)
     return j.select("vec_id", F.col("dim").cast("long").alias("dim"), a.alias("a"))
 
 
 @query(f"with {VEC}, {_GLOBAL} select vec_id, dim, greatest(-1, least(1, v)) * std + mean as a from vec join st using (dim)")
 def unnorm_joint(v):
-    st = S.vector_stats(v.vectors(), "v").drop("n")
-    j = S.long_form(v.vectors(), "v", "vec_id").join(st, "dim")
+    j = _beside(v)
     clipped = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("v")))
     return j.select("vec_id", F.col("dim").cast("long").alias("dim"), S.denormalise(clipped, "mean_std", F.col("mean"), F.col("std")).alias("a"))
 
@@ -205,7 +207,21 @@ def trajectory_weights(v):
 
 @query(_SETS + " select cast(floor(max(length / weight)) as bigint) as epoch_length from sets where weight = 1.0")
 def epoch_length(v):
-    return _sets(v).where("weight = 1.0").agg(F.floor(F.max(F.col("length") / F.col("weight"))).cast("long").alias("epoch_length"))
+    return v.spark.range(1).select(F.lit(P.epoch_length(_sets(v), "length", "weight")).cast("long").alias("epoch_length"))
+
+
+@query("select event_id, row_number() over (partition by event_type order by sha256('3:17:' || event_type || ':' || event_id), event_id) - 1 as place from events")
+def sequential_steps(v):
+    return P.sequential(v.t("events").select("event_type", "event_id"), 3, 17, "event_type", "event_id").select("event_id", "place")
+
+
+@query("select p_partkey, case when p_partkey % 2 = 1 then p_partkey::varchar else '' end as serials, case p_partkey % 3 when 0 then 'w' || p_size when 1 then p_partkey::varchar end as serial from part")
+def calibration_serials(v):
+    key, k = F.col("p_partkey").cast("string"), F.col("p_partkey")
+    numbers = F.array_repeat(F.lit(0.5), (5 + k % 2).cast("int"))
+    found = joins.serials(F.map_from_arrays(F.array(key, F.concat(F.lit("cam"), key)), F.array(numbers, numbers)))
+    cameras = F.when(k % 3 == 0, F.create_map(F.lit("wrist"), F.concat(F.lit("w"), F.col("p_size").cast("string")))).when(k % 3 == 1, F.create_map(F.lit("left"), key, F.lit("note"), F.lit("none"))).otherwise(F.create_map(F.lit("a"), F.lit("1"), F.lit("b"), F.lit("2")))
+    return v.t("part").select("p_partkey", F.array_join(found, ",").alias("serials"), joins.serial_of(cameras, "front", "wrist").alias("serial"))
 
 
 @query(f"with {MIX}, r as (select dataset, tag, event_id, row_number() over (partition by dataset, tag order by event_id) as r from mix) select dataset, tag, event_id from r where r = 1")

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import glob
 import json
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -17,47 +18,62 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
 
+_BLANK = re.compile(r"[ \t\n\r]*")
+
+
 def elements(stream, chunk: int = 1 << 20) -> Iterator[object]:
-    """The elements of the array; anything but one array is an error."""
+    """The elements of the array; anything but one array is an error.
+
+    Elements are read in place; the text before them is dropped when more is read. An element that isn't whole yet
+    is tried again after twice as much, so that a large one costs in proportion to its size.
+    """
     decoder = json.JSONDecoder()
-    text = ""
-    while not text and (more := stream.read(chunk)):
-        text = more.lstrip()
-    if not text.startswith("["):
+    text, at, size = "", 0, chunk
+
+    def more() -> bool:
+        nonlocal text, at, size
+        got = stream.read(size)
+        text, at, size = text[at:] + got, 0, 2 * size
+        return bool(got)
+
+    def skip() -> str:
+        """The next character that isn't blank; empty at the end."""
+        nonlocal at
+        while True:
+            at = _BLANK.match(text, at).end()
+            if at < len(text):
+                return text[at]
+            if not more():
+                return ""
+
+    if skip() != "[":
         raise ValueError("the top level is no array")
-    text = text[1:]
+    at += 1
     first = True
     while True:
-        text = text.lstrip()
-        if not text:
-            text = stream.read(chunk)
-            if not text:
-                raise ValueError("the array is not closed")
-            continue
-        if text[0] == "]":
-            if (text[1:] + stream.read()).strip():
+        c = skip()
+        if not c:
+            raise ValueError("the array is not closed")
+        if c == "]":
+            at += 1
+            if skip():
                 raise ValueError("text after the array")
             return
         if not first:
-            if text[0] != ",":
+            if c != ",":
                 raise ValueError("elements are not set apart by a comma")
-            text = text[1:].lstrip()
+            at += 1
+            skip()
         while True:
             try:
-                value, end = decoder.raw_decode(text.lstrip())
-                rest = text.lstrip()[end:]
-                if isinstance(value, (dict, list, str)) or rest.lstrip()[:1] in {",", "]"}:
-                    break
-                more = stream.read(chunk)  # a number may go on
-                if not more:
+                value, end = decoder.raw_decode(text, at)
+                if isinstance(value, (dict, list, str)) or text[end : end + 1] in tuple(",] \t\r\n") or not more():  # a number may go on
                     break
             except ValueError:
-                more = stream.read(chunk)
-                if not more:
+                if not more():
                     raise
-            text += more
         yield value
-        text, first = rest, False
+        at, first, size = end, False, chunk
 
 
 class JsonFile(InputPartition):

@@ -162,3 +162,15 @@ def test_sticky_holds_the_move():
 
     machine = Sticky(0.5, 3)
     assert [machine.step(v) for v in (0.0, 0.25, 0.75, 0.5, 0.0, 0.5, 0.0, 0.0)] == [0.0, -0.25, -0.75, -0.75, -0.75, 0.25, 0.75, 0.75]
+
+
+def test_noise_follows_the_keys(spark):
+    from frameflow.operators.transforms import Cast, Noise
+
+    df = spark.range(2000).selectExpr("id", "array(cast(-100 as double), cast(0 as double), cast(100 as double)) v")
+    noisy = Noise("v", 0.5, ["id"], 3)
+    one, two = ({r.id: r.v[1] for r in noisy.apply(d).collect()} for d in (df, df.repartition(7, "v")))
+    assert one == two and abs(np.mean(list(one.values()))) < 0.05 and abs(np.std(list(one.values())) - 0.5) < 0.05
+    assert noisy.apply(df, train=False) is df
+    cast = Cast("v", "float")
+    assert cast.unapply(cast.apply(df)).schema == df.schema and cast.apply(df).dtypes[1][1] == "array<float>"

@@ -82,3 +82,12 @@ def test_traces_labels_and_lists(spark, tmp_path):
     (tmp_path / "none.txt").write_text("# nothing\n")
     with pytest.raises(ValueError):
         episode_list(spark, str(tmp_path / "none.txt"))
+
+
+def test_elements_across_reads():
+    for text in ('[]', ' [ 1 , 22, -3.5e2 ,"a,]b", {"x": [1, 2]}, null, [[]] ] ', "[123]", '["' + "x" * 500 + '", 7]'):
+        for chunk in (1, 2, 3, 7, 1000):
+            assert list(elements(io.StringIO(text), chunk)) == json.loads(text)
+    for text in ("", "{}", "[1", "[1 2]", "[1] 2", "[1,"):
+        with pytest.raises(ValueError):
+            list(elements(io.StringIO(text), 2))

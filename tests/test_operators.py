@@ -173,4 +173,4 @@ def test_noise_follows_the_keys(spark):
     assert one == two and abs(np.mean(list(one.values()))) < 0.05 and abs(np.std(list(one.values())) - 0.5) < 0.05
     assert noisy.apply(df, train=False) is df
     cast = Cast("v", "float")
-    assert cast.unapply(cast.apply(df)).schema == df.schema and cast.apply(df).dtypes[1][1] == "array<float>"
+    assert cast.unapply(cast.apply(df)).dtypes == df.dtypes and cast.apply(df).dtypes[1][1] == "array<float>"

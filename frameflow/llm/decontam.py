@@ -137,22 +137,38 @@ def _candidates(items: Items, ids: np.ndarray, bounds: np.ndarray) -> list[tuple
     total = int(times.sum())
     if not total:
         return []
-    item = items.seed_item[np.arange(total) - np.repeat(np.cumsum(times) - times, times) + np.repeat(lo, times)]
+    apart = int(items.reach.max()) + 1
+    wide = len(ids) + apart * len(bounds)
+    kind = np.int32 if 4 * max(total, wide * len(items.size)) < 1 << 31 else np.int64
+    number = np.arange(total, dtype=kind)
+    item = items.seed_item[number + np.repeat((lo - (np.cumsum(times) - times)).astype(kind), times)]
     order = np.argsort(item, kind="stable")
-    item, pos = item[order], np.repeat(at, times)[order]
-    text = np.searchsorted(bounds, pos, "right") - 1
-    last = np.minimum(np.arange(total) + items.needed[item] - 1, total - 1)
-    enough = (np.arange(total) + items.needed[item] <= total) & (item[last] == item) & (text[last] == text) & (pos[last] - pos < items.reach[item])
+    item = item[order]
+    # places in one row: texts lie further apart than the longest passage, items further than all texts
+    text = np.searchsorted(bounds, at, "right") - 1
+    place = np.repeat((at + text * apart).astype(kind), times)[order]
+    place += (np.arange(len(items.size)) * wide).astype(kind)[item]
+    ahead = (items.needed - 1).astype(kind)[item]
+    last = np.minimum(number + ahead, total - 1)
+    enough = place[last] - place < items.reach.astype(kind)[item]
+    enough &= last - number == ahead
+    if not enough.any():
+        return []
     # a passage of L words with M matches has at most 3 M - L points, so 3 for each seed and -1 for each word reach `dense`
-    rise = 3 * np.arange(total) - pos
-    group = np.cumsum(np.concatenate([[0], (item[1:] != item[:-1]) | (text[1:] != text[:-1])])) * (4 * total + len(ids) + 1)
-    enough &= (rise - np.minimum.accumulate(rise - group) - group + 2 >= items.dense[item])[last]
-    first, last = np.flatnonzero(enough), last[enough]
+    rise = 3 * number - place
+    group = np.cumsum(np.concatenate([[False], place[1:] - place[:-1] >= apart])) * (int(rise.max()) - int(rise.min()) + 1)
+    first = np.flatnonzero(enough)
+    end = last[first]
+    low = np.minimum.accumulate(rise - group)
+    dense = rise[end] - low[end] - group[end] + 2 >= items.dense[item[first]]
+    first, end = first[dense], end[dense]
     if not len(first):
         return []
-    item, text = item[first], text[first]
-    begin = np.maximum(bounds[text], pos[last] - items.reach[item] + 1)
-    end = np.minimum(bounds[text + 1], pos[first] + items.reach[item])
+    pos = np.repeat(at, times)[order]
+    item, text = item[first], np.repeat(text, times)[order][first]
+    pos, last = pos[first], pos[end]
+    begin = np.maximum(bounds[text], last - items.reach[item] + 1)
+    end = np.minimum(bounds[text + 1], pos + items.reach[item])
     new = np.flatnonzero(np.concatenate([[True], (item[1:] != item[:-1]) | (text[1:] != text[:-1]) | (begin[1:] > end[:-1])]))
     out = []
     for t, k, a, b in zip(text[new].tolist(), item[new].tolist(), begin[new].tolist(), end[np.append(new[1:], len(first)) - 1].tolist()):

@@ -83,7 +83,7 @@ def discard(*tables: DataFrame) -> None:
 
 
 def lean() -> None:
-    """Lets a Python worker give memory back: blocks of a megabyte or more return to the system when they are freed."""
+    """Lets a Python worker give memory back: large blocks return to the system when they are freed."""
     if _LEAN:
         return
     _LEAN.append(True)
@@ -91,8 +91,8 @@ def lean() -> None:
     if sys.platform == "linux":
         try:
             libc = ctypes.CDLL(None)
-            libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD, which otherwise grows with what is freed
-            libc.mallopt(-1, 8 << 20)  # M_TRIM_THRESHOLD
+            libc.mallopt(-3, 16 << 20)  # M_MMAP_THRESHOLD, which otherwise grows with what is freed
+            libc.mallopt(-1, 64 << 20)  # M_TRIM_THRESHOLD
         except (OSError, AttributeError):
             pass
 

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from typing import Any
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -142,3 +145,18 @@ def write_frames(df: DataFrame, path: str, episode: str = "episode_index", per_c
     """Frames as Parquet, a folder per chunk of episodes, rows in order within files."""
     chunked = df.withColumn("chunk", F.floor(F.col(episode) / per_chunk).cast("long"))
     chunked.repartitionByRange("chunk", episode).sortWithinPartitions("chunk", episode, "frame_index").write.partitionBy("chunk").parquet(path)
+
+
+def footer_sizes(spark: SparkSession, path: str) -> DataFrame:
+    """(path, mb): what the columns of each Parquet file take uncompressed, by its footer, in units of 1024 * 1024 bytes."""
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content in zip(batch.column("path").to_pylist(), batch.column("content")):
+                meta = pq.read_metadata(pa.BufferReader(content.as_buffer()))
+                groups = [meta.row_group(k) for k in range(meta.num_row_groups)]
+                total = sum(g.column(c).total_uncompressed_size for g in groups for c in range(g.num_columns))
+                yield pa.RecordBatch.from_pydict({"path": [name], "mb": [total / 1024**2]})
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(path)
+    return files.select("path", "content").mapInArrow(step, "path string, mb double")

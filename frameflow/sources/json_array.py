@@ -10,8 +10,9 @@ from __future__ import annotations
 
 import glob
 import json
+import os
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -118,3 +119,18 @@ class JsonArraySource(DataSource):
 
     def reader(self, schema: StructType) -> JsonArrayReader:
         return JsonArrayReader(self.options["path"])
+
+
+def rewrite(source: str, target: str, change: Callable[[object], object], overwrite: bool = False) -> int:
+    """Writes the elements of a file, each as `change` makes it, as one array to a file that replaces target at the end."""
+    if os.path.exists(target) and not overwrite:
+        raise FileExistsError(target)
+    n = 0
+    with open(source, encoding="utf-8") as given, open(f"{target}.tmp", "w", encoding="utf-8") as out:
+        out.write("[")
+        for value in elements(given):
+            out.write("," * (n > 0) + json.dumps(change(value), ensure_ascii=False, separators=(",", ":")))
+            n += 1
+        out.write("]\n")
+    os.replace(f"{target}.tmp", target)
+    return n

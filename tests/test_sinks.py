@@ -81,3 +81,49 @@ def test_loader_orders(spark):
     assert sampling.epoch_length(sets((100.0, 1.0), (900.0, 0.5)), "length", "weight") == 100
     assert sampling.epoch_length(sets((100.0, 0.25), (90.0, 0.5), (7.0, 0.5)), "length", "weight") == 180
     assert sampling.epoch_length(sets((0.0, 1.0), (90.0, 0.5)), "length", "weight") == 90 and sampling.epoch_length(sets((0.0, 1.0)), "length", "weight") == 0
+
+
+def test_derived_columns_and_settings(spark):
+    from frameflow.operators import derive
+
+    df = spark.createDataFrame([([1.0, 2.0, 3.0, 9.0], [4.0, 5.0, 6.0], [7.0])], "`steps/action/world_vector` array<double>, `steps/action/rotation_delta` array<double>, `steps/action/gripper_closedness_action` array<double>")
+    got = derive.derived(df, "fractal")
+    assert got.columns[3:] == ["action"] and got.first().action == [1.0, 2.0, 3.0, 4.0, 5.0, 6.0, 7.0]
+    assert derive.derived(got.select(F.lit(1).alias("action")), "fractal").columns == ["action"] and derive.derived(df, "other").columns == df.columns
+    assert [derive.as_bool(v) for v in (None, "No", " off ", "yes", 0, True, "")] == [False, False, False, True, False, True, False]
+    assert [derive.as_list(v) for v in (None, "", "a, b,,", ["x", 1])] == [None, None, ["a", "b"], ["x", "1"]]
+    assert derive.schedule(8)["query_hz"] == 5.0
+    for horizon in (0, 9):
+        with pytest.raises(ValueError):
+            derive.schedule(8, horizon=horizon)
+    ok = spark.range(3).select(derive.in_range(F.col("id"), F.lit(3)).alias("i"))
+    assert [r.i for r in ok.collect()] == [0, 1, 2]
+    with pytest.raises(Exception, match="out of range"):
+        spark.range(4).select(derive.in_range(F.col("id"), F.lit(3)).alias("i")).collect()
+
+
+def test_collated_batches(spark):
+    from frameflow.operators import derive
+
+    df = spark.createDataFrame([(0, 2, [3]), (0, 1, [1, 2]), (0, 3, []), (1, 1, [9])], "b int, o int, x array<int>")
+    got = {r.b: r for r in derive.collated(df, "b", "o", "x", F.lit(-1)).collect()}
+    assert (got[0]["items"], got[0].lengths, got[0].starts, got[0].longest) == ([[1, 2], [3, -1], [-1, -1]], [2, 1, 0], [0, 2, 3, 3], 2)
+    assert got[1]["items"] == [[9]]
+
+
+def test_footers_and_rewritten_arrays(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    from frameflow.sources import datasets, json_array
+
+    spark.range(1000).coalesce(1).write.parquet(str(tmp_path / "p"))
+    file = next((tmp_path / "p").glob("*.parquet"))
+    meta = pq.read_metadata(file)
+    row = datasets.footer_sizes(spark, str(tmp_path / "p")).collect()
+    assert len(row) == 1 and row[0].mb == pytest.approx(meta.row_group(0).column(0).total_uncompressed_size / 1024**2)
+    (tmp_path / "a.json").write_text('[{"episode_idx": 1, "t": "é"}, {"episode_idx": 2}]')
+    target = str(tmp_path / "b.json")
+    assert json_array.rewrite(str(tmp_path / "a.json"), target, lambda r: r | {"episode_idx": r["episode_idx"] + 10}) == 2
+    assert (tmp_path / "b.json").read_text() == '[{"episode_idx":11,"t":"é"},{"episode_idx":12}]\n'
+    with pytest.raises(FileExistsError):
+        json_array.rewrite(str(tmp_path / "a.json"), target, lambda r: r)

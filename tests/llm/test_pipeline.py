@@ -33,3 +33,20 @@ def test_stages_keep_columns_and_take_effect(spark, tmp_path):
     assert "abcdefgh12345" not in kept[3].text and all_spans(kept[3].text)[1] == [] and kept[3].n_chars == len(kept[3].text)
     packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in packed} == everyone - {4, 5, 1, 2}
+
+
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    item = "which of the following towers stands at the mouth of the northern river near the old mill"
+    spark.createDataFrame([(0, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    prose = "morning light fell over the quiet harbour while two fishermen mended their nets and spoke of storms"
+    tables = {
+        "empty": ([], set()),
+        "unlabelled": ([(None, prose, None, None, None), (None, prose, None, None, None), (7, prose + " again", None, "s", 1), (8, "漢字", None, "s", 1), (9, "", None, "s", 0)], {7, 8}),
+    }
+    for name, (rows, want) in tables.items():
+        folder = tmp_path / name
+        folder.mkdir()
+        spark.createDataFrame(rows, schema).write.parquet(str(folder / "documents.parquet"))
+        spark.read.parquet(str(tmp_path / "benchmark.parquet")).write.parquet(str(folder / "benchmark.parquet"))
+        assert {r.doc_id for r in corpus_pipeline.run(spark, str(folder)).collect()} == want

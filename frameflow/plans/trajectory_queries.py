@@ -206,7 +206,7 @@ def _tasks(v):
 
 @query("with " + TRAJ + ", " + _TASKS + " select event_id, task_index from traj join tasks using (task)")
 def task_join(v):
-    return lookup(v.traj(), F.broadcast(_tasks(v)), "task").select("event_id", "task_index")
+    return lookup(v.traj(), _tasks(v), "task").select("event_id", "task_index")
 
 
 @query("with " + TRAJ + " select event_id, x, y as trace_y from traj")

@@ -41,18 +41,16 @@ class Linear:
         self.keys, self.weight, self.dense, self.bias = keys, weight, dense, bias
 
     @classmethod
-    def train(cls, h: np.ndarray, own: np.ndarray, extra: np.ndarray, y: np.ndarray, most_features: int = 1000, least_gain: float = 40.0, steps: int = 300, ridge: float = 1.0) -> "Linear":
-        """h, own: feature hashes and row numbers; extra: rows by earlier probabilities; y: 0 or 1.
+    def train(cls, keys: np.ndarray, number: np.ndarray, own: np.ndarray, extra: np.ndarray, y: np.ndarray, most_features: int = 1000, least_gain: float = 40.0, steps: int = 300, ridge: float = 1.0) -> "Linear":
+        """keys: feature hashes in ascending order; number, own: which of them which row has, each pair once; extra: rows
+        by earlier probabilities; y: 0 or 1.
 
         Features are those whose log-likelihood ratio against independence is at least `least_gain`, which chance
         gives to fewer than one in a billion, at most `most_features` of them.
         """
         n = len(y)
-        keys, number = np.unique(h, return_inverse=True)
-        pairs = np.unique(number.astype(np.int64) * n + own)
-        number, own = pairs // n, pairs % n
         on = np.bincount(number, y[own], minlength=len(keys))
-        off = np.bincount(number, 1 - y[own], minlength=len(keys))
+        off = np.bincount(number, minlength=len(keys)) - on
         p, q = max(1.0, y.sum()), max(1.0, n - y.sum())
         both = on + off
         gain = np.zeros(len(keys))
@@ -94,10 +92,26 @@ class Chain:
 
     @classmethod
     def train(cls, categories: tuple[str, ...], h: np.ndarray, own: np.ndarray, labels: np.ndarray, folds: int = 3) -> "Chain":
-        """labels: rows by categories. A category with one class only has no model; its probability is 0 or 1 throughout,
-        and 0 without rows. Fewer rows than folds teach no model either: the share of positives is the probability."""
+        """h, own: feature hashes and the rows that have them; labels: rows by categories.
+
+        A category with one class only has no model; its probability is 0 or 1 throughout, and 0 without rows. Fewer
+        rows than folds teach no model either: the share of positives is the probability.
+        """
         n = len(labels)
+        keys, number = np.unique(h, return_inverse=True)
+        pairs = np.sort(number.astype(np.int64) * max(n, 1) + own)
+        pairs = pairs[np.append(True, pairs[1:] != pairs[:-1])] if len(pairs) else pairs
+        number, own = (pairs // max(n, 1)).astype(np.int32), (pairs % max(n, 1)).astype(np.int32)
+        del pairs
         fold = np.arange(n) % folds
+
+        def part(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """The pairs of these rows, which are numbered anew."""
+            back = np.full(n, -1, np.int32)
+            back[rows] = np.arange(len(rows))
+            here = back[own]
+            return number[here >= 0], here[here >= 0]
+
         extra, models, limits = np.zeros((n, 0)), [], []
         for k in range(len(categories)):
             y = labels[:, k].astype(float)
@@ -108,22 +122,16 @@ class Chain:
                 continue
             out = np.zeros(n)
             for f in range(folds):
-                seen = np.flatnonzero(fold != f)
-                back = np.full(n, -1)
-                back[seen] = np.arange(len(seen))
-                part = back[own] >= 0
-                m = Linear.train(h[part], back[own[part]], extra[seen], y[seen])
-                rest = np.flatnonzero(fold == f)
-                back = np.full(n, -1)
-                back[rest] = np.arange(len(rest))
-                part = back[own] >= 0
-                out[rest] = m.predict(h[part], back[own[part]], extra[rest])
+                seen, rest = np.flatnonzero(fold != f), np.flatnonzero(fold == f)
+                m = Linear.train(keys, *part(seen), extra[seen], y[seen])
+                theirs, row = part(rest)
+                out[rest] = m.predict(keys[theirs], row, extra[rest])
             order = np.argsort(-out, kind="stable")
             hits = np.cumsum(y[order])
             f1 = 2 * hits / (np.arange(1, n + 1) + y.sum())
             at = int(np.argmax(f1))
             limits.append(float((out[order[at]] + (out[order[at + 1]] if at + 1 < n else 0.0)) / 2))
-            models.append(Linear.train(h, own, extra, y))
+            models.append(Linear.train(keys, number, own, extra, y))
             extra = np.concatenate([extra, out[:, None]], 1)
         return cls(categories, models, limits)
 
@@ -163,12 +171,14 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], most_
 
     short = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).where(F.coalesce(F.octet_length("text"), F.lit(0)) <= most_bytes)
     texts = short.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", *names).agg(F.min("text").alias("text"))
-    rows = texts.transform(mapped, step, ", ".join(["doc_id long", *(f"{k} int" for k in names), "h binary"])).collect()
-    rows.sort(key=lambda r: (r.doc_id, r.h))
-    h = [np.frombuffer(r.h, np.uint32) for r in rows]
-    own = np.repeat(np.arange(len(rows)), [len(x) for x in h])
-    y = np.array([[r[k] for k in names] for r in rows], np.int64).reshape(len(rows), len(names))
-    return Chain.train(names, np.concatenate(h) if h else np.zeros(0, np.uint32), own, y)
+    found = texts.transform(mapped, step, ", ".join(["doc_id long", *(f"{k} int" for k in names), "h binary"])).toArrow()
+    found = found.sort_by("doc_id").combine_chunks()
+    y = np.stack([found.column(k).to_numpy() for k in names], 1).astype(np.int64) if len(found) else np.zeros((0, len(names)), np.int64)
+    lists = found.column("h").to_pylist()
+    del found
+    h = np.frombuffer(b"".join(lists), np.uint32)
+    own = np.repeat(np.arange(len(lists), dtype=np.int32), [len(x) // 4 for x in lists])
+    return Chain.train(names, h, own, y)
 
 
 def score(docs: DataFrame, chain: Chain) -> DataFrame:

@@ -18,12 +18,52 @@ def long_form(df: DataFrame, vector: str, *keys: str) -> DataFrame:
     return df.select(*keys, F.posexplode(vector).alias("dim", "v")).withColumn("v", F.col("v").cast("double"))
 
 
-def vector_stats(df: DataFrame, vector: str, *keys: str, low: float = 0.01, high: float = 0.99) -> DataFrame:
-    """Per key and dimension: n, mean, population std, min, max and linearly interpolated quantiles."""
-    return long_form(df, vector, *keys).groupBy(*keys, "dim").agg(
-        F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"), F.min("v").alias("min"), F.max("v").alias("max"),
-        F.percentile("v", F.lit(low)).alias("q_low"), F.percentile("v", F.lit(high)).alias("q_high"),
-    )
+def vector_stats(df: DataFrame, vector: str, *keys: str, low: float = 0.01, high: float = 0.99, one_pass: int = 1_000_000) -> DataFrame:
+    """Per key and dimension: n, mean, population std, min, max and linearly interpolated quantiles.
+
+    An exact quantile in one pass holds a count for each distinct value. Tables of more than `one_pass` rows get theirs
+    by quantiles(), which gives the same ones and holds a sketch.
+    """
+    long = long_form(df, vector, *keys)
+    plain = [F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"), F.min("v").alias("min"), F.max("v").alias("max")]
+    if df.count() <= one_pass:
+        return long.groupBy(*keys, "dim").agg(*plain, F.percentile("v", F.lit(low)).alias("q_low"), F.percentile("v", F.lit(high)).alias("q_high"))
+    found = quantiles(long, [low, high], *keys, "dim").select(*keys, "dim", F.col("q")[0].alias("q_low"), F.col("q")[1].alias("q_high"))
+    g = long.groupBy(*keys, "dim").agg(*plain).alias("g")
+    f = found.alias("f")
+    same = [F.col(f"g.{k}").eqNullSafe(F.col(f"f.{k}")) for k in (*keys, "dim")]
+    return g.join(f, same).select("g.*", "f.q_low", "f.q_high")
+
+
+def quantiles(long: DataFrame, shares: Sequence[float], *keys: str, accuracy: int = 10_000) -> DataFrame:
+    """(keys, q): exact, linearly interpolated quantiles of v per key, in the order of shares, without a group in memory.
+
+    A sketch brackets each quantile; then what lies below a bracket is counted, and only values inside are told apart
+    and summed up in order: some 4 / accuracy of the rows. What comes next below and above a bracket stands by.
+    """
+    n = len(shares)
+    around = [x for q in shares for x in (max(0.0, q - 2 / accuracy), min(1.0, q + 2 / accuracy))]
+    sketch = long.where("v is not null").groupBy(*keys).agg(F.percentile_approx("v", around, accuracy).alias("__b"), F.count("v").alias("__n"))
+    named = sketch.select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)), "__b", "__n")
+    same = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)]
+    rows = long.where("v is not null").join(named, same)
+    lo, hi = (lambda i: F.col("__b")[2 * i]), (lambda i: F.col("__b")[2 * i + 1])
+    sides = rows.groupBy(*keys).agg(F.first("__n").alias("__n"), *(F.count_if(F.col("v") < lo(i)).alias(f"__below{i}") for i in range(n)), *(F.max(F.when(F.col("v") < lo(i), F.col("v"))).alias(f"__under{i}") for i in range(n)), *(F.min(F.when(F.col("v") > hi(i), F.col("v"))).alias(f"__above{i}") for i in range(n)))
+    inside = F.filter(F.array(*(F.when((F.col("v") >= lo(i)) & (F.col("v") <= hi(i)), F.lit(i)) for i in range(n))), lambda i: i.isNotNull())
+    counted = rows.select(*keys, "v", F.explode(inside).alias("__i")).groupBy(*keys, "__i", "v").agg(F.count(F.lit(1)).alias("__c"))
+    w = Window.partitionBy(*keys, "__i").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    upto = counted.withColumn("__upto", F.sum("__c").over(w))
+    s = sides.select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)), *(c for c in sides.columns if c not in keys))
+    met = upto.join(s, same)
+    pick = lambda name: F.array(*(F.col(f"__{name}{i}") for i in range(n)))[F.col("__i")]
+    share = F.array(*map(F.lit, shares))[F.col("__i")]
+    at = share * (F.col("__n") - 1)
+    rank = F.floor(at)
+    ranked = met.select(*keys, "__i", "v", (F.col("__upto") + pick("below")).alias("__upto"), rank.alias("__r"), (at - rank).alias("__f"), F.when(rank < pick("below"), pick("under")).alias("__under"), pick("above").alias("__above"))
+    ends = ranked.groupBy(*keys, "__i").agg(F.min(F.when(F.col("__upto") > F.col("__r"), F.col("v"))).alias("__x"), F.min(F.when(F.col("__upto") > F.col("__r") + 1, F.col("v"))).alias("__y"), F.first("__under").alias("__under"), F.first("__above").alias("__above"), F.first("__f").alias("__f"))
+    first, second = F.coalesce("__under", "__x"), F.coalesce("__y", "__above")
+    value = F.when(F.col("__f") == 0, first).otherwise(first + (second - first) * F.col("__f"))
+    return ends.select(*keys, "__i", value.alias("__q")).groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("__i", "__q"))), lambda r: r["__q"]).alias("q"))
 
 
 def as_arrays(stats: DataFrame, *names: str, most: int = 65_536) -> dict[str, Column]:

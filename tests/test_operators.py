@@ -174,3 +174,27 @@ def test_noise_follows_the_keys(spark):
     assert noisy.apply(df, train=False) is df
     cast = Cast("v", "float")
     assert cast.unapply(cast.apply(df)).dtypes == df.dtypes and cast.apply(df).dtypes[1][1] == "array<float>"
+
+
+@pytest.mark.parametrize("accuracy", [20, 10_000])
+def test_quantiles_without_groups_in_memory(spark, accuracy):
+    r = np.random.default_rng(5)
+    rows = [(k, float(v)) for k, n in ((0, 1), (1, 2), (2, 150), (3, 3000), (None, 500)) for v in (np.round(r.normal(size=n), 2) if k == 3 else r.normal(size=n))] + [(4, 7.0)] * 400 + [(5, None)]
+    df = spark.createDataFrame(rows, "k int, v double").repartition(5)
+    shares = [0.0, 0.01, 0.5, 0.99, 1.0]
+    got = {x.k: x.q for x in stats.quantiles(df, shares, "k", accuracy=accuracy).collect()}
+    by = {}
+    for k, v in rows:
+        if v is not None:
+            by.setdefault(k, []).append(v)
+    assert got.keys() == by.keys()
+    for k, v in by.items():
+        assert got[k] == pytest.approx(np.quantile(v, shares).tolist(), abs=1e-12)
+
+
+def test_vector_statistics_of_large_tables(spark):
+    df = spark.range(3000).selectExpr("id % 3 tag", "array(cast(hash(id) % 1000 as double), cast(id as double)) v")
+    small, large = (sorted(tuple(x) for x in stats.vector_stats(df, "v", "tag", one_pass=n).collect()) for n in (10_000, 100))
+    for a, b in zip(small, large):
+        assert a == pytest.approx(b, abs=1e-9)
+    assert len(small) == len(large) == 6

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -169,18 +171,32 @@ def sincos(v: str | Column) -> Column:
     return F.concat(F.transform(v, F.sin), F.transform(v, F.cos))
 
 
-def nearest_code(df: DataFrame, vector: str, codes: DataFrame, key: str) -> DataFrame:
-    """Adds code: the least squared distance to the rows (code, centre) of a bounded code book, the first of equals.
-
-    The book goes into the expression itself, so it has to be small; the check is on its rows.
-    """
-    rows = codes.select("code", "centre").limit(4097).collect()
-    if len(rows) > 4096:
-        raise ValueError("a code book has at most 4096 codes")
-    book = sorted(((r.code, [float(x) for x in r.centre]) for r in rows))
-    distance = lambda c: F.aggregate(F.zip_with(vector, F.array(*map(F.lit, c)), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, d: s + d)
-    best = F.array_min(F.array(*(F.struct(distance(c).alias("d"), F.lit(k).alias("code")) for k, c in book)))
-    return df.withColumn("code", best["code"]).withColumn("distance", best["d"])
+def nearest_code(df: DataFrame, vector: str, codes: DataFrame, key: str, most: int = 4096) -> DataFrame:
+    """Adds code and distance: the least squared distance to the rows (code, centre) of a bounded code book, the first of
+    equals; null for a null vector. The book is sent to the tasks once, and batches of vectors meet it as matrices."""
+    rows = codes.select("code", "centre").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a code book has at most {most} codes")
+    rows.sort(key=lambda r: r.code)
+    shared = df.sparkSession.sparkContext.broadcast((np.array([r.code for r in rows], np.int64), np.array([r.centre for r in rows], np.float64)))
+
+    @F.pandas_udf("code long, distance double")
+    def find(vectors: pd.Series) -> pd.DataFrame:
+        names, book = shared.value
+        out = pd.DataFrame({"code": pd.array([None] * len(vectors), "Int64"), "distance": np.full(len(vectors), np.nan)})
+        known = np.flatnonzero(vectors.notna().to_numpy())
+        step = max(1, (1 << 21) // max(1, book.size))
+        for at in range(0, len(known), step):
+            here = known[at : at + step]
+            x = np.stack(vectors.iloc[here].to_list()).astype(np.float64)
+            d = ((x[:, None, :] - book[None]) ** 2).sum(2)
+            best = d.argmin(1)
+            out.loc[here, "code"] = names[best]
+            out.loc[here, "distance"] = d[np.arange(len(here)), best]
+        return out
+
+    found = df.withColumn("__c", find(F.col(vector).cast("array<double>")))
+    return found.withColumn("code", F.col("__c.code")).withColumn("distance", F.when(F.col("__c.code").isNotNull(), F.col("__c.distance"))).drop("__c")
 
 
 def weights_for_sampling(df: DataFrame, base: str, length: str | None = None) -> DataFrame:

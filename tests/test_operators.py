@@ -198,3 +198,13 @@ def test_vector_statistics_of_large_tables(spark):
     for a, b in zip(small, large):
         assert a == pytest.approx(b, abs=1e-9)
     assert len(small) == len(large) == 6
+
+
+def test_nearest_codes(spark):
+    r = np.random.default_rng(1)
+    book, x = r.integers(0, 3, (40, 3)).astype(float), r.integers(0, 3, (500, 3)).astype(float)
+    codes = spark.createDataFrame([(int(k * 2), c.tolist()) for k, c in enumerate(book)], "code int, centre array<double>")
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(900, None)], "id int, v array<double>")
+    got = {q.id: (q.code, q.distance) for q in stats.nearest_code(df, "v", codes, "id").collect()}
+    d = ((x[:, None] - book[None]) ** 2).sum(2)
+    assert got == {i: (int(2 * d[i].argmin()), d[i].min()) for i in range(500)} | {900: (None, None)}

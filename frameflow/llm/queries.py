@@ -71,6 +71,12 @@ def op10_binary_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(_table(spark, sf_dir, "documents"))
 
 
+def op13_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from frameflow.llm.clustering import cluster
+
+    return cluster(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
@@ -87,4 +93,6 @@ JACCARD_SQL = r"""with recursive w as (select doc_id, regexp_extract_all(transla
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_jaccard_join": JACCARD_SQL}
+    from frameflow.llm.cluster_sql import cluster_sql
+
+    return {"op3_jaccard_join": JACCARD_SQL, "op13_clustering": cluster_sql()}

@@ -71,6 +71,12 @@ def op10_binary_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(_table(spark, sf_dir, "documents"))
 
 
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from frameflow.llm.simhash import near_copies
+
+    return near_copies(_table(spark, sf_dir, "documents"))
+
+
 def op13_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     from frameflow.llm.clustering import cluster
 

@@ -71,6 +71,12 @@ def op10_binary_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(_table(spark, sf_dir, "documents"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from frameflow.llm.search import rank
+
+    return rank(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from frameflow.llm.simhash import near_copies
 
@@ -101,4 +107,6 @@ JACCARD_SQL = r"""with recursive w as (select doc_id, regexp_extract_all(transla
 def oracle_sql() -> dict[str, str]:
     from frameflow.llm.cluster_sql import cluster_sql
 
-    return {"op3_jaccard_join": JACCARD_SQL, "op13_clustering": cluster_sql()}
+    from frameflow.llm.search import SEARCH_SQL
+
+    return {"op3_jaccard_join": JACCARD_SQL, "op11_lexical_search": SEARCH_SQL, "op13_clustering": cluster_sql()}

@@ -25,16 +25,37 @@ RECIPES: dict[str, dict[str, tuple[tuple[str, int], ...]]] = {
 def derived(df: DataFrame, dataset: str, recipes: dict[str, dict[str, tuple[tuple[str, int], ...]]] = RECIPES) -> DataFrame:
     """df with the dataset's derived vectors, of floats, where they are absent and all their leaves are there.
 
-    Leaves are array columns named by their paths; of each the first numbers are taken, in the recipe's order.
+    Leaves are columns named by their paths, arrays or single numbers; of each the first numbers are taken, in the
+    recipe's order.
     """
-    have = set(df.columns)
+    have = dict(df.dtypes)
+
+    def numbers(leaf: str) -> Column:
+        c = F.col(f"`{leaf}`")
+        return (c if have[leaf].startswith("array") else F.array(c)).cast("array<float>")
+
     for name, leaves in recipes.get(dataset, {}).items():
         if name not in have and all(leaf in have for leaf, _ in leaves):
-            parts = [F.slice(F.col(f"`{leaf}`").cast("array<float>"), 1, n) for leaf, n in leaves]
+            parts = [F.slice(numbers(leaf), 1, n) for leaf, n in leaves]
             df = df.withColumn(name, F.concat(*parts))
     return df
 
 
+def _arms(v: Column, *parts: tuple[int, int]) -> Column:
+    return F.when(F.size(v) == 14, F.concat(*(F.slice(v, first, n) for first, n in parts))).otherwise(v)
+
+
+def arms_to_model(v: Column) -> Column:
+    """[left 6, left gripper, right 6, right gripper] -> [left 6, right 6, left gripper, right gripper]; vectors of any
+    other length stay as they are."""
+    return _arms(v, (1, 6), (8, 6), (7, 1), (14, 1))
+
+
+def arms_to_robot(v: Column) -> Column:
+    """The way back from arms_to_model()."""
+    return _arms(v, (1, 6), (13, 1), (7, 6), (14, 1))
+
+
 def in_range(index: Column, length: Column) -> Column:
     """The index; one outside 0..length-1 stops the job."""
     fine = (index >= 0) & (index < length)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from frameflow.operators.stats import weights_for_sampling
 
 def hash_unit(*parts: Column) -> Column:
     """A number in [0, 1) from the SHA-256 of the parts joined by `:`; 48 bits."""
@@ -45,7 +46,8 @@ def weighted(draws: DataFrame, unit: str, weights: DataFrame, name: str, weight:
     """
     w = Window.orderBy(name).rowsBetween(Window.unboundedPreceding, 0)
     total = F.sum(weight).over(Window.partitionBy(F.lit(0)))
-    ranges = weights.select(name, (F.sum(weight).over(w) / total).alias("hi"), ((F.sum(weight).over(w) - F.col(weight)) / total).alias("lo"))
+    ends = weights.where(F.col(weight) > 0).select(name, (F.sum(weight).over(w) / total).alias("hi"))
+    ranges = ends.withColumn("lo", F.lag("hi", 1, 0.0).over(Window.orderBy(name)))  # neighbours meet in the same number
     if ranges.limit(10_001).count() > 10_000:
         raise ValueError("a mixture has at most 10,000 datasets")
     slot = lambda c: F.floor(c * slots).cast("int")
@@ -161,16 +163,17 @@ def stratified(lengths: DataFrame, key: str, length: str, k: int, seed: int, sha
     return ranked.withColumn("__f", first).orderBy("__f", F.when(F.col("__f") == 1, F.col("__h")), key).limit(k).select(key)
 
 
-def epoch_length(sets: DataFrame, length: str, weight: str) -> int:
-    """Steps of an epoch of a mixture: the greatest length over weight of its primary datasets, cut to an integer.
+def epoch_length(sets: DataFrame, length: str, weight: str, balanced: bool = True) -> int:
+    """Steps of an epoch of a mixture: the greatest length over share of its primary datasets, cut to an integer.
 
-    Primary are those of weight 1, or if there are none of the greatest weight. Without a primary one of a positive
-    length and weight the greatest such length counts, and without any of these there are 0.
+    A share is the dataset's part of all draws (stats.weights_for_sampling), by weight times length if balanced, else
+    by weight. Primary are datasets of weight 1, or if there are none of the greatest weight. Without a primary one of
+    a positive length and share the greatest such length counts, and without any of these there are 0.
     """
     most = F.max(weight).over(Window.partitionBy(F.lit(0)))
     any_one = F.max((F.col(weight) == 1).cast("int")).over(Window.partitionBy(F.lit(0))) == 1
     primary = F.when(any_one, F.col(weight) == 1).otherwise(F.col(weight) == most)
-    fine = (F.col(length) > 0) & (F.col(weight) > 0) & ~F.isnan(F.col(weight).cast("double")) & ~F.isnan(F.col(length).cast("double"))
-    marked = sets.withColumn("__p", primary).where(fine)
-    row = marked.agg(F.max(F.when(F.col("__p"), F.col(length) / F.col(weight))).alias("a"), F.max(length).alias("b")).first()
+    shares = weights_for_sampling(sets.withColumn("__p", primary), weight, length if balanced else None)
+    fine = (F.col(length) > 0) & ~F.isnan(F.col(length).cast("double")) & (F.col("share") > 0)
+    row = shares.where(fine).agg(F.max(F.when(F.col("__p"), F.col(length) / F.col("share"))).alias("a"), F.max(length).alias("b")).first()
     return int(row.a if row.a is not None else row.b or 0)

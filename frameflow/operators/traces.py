@@ -76,17 +76,21 @@ def track_summary(tracks: DataFrame, group: str, track: str, frame: str, x: str
 
 
 def tracks_kept(summary: DataFrame, group: str, least_path: float = 5.0, most_jump: float = 50.0, most_step: float = 10.0, least_seen: float = 0.2) -> DataFrame:
-    """Adds kept: visible enough, steps below both bounds, and not short in path and span alike. All are kept of two or
-    fewer, or if none would be."""
-    good = (F.col("seen") >= least_seen) & (F.col("jump") < most_jump) & (F.col("mean_step") < most_step) & ~((F.col("span") < least_path) & (F.col("path") < least_path))
-    w = Window.partitionBy(group)
-    return summary.withColumn("__g", good).withColumn("kept", (F.count(F.lit(1)).over(w) <= 2) | (F.sum(F.col("__g").cast("int")).over(w) == 0) | F.col("__g")).drop("__g")
+    """Adds passed: visible enough, steps below both bounds, and not short in path and span alike (of two or fewer tracks
+    only the last counts); and kept, which is passed, but all of two or fewer, and all if none passed."""
+    few = F.count(F.lit(1)).over(Window.partitionBy(group)) <= 2
+    long = ~((F.col("span") < least_path) & (F.col("path") < least_path))
+    good = long & (few | (F.col("seen") >= least_seen) & (F.col("jump") < most_jump) & (F.col("mean_step") < most_step))
+    none = F.sum(F.col("passed").cast("int")).over(Window.partitionBy(group)) == 0
+    return summary.withColumn("passed", good).withColumn("kept", F.col("passed") | few | none)
 
 
 def longest(summary: DataFrame, group: str, track: str, k: int) -> DataFrame:
-    """Of the kept tracks the k with the longest paths, earlier ones first among equals."""
-    w = Window.partitionBy(group).orderBy(F.desc("path"), F.asc(track))
-    return summary.where("kept").withColumn("rank", F.row_number().over(w).cast("long")).where(f"rank <= {int(k)}")
+    """Of the tracks that passed the k with the longest paths, earlier ones first among equals; all that are kept unless
+    more than k passed. rank numbers them, those that passed first."""
+    w = Window.partitionBy(group).orderBy(F.desc("passed"), F.desc("path"), F.asc(track))
+    passed = F.sum(F.col("passed").cast("int")).over(Window.partitionBy(group))
+    return summary.where("kept").withColumn("rank", F.row_number().over(w).cast("long")).withColumn("__n", passed).where(f"__n <= {int(k)} or rank <= {int(k)}").drop("__n")
 
 
 def fused(tracks: DataFrame, group: str, frame: str, x: str = "x", y: str = "y", visible: str = "visibility", smoothing: int = 5) -> DataFrame:
@@ -111,7 +115,7 @@ def fused(tracks: DataFrame, group: str, frame: str, x: str = "x", y: str = "y",
 
 
 def fuse(tracks: DataFrame, group: str, track: str, frame: str, most_tracks: int | None = None, smoothing: int = 5, **bounds: float) -> DataFrame:
-    """fused() of the tracks that tracks_kept() keeps, of these the `most_tracks` longest."""
+    """fused() of the tracks that tracks_kept() keeps; of the `most_tracks` longest if more than that passed."""
     kept = tracks_kept(track_summary(tracks, group, track, frame), group, **bounds)
     kept = longest(kept, group, track, most_tracks) if most_tracks else kept.where("kept")
     return fused(tracks.join(kept.select(group, track), [group, track], "left_semi"), group, frame, smoothing=smoothing)

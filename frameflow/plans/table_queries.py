@@ -187,7 +187,8 @@ def grand_total(v):
 
 _SUM = TRACK + """, j as (select *, sqrt((x - lag(x) over w) ** 2 + (y - lag(y) over w) ** 2) as jump from track window w as (partition by tag, track order by frame)),
  su as (select tag, track, coalesce(sum(jump), 0) as path, coalesce(max(jump), 0) as jump, coalesce(avg(jump), 0) as mean_step, avg(visibility) as seen, sqrt((arg_max(x, frame) - arg_min(x, frame)) ** 2 + (arg_max(y, frame) - arg_min(y, frame)) ** 2) as span from j group by tag, track),
- good as (select *, seen >= 0.096 and jump < 55 and mean_step < 23.5 and not (path < 70 and span < 70) as g from su), kept as (select *, count(*) over (partition by tag) <= 2 or sum(g::int) over (partition by tag) = 0 or g as kept from good)"""
+ good as (select *, not (path < 70 and span < 70) and (count(*) over (partition by tag) <= 2 or seen >= 0.096 and jump < 55 and mean_step < 23.5) as passed from su),
+ kept as (select *, passed or count(*) over (partition by tag) <= 2 or sum(passed::int) over (partition by tag) = 0 as kept, sum(passed::int) over (partition by tag) as n_passed from good)"""
 
 
 _BOUNDS = {"least_path": 70.0, "most_jump": 55.0, "most_step": 23.5, "least_seen": 0.096}
@@ -202,12 +203,12 @@ def track_filter(v):
     return _summary(v).select("tag", "track", "path", "span", "jump", "mean_step", "seen", "kept")
 
 
-@query(f"with {_SUM}, r as (select tag, track, row_number() over (partition by tag order by round(path, 9) desc, track) as rank from kept where kept) select * from r where rank <= 3")
+@query(f"with {_SUM}, r as (select tag, track, row_number() over (partition by tag order by passed desc, round(path, 9) desc, track) as rank, n_passed from kept where kept) select tag, track, rank from r where rank <= 3 or n_passed <= 3")
 def topk_tracks(v):
     return T.longest(_summary(v).withColumn("path", F.round("path", 9)), "tag", "track", 3).select("tag", "track", "rank")
 
 
-_FUSED = f"""{_SUM}, used as (select t.* from track t join (select tag, track, row_number() over (partition by tag order by path desc, track) as r from kept where kept) k using (tag, track) where r <= 20),
+_FUSED = f"""{_SUM}, used as (select t.* from track t join (select tag, track, n_passed, row_number() over (partition by tag order by passed desc, path desc, track) as r from kept where kept) k using (tag, track) where r <= 20 or n_passed <= 20),
  c as (select tag, frame, case when sum(visibility) > 1e-6 then sum(x * visibility) / sum(visibility) else avg(x) end as vx, case when sum(visibility) > 1e-6 then sum(y * visibility) / sum(visibility) else avg(y) end as vy,
  quantile_cont(x, 0.5) as mx, quantile_cont(y, 0.5) as my, avg(x) as ax, avg(y) as ay, 1.0 / (1.0 + stddev_pop(x) + stddev_pop(y)) as c from used group by tag, frame),
  p as (select tag, frame, (1 * vx + 1 * mx + 1 * ax + c * ax) / (1 + 1 + 1 + c) as px, (1 * vy + 1 * my + 1 * ay + c * ay) / (1 + 1 + 1 + c) as py, count(*) over (partition by tag) as n from c)"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from frameflow.operators import joins
+from frameflow.operators import derive, joins
 from frameflow.operators import sampling as P
 from frameflow.operators import stats as S
 from frameflow.operators.joins import first_of
@@ -126,10 +126,13 @@ def sincos(v):
     return v.vectors().select("vec_id", S.sincos("v").alias("f")).select("vec_id", F.col("f")[0].alias("s0"), F.col("f")[64].alias("c0"), F.size("f").cast("long").alias("size"))
 
 
-@query("select vec_id, embedding[8]::double as p0, embedding[14]::double as p6, embedding[1]::double as p7 from embeddings")
+@query("""with a as (select vec_id, case when vec_id % 3 = 0 then embedding[1:13] else embedding[1:14] end::double[] as a from embeddings)
+ select vec_id, array_to_string(list_transform(case when len(a) = 14 then a[1:6] || a[8:13] || [a[7]] || [a[14]] else a end, lambda x: round(x * 1000)::bigint), ',') as model,
+ array_to_string(list_transform(case when len(a) = 14 then a[1:6] || [a[13]] || a[7:12] || [a[14]] else a end, lambda x: round(x * 1000)::bigint), ',') as robot from a""")
 def arm_permute(v):
-    order = [*range(8, 15), *range(1, 8)]
-    return v.vectors().select("vec_id", F.element_at("v", order[0]).alias("p0"), F.element_at("v", order[6]).alias("p6"), F.element_at("v", order[7]).alias("p7"))
+    arms = v.vectors().select("vec_id", F.slice("v", 1, F.when(F.col("vec_id") % 3 == 0, 13).otherwise(14)).alias("a"))
+    text = lambda c: F.array_join(F.transform(c, lambda x: F.round(x * 1000).cast("long").cast("string")), ",")
+    return arms.select("vec_id", text(derive.arms_to_model(F.col("a"))).alias("model"), text(derive.arms_to_robot(F.col("a"))).alias("robot"))
 
 
 _CODES = "codes as (select vec_id as code, embedding[1:8]::double[] as centre from embeddings where vec_id < 16)"
@@ -205,9 +208,11 @@ def trajectory_weights(v):
     return n.select("dataset", "user_id", (F.col("n") / F.sum("n").over(Window.partitionBy("dataset"))).alias("share"))
 
 
-@query(_SETS + " select cast(floor(max(length / weight)) as bigint) as epoch_length from sets where weight = 1.0")
+@query(_SETS + """, s as (select *, weight * length / sum(weight * length) over () as balanced, weight / sum(weight) over () as plain from sets)
+ select cast(floor(max(length / balanced)) as bigint) as balanced, cast(floor(max(length / plain)) as bigint) as plain from s where weight = 1.0""")
 def epoch_length(v):
-    return v.spark.range(1).select(F.lit(P.epoch_length(_sets(v), "length", "weight")).cast("long").alias("epoch_length"))
+    sizes = {name: P.epoch_length(_sets(v), "length", "weight", name == "balanced") for name in ("balanced", "plain")}
+    return v.spark.range(1).select(*(F.lit(n).cast("long").alias(name) for name, n in sizes.items()))
 
 
 @query("select event_id, row_number() over (partition by event_type order by sha256('3:17:' || event_type || ':' || event_id), event_id) - 1 as place from events")
@@ -232,7 +237,7 @@ def mixture_dedupe(v):
 _UNIT = "cast('0x' || substr(sha256({}), 1, 12) as bigint) / 281474976710656.0::double"
 
 
-@query(_SETS + f", p as (select dataset, sum(weight * length) over (order by dataset) / sum(weight * length) over () as hi, (sum(weight * length) over (order by dataset) - weight * length) / sum(weight * length) over () as lo from sets), d as (select i as draw, {_UNIT.format(chr(39) + '7:' + chr(39) + ' || i')} as u from range(2000) r(i)) select draw, dataset from d join p on u >= lo and u < hi")
+@query(_SETS + f", h as (select dataset, sum(weight * length) over (order by dataset) / sum(weight * length) over () as hi from sets), p as (select dataset, hi, lag(hi, 1, 0) over (order by dataset) as lo from h), d as (select i as draw, {_UNIT.format(chr(39) + '7:' + chr(39) + ' || i')} as u from range(2000) r(i)) select draw, dataset from d join p on u >= lo and u < hi")
 def weighted_sample(v):
     draws = v.spark.range(2000).select(F.col("id").alias("draw")).withColumn("u", P.hash_unit(F.lit(7), F.col("draw")))
     return P.weighted(draws, "u", _sets(v).withColumn("w", F.col("weight") * F.col("length")), "dataset", "w").select("draw", "dataset")

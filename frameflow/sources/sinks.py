@@ -8,6 +8,7 @@ rename, so that a reader sees the old one or the new one.
 from __future__ import annotations
 
 import csv
+import hashlib
 import io
 import json
 import uuid
@@ -33,6 +34,15 @@ def _opened(spark: SparkSession, path: str):
         fs.close()
 
 
+def _replace(spark: SparkSession, source, target) -> None:
+    """Renames source to target, over what is there: one step of the file system, so no reader misses both."""
+    jvm = spark._jvm
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), spark._jsc.hadoopConfiguration())
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = getattr(jvm.org.apache.hadoop.fs.Options, "Rename").OVERWRITE
+    context.rename(source, target, options)
+
+
 def write_text(spark: SparkSession, path: str, text: str) -> None:
     """A small text file, by a temporary file beside it and a rename."""
     with _opened(spark, path) as (fs, target):
@@ -42,10 +52,7 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
             out.write(bytearray(text.encode()))
         finally:
             out.close()
-        fs.delete(target, False)
-        if not fs.rename(beside, target):
-            fs.delete(beside, False)
-            raise OSError(f"could not put {path} in place")
+        _replace(spark, beside, target)
 
 
 def read_text(spark: SparkSession, path: str) -> str | None:
@@ -78,12 +85,19 @@ def few(df: DataFrame, most: int) -> list[dict[str, Any]]:
 
 
 def append_entries(spark: SparkSession, path: str, entries: Sequence[dict[str, Any]]) -> int:
-    """Adds entries to the array of a JSON document and tells how many there are; a missing or corrupt one starts anew."""
+    """Adds entries to the array of a JSON document and tells how many there are; a missing one starts anew.
+
+    So does one that is no JSON array, but its text is first put aside, at path.corrupt-<hash of the text>.
+    """
+    text = read_text(spark, path) or "[]"
     try:
-        had = json.loads(read_text(spark, path) or "[]")
+        had = json.loads(text)
     except json.JSONDecodeError:
+        had = None
+    if not isinstance(had, list):
+        write_text(spark, f"{path}.corrupt-{hashlib.sha256(text.encode()).hexdigest()[:12]}", text)
         had = []
-    all_of_them = [*(had if isinstance(had, list) else []), *entries]
+    all_of_them = [*had, *entries]
     write_document(spark, path, all_of_them)
     return len(all_of_them)
 

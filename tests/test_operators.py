@@ -208,3 +208,14 @@ def test_nearest_codes(spark):
     got = {q.id: (q.code, q.distance) for q in stats.nearest_code(df, "v", codes, "id").collect()}
     d = ((x[:, None] - book[None]) ** 2).sum(2)
     assert got == {i: (int(2 * d[i].argmin()), d[i].min()) for i in range(500)} | {900: (None, None)}
+
+
+def test_limit_of_tracks_holds_for_those_that_passed(spark):
+    from frameflow.operators.traces import fuse
+
+    rows = [("g", t, f, float(100 * t * (f % 2)), 0.0, 1.0) for t in range(1, 4) for f in range(4)]
+    df = spark.createDataFrame(rows, "g string, track int, frame int, x double, y double, visibility double")
+    points = lambda n, **bounds: [round(r.fused_x, 6) for r in fuse(df, "g", "track", "frame", n, smoothing=1, **bounds).orderBy("frame").collect()]
+    assert points(1, most_jump=50.0) == [0.0, 200.0, 0.0, 200.0]  # none passes: the mean of all
+    assert points(1, most_jump=1e9, most_step=1e9) == [0.0, 300.0, 0.0, 300.0]
+    assert points(3, most_jump=250.0, most_step=1e9) == [0.0, 150.0, 0.0, 150.0]

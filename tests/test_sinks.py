@@ -16,6 +16,8 @@ def test_documents_and_appended_entries(spark, tmp_path):
     assert json.loads((tmp_path / "a.json").read_text()) == [{"x": "é"}, {"x": 2}]
     (tmp_path / "a.json").write_text('[{"x": ')
     assert sinks.append_entries(spark, path, [{"x": 3}]) == 1
+    [aside] = [p for p in tmp_path.iterdir() if ".corrupt-" in p.name]
+    assert aside.read_text() == '[{"x": '
     assert [p.name for p in tmp_path.iterdir() if "tmp" in p.name] == []
 
 
@@ -78,9 +80,10 @@ def test_loader_orders(spark):
     picked = [r.ep for r in sampling.stratified(lengths, "ep", "n", 20, 3).collect()]
     assert len(set(picked)) == 20 and {int(i * 199 / 13) for i in range(14)} <= set(picked) and sampling.stratified(lengths, "ep", "n", 300, 3).count() == 200
     sets = lambda *rows: spark.createDataFrame(rows, "length double, weight double")
-    assert sampling.epoch_length(sets((100.0, 1.0), (900.0, 0.5)), "length", "weight") == 100
-    assert sampling.epoch_length(sets((100.0, 0.25), (90.0, 0.5), (7.0, 0.5)), "length", "weight") == 180
-    assert sampling.epoch_length(sets((0.0, 1.0), (90.0, 0.5)), "length", "weight") == 90 and sampling.epoch_length(sets((0.0, 1.0)), "length", "weight") == 0
+    steps = lambda *rows, balanced=False: sampling.epoch_length(sets(*rows), "length", "weight", balanced)
+    assert steps((100.0, 1.0), (900.0, 0.5)) == 150 and steps((100.0, 1.0), (900.0, 0.5), balanced=True) == 550
+    assert steps((100.0, 0.25), (90.0, 0.5), (7.0, 0.75)) == 14 and steps((100.0, 0.25), (90.0, 0.5), (7.0, 0.5)) == 225
+    assert steps((0.0, 1.0), (90.0, 0.5)) == 90 and steps((0.0, 1.0)) == 0
 
 
 def test_derived_columns_and_settings(spark):
@@ -89,6 +92,14 @@ def test_derived_columns_and_settings(spark):
     df = spark.createDataFrame([([1.0, 2.0, 3.0, 9.0], [4.0, 5.0, 6.0], [7.0])], "`steps/action/world_vector` array<double>, `steps/action/rotation_delta` array<double>, `steps/action/gripper_closedness_action` array<double>")
     got = derive.derived(df, "fractal")
     assert got.columns[3:] == ["action"] and got.first().action == [1.0, 2.0, 3.0, 4.0, 5.0, 6.0, 7.0]
+    single = df.select(*(F.col(f"`{c}`")[0].cast("float").alias(c) if "gripper" in c else F.col(f"`{c}`") for c in df.columns))
+    assert derive.derived(single, "fractal").first().action == [1.0, 2.0, 3.0, 4.0, 5.0, 6.0, 7.0]
+    arms = spark.range(1).select(F.array(*(F.lit(float(i)) for i in range(14))).alias("a"))
+    model = arms.select(derive.arms_to_model(F.col("a")).alias("m"))
+    assert model.first().m == [0, 1, 2, 3, 4, 5, 7, 8, 9, 10, 11, 12, 6, 13]
+    assert model.select(derive.arms_to_robot(F.col("m")).alias("r")).first().r == list(range(14))
+    short = arms.select(F.slice("a", 1, 13).alias("a"))
+    assert short.select(derive.arms_to_model(F.col("a")).alias("r")).first().r == short.select(derive.arms_to_robot(F.col("a")).alias("r")).first().r == list(range(13))
     assert derive.derived(got.select(F.lit(1).alias("action")), "fractal").columns == ["action"] and derive.derived(df, "other").columns == df.columns
     assert [derive.as_bool(v) for v in (None, "No", " off ", "yes", 0, True, "")] == [False, False, False, True, False, True, False]
     assert [derive.as_list(v) for v in (None, "", "a, b,,", ["x", 1])] == [None, None, ["a", "b"], ["x", "1"]]

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from frameflow.operators.stats import weights_for_sampling
+from frameflow.tables import stored
 
 def hash_unit(*parts: Column) -> Column:
     """A number in [0, 1) from the SHA-256 of the parts joined by `:`; 48 bits."""
@@ -64,49 +65,42 @@ def strided(df: DataFrame, stride: int, cap: int | None = None, group: str = "ep
     return out
 
 
-def range_buckets(df: DataFrame, *order: str, most: int = 256, per_bucket: int = 64) -> Column:
-    """A column that numbers ranges of a global order, from bounds that are fixed here, as literals.
+def ordered(df: DataFrame, *order: str) -> DataFrame:
+    """df as a stored table with __range, numbers of ranges of a global order, and __place, the place in the range from 0.
 
-    Bounds are quantiles of the rows with the least hashes of the order's columns, `most` times `per_bucket` at most.
-    Nulls come first.
+    One shuffle by range, of which Spark draws the bounds and adaptive execution the number, and one evaluation of df:
+    whatever is counted afterwards is counted on what was written. Equal keys are told apart by a hash of the whole row,
+    so no range is large for a frequent key, unless rows are repeated as a whole. Nulls come first.
     """
-    keys = df.select(*order)
-    sample = keys.orderBy(F.xxhash64(*order), *order).limit(most * per_bucket).orderBy(*order).collect()
-    bounds = list(dict.fromkeys(tuple(sample[k]) for k in range(per_bucket, len(sample), per_bucket)))
-    kinds = [keys.schema[c].dataType for c in order]
-    here = F.struct(*(F.col(c).alias(c) for c in order))
+    tie = F.xxhash64(*(f.name for f in df.schema if "map<" not in f.dataType.simpleString()))
+    keyed = df.withColumn("__tie", tie).repartitionByRange(*order, "__tie").sortWithinPartitions(*order, "__tie").drop("__tie")
+    place = F.monotonically_increasing_id()  # the task in the upper bits, the row of the task below
+    return stored(keyed.withColumn("__row", place).select(*df.columns, F.shiftright("__row", 33).cast("int").alias("__range"), F.col("__row").bitwiseAND(F.lit((1 << 33) - 1)).alias("__place")), "ordered")
 
-    def find(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        bound = F.struct(*(F.lit(v).cast(t).alias(c) for c, v, t in zip(order, bounds[mid], kinds)))
-        return F.when(here < bound, find(lo, mid)).otherwise(find(mid + 1, hi))
 
-    return find(0, len(bounds))
+def _started(held: DataFrame, amount: Column) -> DataFrame:
+    """held with __start, the sum of `amount` over the ranges before a row's own; a row a range goes to the driver."""
+    start, before = 0, []
+    for r in held.groupBy("__range").agg(F.sum(amount).alias("s")).orderBy("__range").collect():
+        before.append((r["__range"], start))
+        start += r.s or 0
+    kind = held.select(F.sum(amount)).schema[0].dataType.simpleString()
+    return held.join(F.broadcast(held.sparkSession.createDataFrame(before, f"__range int, __start {kind}")), "__range")
 
 
 def running(df: DataFrame, amount: Column, *order: str, to: str) -> DataFrame:
     """Adds the sum of `amount` over all rows before this one in a global order, without one task for all rows.
 
-    Each range of the order is summed once; what comes before a range is a literal, what comes before a row in it a
-    window. Rows that are equal in the order come in any order, each once.
+    Rows that are equal in the order come in any order, each once. The result reads a stored table.
     """
-    spread = df.withColumn("__b", range_buckets(df, *order)).withColumn("__a", amount)
-    sums = {r["__b"]: r["__s"] for r in spread.groupBy("__b").agg(F.sum("__a").alias("__s")).collect()}  # a row per range
-    before, total = [], 0
-    for k in range(max(sums, default=-1) + 1):
-        before.append(total)
-        total += sums.get(k) or 0
-    w = Window.partitionBy("__b").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    own = F.coalesce(F.sum("__a").over(w), F.lit(0))
-    start = F.element_at(F.array(*map(F.lit, before or [0])), F.col("__b") + 1)
-    return spread.withColumn(to, start + own).drop("__b", "__a")
+    held = _started(ordered(df.withColumn("__a", amount), *order), F.col("__a"))
+    w = Window.partitionBy("__range").orderBy("__place").rowsBetween(Window.unboundedPreceding, -1)
+    return held.withColumn(to, F.col("__start") + F.coalesce(F.sum("__a").over(w), F.lit(0))).select(*df.columns, to)
 
 
 def positions(df: DataFrame, *order: str, to: str = "pos") -> DataFrame:
-    """Numbers rows 0, 1, ... in a global order without one task for all rows."""
-    return running(df, F.lit(1).cast("long"), *order, to=to).withColumn(to, F.col(to).cast("long"))
+    """Numbers rows 0, 1, ... in a global order without one task for all rows. The result reads a stored table."""
+    return _started(ordered(df, *order), F.lit(1)).select(*df.columns, (F.col("__start") + F.col("__place")).alias(to))
 
 
 def nodes(df: DataFrame, k: int, *order: str, to: str = "node") -> DataFrame:
@@ -139,11 +133,15 @@ def frame_budget(duration: Column, frames: Column, interval: float, least: int,
 
 
 def sequential(steps: DataFrame, epoch: int, seed: int, dataset: str, *keys: str, shuffle: bool = True, to: str = "place") -> DataFrame:
-    """Adds each step's place in its dataset's order for an epoch: shuffled anew by epoch and seed, or as it is."""
-    order = [F.sha2(F.concat_ws(":", F.lit(str(epoch)), F.lit(str(seed)), *(F.col(k).cast("string") for k in (dataset, *keys))), 256)] if shuffle else []
-    ranked = steps.withColumn("__h", order[0] if order else F.lit(""))
-    w = Window.partitionBy(dataset).orderBy("__h", *keys)
-    return ranked.withColumn(to, (F.row_number().over(w) - 1).cast("long")).drop("__h")
+    """Adds each step's place in its dataset's order for an epoch: shuffled anew by epoch and seed, or as it is.
+
+    Steps are numbered in one global order by dataset and hash, from which each dataset's first number is taken, so a
+    dataset's steps are sorted by as many tasks as it needs.
+    """
+    mixed = F.sha2(F.concat_ws(":", F.lit(str(epoch)), F.lit(str(seed)), *(F.col(k).cast("string") for k in (dataset, *keys))), 256)
+    placed = positions(steps.withColumn("__h", mixed if shuffle else F.lit("")), dataset, "__h", *keys, to="__n")
+    first = placed.groupBy(F.col(dataset).alias("__d")).agg(F.min("__n").alias("__first"))
+    return placed.join(first, placed[dataset].eqNullSafe(first["__d"])).select(*steps.columns, (F.col("__n") - F.col("__first")).alias(to))
 
 
 def stratified(lengths: DataFrame, key: str, length: str, k: int, seed: int, share: float = 0.7) -> DataFrame:

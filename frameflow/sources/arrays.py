@@ -5,45 +5,58 @@ from __future__ import annotations
 import io
 import os
 from collections.abc import Iterator, Sequence
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from frameflow.operators.sampling import positions, running
+from frameflow.sources.npy_ranges import write_npy
+from frameflow.tables import scratch
 
-def write_traces(df: DataFrame, folder: str, name: str, episodes: int, episode: str = "episode", step: str = "step", x: str = "x", y: str = "y") -> None:
-    """name_coords.npy (float32 pairs), name_offsets.npy and name_present.npy in a folder that the driver can write.
 
-    A first pass counts the points of each of the episodes 0..episodes-1, a second one writes them in order, a task's
-    worth at a time; if it meets other counts than the first, that is an error and no file is left.
+def write_traces(df: DataFrame, folder: str, name: str, episodes: int, episode: str = "episode", step: str = "step", x: str = "x", y: str = "y", allow_null: bool = False, overwrite: bool = False) -> dict[str, Any]:
+    """name_coords.npy (float32 pairs), name_offsets.npy and name_present.npy in a folder that the driver and all tasks
+    can write; tells what was written.
+
+    A first pass numbers the points of the episodes 0..episodes-1 by episode and step, a second one writes them to their
+    places, each task its own byte range. What the second one wrote is checked against the first, and a file takes its
+    name only if it agrees. Points without both coordinates are left out with allow_null, else an error, as are
+    episodes out of range, and files that are there already unless they may be replaced. The summary has counts of
+    points and episodes, the first 50 episodes without points, points per episode, bounds of the coordinates, and up to
+    20 points whose step is not their place in the episode.
     """
-    counts = np.zeros(episodes, np.int64)
-    for r in df.groupBy(episode).agg(F.count(F.lit(1)).alias("n")).toLocalIterator():
-        counts[r[episode]] = r.n
-    offsets = np.concatenate([[0], np.cumsum(counts)])
-    os.makedirs(folder, exist_ok=True)
     paths = {k: os.path.join(folder, f"{name}_{k}.npy") for k in ("coords", "offsets", "present")}
-    seen, at = np.zeros(episodes, np.int64), 0
-    beside = paths["coords"] + ".tmp"
-    coords = np.lib.format.open_memmap(beside, "w+", np.float32, (int(offsets[-1]), 2))
-    try:
-        ordered = df.select(episode, step, x, y).repartitionByRange(episode, step).sortWithinPartitions(episode, step)
-        for r in ordered.toLocalIterator(prefetchPartitions=True):
-            if at == len(coords):
-                raise ValueError("the second pass has more points than the first")
-            coords[at] = (r[x], r[y])
-            seen[r[episode]] += 1
-            at += 1
-        if (seen != counts).any():
-            raise ValueError("the second pass differs from the first")
-        coords.flush()
-        os.replace(beside, paths["coords"])
-    finally:
-        if os.path.exists(beside):
-            os.remove(beside)
-    np.save(paths["offsets"], offsets)
-    np.save(paths["present"], counts > 0)
+    for path in paths.values():
+        if os.path.exists(path) and not overwrite:
+            raise FileExistsError(path)
+    os.makedirs(folder, exist_ok=True)
+    points = df.select(F.col(episode).cast("long").alias("episode"), F.col(step).cast("long").alias("step"), F.col(x).cast("float").alias("x"), F.col(y).cast("float").alias("y"))
+    missing = F.col("x").isNull() | F.col("y").isNull()
+    if allow_null:
+        points = points.where(~missing)
+    with scratch(df.sparkSession):
+        placed = positions(points, "episode", "step")
+        bad = F.coalesce(~F.col("episode").between(0, episodes - 1), F.lit(True)) | missing
+        if wrong := placed.where(bad).first():
+            raise ValueError(f"no place in the file for {wrong}")
+        counts = placed.groupBy("episode").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first"))
+        slots = df.sparkSession.range(episodes + 1).join(counts, F.col("id") == F.col("episode"), "left").select("id", F.coalesce("n", F.lit(0)).alias("n"))
+        offsets = running(slots, F.col("n"), "id", to="start")
+        figures = placed.agg(F.count(F.lit(1)), *(f(c) for f in (F.min, F.max) for c in ("x", "y"))).first()
+        write_npy(placed.select("pos", "x", "y"), paths["coords"], "<f4", figures[0], 2)
+        write_npy(offsets.select("id", "start"), paths["offsets"], "<i8", episodes + 1)
+        write_npy(offsets.where(F.col("id") < episodes).select("id", F.col("n") > 0), paths["present"], "|b1", episodes)
+        per = counts.agg(F.count(F.lit(1)), F.min("n"), F.median("n"), F.max("n")).first()
+        absent = offsets.where((F.col("n") == 0) & (F.col("id") < episodes)).select("id").orderBy("id").limit(50).collect()
+        place = F.col("pos") - F.col("first")
+        odd = placed.join(counts, "episode").where(F.col("step") != place).select("episode", place.alias("expected"), "step").orderBy("episode", "expected").limit(20).collect()
+    return {
+        "row_count": figures[0], "coordinate_min": list(figures[1:3]), "coordinate_max": list(figures[3:5]), "present_episodes": per[0], "missing_episode_count": episodes - per[0], "missing_episodes_preview": [r.id for r in absent],
+        "rows_per_present_episode": {"min": per[1] or 0, "median": per[2] or 0.0, "max": per[3] or 0}, "step_mismatches_preview": [r.asDict() for r in odd],
+    }
 
 
 def traces(spark: SparkSession, folder: str, name: str, scale: float = 0.01, tasks: int = 64) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from frameflow.operators import joins, sampling
 from frameflow.sources import arrays, sinks
+from frameflow.sources.npy_ranges import write_npy
 
 
 def test_documents_and_appended_entries(spark, tmp_path):
@@ -40,7 +41,11 @@ def test_report_statistics_and_shards(spark, tmp_path):
 def test_trace_files(spark, tmp_path):
     rows = [(e, s, float(10 * e + s), 100.0 - s) for e in (0, 2, 3) for s in range(e + 2)]
     df = spark.createDataFrame(rows, "episode long, step long, x double, y double").repartition(3)
-    arrays.write_traces(df, str(tmp_path), "set", 5)
+    told = arrays.write_traces(df, str(tmp_path), "set", 5)
+    assert (told["row_count"], told["present_episodes"], told["missing_episodes_preview"]) == (11, 3, [1, 4]) and told["coordinate_max"] == [34.0, 100.0]
+    assert told["rows_per_present_episode"] == {"min": 2, "median": 4.0, "max": 5} and told["step_mismatches_preview"] == []
+    with pytest.raises(FileExistsError):
+        arrays.write_traces(df, str(tmp_path), "set", 5)
     assert np.load(tmp_path / "set_offsets.npy").tolist() == [0, 2, 2, 6, 11, 11]
     assert np.load(tmp_path / "set_present.npy").tolist() == [True, False, True, True, False]
     got = sorted((r.episode, r.step, r.x, r.y) for r in arrays.traces(spark, str(tmp_path), "set", scale=1.0).collect())
@@ -51,6 +56,40 @@ def test_trace_files(spark, tmp_path):
     assert w[2, 0] == [20.0, 20.0, 20.0] and w[2, 3] == [21.0, 22.0, 23.0]
 
 
+def test_traces_that_cannot_be_written_leave_no_file(spark, tmp_path):
+    good = spark.range(5000).selectExpr("id div 50 episode", "id % 50 step", "double(id) x", "1.0D y")
+    for bad, match in ((good.withColumn("episode", F.col("episode") - 1), "no place"), (good.withColumn("x", F.when(F.col("episode") != 7, F.col("x"))), "no place")):
+        with pytest.raises(ValueError, match=match):
+            arrays.write_traces(bad, str(tmp_path), "set", 100)
+    told = arrays.write_traces(good.withColumn("x", F.when(F.col("episode") != 7, F.col("x"))).withColumn("step", F.col("step") + (F.col("episode") == 3).cast("int")), str(tmp_path), "holes", 100, allow_null=True)
+    assert told["missing_episodes_preview"] == [7] and told["row_count"] == 4950 and told["step_mismatches_preview"][0] == {"episode": 3, "expected": 0, "step": 1} and len(told["step_mismatches_preview"]) == 20
+    rows = spark.range(1000).selectExpr("id pos", "double(id) v")
+    path = str(tmp_path / "a.npy")
+    with pytest.raises(Exception, match="written twice"):
+        write_npy(rows.union(rows.limit(1)), path, "<f8", 1000)
+    with pytest.raises(Exception, match="these were written"):
+        write_npy(rows.where("pos <> 500"), path, "<f8", 1000)
+    with pytest.raises(Exception, match="outside"):
+        write_npy(rows, path, "<f8", 999)
+    with pytest.raises(Exception, match="lost"):
+        write_npy(rows.withColumn("v", F.when(F.col("pos") == 700, F.raise_error(F.lit("lost")).cast("double")).otherwise(F.col("v"))).repartition(4), path, "<f8", 1000)
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["holes_coords.npy", "holes_offsets.npy", "holes_present.npy"]
+    write_npy(rows.repartition(7), path, "<f8", 1000)
+    assert (np.load(path) == np.arange(1000)).all()
+    write_npy(rows.where("pos < 0"), path, "<f8", 0)
+    assert np.load(path).shape == (0,)
+
+
+def test_many_points_in_one_hot_episode(spark, tmp_path):
+    df = spark.range(1_000_000).selectExpr("if(id % 3 = 0, 5, id % 999) episode", "id step", "float(id % 977) x", "float(id % 31) y")
+    told = arrays.write_traces(df, str(tmp_path), "set", 1000)
+    assert told["row_count"] == 1_000_000
+    want = sorted((5 if i % 3 == 0 else i % 999, i) for i in range(1_000_000))
+    assert (np.load(tmp_path / "set_coords.npy")[:, 0] == np.array([i % 977 for _, i in want], np.float32)).all()
+    offsets = np.load(tmp_path / "set_offsets.npy")
+    assert offsets.tolist() == np.searchsorted([e for e, _ in want], range(1001)).tolist()
+
+
 def test_archives(spark, tmp_path):
     folder = tmp_path / "t" / "g" / "episodes"
     folder.mkdir(parents=True)

@@ -219,3 +219,37 @@ def test_limit_of_tracks_holds_for_those_that_passed(spark):
     assert points(1, most_jump=50.0) == [0.0, 200.0, 0.0, 200.0]  # none passes: the mean of all
     assert points(1, most_jump=1e9, most_step=1e9) == [0.0, 300.0, 0.0, 300.0]
     assert points(3, most_jump=250.0, most_step=1e9) == [0.0, 150.0, 0.0, 150.0]
+
+
+def folded(sizes, limit, before):
+    files, used, n, file = [], 0, 0, 0
+    for s in sizes:
+        if before and n and used + s >= limit:
+            file, used, n = file + 1, 0, 0
+        files.append(file)
+        used, n = used + s, n + 1
+        if not before and used >= limit:
+            file, used, n = file + 1, 0, 0
+    return files
+
+
+@pytest.mark.parametrize("before", [False, True])
+def test_bin_packing_equals_the_fold_over_many_ranges(spark, before):
+    rng = np.random.default_rng(5)
+    was = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for n, limit, high in ((0, 5, 9), (1, 5, 9), (300, 20, 9), (300, 3, 9), (300, 1000, 9), (300, 10**6, 9), (300, 50, 1)):
+            sizes = [int(x) for x in rng.integers(0, high + 1, n)]
+            df = spark.createDataFrame([(i, s) for i, s in enumerate(sizes)], "i long, s long")
+            assert [r.file for r in files.bin_pack(df, "s", "i", limit, before).orderBy("i").collect()] == folded(sizes, limit, before), (n, limit)
+        groups = [(str(g) if g else None, i, float(rng.integers(0, 40)) / 8) for g, m in ((0, 3), (1, 150), (2, 1), (3, 90), (4, 2)) for i in range(m)]
+        df = spark.createDataFrame(groups, "g string, i long, s double").repartition(3)
+        got = {(r.g, r.i): r.file for r in files.bin_pack(df, "s", "i", 12.5, before, "g").collect()}
+        for g in {g for g, _, _ in groups}:
+            own = [(i, s) for h, i, s in groups if h == g]
+            assert [got[g, i] for i, _ in own] == folded([s for _, s in own], 12.5, before)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", was)
+    with pytest.raises(Exception, match="negative"):
+        files.bin_pack(spark.createDataFrame([(1, -1)], "i long, s long"), "s", "i", 5).collect()

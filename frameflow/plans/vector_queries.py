@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from frameflow.operators import derive, joins
+from frameflow.operators import derive, joins, sampler
 from frameflow.operators import sampling as P
 from frameflow.operators import stats as S
 from frameflow.operators.joins import first_of
@@ -243,6 +243,32 @@ def weighted_sample(v):
     return P.weighted(draws, "u", _sets(v).withColumn("w", F.col("weight") * F.col("length")), "dataset", "w").select("draw", "dataset")
 
 
+_DRAWN = _SETS + f""", n as (select count(*) as n from events), h as (select dataset, length, sum(weight * length) over (order by dataset) / sum(weight * length) over () as hi from sets),
+ p as (select dataset, length, hi, lag(hi, 1, 0) over (order by dataset) as lo from h),
+ i as (select dataset, event_id, value, row_number() over (partition by dataset order by event_id) - 1 as place from mix),
+ d as (select i as draw, substr(sha256('(2, ' || i || ', 17)'), 33, 32) as h from n, range(n) r(i)),
+ c as (select draw, dataset, (('0x' || substr(h, 13, 10))::bigint::hugeint * 1099511627776 + ('0x' || substr(h, 23, 10))::bigint) % length as place from d join p on ('0x' || substr(h, 1, 12))::bigint / 281474976710656.0::double >= lo and ('0x' || substr(h, 1, 12))::bigint / 281474976710656.0::double < hi)"""
+
+
+def _drawn(v):
+    index = sampler.step_index(v.mix().select("dataset", "event_id", "value"), "dataset", "event_id")
+    mix = sampler.mixture(index, _sets(v), "dataset", "weight")
+    asked = v.spark.range(v.t("events").count()).select(F.col("id").alias("draw"))
+    return sampler.sampled(sampler.draws(asked, mix, "dataset", 2, 17), index, "dataset")
+
+
+@query(_DRAWN + " select draw, dataset, place::bigint as place, event_id from c join i using (dataset, place)")
+def epoch_sample(v):
+    return _drawn(v).select("draw", "dataset", "place", "event_id")
+
+
+@query(_DRAWN + """, s as (select draw, event_id, value >= 60 as good from c join i using (dataset, place)),
+ t as (select a.draw, min(b.o) as o from (select draw from s) a join (select x.draw, k, (x.draw + k) % n as j, k as o from s x, n, range(10) r(k)) b on a.draw = b.draw join s y on y.draw = b.j and y.good group by a.draw)
+ select s.draw, (s.draw + o) % n as taken, y.event_id from s cross join n left join t on t.draw = s.draw left join s y on y.draw = (s.draw + o) % n""")
+def retried_sample(v):
+    return sampler.next_good(_drawn(v), "draw", F.col("value") >= 60, fail=False).select("draw", "taken", "event_id")
+
+
 @query("with n as (select count(*) as n from events) select i as draw, cast('0x' || substr(sha256('3:' || i), 1, 12) as bigint) % n as pick from range(1000) r(i), n")
 def hash_draw(v):
     n = v.t("events").agg(F.count(F.lit(1)).alias("n"))

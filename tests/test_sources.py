@@ -1,9 +1,11 @@
 import io
 import json
+import struct
 
 import pytest
 
-from frameflow.sources import datasets
+from frameflow.sources import datasets, tfrecord
+from frameflow.sources.byte_files import Range
 from frameflow.sources.json_array import JsonArraySource, elements
 from frameflow.sources.text import episode_list
 from frameflow.sources.tfrecord import TFRecordSource, example, records, write_records
@@ -14,13 +16,48 @@ def test_tfrecord_round_trip(spark, tmp_path):
     write_records(str(tmp_path / "a.tfrecord"), rows[:1500])
     write_records(str(tmp_path / "b.tfrecord"), rows[1500:])
     spark.dataSource.register(TFRecordSource)
-    df = spark.read.format("tfrecord_examples").schema("id long, x array<float>, name string, neg long, gone string").load(str(tmp_path))
+    df = spark.read.format("tfrecord_examples").schema("id long, x array<float>, name string, neg long, gone string").option("splitBytes", 4096).load(str(tmp_path))
+    assert df.rdd.getNumPartitions() > 10
     got = sorted(df.collect())
     assert len(got) == 2500 and tuple(got[7]) == (7, [3.5, -1.0], "r7", -8, None)
     with open(tmp_path / "a.tfrecord", "rb") as f:
         assert example(next(records(f)))["name"] == [b"r0"]
 
 
+def test_every_split_of_a_tfrecord_file_gives_the_same_records(tmp_path):
+    path = str(tmp_path / "a.tfrecord")
+    rows = [{"id": [k], "x": [float(v) for v in range(k % 40)]} for k in range(120)]
+    write_records(path, rows)
+    size = (tmp_path / "a.tfrecord").stat().st_size
+    want = list(tfrecord.records_in(Range(path, 0, size, size)))
+    assert [example(p)["id"][0] for p in want] == list(range(120))
+    for n in (1, 7, 50, 333, 1000, size - 1, size, size + 1):
+        parts = [list(tfrecord.records_in(p)) for p in tfrecord.splits(str(tmp_path), n)]
+        assert [p for part in parts for p in part] == want and (n > 1 or max(map(len, parts)) == 1)
+    data = (tmp_path / "a.tfrecord").read_bytes()
+    read = lambda n: [p for part in tfrecord.splits(path, n) for p in tfrecord.records_in(part)]
+    for cut in (5, 13, size // 2, size - 1):
+        (tmp_path / "a.tfrecord").write_bytes(data[:cut])
+        for n in (100, size):
+            with pytest.raises(ValueError):
+                read(n)
+    broken = bytearray(data)
+    third = 2 * 16 + sum(map(len, want[:2]))
+    broken[third] ^= 1
+    (tmp_path / "a.tfrecord").write_bytes(broken)
+    with pytest.raises(ValueError):
+        read(64)
+    bare = b"".join(struct.pack("<Q", len(p)) + bytes(4) + p + bytes(4) for p in want)
+    (tmp_path / "a.tfrecord").write_bytes(bare)  # no CRCs: one range
+    assert read(100) == want and len(tfrecord.splits(path, 100)) == 1
+    (tmp_path / "a.tfrecord").write_bytes(b"")
+    assert read(100) == []
+
+
+def test_crc_of_the_format():
+    assert tfrecord.masked_crc(b"123456789") == (((0xE3069283 >> 15) | (0xE3069283 << 17)) + 0xA282EAD8) & 0xFFFFFFFF
+
+
 def test_cut_off_record():
     with pytest.raises(ValueError, match="cut off"):
         list(records(io.BytesIO(b"\x05" + bytes(11) + b"ab")))

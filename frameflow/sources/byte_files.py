@@ -11,7 +11,7 @@ import os
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyarrow import fs
+from pyarrow import NativeFile, fs
 
 
 def _file_system(address: str) -> tuple[fs.FileSystem, str]:
@@ -56,12 +56,16 @@ def ranges(pattern: str, split_bytes: int, within: str = "*") -> list[Range]:
     return [Range(path, at, min(size, at + split_bytes), size) for path, size in listed(pattern, within) for at in range(0, max(size, 1), split_bytes)]
 
 
+def opened(address: str) -> NativeFile:
+    system, path = _file_system(address)
+    return system.open_input_file(path)
+
+
 class Window:
     """A file as bytes by offset, read ahead in blocks; what lies before `keep` is let go."""
 
     def __init__(self, path: str, block: int = 1 << 20):
-        system, inner = _file_system(path)
-        self.file, self.block = system.open_input_file(inner), block
+        self.file, self.block = opened(path), block
         self.start, self.data = 0, b""
 
     def __enter__(self) -> Window:
@@ -81,8 +85,7 @@ class Window:
 
 def blocks(path: str, start: int, end: int, block: int = 1 << 20) -> Iterator[bytes]:
     """Bytes start..end-1 of a file, block by block."""
-    system, inner = _file_system(path)
-    with system.open_input_file(inner) as file:
+    with opened(path) as file:
         file.seek(start)
         while start < end and (got := file.read(min(block, end - start))):
             yield got

@@ -1,4 +1,4 @@
-"""A data source that writes rows to their places in one NumPy file: tasks write disjoint byte ranges of it.
+"""Data sources that write rows to their places in one file, a NumPy array or plain bytes, each task its own byte ranges.
 
 Rows are (pos, values...): the values of row `pos` of the array, all of one number type. Tasks write to a file beside the
 target, in a folder that all of them can write, and report the runs of rows that they wrote. The commit checks that
@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
@@ -27,9 +28,9 @@ def header(dtype: str, rows: int, width: int | None) -> bytes:
     return out.getvalue()
 
 
-def runs_of(pos: np.ndarray) -> Iterator[tuple[int, int]]:
-    """(first, end) places in pos of stretches in which each number is one more than the one before."""
-    cuts = np.flatnonzero(np.diff(pos) != 1) + 1
+def runs_of(pos: np.ndarray, size: np.ndarray | int = 1) -> Iterator[tuple[int, int]]:
+    """(first, end) places in pos of stretches in which each number is the one before plus its size."""
+    cuts = np.flatnonzero(np.diff(pos) != (size if isinstance(size, int) else size[:-1])) + 1
     yield from zip([0, *cuts.tolist()], [*cuts.tolist(), len(pos)], strict=True)
 
 
@@ -58,6 +59,13 @@ class RangesWriter(DataSourceArrowWriter):
         self.start = len(header(self.dtype, self.rows, self.width))
         self.row_bytes = np.dtype(self.dtype).itemsize * (self.width or 1)
 
+    def _blocks(self, batch: pa.RecordBatch) -> Iterator[tuple[int, int, memoryview]]:
+        """(place, how many, bytes) of the stretches of rows that lie next to each other."""
+        pos, *columns = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        values = np.stack(columns, axis=1).astype(self.dtype)
+        for first, end in runs_of(pos):
+            yield int(pos[first]), end - first, memoryview(np.ascontiguousarray(values[first:end])).cast("B")
+
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         runs: list[tuple[int, int]] = []
         file = os.open(self.beside, os.O_WRONLY | os.O_CREAT, 0o644)
@@ -65,18 +73,14 @@ class RangesWriter(DataSourceArrowWriter):
             for batch in iterator:
                 if not batch.num_rows:
                     continue
-                columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-                pos = columns[0]
-                if pos.min() < 0 or pos.max() >= self.rows:
-                    raise ValueError(f"a row lies outside 0..{self.rows - 1}")
-                values = np.stack(columns[1:], axis=1).astype(self.dtype)
-                for first, end in runs_of(pos):
-                    block = memoryview(np.ascontiguousarray(values[first:end])).cast("B")
-                    at = self.start + int(pos[first]) * self.row_bytes
+                for pos, n, block in self._blocks(batch):
+                    if pos < 0 or pos + n > self.rows:
+                        raise ValueError(f"a row lies outside 0..{self.rows - 1}")
+                    at = self.start + pos * self.row_bytes
                     while len(block):
-                        n = os.pwrite(file, block, at)
-                        block, at = block[n:], at + n
-                    runs.append((int(pos[first]), int(pos[first]) + end - first))
+                        done = os.pwrite(file, block, at)
+                        block, at = block[done:], at + done
+                    runs.append((pos, pos + n))
                 if len(runs) > 10_000:
                     runs = joined(runs)
             os.fsync(file)
@@ -91,7 +95,8 @@ class RangesWriter(DataSourceArrowWriter):
                 raise ValueError(f"{self.path}: of {self.rows} rows these were written: {covered[:5]}")
             file = os.open(self.beside, os.O_WRONLY | os.O_CREAT, 0o644)
             try:
-                os.pwrite(file, header(self.dtype, self.rows, self.width), 0)
+                if self.start:
+                    os.pwrite(file, header(self.dtype, self.rows, self.width), 0)
                 os.ftruncate(file, self.start + self.rows * self.row_bytes)
                 os.fsync(file)
             finally:
@@ -106,6 +111,30 @@ class RangesWriter(DataSourceArrowWriter):
             os.remove(self.beside)
 
 
+class BytesWriter(RangesWriter):
+    """The same for rows (at long, data binary): bytes of a file without a header."""
+
+    def __init__(self, options: dict[str, str]):
+        self.path, self.beside, self.rows = options["path"], options["beside"], int(options["rows"])
+        self.start, self.row_bytes, self.dtype, self.width = 0, 1, "", None
+
+    def _blocks(self, batch: pa.RecordBatch) -> Iterator[tuple[int, int, memoryview]]:
+        size = np.asarray(pc.binary_length(batch.column(1))).astype(np.int64)
+        pos = np.asarray(batch.column(0))
+        for first, end in runs_of(pos, size):
+            data = b"".join(v.as_py() for v in batch.column(1)[first:end])
+            yield int(pos[first]), len(data), memoryview(data)
+
+
+class ByteRanges(DataSource):
+    @classmethod
+    def name(cls) -> str:
+        return "byte_ranges"
+
+    def writer(self, schema, overwrite: bool) -> BytesWriter:
+        return BytesWriter(dict(self.options))
+
+
 class NpyRanges(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -115,9 +144,18 @@ class NpyRanges(DataSource):
         return RangesWriter(dict(self.options))
 
 
+def _write(df: DataFrame, source: type[DataSource], path: str, **options: object) -> None:
+    df.sparkSession.dataSource.register(source)
+    beside = os.path.join(os.path.dirname(path), f".{os.path.basename(path)}.{uuid.uuid4().hex}.tmp")
+    df.write.format(source.name()).options(path=path, beside=beside, **{k: str(v) for k, v in options.items()}).mode("append").save()
+
+
 def write_npy(rows: DataFrame, path: str, dtype: str, n: int, width: int | None = None) -> None:
     """Writes rows (pos long, values...) as an array of n rows, of `width` values each or plain numbers, that replaces path."""
-    rows.sparkSession.dataSource.register(NpyRanges)
-    beside = os.path.join(os.path.dirname(path), f".{os.path.basename(path)}.{uuid.uuid4().hex}.tmp")
-    options = {"path": path, "beside": beside, "dtype": dtype, "rows": str(n)} | ({"width": str(width)} if width else {})
-    rows.write.format("npy_ranges").options(**options).mode("append").save()
+    _write(rows, NpyRanges, path, dtype=dtype, rows=n, **({"width": width} if width else {}))
+
+
+def write_bytes(rows: DataFrame, path: str, n: int) -> int:
+    """Writes rows (at long, data binary) as a file of n bytes that replaces path."""
+    _write(rows, ByteRanges, path, rows=n)
+    return n

@@ -173,7 +173,8 @@ def test_footers_and_rewritten_arrays(spark, tmp_path):
     assert len(row) == 1 and row[0].mb == pytest.approx(meta.row_group(0).column(0).total_uncompressed_size / 1024**2)
     (tmp_path / "a.json").write_text('[{"episode_idx": 1, "t": "é"}, {"episode_idx": 2}]')
     target = str(tmp_path / "b.json")
-    assert json_array.rewrite(str(tmp_path / "a.json"), target, lambda r: r | {"episode_idx": r["episode_idx"] + 10}) == 2
-    assert (tmp_path / "b.json").read_text() == '[{"episode_idx":11,"t":"é"},{"episode_idx":12}]\n'
+    moved = lambda v: F.to_json(F.transform_values(F.from_json(v, "map<string, string>"), lambda k, x: F.when(k == "episode_idx", (x.cast("long") + 10).cast("string")).otherwise(x)))
+    json_array.rewrite(spark, str(tmp_path / "a.json"), target, moved)
+    assert (tmp_path / "b.json").read_text() == '[{"episode_idx":"11","t":"é"},{"episode_idx":"12"}]\n'
     with pytest.raises(FileExistsError):
-        json_array.rewrite(str(tmp_path / "a.json"), target, lambda r: r)
+        json_array.rewrite(spark, str(tmp_path / "a.json"), target, moved)

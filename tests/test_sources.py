@@ -3,10 +3,11 @@ import json
 import struct
 
 import pytest
+from pyspark.sql import functions as F
 
-from frameflow.sources import datasets, tfrecord
-from frameflow.sources.byte_files import Range
-from frameflow.sources.json_array import JsonArraySource, elements
+from frameflow.sources import datasets, json_array, tfrecord
+from frameflow.sources.byte_files import Range, ranges
+from frameflow.sources.json_array import JsonArraySource, elements, read_json_array, rewrite
 from frameflow.sources.text import episode_list
 from frameflow.sources.tfrecord import TFRecordSource, example, records, write_records
 
@@ -128,3 +129,54 @@ def test_elements_across_reads():
     for text in ("", "{}", "[1", "[1 2]", "[1] 2", "[1,"):
         with pytest.raises(ValueError):
             list(elements(io.StringIO(text), 2))
+
+
+AWKWARD = [1, -22.5e3, "a,]b", 'q"\\\\', "\\\\\\", {"k": [1, {"z": "é,["}], "e": {}}, [], None, True, [[[]]], "", "[" * 9, "\\\"," * 5]
+
+
+def texts_of(path, n):
+    parts = ranges(str(path), n)
+    found = {k: json_array._summary(p.path, p.start, p.end) for k, p in enumerate(parts)}
+    names = ("path", "start", "end", "size", "inside", "depth", "commas", "first")
+    out = [e for r in json_array._begun(parts, found) for e in json_array._range_elements(dict(zip(names, r, strict=True)))]
+    return out
+
+
+@pytest.mark.parametrize("blank", ["", " \n "])
+def test_every_split_of_a_json_array_gives_the_same_elements(tmp_path, blank):
+    path = tmp_path / "a.json"
+    for data in (AWKWARD, [], [[]], [{"a": 1}], ["x" * 100, 1]):
+        path.write_text(blank + json.dumps(data, ensure_ascii=False, indent=1 if blank else None) + blank)
+        for n in (1, 2, 3, 5, 8, 13, 64, 10_000):
+            got = texts_of(path, n)
+            assert [k for k, _ in got] == list(range(len(data))) and [json.loads(t) for _, t in got] == data, (n, data)
+
+
+def test_json_array_in_ranges(spark, tmp_path):
+    data = [{"i": k, "t": AWKWARD[k % len(AWKWARD)]} for k in range(3000)]
+    (tmp_path / "a.json").write_text(json.dumps(data))
+    (tmp_path / "b.json").write_text(json.dumps(AWKWARD, indent=2))
+    df = read_json_array(spark, str(tmp_path / "*.json"), 5000)
+    assert df.rdd.getNumPartitions() > 15
+    rows = sorted(df.collect())
+    assert [json.loads(r.value) for r in rows] == data + AWKWARD and [r.position for r in rows] == [*range(3000), *range(len(AWKWARD))]
+    for bad in ("", "{}", "[1, 2", "[1 2]", "[1] x", "[1,]", "[,1]", '["a', "[1]]", "   ", '["a"] ["b"]'):
+        (tmp_path / "bad.json").write_text(bad)
+        for n in (2, 1000):
+            with pytest.raises(Exception):  # noqa: B017
+                read_json_array(spark, str(tmp_path / "bad.json"), n).collect()
+
+
+def test_json_array_rewritten_by_tasks(spark, tmp_path):
+    data = [{"i": k, "t": "é" * (k % 50)} for k in range(2000)]
+    source, target = tmp_path / "a.json", tmp_path / "b.json"
+    source.write_text(json.dumps(data))
+    n = rewrite(spark, str(source), str(target), lambda v: F.concat(F.lit('{"was":'), v, F.lit("}")), split_bytes=3000)
+    assert json.loads(target.read_text()) == [{"was": d} for d in data] and n == target.stat().st_size
+    with pytest.raises(FileExistsError):
+        rewrite(spark, str(source), str(target), lambda v: v)
+    rewrite(spark, str(source), str(source), lambda v: v, overwrite=True)
+    assert json.loads(source.read_text()) == data
+    source.write_text("[]")
+    rewrite(spark, str(source), str(target), lambda v: v, overwrite=True)
+    assert json.loads(target.read_text()) == [] and sorted(p.name for p in tmp_path.iterdir()) == ["a.json", "b.json"]

@@ -1,12 +1,14 @@
-"""Benchmark decontamination: rare words find candidate passages, local alignment judges them.
-
-Test items are taken in blocks of bounded size, each against all documents. A first pass counts, over the whole
-corpus, the words of the block. A copy that reaches the least score matches at least T of an item's m words, so of
-any m - T + j of them at least j: each item's rarest ones are its seeds, and j of them within the longest passage
-that can reach the score make a candidate. A second pass finds these and aligns them with the item by
-Smith-Waterman over words. No passage is lost; how frequent words are only decides how many have to be aligned.
-Scores are shares of the item's perfect score, so that edited, shortened or padded copies score by how much of the
-item survives in order.
+"""Benchmark decontamination: rare n-grams find candidate passages, local alignment judges them.
+
+Test items are taken in blocks of bounded size, each against all documents. Seeds are pairs of words, next to each
+other or one word apart, in an item as in a document. A passage that reaches the least score of p points has M matches
+and at most 2M - p errors, and two of its matches that follow each other make no such pair only if two errors or more
+lie between them; so at least p/2 - 1 of the matches begin a pair that item and passage share. Of any but p/2 - 1 - j of
+the item's words, at least j therefore do: the words whose pairs are rarest in the whole corpus, counted in a first
+pass, are the seeds, and j of them within the longest passage that can reach the score make a candidate. A second pass
+finds these and aligns them with the item by Smith-Waterman over words. No passage is lost; how frequent pairs are only
+decides how many have to be aligned. Scores are shares of the item's perfect score, so that edited, shortened or
+padded copies score by how much of the item survives in order.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from frameflow.llm.bytelex import Table, Texts, hashes, parts
+from frameflow.llm.bytelex import Table, Texts, hashes, mixed, parts
 from frameflow.llm.common import discard, mapped, stored
 
 SCHEMA = "doc_id long, item_id long, score double, n_seeds long"
@@ -28,6 +30,8 @@ _LEAST_WORDS = 5  # of items whose edited copies count; shorter ones must be fou
 _LEAST_POINTS = 6  # of an alignment, as of three words: two common words are no copy of a short item
 _CELLS = 1 << 18  # words that are aligned at once
 _HELD = 32 << 20  # bytes of stretches that wait for alignment
+_HITS = 1 << 20  # meetings of a text's words with seeds of items that are looked at together
+_APART = (1, 2)  # words from the first of a pair to the second
 
 
 #: Blocks of scripts that are written without spaces between words: each character is a word.
@@ -85,23 +89,67 @@ class Items:
         self.points = np.maximum(np.ceil(2 * least_score * self.size - 1e-9).astype(np.int64), _LEAST_POINTS)
         self.points = np.where(self.size < _LEAST_WORDS, 2 * self.size, self.points)
         self.reach = self.size + np.maximum(2 * self.size - self.points, 0)  # words of the longest passage with these points
+        flat = np.concatenate([*self.words, np.zeros(0, np.int64)]).astype(np.int64)
+        ends = np.repeat(np.cumsum(self.size), self.size)
+        keys = [self._pair_keys(flat, ends, d) for d in _APART]
+        keys.append(np.where(np.repeat(self.size, self.size) == 1, self._word_keys(flat), np.uint64(0)))
+        self.pairs = Table()
+        distinct = np.unique(np.concatenate(keys))
+        self.pairs.add(distinct[distinct != 0])
+        self.one_word = bool((self.size == 1).any())
+        #: By item: the numbers of the pairs that each of its words begins, -1 for none; a single word is its own pair.
+        self.begun = np.split(np.stack([np.where(k != 0, self.pairs.find(k), -1) for k in keys], axis=1), np.cumsum(self.size)[:-1]) if len(flat) else []
 
     def find(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
         """Words of texts by number, -1 for those of no item, and bounds."""
         h, bounds = word_hashes(texts)
         return self.vocabulary.find(h), bounds
 
+    def _word_keys(self, ids: np.ndarray) -> np.ndarray:
+        return mixed((self.vocabulary.n * self.vocabulary.n + ids + 1).astype(np.uint64))
+
+    def _pair_keys(self, ids: np.ndarray, ends: np.ndarray, apart: int) -> np.ndarray:
+        """For each word the key of the pair with the one `apart` words on, 0 if its text (up to ends) has none or if
+        either is no item's word."""
+        out = np.zeros(len(ids), np.uint64)
+        if len(ids) > apart:
+            first, second = ids[:-apart].astype(np.int64), ids[apart:].astype(np.int64)
+            key = mixed((first * self.vocabulary.n + second + 1).astype(np.uint64))
+            fine = (first >= 0) & (second >= 0) & (np.arange(apart, len(ids)) < ends[:-apart])
+            out[:-apart] = np.where(fine, key, np.uint64(0))
+        return out
+
+    def pairs_in(self, ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(word, pair number) of the items' pairs in texts, in the order of words."""
+        ends = np.repeat(bounds[1:], np.diff(bounds))
+        keys = [self._pair_keys(ids, ends, d) for d in _APART]
+        if self.one_word:
+            keys.append(np.where(ids >= 0, self._word_keys(ids.astype(np.int64)), np.uint64(0)))
+        at, pair = [], []
+        for k in keys:
+            some = np.flatnonzero(k)
+            number = self.pairs.find(k[some])
+            at.append(some[number >= 0])
+            pair.append(number[number >= 0])
+        at, pair = np.concatenate(at), np.concatenate(pair)
+        order = np.argsort(at, kind="stable")
+        return at[order], pair[order]
+
     def choose(self, frequency: np.ndarray) -> None:
-        """Seeds: of each item its rarest words, as many as must have `needed` in any passage with its points."""
-        matches = (self.points + 1) // 2
-        self.needed = np.maximum(matches * 3 // 5, 1)
-        self.dense = self.points - 3 * (matches - self.needed)
-        seeds = np.clip(self.size - matches + self.needed, 1, self.size)
-        self.seeds = [np.unique(w[np.lexsort((w, frequency[w]))[:n]]) for w, n in zip(self.words, seeds.tolist())]
-        word = np.concatenate(self.seeds)
-        order = np.argsort(word, kind="stable")
-        self.seed_item = np.repeat(np.arange(len(self.seeds), dtype=np.uint16 if len(self.seeds) < 1 << 16 else np.int64), [len(x) for x in self.seeds])[order]
-        self.seed_at = np.searchsorted(word[order], np.arange(self.vocabulary.n + 1))
+        """Seeds: of each item the words whose pairs are rarest, as many as leave `needed` in any passage with its points."""
+        surely = np.minimum((self.points + 1) // 2, self.size) - 1  # words of any such passage that begin a pair
+        self.needed = np.maximum(surely // 4, 1)
+        of = np.append(frequency, 0)
+        self.seeds = []
+        for begun, size, most, needed in zip(self.begun, self.size.tolist(), surely.tolist(), self.needed.tolist(), strict=True):
+            starts = begun[: size - 1] if size > 1 else begun
+            n = max(1, len(starts) - most + needed) if size > 1 else 1
+            chosen = starts[np.argsort(of[starts].sum(axis=1), kind="stable")[:n]]
+            self.seeds.append(np.unique(chosen[chosen >= 0]))
+        pair = np.concatenate(self.seeds)
+        order = np.argsort(pair, kind="stable")
+        self.seed_item = np.repeat(np.arange(len(self.seeds)), [len(x) for x in self.seeds])[order]
+        self.seed_at = np.searchsorted(pair[order], np.arange(self.pairs.n + 1))
 
 
 def align(docs: np.ndarray, item: np.ndarray) -> np.ndarray:
@@ -129,55 +177,51 @@ def align(docs: np.ndarray, item: np.ndarray) -> np.ndarray:
     return best
 
 
-def _candidates(items: Items, ids: np.ndarray, bounds: np.ndarray) -> list[tuple[int, int, int, int]]:
-    """(text, item, begin, end) of stretches that hold every passage with enough points."""
-    at = np.flatnonzero(ids >= 0)
-    lo = items.seed_at[ids[at]]
-    times = items.seed_at[ids[at] + 1] - lo
-    total = int(times.sum())
-    if not total:
-        return []
-    apart = int(items.reach.max()) + 1
-    wide = len(ids) + apart * len(bounds)
-    kind = np.int32 if 4 * max(total, wide * len(items.size)) < 1 << 31 else np.int64
-    number = np.arange(total, dtype=kind)
-    item = items.seed_item[number + np.repeat((lo - (np.cumsum(times) - times)).astype(kind), times)]
+def _candidates(items: Items, ids: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """(text, item, begin, end) of stretches that hold every passage with enough points.
+
+    Words are taken in stretches that meet about _HITS seeds, each with as many words more as the longest passage has,
+    so memory doesn't grow with the number of items.
+    """
+    at, pair = items.pairs_in(ids, bounds)
+    times = items.seed_at[pair + 1] - items.seed_at[pair]
+    at, pair, times = at[times > 0], pair[times > 0], times[times > 0]
+    met = np.concatenate([[0], np.cumsum(times)])
+    first, longest = 0, int(items.reach.max(initial=0))
+    while first < len(at):
+        end = max(first + 1, int(np.searchsorted(met, met[first] + _HITS, "right")) - 1)
+        more = int(np.searchsorted(at, at[end - 1] + longest, "right"))
+        yield from _stretches(items, at[first:more], pair[first:more], times[first:more], bounds)
+        first = end
+
+
+def _stretches(items: Items, at: np.ndarray, pair: np.ndarray, times: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """The same for some words of a text that begin seeds."""
+    total, lo = int(times.sum()), items.seed_at[pair]
+    number = np.arange(total)
+    item = items.seed_item[number + np.repeat(lo - (np.cumsum(times) - times), times)]
     order = np.argsort(item, kind="stable")
-    item = item[order]
-    # places in one row: texts lie further apart than the longest passage, items further than all texts
-    text = np.searchsorted(bounds, at, "right") - 1
-    place = np.repeat((at + text * apart).astype(kind), times)[order]
-    place += (np.arange(len(items.size)) * wide).astype(kind)[item]
-    ahead = (items.needed - 1).astype(kind)[item]
-    last = np.minimum(number + ahead, total - 1)
-    enough = place[last] - place < items.reach.astype(kind)[item]
-    enough &= last - number == ahead
-    if not enough.any():
-        return []
-    # a passage of L words with M matches has at most 3 M - L points, so 3 for each seed and -1 for each word reach `dense`
-    rise = 3 * number - place
-    group = np.cumsum(np.concatenate([[False], place[1:] - place[:-1] >= apart])) * (int(rise.max()) - int(rise.min()) + 1)
+    item, place = item[order], np.repeat(at, times)[order]
+    text = np.searchsorted(bounds, place, "right") - 1
+    new = np.concatenate([[True], (item[1:] != item[:-1]) | (text[1:] != text[:-1]) | (place[1:] != place[:-1])])
+    item, place, text = item[new], place[new], text[new]  # a word counts once, whichever pairs it begins
+    last = np.arange(len(item)) + items.needed[item] - 1
+    here = np.minimum(last, len(item) - 1)
+    enough = (last == here) & (item[here] == item) & (text[here] == text) & (place[here] - place < items.reach[item])
     first = np.flatnonzero(enough)
-    end = last[first]
-    low = np.minimum.accumulate(rise - group)
-    dense = rise[end] - low[end] - group[end] + 2 >= items.dense[item[first]]
-    first, end = first[dense], end[dense]
     if not len(first):
-        return []
-    pos = np.repeat(at, times)[order]
-    item, text = item[first], np.repeat(text, times)[order][first]
-    pos, last = pos[first], pos[end]
+        return
+    last = place[here[first]]
+    item, text, place = item[first], text[first], place[first]
     begin = np.maximum(bounds[text], last - items.reach[item] + 1)
-    end = np.minimum(bounds[text + 1], pos + items.reach[item])
+    end = np.minimum(bounds[text + 1], place + items.reach[item])
     new = np.flatnonzero(np.concatenate([[True], (item[1:] != item[:-1]) | (text[1:] != text[:-1]) | (begin[1:] > end[:-1])]))
-    out = []
-    for t, k, a, b in zip(text[new].tolist(), item[new].tolist(), begin[new].tolist(), end[np.append(new[1:], len(first)) - 1].tolist()):
+    for t, k, a, b in zip(text[new].tolist(), item[new].tolist(), begin[new].tolist(), end[np.append(new[1:], len(first)) - 1].tolist(), strict=True):
         reach = int(items.reach[k])
         while b - a > 8 * reach:  # parts of long stretches overlap by the longest passage
-            out.append((t, k, a, a + 8 * reach))
+            yield t, k, a, a + 8 * reach
             a += 7 * reach
-        out.append((t, k, a, b))
-    return out
+        yield t, k, a, b
 
 
 def _scores(items: Items, keys: list[tuple[int, bytes]]) -> dict[tuple[int, bytes], int]:
@@ -207,45 +251,47 @@ def counted(docs: DataFrame, block: list[tuple[int, str]], least_score: float) -
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        total = np.zeros(own.vocabulary.n, np.int64)
+        total = np.zeros(own.pairs.n, np.int64)
         for batch in batches:
             for _, _, texts in parts(batch.column("text")):
-                ids, _ = own.find(texts)
-                total += np.bincount(ids[ids >= 0], minlength=own.vocabulary.n)
+                np.add.at(total, own.pairs_in(*own.find(texts))[1], 1)
         some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["word", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["pair", "n"])
 
-    frequency = np.zeros(items.vocabulary.n, np.int64)
-    for r in docs.select("text").transform(mapped, count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect():  # as many as the block has words
-        frequency[r.word] = r.n
+    frequency = np.zeros(items.pairs.n, np.int64)
+    found = docs.select("text").transform(mapped, count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()  # as many as the block has pairs
+    frequency[np.asarray(found.column("pair"))] = np.asarray(found.column("n"))
     items.choose(frequency)
     return items
 
 
 def copies(own: Items, column: pa.Array) -> Iterator[dict[tuple[int, int], tuple[float, int]]]:
-    """(score, seeds) by (text, item), some megabytes of a column of texts at a time; seeds are distinct words."""
-    found: list[tuple[int, tuple[int, bytes]]] = []
-    held = 0
-
-    def judged() -> dict[tuple[int, int], tuple[float, int]]:
-        points = _scores(own, [key for _, key in found])
+    """(score, seeds) by (text, item), about a megabyte of a column of texts at a time; seeds are distinct pairs."""
+    for a, _, texts in parts(column):
         best: dict[tuple[int, int], tuple[float, int]] = {}
-        for text, key in found:
-            item = key[0]
-            if points[key] >= own.points[item]:
-                seeds = len(np.intersect1d(np.frombuffer(key[1], np.int32), own.seeds[item]))
-                best[text, item] = max(best.get((text, item), (0.0, 0)), (points[key] / (2 * len(own.words[item])), seeds))
-        return best
+        found: list[tuple[int, tuple[int, bytes]]] = []
+        held = 0
+
+        def judge() -> None:
+            points = _scores(own, [key for _, key in found])
+            for text, key in found:
+                item = key[0]
+                if points[key] >= own.points[item]:
+                    words = np.frombuffer(key[1], np.int32)
+                    seeds = len(np.intersect1d(own.pairs_in(words, np.array([0, len(words)]))[1], own.seeds[item]))
+                    best[text, item] = max(best.get((text, item), (0.0, 0)), (points[key] / (2 * len(own.words[item])), seeds))
+            found.clear()
 
-    for a, _, texts in parts(column):
         ids, bounds = own.find(texts)
         for text, item, begin, end in _candidates(own, ids, bounds):
             found.append((a + text, (item, ids[begin:end].astype(np.int32).tobytes())))
-            held += 4 * (end - begin)
-        if held > _HELD:
-            yield judged()
-            found, held = [], 0
-    yield judged()
+            held += 4 * (end - begin) + 200
+            if held > _HELD:
+                judge()
+                held = 0
+        judge()
+        if best:
+            yield best
 
 
 def search(docs: DataFrame, items: Items) -> DataFrame:

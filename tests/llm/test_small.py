@@ -531,3 +531,18 @@ def test_very_long_and_empty_inputs(spark, empty):
     rows = html.extract(spark.createDataFrame([(1, "u", page), (2, None, "")], "page_id long, url string, html string")).collect()
     assert {x.page_id: x.n_chars for x in rows} == {1: len("long text, here it is. ") * 20_000 - 1, 2: 0}
     assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
+
+
+def test_decontamination_in_stretches_of_any_size(monkeypatch):
+    r = np.random.default_rng(21)
+    words = [f"w{'abcdefghij'[k // 100]}{'abcdefghij'[k // 10 % 10]}{'abcdefghij'[k % 10]}" for k in range(300)]
+    draw = lambda n: [words[int(n * n * 300)] for n in r.random(n)]
+    items = decontam.Items(list(range(60)), [" ".join(draw(n)) for n in r.integers(1, 30, 60)], 0.4)
+    texts = [" ".join(draw(int(n))) for n in (0, 1, 40, 300, 2000)] + [" ".join(draw(20) + items_words) for items_words in ([],)]
+    column = pa.array([*texts, None, ""])
+    items.choose(np.ones(items.pairs.n, np.int64))
+    whole = [best for best in decontam.copies(items, column)]
+    for hits in (1, 7, 100):
+        monkeypatch.setattr(decontam, "_HITS", hits)
+        assert [best for best in decontam.copies(items, column)] == whole
+    assert whole and len(whole[0]) > 50

@@ -14,6 +14,7 @@ from __future__ import annotations
 import html as entities
 import random
 import re
+from bisect import bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
@@ -61,9 +62,14 @@ class Node:
 
 
 def parse(html: str | None) -> list[Node]:
-    """The elements and text blocks of a page in page order; node 0 is the root. Any input is accepted."""
+    """The elements and text blocks of a page in page order; node 0 is the root. Any input is accepted.
+
+    Where each open tag stands on the stack is kept by tag, so no tag is searched for: time is linear in the page.
+    """
     nodes = [Node("#root", -1)]
-    stack, inline = [0], []  # open block elements; open inline tags of the innermost block
+    stack: list[int] = [0]  # open block elements
+    places: dict[str, list[int]] = defaultdict(list)  # by tag, where on the stack
+    inline: Counter[str] = Counter()  # open inline tags of the innermost block
     piece: list[str] = []
     linked = 0
     html = html or ""
@@ -82,11 +88,12 @@ def parse(html: str | None) -> list[Node]:
         if raw:
             t = entities.unescape(raw) if "&" in raw else raw
             piece.append(t)
-            if "a" in inline or "button" in inline:
+            if inline["a"] or inline["button"]:
                 linked += len(t.strip())
 
-    def close(to: int) -> None:
-        block_end()
+    def cut(to: int) -> None:
+        for node in stack[to:]:
+            places[nodes[node].tag].pop()
         del stack[to:]
 
     at = 0
@@ -98,14 +105,11 @@ def parse(html: str | None) -> list[Node]:
         tag, ending = m[2].lower(), bool(m[1])
         if ending:
             if tag in BLOCKS:
-                for k in range(len(stack) - 1, 0, -1):
-                    if nodes[stack[k]].tag == tag:
-                        close(k)
-                        break
-                else:
-                    block_end()
-            elif tag in inline:
-                del inline[len(inline) - 1 - inline[::-1].index(tag)]
+                block_end()
+                if places[tag]:
+                    cut(places[tag][-1])
+            elif inline[tag]:
+                inline[tag] -= 1
             continue
         if tag in RAW and not m[3].endswith("/"):
             end = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(html, at)
@@ -117,12 +121,13 @@ def parse(html: str | None) -> list[Node]:
             continue
         if tag in BLOCKS:
             block_end()
-            for k in range(len(stack) - 1, 0, -1):  # end tags that the standard lets pages leave out
-                open_tag = nodes[stack[k]].tag
-                if open_tag == "p" or open_tag in CLOSES.get(tag, ()):
-                    del stack[k:]
-                elif open_tag in SCOPE.get(tag, BLOCKS):
-                    break
+            ended = {"p"} | CLOSES.get(tag, set())  # end tags that the standard lets pages leave out
+            if tag in SCOPE:
+                scope = max((places[t][-1] for t in SCOPE[tag] if places[t]), default=0)
+                cut(min((places[t][bisect_right(places[t], scope)] for t in ended if places[t] and places[t][-1] > scope), default=len(stack)))
+            else:
+                while len(stack) > 1 and nodes[stack[-1]].tag in ended:
+                    cut(len(stack) - 1)
             if tag == "hr":
                 continue
             names: list[str] = []
@@ -137,10 +142,11 @@ def parse(html: str | None) -> list[Node]:
                         names += [x.lower() for x in _NAMES.findall(value)]
             nodes[stack[-1]].kids.append(len(nodes))
             nodes.append(Node(tag, stack[-1], tuple(dict.fromkeys(names))))
+            places[tag].append(len(stack))
             stack.append(len(nodes) - 1)
             inline.clear()
         elif tag not in VOID and not m[3].endswith("/"):
-            inline.append(tag)
+            inline[tag] += 1
     say(html[at:])
     block_end()
     return nodes

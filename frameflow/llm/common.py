@@ -42,11 +42,40 @@ def _file_system(spark: SparkSession, path: str):
     return jpath.getFileSystem(spark._jsc.hadoopConfiguration()), jpath
 
 
+class Scratch:
+    """Paths that are to be deleted."""
+
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+
+    def keep(self, *tables: DataFrame) -> None:
+        for df in tables:
+            self.paths.remove(df._frameflow_path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Scratch]:
+    """Deletes at its end the tables that were stored inside and not kept, those that results made inside still read
+    included. Results of the operators are to be written or read before it ends."""
+    own = Scratch()
+    open_ones = spark.__dict__.setdefault("_frameflow_scratches", [])
+    open_ones.append(own)
+    try:
+        yield own
+    finally:
+        open_ones.remove(own)
+        for path in own.paths:
+            fs, jpath = _file_system(spark, path)
+            fs.delete(jpath, True)
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder, removed when the session's JVM ends, if not before."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     fs, jpath = _file_system(spark, path)
     fs.deleteOnExit(jpath)
+    for own in getattr(spark, "_frameflow_scratches", []):
+        own.paths.append(path)
     return path
 
 

@@ -1,5 +1,13 @@
+import os
+
 import corpus_pipeline
+from frameflow.llm.common import scratch, shared_dir
+from frameflow.llm.dac import round_trip
+from frameflow.llm.jaccard import jaccard_components
+from frameflow.llm.quality import judge
+from frameflow.llm.search import rank
 from frameflow.llm.secrets import all_spans
+from frameflow.llm.simhash import near_copies
 
 
 def test_stages_keep_columns_and_take_effect(spark, tmp_path):
@@ -31,8 +39,23 @@ def test_stages_keep_columns_and_take_effect(spark, tmp_path):
     assert ids["benchmark_decontamination"] == ids["secret_scans"] == everyone - {4, 5, 1, 2}
     kept = {r.doc_id: r for r in docs.collect()}
     assert "abcdefgh12345" not in kept[3].text and all_spans(kept[3].text)[1] == [] and kept[3].n_chars == len(kept[3].text)
-    packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    before = set(os.listdir(shared_dir(spark)))
+    with scratch(spark):
+        packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
+        assert [t.split("-")[0] for t in set(os.listdir(shared_dir(spark))) - before] == ["secret_scans"]
     assert {r.doc_id for r in packed} == everyone - {4, 5, 1, 2}
+    assert set(os.listdir(shared_dir(spark))) == before
+
+
+def test_operators_leave_no_table_behind(spark):
+    docs = spark.createDataFrame([(i, f"w{i % 3} some words that {i} documents share and no more than that", "en") for i in range(40)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    items = spark.createDataFrame([(0, "words that documents share")], "item_id long, text string")
+    before = set(os.listdir(shared_dir(spark)))
+    for run in (lambda: jaccard_components(docs), lambda: judge(docs, labels), lambda: round_trip(docs), lambda: rank(docs, items), lambda: near_copies(docs)):
+        with scratch(spark):
+            assert run().count() > 0
+        assert set(os.listdir(shared_dir(spark))) == before
 
 
 def test_pipeline_of_odd_tables(spark, tmp_path):

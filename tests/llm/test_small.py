@@ -537,8 +537,9 @@ def test_decontamination_in_stretches_of_any_size(monkeypatch):
     r = np.random.default_rng(21)
     words = [f"w{'abcdefghij'[k // 100]}{'abcdefghij'[k // 10 % 10]}{'abcdefghij'[k % 10]}" for k in range(300)]
     draw = lambda n: [words[int(n * n * 300)] for n in r.random(n)]
-    items = decontam.Items(list(range(60)), [" ".join(draw(n)) for n in r.integers(1, 30, 60)], 0.4)
-    texts = [" ".join(draw(int(n))) for n in (0, 1, 40, 300, 2000)] + [" ".join(draw(20) + items_words) for items_words in ([],)]
+    tests = [" ".join(draw(n)) for n in r.integers(1, 30, 60)]
+    items = decontam.Items(list(range(60)), tests, 0.4)
+    texts = [" ".join(draw(int(n))) for n in (0, 1, 40, 300, 2000)] + [" and ".join([t, *draw(5), t.replace("a", "z", 2)]) for t in tests]
     column = pa.array([*texts, None, ""])
     items.choose(np.ones(items.pairs.n, np.int64))
     whole = [best for best in decontam.copies(items, column)]

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from frameflow.llm.common import stored
+from frameflow.llm.common import discard, scratch, stored
 from frameflow.llm.decontam import clean
 from frameflow.llm.jaccard import one_of_each
 from frameflow.llm.langid import accepted
@@ -51,8 +51,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on documents, each one's result a table in the shared folder that the next one reads."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages on documents, each one's result a table in the shared folder that goes once the next one is written."""
+    docs, held = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        with scratch(spark) as made:  # a stage's own tables go once its result is written
+            docs = stored(stage(spark, docs, sf_dir), name)
+            made.keep(docs)
+        if held is not None:
+            discard(held)
+        held = docs
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -1,10 +1,7 @@
-"""Control state along an episode that no window expresses: batch and streaming forms of one automaton."""
+"""Control state along an episode that no window expresses; machines.py has its streaming form."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -48,28 +45,3 @@ def sticky(df: DataFrame, value: str, threshold: float = 0.5, repeats: int = 3,
 
     kinds = dict(df.dtypes)
     return df.select(episode, step, value).groupBy(episode).applyInArrow(run, f"{episode} {kinds[episode]}, {step} {kinds[step]}, sticky double")
-
-
-def sticky_stream(df: DataFrame, value: str, threshold: float = 0.5, repeats: int = 3, episode: str = "episode", step: str = "step", idle_seconds: int | None = None) -> DataFrame:
-    """The automaton over a stream of (episode, step, value); state is kept per episode, and dropped once an episode has
-    been idle for `idle_seconds`, if that is given. Steps have to arrive in order of micro-batches; within one they are
-    sorted."""
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(list(parts)).sort_values(step)
-        machine = Sticky(threshold, repeats)
-        if state.exists:
-            reference, held, told = state.get
-            machine = Sticky(threshold, repeats, (reference, held if told else None, int(told)))
-        out = [machine.step(float(x)) for x in rows[value]]
-        reference, held, told = machine.state
-        state.update((float(reference), float(held or 0.0), told))
-        if idle_seconds:
-            state.setTimeoutDuration(1000 * idle_seconds)
-        yield pd.DataFrame({episode: [key[0]] * len(out), step: rows[step].to_numpy(), "sticky": out})
-
-    return df.groupBy(episode).applyInPandasWithState(run, f"{episode} long, {step} long, sticky double", "reference double, held double, told long", "append", GroupStateTimeout.ProcessingTimeTimeout if idle_seconds else GroupStateTimeout.NoTimeout)

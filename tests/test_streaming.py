@@ -1,9 +1,11 @@
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
-from frameflow.operators.windows import trailing
-from frameflow.streaming.control import sticky, sticky_stream
+from frameflow.operators.windows import ensemble, replayed, trailing
+from frameflow.streaming import machines
+from frameflow.streaming.control import sticky
 from frameflow.streaming.frames import streaming_stats, streaming_trailing
 
 
@@ -27,10 +29,44 @@ def stream(spark, tmp_path, cuts=(10, 20, 30)):
     return spark.readStream.schema("episode long, step long, g double").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "b*"))
 
 
-def test_sticky_stream_equals_batch(spark, tmp_path):
-    want = sorted(tuple(r) for r in sticky(frames(spark), "g").collect())
-    got = sorted(tuple(r) for r in drained(sticky_stream(stream(spark, tmp_path), "g"), "sticky_out"))
-    assert got == want and min(r[2] for r in got) < -0.5 and max(r[2] for r in got) > 0.5
+def chunked(spark):
+    """Frames with a time, in three batches of shuffled rows, some of which belong to the batch before; then a late clock."""
+    df = frames(spark).withColumn("at", F.timestamp_seconds(F.col("step") + 0.25)).withColumn("chunk", F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: F.array(F.col("g") + k, F.col("g") * k - F.col("step"))))
+    return df.withColumn("batch", F.least(F.floor((F.col("step") + F.when((F.col("step") * 7 + F.col("episode")) % 5 == 0, 6).otherwise(0)) / 10), F.lit(2)))
+
+
+def late_stream(spark, tmp_path):
+    df = chunked(spark)
+    for b in range(3):
+        df.where(f"batch = {b}").orderBy(F.hash("episode", "step")).coalesce(1).write.parquet(str(tmp_path / "in" / f"b{b}"))
+        time.sleep(0.05)
+    for k, seconds in enumerate((60, 90_000, 200_000)):  # only the clock goes on
+        spark.createDataFrame([(99, k, 0.0, seconds)], "episode long, step long, g double, s long").selectExpr("episode", "step", "g", "timestamp_seconds(s) at", "array(array(0D, 0D)) chunk", f"{3 + k}L batch").coalesce(1).write.parquet(str(tmp_path / "in" / f"c{k}"))
+        time.sleep(0.05)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
+
+
+def close_to(got, want):
+    assert [r[:2] for r in got] == [r[:2] for r in want]
+    for a, b in zip(got, want, strict=True):
+        assert a[2] == pytest.approx(b[2], abs=1e-9), a
+
+
+def test_machines_over_late_and_shuffled_rows_equal_batch(spark, tmp_path):
+    live, batch = late_stream(spark, tmp_path), chunked(spark)
+    forms = {
+        "sticky_out": (machines.sticky_stream(live, "g", "at", late="12 seconds"), sticky(frames(spark), "g")),
+        "replay_out": (machines.replay_stream(live, "chunk", "at", 3, late="12 seconds"), replayed(batch, "chunk", 3).select("episode", "step", "replay")),
+        "ensemble_out": (machines.ensemble_stream(live, "chunk", "at", 3, 0.1, late="12 seconds"), ensemble(batch, "chunk", 3, 0.1).select("episode", "step", "ensemble")),
+    }
+    for name, (stream_form, batch_form) in forms.items():
+        q = stream_form.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / f"state-{name}")).start()
+        q.processAllAvailable()
+        q.stop()
+        got = sorted(tuple(r) for r in spark.table(name).where("episode < 99").collect())
+        close_to(got, sorted(tuple(r) for r in batch_form.collect()))
+        kept = spark.read.format("statestore").option("stateVarName", "kept").load(str(tmp_path / f"state-{name}"))
+        assert {r[0][0] for r in kept.select("key").collect()} <= {99}  # finished episodes are forgotten
 
 
 def test_trailing_stream_equals_batch(spark, tmp_path):

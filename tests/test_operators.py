@@ -3,7 +3,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from frameflow.functions import text as X
-from frameflow.functions.rotations import SIZES, from_matrix, to_matrix
+from frameflow.functions import rotations
+from tests.rotations_numpy import SIZES, from_matrix, to_matrix
 from frameflow.operators import files, joins, stats, windows
 from frameflow.operators.transforms import Compose, Concat, Dropout, Normalise
 
@@ -253,3 +254,47 @@ def test_bin_packing_equals_the_fold_over_many_ranges(spark, before):
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", was)
     with pytest.raises(Exception, match="negative"):
         files.bin_pack(spark.createDataFrame([(1, -1)], "i long, s long"), "s", "i", 5).collect()
+
+
+KINDS = [*SIZES, *(f"euler_angles_{o}" for o in ("rpy", "ryp", "pry", "pyr", "yrp", "ypr"))]
+
+
+def test_rotation_expressions_equal_numpy(spark):
+    q = np.random.default_rng(3).normal(size=(60, 4))
+    q[:6] = [[1, 0, 0, 0], [0, 1, 0, 0], [0, 0, 1, 0], [0, 0, 0, 1], [-1, 0, 0, 1e-12], [1, 1, 0, 0]]
+    m = to_matrix(q, "quaternion")
+    rows = [tuple([i, *(from_matrix(m, k)[i].tolist() for k in KINDS)]) for i in range(len(q))]
+    df = spark.createDataFrame(rows, ", ".join(["i long", *(f"{k} array<double>" for k in KINDS)]))
+    plan = df.select(*(rotations.convert(F.col(a), a, b).alias(f"{a}__{b}") for a in KINDS for b in ("matrix", "quaternion")))
+    assert "Python" not in plan._jdf.queryExecution().executedPlan().toString()
+    got = df.orderBy("i").select(*(rotations.to_matrix(F.col(k), k).alias(k) for k in KINDS), *(rotations.convert(F.col("matrix"), "matrix", k).alias(f"to_{k}") for k in KINDS)).collect()
+    for k in KINDS:
+        assert np.allclose(np.array([r[k] for r in got]).reshape(-1, 3, 3), to_matrix(np.array([r[1 + KINDS.index(k)] for r in rows]), k), atol=1e-9)
+        back = np.array([r[f"to_{k}"] for r in got])
+        assert np.allclose(to_matrix(back, k), m, atol=1e-6), k
+        if not k.startswith("euler"):
+            assert np.allclose(np.abs(back), np.abs(from_matrix(m, k)), atol=1e-6), k
+
+
+def test_rotations_of_known_value(spark):
+    h = float(np.sqrt(0.5))
+    about_z = [0.0, -1.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 1.0]
+    said = {
+        "axis_angle": [0.0, 0.0, np.pi / 2], "quaternion": [h, 0.0, 0.0, h], "rotation_6d": about_z[:6], "matrix": about_z,
+        "euler_angles_rpy": [0.0, 0.0, np.pi / 2], "euler_angles_ypr": [np.pi / 2, 0.0, 0.0], "euler_angles_pyr": [0.0, np.pi / 2, 0.0],
+    }
+    df = spark.createDataFrame([tuple(said.values())], ", ".join(f"{k} array<double>" for k in said))
+    row = df.select(*(rotations.convert(F.col(a), a, b).alias(f"{a}.{b}") for a in said for b in said)).first()
+    for a in said:
+        for b in said:
+            assert row[f"{a}.{b}"] == pytest.approx(said[b], abs=1e-7), (a, b)
+    # roll, then pitch by a right angle: a locked order gives all of the turn to its first angle
+    locked = df.select(rotations.convert(F.array(F.lit(0.3), F.lit(np.pi / 2), F.lit(0.2)), "euler_angles_rpy", "euler_angles_rpy").alias("e")).first().e
+    assert locked == pytest.approx([0.5, np.pi / 2, 0.0], abs=1e-6)
+    odd = spark.createDataFrame([(None,), ([1.0, None, 0.0, 0.0],)], "q array<double>")
+    assert [r.m for r in odd.select(rotations.convert(F.col("q"), "quaternion", "matrix").alias("m")).collect()] == [None, None]
+    with pytest.raises(Exception, match="has 4 numbers"):
+        df.select(rotations.convert(F.col("axis_angle"), "quaternion", "matrix")).collect()
+    for kind in ("euler_angles_rrp", "other"):
+        with pytest.raises(ValueError):
+            rotations.convert(F.col("q"), kind, "matrix")

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from frameflow.functions import text as X
-from frameflow.operators import files, joins
+from frameflow.operators import calibration, files, joins
 from frameflow.operators import sampling as P
 from frameflow.operators import traces as T
 from frameflow.operators.checks import missing_ids
@@ -83,6 +83,21 @@ def skip_reason(v):
     return j.select("doc_id", r.alias("reason"))
 
 
+@query("""with o as (select o_orderkey as k, o_custkey as c, case when o_orderkey % 11 = 0 then null else o_custkey end as serial from orders),
+ r as (select k, c, case when o_orderstatus = 'F' then 'missing_calibration_entry' when serial is null then 'missing_camera_serial' when c_acctbal is null or c_acctbal <= 0 then 'missing_intrinsic'
+ when c_nationkey >= 20 then 'missing_extrinsic' end as reason, c_acctbal from o join orders on o_orderkey = k left join customer on c_custkey = serial)
+ select k::varchar as path, coalesce(reason, 'ok') as reason, case when reason is null or reason = 'missing_extrinsic' then c_acctbal / 2 end as fx from r""")
+def calibration_chain(v):
+    orders = v.t("orders").select(F.col("o_orderkey").cast("string").alias("path"), F.col("o_orderkey").alias("episode_id"), F.col("o_custkey").cast("string").alias("serial"), "o_custkey", "o_orderstatus")
+    owned = orders.join(v.t("customer"), F.col("o_custkey") == F.col("c_custkey"))
+    cameras = orders.where("episode_id % 11 <> 0").select("episode_id", F.create_map(F.lit("wrist"), F.col("serial")).alias("cameras"))
+    size = [F.lit(float(x)).alias(n) for n, x in (("fy", 1), ("cx", 2), ("cy", 3), ("width", 640), ("height", 480))]
+    lenses = owned.where("c_acctbal > 0").select("episode_id", "serial", F.col("c_acctbal").alias("fx"), *size)
+    places = owned.where("c_nationkey < 20").select("episode_id", "serial", F.array(F.lit(1.0)).alias("matrix"))
+    found = calibration.calibrated(orders.select("path"), orders.where("o_orderstatus <> 'F'").select("path", "episode_id"), cameras, lenses, places, ["wrist"])
+    return found.select("path", F.coalesce("reason", F.lit("ok")).alias("reason"), calibration.rescaled(F.col("intrinsic"), F.lit(320), F.lit(480))["fx"].alias("fx"))
+
+
 _RANGES = SHARD + ', ranges as (select shard, length, sum(length) over (order by shard) as "end", sum(length) over (order by shard) - length as start from shards)'
 
 

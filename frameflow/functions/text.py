@@ -198,3 +198,8 @@ def first_key(text: Column, *keys: str) -> Column:
 def prefixed(key: str, kind: str) -> str:
     """A feature's key with its kind (action, state) in front, once."""
     return key if key.startswith(f"{kind}.") else f"{kind}.{key}"
+
+
+def first_text(fallback: Column, *texts: Column) -> Column:
+    """The first of the texts that is not empty (blanks count as text), else the fallback."""
+    return F.coalesce(*(F.nullif(t, F.lit("")) for t in texts), fallback)

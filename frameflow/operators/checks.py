@@ -33,6 +33,14 @@ def missing_ids(df: DataFrame, key: str, total: int) -> DataFrame:
     return df.sparkSession.range(total).select(F.col("id").alias(key)).join(df.select(key).distinct(), key, "left_anti")
 
 
+def same_settings(configs: DataFrame, tag: str, dataset: str, *settings: str) -> DataFrame:
+    """Per tag: n_datasets, consistent (every setting is the same for all of them, null counting as a value), and the
+    settings that differ, in the order given."""
+    differs = [F.count_distinct(F.to_json(F.struct(c))) > 1 for c in settings]
+    g = configs.groupBy(tag).agg(F.count_distinct(dataset).alias("n_datasets"), F.filter(F.array(*(F.when(d, F.lit(c)) for d, c in zip(differs, settings, strict=True))), lambda x: x.isNotNull()).alias("differing"))
+    return g.withColumn("consistent", F.size("differing") == 0)
+
+
 def gate(df: DataFrame, check: Column, message: str) -> DataFrame:
     """df as it is; a row for which the check does not hold stops the job."""
     return df.withColumn("__ok", F.assert_true(check, F.lit(message))).where(F.col("__ok").isNull()).drop("__ok")

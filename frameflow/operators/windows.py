@@ -116,6 +116,11 @@ def clamp(index: Column, length: Column) -> Column:
     return F.greatest(F.lit(0).cast("long"), F.least(index, length - 1))
 
 
+def at_offset(df: DataFrame, value: str, offset: int, episode: str = "episode", step: str = "step", to: str = "at") -> DataFrame:
+    """Adds the value `offset` steps away, at the episode's first or last step where that is beyond it."""
+    return gather(df, value, [offset], "first_last", episode, step, to).withColumn(to, F.element_at(to, 1))
+
+
 def moving_average(df: DataFrame, value: str, size: int, episode: str = "episode", step: str = "step", to: str = "smooth") -> DataFrame:
     """Centred average, cut off at the episode's ends; the value itself if size is at most 1 or over the episode's length."""
     if size <= 1:

@@ -117,8 +117,7 @@ def shard_check(v):
 
 @query(f"with {SHARD}, p as (select shard, row_number() over (order by shard) - 1 as i from shards where shard % 7 <> 5) select shard from p where shard = i")
 def contiguous_prefix(v):
-    s = v.shards().where("shard % 7 <> 5")
-    return s.withColumn("i", F.row_number().over(Window.orderBy("shard")) - 1).where("shard = i").select("shard")
+    return P.positions(v.shards().where("shard % 7 <> 5"), "shard").where("shard = pos").select("shard")
 
 
 @query("with k as (select event_type, user_id, row_number() over (order by event_type, user_id) - 1 as new_id from (select distinct event_type, user_id from events where value > 80)) select event_id, new_id from events join k using (event_type, user_id)")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from frameflow.functions import text as X
 from frameflow.functions.text import first_key
 from frameflow.operators import windows as W
 from frameflow.operators.checks import bundle, contiguity, gate, missing_ids, upper_median
@@ -227,10 +228,28 @@ def nonempty_task(v):
     return t.where("trim(text) <> ''").select("event_id")
 
 
-@query("with " + TRAJ + " select event_id, case when task <> 'error' then task else 'ds episode ' || episode end as instruction from traj")
+@query("with " + TRAJ + " select event_id, case when task <> 'error' then task when grip = 0 and x < 50 then 'x ' || event_id when y > 5 then 'more' else 'ds episode ' || episode end as instruction from traj")
 def instruction_fallback(v):
-    given = F.nullif(F.when(F.col("task") == "error", "").otherwise(F.col("task")), F.lit(""))
-    return v.traj().select("event_id", F.coalesce(given, F.concat(F.lit("ds episode "), F.col("episode").cast("string"))).alias("instruction"))
+    first = F.when(F.col("task") == "error", "").otherwise(F.col("task"))
+    second = F.when((F.col("grip") == 0) & (F.col("x") < 50), F.concat(F.lit("x "), F.col("event_id").cast("string")))
+    third = F.when(F.col("y") > 5, "more").otherwise("")
+    return v.traj().select("event_id", X.first_text(F.concat(F.lit("ds episode "), F.col("episode").cast("string")), first, second, third).alias("instruction"))
+
+
+@query("with " + TRAJ + " select a.event_id, b.task as later, c.x as earlier from (select *, count(*) over (partition by episode) as n from traj) a join traj b on b.episode = a.episode and b.step = least(a.step + 5, a.n - 1) join traj c on c.episode = a.episode and c.step = greatest(a.step - 3, 0)")
+def clamped_lookup(v):
+    t = W.at_offset(v.traj(), "task", 5, to="later")
+    return W.at_offset(t, "x", -3, to="earlier").select("event_id", "later", "earlier")
+
+
+@query("with " + TRAJ + ", t as (select a.event_id, a.step, b.step as s, b.x from traj a join traj b on b.episode = a.episode and b.step between a.step - 7 and a.step) select event_id, count(*) as n, min(s) as first, sum(x * (s - step + 8)) as weighted from t group by event_id")
+def trail(v):
+    # the padding in front repeats the first point; what a trail shows are the points there are
+    t = W.trailing(v.traj(), ["x", "step"], 8).withColumn("n", F.least(F.col("step") + 1, F.lit(8)))
+    shown = F.slice("x_window", (F.lit(9) - F.col("n")).cast("int"), F.col("n").cast("int"))
+    weights = F.sequence(F.lit(9) - F.col("n"), F.lit(8).cast("long"))
+    weighted = F.aggregate(F.zip_with(shown, weights, lambda x, k: x * k), F.lit(0.0), lambda s, x: s + x)
+    return t.select("event_id", "n", F.element_at("step_window", (F.lit(9) - F.col("n")).cast("int")).cast("long").alias("first"), weighted.alias("weighted"))
 
 
 @query("select event_id, case when event_id % 3 = 0 then event_type else json_extract_string(props, '$.k') end as action from events")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from frameflow.operators import derive, joins, sampler
+from frameflow.operators import checks, derive, joins, sampler
 from frameflow.operators import sampling as P
 from frameflow.operators import stats as S
 from frameflow.operators.joins import first_of
@@ -93,11 +93,12 @@ def norm_binary(v):
     return S.long_form(v.vectors(), "v", "vec_id").select("vec_id", F.col("dim").cast("long").alias("dim"), S.normalise(F.col("v"), "binary").alias("z"))
 
 
-@query(f"with {VEC}, {_GLOBAL} select vec_id, dim, v as back from vec")
+@query(f"with {VEC}, {_GLOBAL}, z as (select vec_id, dim, 2 * (v - min) / (max - min) - 1 as z, v, mean, std from vec join st using (dim)) select vec_id, dim, z, v as back, std * z + mean as wide from z")
 def norm_roundtrip(v):
     j = _beside(v)
     z = S.normalise(F.col("v"), "min_max", F.col("min"), F.col("max"))
-    return j.select("vec_id", F.col("dim").cast("long").alias("dim"), S.denormalise(z, "min_max", F.col("min"), F.col("max")).alias("back"))
+    back, wide = S.denormalise(z, "min_max", F.col("min"), F.col("max")), S.denormalise(z, "mean_std", F.col("mean"), F.col("std"))  # without clip
+    return j.select("vec_id", F.col("dim").cast("long").alias("dim"), z.alias("z"), back.alias("back"), wide.alias("wide"))
 
 
 @query(f"with {VEC}, {_GLOBAL} select vec_id, dim, case when dim % 7 <> 6 and q_low <> q_high then greatest(-1, least(1, 2 * (v - q_low) / (q_high - q_low) - 1)) else (v > 0.5)::int::double end as z from vec join st using (dim)")
@@ -121,9 +122,9 @@ def unnorm_joint(v):
     return j.select("vec_id", F.col("dim").cast("long").alias("dim"), S.denormalise(clipped, "mean_std", F.col("mean"), F.col("std")).alias("a"))
 
 
-@query("select vec_id, sin(embedding[1]::double) as s0, cos(embedding[1]::double) as c0, 128 as size from embeddings")
+@query(f"with {VEC} select vec_id, dim, sin(v) as f from vec union all select vec_id, dim + 64, cos(v) from vec")
 def sincos(v):
-    return v.vectors().select("vec_id", S.sincos("v").alias("f")).select("vec_id", F.col("f")[0].alias("s0"), F.col("f")[64].alias("c0"), F.size("f").cast("long").alias("size"))
+    return v.vectors().select("vec_id", F.posexplode(S.sincos("v")).alias("dim", "f")).select("vec_id", F.col("dim").cast("long").alias("dim"), "f")
 
 
 @query("""with a as (select vec_id, case when vec_id % 3 = 0 then embedding[1:13] else embedding[1:14] end::double[] as a from embeddings)
@@ -174,15 +175,20 @@ def mixture_stats_wavg(v):
     return S.mixture(_mix_stats(v), "weight", "tag", "dim", quantiles="weighted_average")
 
 
-@query(f"with {MIX} select tag, count(distinct weight) = 1 as consistent, count(distinct dataset) as n_datasets from mix group by tag")
+@query(f"""with {MIX}, c as (select tag, dataset, weight, length(dataset) > 5 as absolute, min(k) >= 0 as positive from mix group by all),
+ d as (select tag, count(distinct dataset) as n_datasets, count(distinct weight) > 1 as a, count(distinct absolute) > 1 as b, count(distinct positive) > 1 as p from c group by tag)
+ select tag, n_datasets, not (a or b or p) as consistent, concat_ws(',', case when a then 'weight' end, case when b then 'absolute' end, case when p then 'positive' end) as differing from d""")
 def config_consistency(v):
-    return v.mix().groupBy("tag").agg((F.count_distinct("weight") == 1).alias("consistent"), F.count_distinct("dataset").alias("n_datasets"))
+    c = v.mix().groupBy("tag", "dataset", "weight").agg((F.length("dataset") > 5).alias("absolute"), (F.min(F.col("v")[1]) >= 0).alias("positive"))
+    found = checks.same_settings(c, "tag", "dataset", "weight", "absolute", "positive")
+    return found.select("tag", "n_datasets", "consistent", F.array_join("differing", ",").alias("differing"))
 
 
-@query(f"with {VEC}, {_STATS}, o as (select tag, dim, mean, std, q_high, row_number() over (partition by tag order by dim = 6, dim) as r from st) select tag, max(case when r = 64 then mean end) as last_mean, max(case when r = 7 then std end) as seventh_std, max(case when r = 1 then q_high end) as first_q, 63 as n_true, 64 as size from o group by tag")
+@query(f"with {VEC}, {_STATS}, o as (select *, row_number() over (partition by tag order by dim in (6, 20), dim) - 1 as place from st) select tag, place, mean, std, min, max, q_low, q_high, dim not in (6, 20) as mask from o")
 def stats_export(v):
-    e = S.exported(S.vector_stats(v.vectors(), "v", "tag"), "tag", last=(6,))
-    return e.select("tag", F.col("mean")[63].alias("last_mean"), F.col("std")[6].alias("seventh_std"), F.col("q_high")[0].alias("first_q"), F.size(F.filter("mask", lambda m: m)).cast("long").alias("n_true"), F.size("mask").cast("long").alias("size"))
+    e = S.exported(S.vector_stats(v.vectors(), "v", "tag"), "tag", last=(6, 20))
+    names = ("mean", "std", "min", "max", "q_low", "q_high", "mask")
+    return e.select("tag", F.posexplode(F.arrays_zip(*names)).alias("place", "s")).select("tag", F.col("place").cast("long").alias("place"), *(F.col(f"s.{n}").alias(n) for n in names))
 
 
 @query(f"with {MIX} select tag, count(*) as num_transitions, count(distinct user_id) as num_trajectories from mix group by tag")

@@ -16,7 +16,7 @@ from pyarrow import NativeFile, fs
 
 def _file_system(address: str) -> tuple[fs.FileSystem, str]:
     if "://" not in address:
-        return fs.LocalFileSystem(), os.path.abspath(address)
+        return fs.LocalFileSystem(), os.path.abspath(address.removeprefix("file:"))
     scheme, rest = address.split("://", 1)
     return fs.FileSystem.from_uri(f"{'s3' if scheme == 's3a' else scheme}://{rest}")
 
@@ -61,6 +61,28 @@ def opened(address: str) -> NativeFile:
     return system.open_input_file(path)
 
 
+def created(address: str) -> NativeFile:
+    """A new file, with the folders above it."""
+    system, path = _file_system(address)
+    system.create_dir(os.path.dirname(path))
+    return system.open_output_stream(path)
+
+
+def exists(address: str) -> bool:
+    system, path = _file_system(address)
+    return system.get_file_info(path).type != fs.FileType.NotFound
+
+
+def move(source: str, target: str) -> None:
+    system, path = _file_system(source)
+    system.move(path, _file_system(target)[1])
+
+
+def remove(address: str) -> None:
+    system, path = _file_system(address)
+    system.delete_file(path)
+
+
 class Window:
     """A file as bytes by offset, read ahead in blocks; what lies before `keep` is let go."""
 

@@ -3,15 +3,21 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from frameflow.operators.sampling import positions
+from frameflow.sources.byte_files import created, exists, move, opened, remove
+from frameflow.tables import stored
+
 
 def _exists(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -152,11 +158,77 @@ def footer_sizes(spark: SparkSession, path: str) -> DataFrame:
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, content in zip(batch.column("path").to_pylist(), batch.column("content")):
-                meta = pq.read_metadata(pa.BufferReader(content.as_buffer()))
+            for name in batch.column(0).to_pylist():
+                with opened(name) as file:  # Parquet reads the end of the file alone
+                    meta = pq.read_metadata(file)
                 groups = [meta.row_group(k) for k in range(meta.num_row_groups)]
                 total = sum(g.column(c).total_uncompressed_size for g in groups for c in range(g.num_columns))
                 yield pa.RecordBatch.from_pydict({"path": [name], "mb": [total / 1024**2]})
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(path)
-    return files.select("path", "content").mapInArrow(step, "path string, mb double")
+    return files.select("path").mapInArrow(step, "path string, mb double")  # without content: only listed
+
+
+def in_file_order(spark: SparkSession, folder: str, to: str = "index") -> DataFrame:
+    """All rows of the Parquet files under a folder, numbered by path and place in the file; reads a stored table."""
+    rows = spark.read.option("recursiveFileLookup", "true").parquet(folder)
+    at = rows.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    return positions(at, "__file", "__row", to=to).drop("__file", "__row")
+
+
+def bad_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(path, line, value) of the lines of JSON-lines files that are neither blank nor JSON, lines numbered from 1.
+
+    Files are read in splits; lines before a split are counted by file, a row for each split.
+    """
+    rows = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
+    blocks = rows.groupBy("path", "block").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = blocks.withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0))).drop("n")
+    bad = rows.where((F.trim("value") != "") & F.try_parse_json("value").isNull())
+    return bad.join(starts, ["path", "block"]).select("path", (F.col("before") + F.col("id") - F.col("first") + 1).alias("line"), "value")
+
+
+def write_episodes(df: DataFrame, root: str, template: str = "data/chunk-{episode_chunk:03d}/episode_{episode_index:06d}.parquet", chunk_size: int = 1000, episode: str = "episode_index", frame: str = "frame_index", overwrite: bool = False) -> DataFrame:
+    """Frames as one Parquet file for each episode, named by the template; (episode, path, n_rows) of what was written.
+
+    Each file is written beside its place and takes its name by a rename, so readers see the old one or the new one
+    whole, and an episode that is written again, by a retried task too, replaces itself. A file that is there is an
+    error without overwrite. A task streams its episodes one after the other, with a batch of rows in memory.
+    """
+    place = df.columns.index(episode)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        writer, now, rows, beside, path = None, None, 0, "", ""
+
+        def end() -> pa.RecordBatch:
+            writer.close()
+            move(beside, path)
+            return pa.RecordBatch.from_pydict({"episode": [now], "path": [path], "n_rows": [rows]}, schema=pa.schema([("episode", pa.int64()), ("path", pa.string()), ("n_rows", pa.int64())]))
+
+        try:
+            for batch in batches:
+                ids = batch.column(place).to_numpy(zero_copy_only=False)
+                cuts = [0, *(np.flatnonzero(ids[1:] != ids[:-1]) + 1).tolist(), len(ids)] if len(ids) else [0]
+                for a, b in zip(cuts, cuts[1:], strict=False):
+                    if writer is None or ids[a] != now:
+                        if writer is not None:
+                            yield end()
+                        now, rows = int(ids[a]), 0
+                        path = f"{root}/" + template.format(episode_chunk=now // chunk_size, episode_index=now)
+                        if not overwrite and exists(path):
+                            raise FileExistsError(path)
+                        beside = f"{path}.{uuid.uuid4().hex}.tmp"
+                        writer = pq.ParquetWriter(created(beside), batch.schema)
+                    writer.write_batch(batch.slice(a, b - a))
+                    rows += b - a
+            if writer is not None:
+                yield end()
+                writer = None
+        finally:
+            if writer is not None:
+                writer.close()
+                remove(beside)
+
+    known = df.where(F.col(episode).isNotNull()).repartition(episode).sortWithinPartitions(episode, frame)
+    return stored(known.mapInArrow(write, "episode long, path string, n_rows long"), "episodes")

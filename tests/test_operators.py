@@ -298,3 +298,21 @@ def test_rotations_of_known_value(spark):
     for kind in ("euler_angles_rrp", "other"):
         with pytest.raises(ValueError):
             rotations.convert(F.col("q"), kind, "matrix")
+
+
+def test_dropout_of_whole_vectors(spark):
+    df = spark.range(4000).selectExpr("id", "array(1D, 2D) v")
+    gone = {r.id for r in Dropout("v", 0.3, ["id"], 5).apply(df).collect() if r.v == [0.0, 0.0]}
+    assert abs(len(gone) / 4000 - 0.3) < 0.03
+    assert {r.id for r in Dropout("v", 0.3, ["id"], 5).apply(df.repartition(3)).collect() if r.v == [0.0, 0.0]} == gone
+    assert {r.v[0] for r in Dropout("v", 0.3, ["id"], 5).apply(df, train=False).collect()} == {1.0}
+
+
+def test_values_beyond_the_range_come_back_without_a_clip(spark):
+    df = spark.createDataFrame([(-3.0,), (0.25,), (7.0,)], "x double")
+    low, high = F.lit(-1.0), F.lit(1.0)
+    for mode in ("min_max", "mean_std"):
+        z = stats.normalise(F.col("x"), mode, low, high)
+        assert [r.b for r in df.select(stats.denormalise(z, mode, low, high).alias("b")).collect()] == [-3.0, 0.25, 7.0]
+    q = df.select(stats.denormalise(stats.normalise(F.col("x"), "q99", low, high), "q99", low, high).alias("b"))
+    assert [r.b for r in q.collect()] == [-1.0, 0.25, 1.0]

@@ -180,3 +180,52 @@ def test_json_array_rewritten_by_tasks(spark, tmp_path):
     source.write_text("[]")
     rewrite(spark, str(source), str(target), lambda v: v, overwrite=True)
     assert json.loads(target.read_text()) == [] and sorted(p.name for p in tmp_path.iterdir()) == ["a.json", "b.json"]
+
+
+def test_files_of_episodes_take_their_names_whole(spark, tmp_path):
+    df = spark.range(500).selectExpr("id % 7 + 999 episode_index", "id div 7 frame_index", "array(float(id)) action")
+    root = str(tmp_path / "d")
+    told = datasets.write_episodes(df, root)
+    assert sorted((r.episode, r.n_rows) for r in told.collect()) == [(999 + e, 72 if e < 3 else 71) for e in range(7)]
+    names = sorted(str(p.relative_to(root)) for p in (tmp_path / "d").rglob("*") if p.is_file())
+    assert names[:2] == ["data/chunk-000/episode_000999.parquet", "data/chunk-001/episode_001000.parquet"] and len(names) == 7
+    one = spark.read.parquet(f"{root}/{names[1]}")
+    assert [r.frame_index for r in one.collect()] == list(range(72)) and {r.episode_index for r in one.collect()} == {1000}
+    with pytest.raises(Exception, match="FileExistsError"):
+        datasets.write_episodes(df, root)
+    datasets.write_episodes(df.withColumn("action", F.array(F.lit(-1.0))), root, overwrite=True)
+    assert spark.read.parquet(f"{root}/data/*/*.parquet").select("action").distinct().collect()[0].action == [-1.0]
+    broken = df.withColumn("action", F.when(F.col("frame_index") < 60, F.col("action")).otherwise(F.array(F.raise_error(F.lit("lost")).cast("float"))))
+    with pytest.raises(Exception, match="lost"):
+        datasets.write_episodes(broken, str(tmp_path / "e"))
+    assert not [p for p in (tmp_path / "e").rglob("*") if p.is_file() and "tmp" in p.name]
+
+
+def test_rows_in_file_order(spark, tmp_path):
+    for k, name in enumerate(["b", "a", "c"]):
+        spark.createDataFrame([(10 * k + i,) for i in range(5)], "v long").coalesce(1).write.parquet(str(tmp_path / "d" / name))
+    got = datasets.in_file_order(spark, str(tmp_path / "d")).orderBy("index").collect()
+    assert [r.v for r in got] == [*range(10, 15), *range(5), *range(20, 25)] and [r["index"] for r in got] == list(range(15))
+
+
+def test_bad_lines_have_numbers(spark, tmp_path):
+    lines = [json.dumps({"i": k, "pad": "x" * (k % 50)}) for k in range(3000)]
+    for k in (0, 1234, 2999):
+        lines[k] = f'{{"i": {k}'
+    lines[7] = "   "
+    (tmp_path / "a.jsonl").write_text("\n".join(lines) + "\n")
+    (tmp_path / "b.jsonl").write_text('{"i": 1}\nnope\n')
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        found = datasets.bad_lines(spark, str(tmp_path / "*.jsonl"))
+        assert sorted((r.path[-7:], r.line) for r in found.collect()) == [("a.jsonl", 1), ("a.jsonl", 1235), ("a.jsonl", 3000), ("b.jsonl", 2)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+
+
+def test_conversations_of_both_kinds(spark, tmp_path):
+    (tmp_path / "a.json").write_text(json.dumps([{"id": 1, "image": "a.png"}, {"id": 2}]))
+    (tmp_path / "b.jsonl").write_text('{"id": 3, "video": "v.mp4"}\n\n{"id": 4}\n')
+    got = datasets.conversations(spark, str(tmp_path / "a.json"), str(tmp_path / "b.jsonl"))
+    assert sorted((r.id, r.image, r.video) for r in got.collect()) == [(1, "a.png", None), (2, None, None), (3, None, "v.mp4"), (4, None, None)]

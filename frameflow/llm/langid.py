@@ -32,6 +32,7 @@ SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
 BLOCK = 512
 #: Texts of fewer symbols say too little to be told from noise.
 LEAST_SYMBOLS = 64
+_WINDOWS = 6  # of a long text that is learnt
 _START = np.int32(1 << 30)  # in a transition: a phrase begins with this symbol
 _PLACE = np.int32((1 << 30) - 1)
 _MODELS: dict[tuple, "CrossParser"] = {}
@@ -224,8 +225,10 @@ def sample(docs: DataFrame, docs_per_lang: int = 64, chars_per_lang: int = 12_00
     """The bounded labelled sample that the model learns from, in order of lang.
 
     Of each language `docs_per_lang` labelled rows that aren't held out: those with the least hash of doc_id among
-    texts of at most `chars_per_lang` characters; of a language without such, its shortest ones. Texts are learnt
-    whole, in this order, as many as come to `chars_per_lang` together, one at least. Lines that rows of several
+    texts of at most `chars_per_lang` characters, then, where these are too few, longer ones, shortest first. Of a
+    longer one six windows are taken, evenly spaced from its start to its end, of an eighth of `chars_per_lang`
+    together, so that neither the driver nor the model ever holds a long text. What is taken is learnt in this
+    order, as much as comes to `chars_per_lang` together, one text at least. Lines that rows of several
     languages have (licences, notices) teach nothing about a language and are left out; of those that several rows
     of one language have, the first copy counts.
 
@@ -236,7 +239,10 @@ def sample(docs: DataFrame, docs_per_lang: int = 64, chars_per_lang: int = 12_00
     n = F.length("text")
     least = Window.partitionBy("lang").orderBy(F.when(n <= chars_per_lang, F.lit(0)).otherwise(n), F.xxhash64("doc_id"), "doc_id", "text")
     chosen = labelled.withColumn("rank", F.row_number().over(least)).where(f"rank <= {int(docs_per_lang)}")
-    rows = chosen.select("lang", "rank", "text").collect()  # at most docs_per_lang a language, of chars_per_lang each
+    size = max(1, chars_per_lang // (8 * _WINDOWS))
+    begin = lambda i: (F.lit(1) + F.floor((n - size) * i / (_WINDOWS - 1))).cast("int")
+    windows = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(_WINDOWS - 1)), lambda i: F.substring("text", begin(i), F.lit(size))), "\n")
+    rows = chosen.select("lang", "rank", F.when(n <= chars_per_lang, F.col("text")).otherwise(windows).alias("text")).collect()  # at most docs_per_lang a language, of chars_per_lang each
     langs: dict[str, set[str]] = {}
     for r in rows:
         for line in r.text.split("\n"):

@@ -6,9 +6,10 @@ good documents are tested with the exact binomial distribution: a set is certifi
 Clopper-Pearson upper bound of its false rejection rate is at most `risk`.
 
 Multiple testing: within a stratum the sets are tested in their order, from lenient to strict, until one fails (a
-fixed sequence, which needs no correction); `error` is shared equally by the strata (Bonferroni). Strata with too few
-labels for any certificate are tested as one, and the guarantee is then for these together. The strictest certified
-set holds; a stratum without labels or certificate rejects nothing but what fails the base rules.
+fixed sequence, which needs no correction); `error` is shared equally by the strata that are tested (Bonferroni).
+Those are as many, most labels first, as have enough labels for a certificate at their share; how many that is depends
+on the numbers of labels alone, not on what the rules do to them. Each verdict holds for its own stratum. The strictest
+certified set holds; a stratum with too few labels or no certificate rejects nothing but what fails the base rules.
 """
 
 from __future__ import annotations
@@ -121,23 +122,32 @@ def cutoffs(good: DataFrame) -> dict[str, list[float]]:
     return {k: [dict(zip(shares, row[k]))[share] * factor for share, factor in LEVELS] for k in names if row[k] is not None}
 
 
+def tested_strata(sizes: dict[int, int], risk: float, error: float) -> int:
+    """How many strata can be tested, from how many there are by number of labels: the most for which as many strata have
+    the labels that a certificate takes when none of them is rejected and error is shared."""
+    m = 0
+    while sum(k for n, k in sizes.items() if n >= least_labels(m + 1, risk, error)) > m:
+        m += 1
+    return m
+
+
+def least_labels(strata: int, risk: float, error: float) -> int:
+    return math.ceil(math.log(error / strata) / math.log1p(-risk))
+
+
 def allowances(tested: DataFrame, risk: float, error: float) -> DataFrame:
     """(stratum, allowed) from good documents (stratum, over: how many sets reject it): with more than `allowed` sets
-    against it a document goes; null if nothing is certified."""
+    against it a document goes. Strata without a certificate are left out."""
     sets = len(LEVELS)
-    counts = tested.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *(F.sum((F.col("over") >= sets - g).cast("long")).alias(f"r{g}") for g in range(sets)))
-    counts = stored(counts, "strata")
-    strata = max(1, counts.count())
-    least = math.ceil(math.log(error / strata) / math.log1p(-risk))
-    pooled = counts.withColumn("pooled", F.col("n") < least).withColumn("unit", F.when(F.col("n") < least, F.lit("")).otherwise(F.col("stratum")))
-    units = pooled.groupBy("pooled", "unit").agg(F.sum("n").alias("n"), *(F.sum(f"r{g}").alias(f"r{g}") for g in range(sets)))
-    lead, so_far = F.lit(0), F.lit(True)
-    for g in range(sets):
-        so_far = so_far & F.col(f"c{g}")
-        lead = lead + so_far.cast("int")
-    tests = units.select("pooled", "unit", *(certified(F.col(f"r{g}"), F.col("n"), risk, error / max(1, units.count())).alias(f"c{g}") for g in range(sets)))
-    verdicts = tests.select("pooled", "unit", F.when(lead > 0, sets - lead).alias("allowed"))
-    return pooled.select("stratum", "pooled", "unit").join(verdicts, ["pooled", "unit"]).select("stratum", "allowed")
+    counts = stored(tested.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *(F.sum((F.col("over") >= sets - g).cast("long")).alias(f"r{g}") for g in range(sets))), "strata")
+    most = least_labels(10**9, risk, error)  # more labels make no difference to how many strata can be tested
+    sizes = {r.n: r["count"] for r in counts.groupBy(F.least("n", F.lit(most)).alias("n")).count().collect()}
+    m = tested_strata(sizes, risk, error)
+    enough = counts.where(F.col("n") >= (least_labels(m, risk, error) if m else most + 1))
+    each = enough.select("stratum", "n", F.posexplode(F.array(*(f"r{g}" for g in range(sets)))).alias("g", "rejected"))
+    fine = certified(F.col("rejected"), F.col("n"), risk, error / max(1, m))
+    lead = each.groupBy("stratum").agg(F.min(F.when(~fine, F.col("g"))).alias("failed"))
+    return lead.select("stratum", (sets - F.coalesce("failed", F.lit(sets))).alias("allowed")).where(F.col("allowed") < sets)
 
 
 def fit(measured: DataFrame, labels: DataFrame, risk: float = 0.02, error: float = 0.05) -> tuple[dict[str, list[float]], DataFrame]:

@@ -234,25 +234,41 @@ def test_quality_verdicts_equal_brute_force(spark):
     by = {}
     for i in half(1):
         by.setdefault(lang[i] or "", []).append(over[i])
-    least = np.ceil(np.log(0.05 / len(by)) / np.log(0.98))
-    units = {}
-    for k, v in by.items():
-        units.setdefault(k if len(v) >= least else None, []).extend(v)
+    enough = lambda m: [k for k, v in by.items() if len(v) >= np.ceil(np.log(0.05 / m) / np.log(0.98))]
+    m = max(m for m in range(len(by) + 1) if not m or len(enough(m)) >= m)
     allowed = {}
-    for k, v in by.items():
-        own, best = units[k if len(v) >= least else None], None
+    for k in enough(m):
+        own = by[k]
         for g in range(len(quality.LEVELS)):
             bad = sum(x >= len(quality.LEVELS) - g for x in own)
-            if bad > 0.02 * len(own) or binomial_at_most(bad, len(own), 0.02) > 0.05 / len(units):
+            if bad > 0.02 * len(own) or binomial_at_most(bad, len(own), 0.02) > 0.05 / m:
                 break
-            best = len(quality.LEVELS) - 1 - g
-        allowed[k] = best
+            allowed[k] = len(quality.LEVELS) - 1 - g
     got = {x.doc_id: x for x in quality.judge(docs, labels).collect()}
     want = {i: not failed[i] and (allowed.get(lang[i] or "") is None or over[i] <= allowed[lang[i] or ""]) for i in measured}
-    assert None in units and "en" in units and any(a is not None for a in allowed.values())
+    assert 0 < len(enough(m)) < len(by) and "en" in allowed and any(x.n_exceeded > 0 and x.stratum not in allowed and x.kept for x in got.values())
     assert {i: x.kept for i, x in got.items()} == want and not all(want[i] or failed[i] for i in want)
 
 
+def test_number_of_strata_that_can_be_tested():
+    least = [quality.least_labels(m, 0.02, 0.05) for m in range(1, 6)]
+    assert least == sorted(least) and 0.98 ** least[0] <= 0.05 < 0.98 ** (least[0] - 1)
+    for sizes in ({}, {least[0] - 1: 9}, {least[0]: 1}, {least[0]: 5}, {least[4]: 5}, {least[1]: 1, least[3]: 1, 9999: 3}, {least[2]: 2, 5000: 1}):
+        every = sorted((n for n, k in sizes.items() for _ in range(k)), reverse=True)
+        want = max((m for m in range(1, len(every) + 1) if every[m - 1] >= quality.least_labels(m, 0.02, 0.05)), default=0)
+        assert quality.tested_strata(sizes, 0.02, 0.05) == want
+
+
+def test_language_of_long_texts_only(spark):
+    words = {"en": "the and with house water morning garden", "fr": "le dans avec maison fenêtre matin jardin"}
+    long = {k: " ".join(np.random.default_rng(9).choice(w.split(), 400_000)) for k, w in words.items()}
+    rows = [(i, long[k], k) for i in range(4) for k in [("en", "fr")[i % 2]]] + [(10 + i, " ".join(words[k].split()[::-1]), None) for i, k in enumerate(("en", "fr"))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learnt = langid.sample(df)
+    assert [s.lang for s in learnt] == ["en", "fr"] and all(300 < len(s.text) <= 12_000 for s in learnt)
+    assert {r.doc_id: r.lang_pred for r in langid.identify(df).collect()} == {0: "en", 1: "fr", 2: "en", 3: "fr", 10: "en", 11: "fr"}
+
+
 def test_language_id(spark, docs, empty):
     words = {"en": "the and with house water morning garden", "fr": "le dans avec maison fenêtre matin jardin"}
     rows = [(i, " ".join(np.random.default_rng(i).choice(words[k].split(), 40)), k) for i in range(120) for k in [("en", "fr")[i % 2]]]
@@ -298,12 +314,16 @@ def test_language_ties_and_repeated_rows(spark):
     assert sorted((r.doc_id or 0, r.lang_pred, r.score) for r in langid.predict(rows, same).collect()) == [(0, "b", 0.5), (1, "b", 0.5), (1, "b", 0.5), (2, "b", 0.5)]
 
 
-def test_language_sample_takes_whole_texts(spark):
+def test_language_sample_is_bounded(spark):
     long = "ein sehr langer text " * 1000
     rows = [(i, f"kurz{i} " * 9 if i else long, "de") for i in range(60)] + [(100, long, "xx"), (101, long + "mehr", "xx")]
     got = {x.lang: x.text for x in langid.sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), chars_per_lang=500)}
     assert len(got["de"]) <= 520 and long not in got["de"] and all(w * 9 in got["de"] for w in {w + " " for w in got["de"].split()})
-    assert got["xx"] in (long, long + "mehr")
+    assert 0 < len(got["xx"]) <= 500
+    whole = "".join(chr(97 + k % 26) + str(k) + " " for k in range(20_000))  # no part twice
+    [one] = langid.sample(spark.createDataFrame([(101, whole, "xx")], "doc_id long, text string, lang string"), chars_per_lang=4800)
+    places = [whole.find(one.text[i : i + 100]) for i in range(0, len(one.text), 101)]
+    assert len(places) == 6 and places[0] == 0 and places[-1] == len(whole) - 100 and np.allclose(np.diff(places), len(whole) / 5, atol=100)
 
 
 def test_language_stage_rejects_what_is_in_no_language(spark):

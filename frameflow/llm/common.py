@@ -16,7 +16,7 @@ from pyspark.sql.types import StructType
 #: White space that separates words everywhere in this package: space and U+0009 to U+000D.
 SPACE = "\x20\x09-\x0d"
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-_LEAN: list[bool] = []
+_LEAN: list[Callable[[int], int] | None] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -115,17 +115,24 @@ def lean() -> None:
     """Lets a Python worker give memory back: large blocks return to the system when they are freed."""
     if _LEAN:
         return
-    _LEAN.append(True)
+    _LEAN.append(None)
     pa.set_memory_pool(pa.system_memory_pool())
     if sys.platform == "linux":
         try:
             libc = ctypes.CDLL(None)
             libc.mallopt(-3, 16 << 20)  # M_MMAP_THRESHOLD, which otherwise grows with what is freed
             libc.mallopt(-1, 64 << 20)  # M_TRIM_THRESHOLD
+            _LEAN[0] = libc.malloc_trim
         except (OSError, AttributeError):
             pass
 
 
+def trim() -> None:
+    """Returns to the system what a task has freed: workers are used again, by stages that need other memory."""
+    if _LEAN and _LEAN[0]:
+        _LEAN[0](0)
+
+
 def limit_batches(spark: SparkSession, most: int = 4 << 20) -> None:
     """Sets the session's Arrow batches to `most` bytes, if they may be larger: rows here hold texts of any length."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -141,5 +148,6 @@ def mapped(df: DataFrame, step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lean()
         yield from step(batches)
+        trim()
 
     return df.mapInArrow(run, schema)

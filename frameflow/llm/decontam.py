@@ -30,6 +30,7 @@ _LEAST_WORDS = 5  # of items whose edited copies count; shorter ones must be fou
 _LEAST_POINTS = 6  # of an alignment, as of three words: two common words are no copy of a short item
 _CELLS = 1 << 18  # words that are aligned at once
 _HELD = 32 << 20  # bytes of stretches that wait for alignment
+_PART = 1 << 18  # bytes of text that are looked at together
 _HITS = 1 << 20  # meetings of a text's words with seeds of items that are looked at together
 _APART = (1, 2)  # words from the first of a pair to the second
 
@@ -253,7 +254,7 @@ def counted(docs: DataFrame, block: list[tuple[int, str]], least_score: float) -
         own = shared.value
         total = np.zeros(own.pairs.n, np.int64)
         for batch in batches:
-            for _, _, texts in parts(batch.column("text")):
+            for _, _, texts in parts(batch.column("text"), _PART):
                 np.add.at(total, own.pairs_in(*own.find(texts))[1], 1)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["pair", "n"])
@@ -266,8 +267,8 @@ def counted(docs: DataFrame, block: list[tuple[int, str]], least_score: float) -
 
 
 def copies(own: Items, column: pa.Array) -> Iterator[dict[tuple[int, int], tuple[float, int]]]:
-    """(score, seeds) by (text, item), about a megabyte of a column of texts at a time; seeds are distinct pairs."""
-    for a, _, texts in parts(column):
+    """(score, seeds) by (text, item), some of a column of texts at a time; seeds are distinct pairs."""
+    for a, _, texts in parts(column, _PART):
         best: dict[tuple[int, int], tuple[float, int]] = {}
         found: list[tuple[int, tuple[int, bytes]]] = []
         held = 0

@@ -42,11 +42,15 @@ def step_index(steps: DataFrame, dataset: str, *keys: str, to: str = "place") ->
 
 
 def mixture(index: DataFrame, sets: DataFrame, dataset: str, weight: str, balanced: bool = True) -> DataFrame:
-    """(dataset, length, share) of a mixture of at most 10,000 datasets; one without steps is an error."""
+    """(dataset, length, share) of a mixture of at most 10,000 datasets, computed once; one without steps is an error."""
     lengths = index.groupBy(F.col(dataset).alias("__d")).agg(F.count(F.lit(1)).alias("length"))
     joined = sets.select(dataset, weight).join(lengths, F.col(dataset) == F.col("__d"), "left").drop("__d")
     checked = joined.withColumn("length", F.when(F.col("length").isNull(), F.raise_error(F.concat(F.lit("no steps in "), F.col(dataset).cast("string"))).cast("long")).otherwise(F.col("length")))
-    return weights_for_sampling(checked, weight, "length" if balanced else None).select(dataset, "length", "share")
+    shares = weights_for_sampling(checked, weight, "length" if balanced else None).select(dataset, "length", "share")
+    rows = shares.limit(_MOST_SETS + 1).collect()
+    if len(rows) > _MOST_SETS:
+        raise ValueError(f"a mixture has at most {_MOST_SETS} datasets")
+    return sets.sparkSession.createDataFrame(rows, shares.schema)
 
 
 def draws(asked: DataFrame, mix: DataFrame, dataset: str, epoch: int, seed: int, train: bool = True, draw: str = "draw") -> DataFrame:
@@ -60,16 +64,16 @@ def draws(asked: DataFrame, mix: DataFrame, dataset: str, epoch: int, seed: int,
     numbered = asked.select(draw).withColumn("__h", digits)
     unit = F.conv(F.substring("__h", 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
     chosen = weighted(numbered.withColumn("__u", unit), "__u", mix, dataset, "share")
-    lengths = F.broadcast(mix.select(F.col(dataset).alias("__d"), "length"))  # weighted() has checked its size
+    lengths = F.broadcast(mix.select(F.col(dataset).alias("__d"), "length"))  # mixture() has checked its size
     return chosen.join(lengths, F.col(dataset) == F.col("__d")).select(draw, dataset, remainder(F.substring("__h", 13, 20), 20, F.col("length")).alias("place"))
 
 
 def generator_draws(asked: DataFrame, mix: DataFrame, dataset: str, order: Sequence[object], epoch: int, seed: int, train: bool = True, draw: str = "draw") -> DataFrame:
     """(draw, dataset, place) as numpy's default generator makes them from each draw's 128-bit seed: for samplers whose
     choices have to be met exactly. `order` lists the datasets as the mixture does."""
-    found = {r[dataset]: r for r in mix.limit(_MOST_SETS + 1).collect()}
-    if len(found) > _MOST_SETS or set(found) != set(order):
-        raise ValueError(f"the order has to name the datasets of the mixture, {_MOST_SETS} at most")
+    found = {r[dataset]: r for r in mix.collect()}  # mixture() has checked its size
+    if set(found) != set(order):
+        raise ValueError("the order has to name the datasets of the mixture")
     shares = np.array([found[d].share for d in order])
     lengths = [int(found[d].length) for d in order]
 

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from frameflow.operators.sampling import positions, running
+from frameflow.sources.byte_files import exists, opened
 from frameflow.sources.npy_ranges import write_npy
 from frameflow.tables import scratch
 
@@ -103,10 +104,10 @@ def episodes(spark: SparkSession, listed: DataFrame, root: str, action_keys: Seq
             for r in batch.to_pylist():
                 file = r["episode_name"] if r["episode_name"].endswith(".npz") else f"{r['episode_name']}.npz"
                 tried = [p for p in (r["source"], os.path.join(root, r["task"], r["tag"], "episodes", file)) if p]
-                found = next((p for p in tried if os.path.exists(p)), None)
+                found = next((p for p in tried if exists(p)), None)
                 if found is None:
                     raise FileNotFoundError(f"no archive at {', '.join(tried)}")
-                with open(found, "rb") as f, np.load(io.BytesIO(f.read())) as data:
+                with opened(found) as f, np.load(io.BytesIO(f.read())) as data:
                     key = next((k for k in keys if k in data), None)
                     if key is None:
                         raise KeyError(f"{found} has none of {keys}; it has {data.files}")

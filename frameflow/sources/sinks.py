@@ -126,10 +126,11 @@ def write_statistics(exported: DataFrame, path: str, tag: str, counts: DataFrame
     write_document(exported.sparkSession, path, document)
 
 
-def write_shards(df: DataFrame, path: str, episode: str, per_shard: int) -> None:
-    """Results in a folder per `per_shard` episodes, and manifest.jsonl with what each shard holds."""
+def write_shards(df: DataFrame, path: str, episode: str, per_shard: int, writers: int = 8) -> None:
+    """Results in a folder per `per_shard` episodes, each written by up to `writers` tasks, and manifest.jsonl with what
+    each shard holds."""
     sharded = df.withColumn("shard", F.floor(F.col(episode) / per_shard).cast("long"))
-    sharded.repartition("shard", F.pmod(F.xxhash64(*df.columns), F.lit(8))).write.partitionBy("shard").json(f"{path}/shards")
+    sharded.repartition("shard", F.pmod(F.xxhash64(*df.columns), F.lit(writers))).write.partitionBy("shard").json(f"{path}/shards")
     held = df.sparkSession.read.schema(sharded.schema).json(f"{path}/shards")
     manifest = held.groupBy("shard").agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct(episode).alias("n_episodes"), F.min(episode).alias("first"), F.max(episode).alias("last"))
     write_jsonl(manifest.coalesce(1), f"{path}/manifest.jsonl")

@@ -25,7 +25,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, BinaryType, StringType, StructType
 
-from frameflow.sources.byte_files import Range, Window, ranges
+from frameflow.sources.byte_files import Range, Window, listed, ranges
 
 _HEAD, _FOOT = 12, 4
 
@@ -105,6 +105,22 @@ def records_in(part: Range) -> Iterator[bytes]:
             raise ValueError(f"{part.path}: the records that begin before byte {part.end} don't end where others begin")
 
 
+def record_at(path: str, number: int) -> bytes:
+    """The payload of one record of a file, by its number from 0; of those before it only the lengths are read."""
+    [(path, size)] = listed(path)
+    with Window(path, 64) as window:
+        at = 0
+        while at < size:
+            head = window.at(at, _HEAD)
+            end = at + _HEAD + struct.unpack("<Q", head.ljust(8, b"\0")[:8])[0] + _FOOT
+            if len(head) < _HEAD or end > size:
+                raise ValueError(f"{path}: cut off in record {number}")
+            if not number:
+                return window.at(at + _HEAD, end - at - _HEAD - _FOOT)
+            at, number = end, number - 1
+    raise IndexError(f"{path} has no such record")
+
+
 def splits(pattern: str, split_bytes: int) -> list[Range]:
     """Ranges of the files; files whose first length carries no CRC are one range."""
     out: list[Range] = []

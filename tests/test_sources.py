@@ -35,6 +35,9 @@ def test_every_split_of_a_tfrecord_file_gives_the_same_records(tmp_path):
     for n in (1, 7, 50, 333, 1000, size - 1, size, size + 1):
         parts = [list(tfrecord.records_in(p)) for p in tfrecord.splits(str(tmp_path), n)]
         assert [p for part in parts for p in part] == want and (n > 1 or max(map(len, parts)) == 1)
+    assert [tfrecord.record_at(path, k) for k in (0, 57, 119)] == [want[k] for k in (0, 57, 119)]
+    with pytest.raises(IndexError):
+        tfrecord.record_at(path, 120)
     data = (tmp_path / "a.tfrecord").read_bytes()
     read = lambda n: [p for part in tfrecord.splits(path, n) for p in tfrecord.records_in(part)]
     for cut in (5, 13, size // 2, size - 1):

@@ -266,7 +266,7 @@ def search(index: DataFrame, items: DataFrame, top: int = 10, id_col: str = "ite
     asked = _item_terms(items, id_col, text_col)
     wanted = asked.select("item", "item_id", F.explode("terms").alias("term"))
     found = index.select(F.explode(F.arrays_zip("terms", "sizes")).alias("t")).select(F.col("t.terms").alias("term"), F.col("t.sizes").alias("size"))
-    df = found.groupBy("term").agg(F.sum("size").alias("df"))
+    df = found.join(wanted.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("size").alias("df"))
     weighed = wanted.join(df, "term").groupBy("item", "item_id").agg(F.collect_list(F.struct("term", "df")).alias("terms"))
     postings = index.select("doc_ids", "lengths", "terms", "sizes", "slots", "counts")
     schema = "item long, item_id long, doc_id long, score long"

@@ -1,11 +1,12 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from frameflow.llm.components import components
-from frameflow.llm.jaccard import jaccard_components, one_of_each
+from frameflow.llm.jaccard import Wanted, jaccard_components, one_of_each
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -90,3 +91,24 @@ def test_components_of_chains_and_stars(spark, one_task):
     edges = [(i, i + 1) for i in range(20)] + [(100, i) for i in range(101, 140)] + [(7, 7), (200, 201), (200, 201), (201, 200)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long"), one_task=one_task).collect()}
     assert got == {i: 0 for i in range(1, 21)} | {i: 100 for i in range(101, 140)} | {201: 200}
+
+
+def test_bitmap_and_join_ask_for_the_same_rows(spark):
+    """Wanted filters by a bitmap, which may let others through, or by a join, which may not: both have all that is wanted."""
+    docs = spark.range(500).selectExpr("xxhash64(id) node", "cast(id as string) text")
+    nodes = docs.where("text % 7 = 0").select("node")
+    by_map, by_join = Wanted(nodes), Wanted(nodes, most_bits=0)
+    assert by_map.words is not None and by_join.words is None
+    want = {r.text for r in docs.where("text % 7 = 0").collect()}
+    assert {r.text for r in by_join.of(docs).collect()} == want and {r.bit for r in by_join.of(docs).collect()} == {-1}
+    through = {r.text for r in by_map.of(docs).collect() if by_map.words[r.bit // 64] >> np.uint64(r.bit % 64) & np.uint64(1)}
+    assert want <= through and len(through) < len(want) + 60
+
+
+@pytest.mark.parametrize("k,num", [(3, 90), (5, 80)])
+def test_components_by_joins_equal_brute_force(spark, monkeypatch, k, num):
+    made = Wanted.__init__
+    monkeypatch.setattr(Wanted, "__init__", lambda self, nodes, per_node=16, most_bits=0: made(self, nodes, per_node, 0))
+    rows = corpus()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, jaccard_components(docs, k, num, 100).collect()), key=str) == sorted(brute(rows, k, num, 100), key=str)

@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 
 from frameflow.operators.sampling import positions, running
 
-from frameflow.operators.windows import along
-
 
 def lookup(df: DataFrame, dim: DataFrame, on: str | Sequence[str], strict: bool = True) -> DataFrame:
     """Many-to-one join with a dimension table; a row without a match is an error if strict, else it goes.
@@ -31,28 +29,37 @@ def first_of(df: DataFrame, keys: Sequence[str], *order: Column) -> DataFrame:
     return df.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
 
 
-def label_join(df: DataFrame, labels: DataFrame, label: str, policy: str = "error", episode: str = "episode", step: str = "step") -> DataFrame:
+def label_join(df: DataFrame, labels: DataFrame, label: str, policy: str = "error", episode: str = "episode", step: str = "step", width: int = 4096) -> DataFrame:
     """Adds the label of each frame from a sparse table (episode, step, label).
 
     error: the frame's own; clip: the latest one so far, before the first label the first; nearest: the closer of the
-    neighbours, the earlier of equals. Without labels in the episode: null.
+    neighbours, the earlier of equals. A null label is none. Without labels in the episode: null.
+
+    Neighbours are sought within stretches of `width` steps, and beyond these in a row a stretch with its first and last
+    label. So no task takes a whole episode, and time grows in proportion to frames.
     """
-    own = labels.select(F.col(episode), F.col(step), F.col(label), F.col(step).alias("__at"))
+    own = labels.select(F.col(episode), F.col(step), F.col(label))
     j = df.join(own, [episode, step], "left")
     if policy == "error":
-        return j.drop("__at")
-    w = along(episode, step)
-    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
-    a, sa = F.last(label, True).over(back), F.last("__at", True).over(back)
-    b, sb = F.first(label, True).over(ahead), F.first("__at", True).over(ahead)
-    if policy == "clip":
-        # before the first label, the next label is the first
-        value = F.coalesce(a, b)
-    elif policy == "nearest":
-        value = F.when(a.isNull(), b).when(b.isNull(), a).when(F.col(step) - sa <= sb - F.col(step), a).otherwise(b)
-    else:
+        return j
+    if policy not in ("clip", "nearest"):
         raise ValueError(f"unknown policy {policy!r}")
-    return j.withColumn("__value", value).drop(label, "__at").withColumnRenamed("__value", label)
+    known = F.when(F.col(label).isNotNull(), F.struct(F.col(step).alias("at"), F.col(label).alias("label")))
+    j = j.withColumn("__known", known).withColumn("__b", F.floor(F.col(step) / width))
+    # Spark evaluates a frame that ends at unbounded following anew for each row, one that begins at unbounded
+    # preceding goes on from row to row: what lies ahead is looked up in descending order
+    so_far = lambda keys, order, end: Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, end)
+    ends = j.groupBy(episode, "__b").agg(F.min_by("__known", "__known.at").alias("__first"), F.max_by("__known", "__known.at").alias("__last"))
+    before = F.last("__last", True).over(so_far([episode], F.asc("__b"), -1))
+    after = F.last("__first", True).over(so_far([episode], F.desc("__b"), -1))
+    beyond = ends.select(episode, "__b", before.alias("__before"), after.alias("__after"))
+    near = j.withColumn("__l", F.last("__known", True).over(so_far([episode, "__b"], F.asc(step), 0))).withColumn("__r", F.last("__known", True).over(so_far([episode, "__b"], F.desc(step), 0)))
+    near = near.join(beyond, [episode, "__b"], "left")  # no label has a null episode
+    left, right = F.coalesce("__l", "__before"), F.coalesce("__r", "__after")
+    value = F.coalesce(left, right)
+    if policy == "nearest":
+        value = F.when(F.col(step) - left["at"] > right["at"] - F.col(step), right).otherwise(value)
+    return near.select(*(c for c in j.columns if c not in (label, "__known", "__b")), value["label"].alias(label))
 
 
 def range_join(df: DataFrame, key: str, ranges: DataFrame, width: int) -> DataFrame:

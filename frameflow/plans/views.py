@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from frameflow.operators.sampling import sequential
 from frameflow.operators.windows import keyframes_selected
 
 
 class Views:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
+        self._frames: DataFrame | None = None
 
     def t(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
@@ -40,9 +42,11 @@ class Views:
         return self.t("events").select("event_id", "user_id", F.col("event_type").alias("dataset"), weight.alias("weight"), tag.alias("tag"), "value", F.array(F.col("value"), F.get_json_object("props", "$.k").cast("double")).alias("v"))
 
     def frames(self) -> DataFrame:
-        """Documents as frames of episodes by source, with a label where one is known."""
-        w = Window.partitionBy("source").orderBy("doc_id")
-        return self.t("documents").select("doc_id", F.col("source").alias("episode"), (F.row_number().over(w) - 1).cast("long").alias("step"))
+        """Documents as frames of episodes by source, with a label where one is known. A query numbers them once."""
+        if self._frames is None:
+            d = self.t("documents").select("doc_id", F.col("source").alias("episode"))
+            self._frames = sequential(d, 0, 0, "episode", "doc_id", shuffle=False, to="step")
+        return self._frames
 
     def labels(self) -> DataFrame:
         return self.frames().join(self.t("labels").select("doc_id", F.col("quality").cast("long").alias("label")), "doc_id").select("episode", "step", "label")

@@ -1,3 +1,6 @@
+import threading
+from bisect import bisect_right
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -24,6 +27,52 @@ def test_labels_by_policy(spark):
     assert got("nearest") == [[1, 2], [1, 2], [1, 2], [3, 4], [3, 4], [3, 4], None]
 
 
+def nearest_or_clipped(frames, known, policy):
+    """The label of each (episode, step) by a search through its episode's known steps."""
+    out = {}
+    for e, s in frames:
+        steps = sorted(known.get(e, {}))
+        i = bisect_right(steps, s)
+        lo, hi = (steps[i - 1] if i else None), (steps[i] if i < len(steps) else None)
+        at = lo if hi is None else hi if lo is None else lo if policy == "clip" or s - lo <= hi - s else hi
+        out[e, s] = None if at is None else known[e][at]
+    return out
+
+
+@pytest.mark.parametrize("policy", ["clip", "nearest"])
+def test_labels_of_other_stretches(spark, policy):
+    draw = np.random.default_rng(5)
+    frames = [(e, s) for e, n in ((1, 90), (2, 7), (3, 1), (4, 60)) for s in range(n)]
+    labels = [(e, s, None if draw.random() < 0.4 else e * 1000 + s) for e, s in frames if e != 2 and draw.random() < 0.12] + [(4, 500, 1)]
+    known = {e: {s: x for k, s, x in labels if k == e and x is not None and (e, s) in frames} for e in (1, 3, 4)}
+    df = spark.createDataFrame(frames, "episode long, step long")
+    got = joins.label_join(df, spark.createDataFrame(labels, "episode long, step long, label long"), "label", policy, width=4)
+    assert got.columns == ["episode", "step", "label"]
+    rows = got.collect()
+    assert len(rows) == len(frames) and {(r.episode, r.step): r.label for r in rows} == nearest_or_clipped(frames, known, policy)
+
+
+def test_a_null_label_is_no_neighbour(spark):
+    df = spark.createDataFrame([(1, s) for s in range(8)], "episode long, step long")
+    labels = spark.createDataFrame([(1, 0, 10), (1, 3, None), (1, 6, 16)], "episode long, step long, label long")
+    got = joins.label_join(df, labels, "label", "nearest").orderBy("step").collect()
+    assert [r.label for r in got] == [10, 10, 10, 10, 16, 16, 16, 16]
+
+
+def test_labels_of_a_long_episode_in_linear_time(spark):
+    n, gap = 200_000, 997
+    df = spark.range(n).select(F.lit(1).cast("long").alias("episode"), F.col("id").alias("step"))
+    labels = df.where(F.col("step") % gap == 0).withColumn("label", F.col("step"))
+    at = F.least(F.floor((F.col("step") + gap // 2) / gap) * gap, F.lit((n - 1) // gap * gap))
+    stop = threading.Timer(60, spark.sparkContext.cancelAllJobs)  # a tenth of it will do, a quadratic join takes minutes
+    stop.start()
+    try:
+        got = joins.label_join(df, labels, "label", "nearest").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("label") == at).alias("right")).first()
+    finally:
+        stop.cancel()
+    assert (got.n, got.right) == (n, n)
+
+
 def test_lookup_misses_are_errors(spark):
     df, dim = spark.createDataFrame([(1,), (2,)], "k long"), spark.createDataFrame([(1, "a")], "k long, v string")
     assert joins.lookup(df, dim, "k", strict=False).count() == 1
